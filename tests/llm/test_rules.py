@@ -1,0 +1,124 @@
+"""URL filters, quality rules and secret scans against plain Python."""
+
+import hashlib
+import re
+from collections import Counter
+
+import pytest
+from conftest import rows, same
+
+from strandwork.llm import quality_rules, secret_scans, url_filters
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def url_brute(page_id, url):
+    m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+    host, path = (re.sub("[A-Z]", lambda x: x[0].lower(), m[1]), m[2]) if m else ("", "")
+    best = None
+    for verdict, h, p in url_filters.RULES:
+        if (host == h or host.endswith("." + h)) and path.startswith(p) and (best is None or len(h + p) > len(best[0])):
+            best = (h + p, verdict)
+    return {"page_id": page_id, "host": host, "path": path, "rule": best and best[0], "ruled": best and best[1]}
+
+
+@pytest.fixture
+def urls(spark, sf, tmp_path):
+    odd = [None, "", "no scheme", "://", "http://", "HTTP://EXAMPLE.com/en/7x", "http://a.example.com/en/6?x=/en/7", "x://y://z/de/8", "http://com/en/", "http://notexample.net/de/8", "http://example.net/de/8#a", "http://n\n.org/es/\n?q", "http://É.COM/EN/", "http://sub.example.net?/de/8", "ftp://" + "a" * 30_000 + ".org/es/"]
+    extra = spark.createDataFrame([(1_000_000 + i, u, "h") for i, u in enumerate(odd)] + [(1_000_000, None, "h")], "page_id long, url string, html string")
+    path = f"{tmp_path}/u"
+    spark.read.parquet(f"{sf}/pages.parquet").unionByName(extra).write.parquet(f"{path}/pages.parquet")
+    return path
+
+
+def test_urls(spark, urls):
+    found = rows(url_filters.op1_url_filters(spark, urls))
+    expected = [url_brute(r.page_id, r.url) for r in spark.read.parquet(f"{urls}/pages.parquet").collect()]
+    same(found, expected, ["page_id", "host", "path", "rule"])
+    ruled = {(e["page_id"]): e["ruled"] for e in expected}
+    assert all(r["verdict"] == (ruled[r["page_id"]] or ("block" if r["score"] >= 0.5 else "allow")) for r in found)
+
+
+def test_url_model(spark):
+    """Hosts that the small table does not list, by words that it does; and clashing column names."""
+    unseen = [("http://mega-casino-bonus.example.com/fr/1", 1), ("https://buy-cheap-pills-now.example.net/es/2", 1), ("http://poker-spam.example.org/de/9", 1), ("https://ads-server9.example.com/fr/3", 1), ("https://citylibrary.example.org/en/5", 0), ("https://thth.example.com/fr/825", 0), ("http://blog.museum-friends.example.net/en/1", 0)]
+    df = spark.createDataFrame([(u, y, "x", "y", 0.0) for u, y in unseen], "url string, y int, host string, verdict string, score double")
+    found = url_filters.filter_urls(df, url_filters.fit(url_filters.labelled_urls(spark)), rules=()).collect()
+    assert [(r.url, r.verdict) for r in found] == [(u, "block" if y else "allow") for u, y in unseen]
+
+
+def quality_brute(doc_id, text):
+    text = text or ""
+    w = WORD.findall(text)
+    grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    n = Counter(grams)
+    covered = {i + k for i, g in enumerate(grams) if n[g] > 1 for k in range(3)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    return {
+        "doc_id": doc_id, "n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": sum(c in "#*$%&|<>" for c in text), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(covered),
+        "base_failed": len(w) < 50 or 100 * len(covered) > 50 * len(w),
+    }
+
+
+@pytest.mark.parametrize("where", ["sf", "odd_dir"])
+def test_quality_base(spark, where, request):
+    path = request.getfixturevalue(where)
+    found = rows(quality_rules.op2_quality_rules(spark, path))
+    expected = [quality_brute(r.doc_id, r.text) for r in spark.read.parquet(f"{path}/documents.parquet").collect()]
+    same(found, expected, list(expected[0]))
+    assert all(not (r["base_failed"] and r["kept"]) for r in found)
+
+
+def test_quality_method(spark):
+    """Plain prose of a language stays; keyboard noise of the same length under the same language goes; short noise stays undecided."""
+    prose = "the house of the king is on a hill and it was the best that we saw with him as far by road to be fair for all in that land "
+    noise = "%%## @@1 93$$ ~~ ^^ 0x && ** ][ }{ ;; 77 88 "
+    docs = [(i, prose * (3 + i % 4) + f"word{i}", "en") for i in range(40)] + [(100, noise * 20, "en"), (101, noise, "en")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r for r in rows(quality_rules.judge(df, max_words=0.7).selectExpr("_row.doc_id", "chars_js", "words_js", "n_words", "base_failed", "kept"))}
+    assert found[100]["chars_js"] > 0.3 and not found[100]["kept"]
+    assert all(found[i]["chars_js"] < 0.2 for i in range(40))
+    assert found[101]["base_failed"]
+
+
+def test_keep_good_keeps_columns(spark, odd_docs):
+    kept = quality_rules.keep_good(odd_docs)
+    assert kept.columns == odd_docs.columns
+    assert kept.count() == quality_rules.judge(odd_docs).where("kept").count()
+
+
+def secrets_brute(doc_id, text):
+    text, out = text or "", []
+    assign = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    for no, (kind, rx, group, least) in enumerate((("assign", re.compile(assign, re.I | re.A), 2, 12), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 18), ("hex", re.compile("[0-9a-f]+"), 0, 16))):
+        out += [(m.start(), no, m.end(), kind) for m in rx.finditer(text) if len(m[group]) >= least]
+    spelled = ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(out))
+    n = Counter(k for *_, k in out)
+    return {"doc_id": doc_id, "n_assign": n["assign"], "n_access": n["access"], "n_hex": n["hex"], "base_sha256": hashlib.sha256(spelled.encode()).hexdigest(), "base": spelled}
+
+
+@pytest.mark.parametrize("where", ["sf", "odd_dir"])
+def test_secrets_base(spark, where, request):
+    path = request.getfixturevalue(where)
+    found = rows(secret_scans.op3_secret_scans(spark, path))
+    expected = [secrets_brute(r.doc_id, r.text) for r in spark.read.parquet(f"{path}/documents.parquet").collect()]
+    same(found, expected, ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256"])
+    for r in found:
+        kept = ",".join(x for x in r["spans"].split(",") if not x.startswith("owned"))
+        assert hashlib.sha256(kept.encode()).hexdigest() == r["base_sha256"]
+
+
+def test_secrets_owners(spark):
+    """A candidate of one owner, however often, is added; one that two owners hold is a copied example."""
+    own, shared = "qW3rTy7uI0pAs4dF6gHj8k", "zX9cV2bN5mQ1wE4rT7yU0i"
+    docs = [(i, f"see {own} here", "a", f"r{i % 2}") for i in range(5)] + [(10 + i, f"an example {shared}", o, "r") for i, o in enumerate("ab")] + [(20, None, None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, owner string, repo string")
+    found = {r["doc_id"]: r for r in rows(secret_scans.find_secrets(df, df.owner, df.repo))}
+    assert all(found[i]["spans"] == f"owned:4:{4 + len(own)}" and found[i]["n_owned"] == 1 and found[i]["max_repos"] == 2 for i in range(5))
+    assert all(found[10 + i]["spans"] == "" and found[10 + i]["n_copied"] == 1 for i in range(2))
+    assert found[20]["spans"] == ""
+
+
+def test_empty(spark, empty_dir):
+    for f in (url_filters.op1_url_filters, quality_rules.op2_quality_rules, secret_scans.op3_secret_scans):
+        assert f(spark, empty_dir).count() == 0
