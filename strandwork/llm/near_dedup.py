@@ -153,7 +153,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 3, doc_id: str
     asked = near.select(F.col("u").alias("nid")).union(near.select("v")).union(groups.select("nid")).distinct()
     asked = asked.join(nodes.select("nid", "first_id"), "nid").select("nid", "first_id")
     again = docs.join(asked.select(F.col("first_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    whole = cut(shingled(again, "doc_id", "text", n).where("nid is not null").dropDuplicates(["nid"]).select("nid", "sh"), "sets")
+    # No filter or join on the made columns before the write: Spark would push it below them and make them again for each word.
+    whole = cut(shingled(again, "doc_id", "text", n).dropDuplicates(["nid"]).select("nid", "sh"), "sets")
 
     set_u, set_v = whole.select(F.col("nid").alias("u"), F.col("sh").alias("sh_u")), whole.select(F.col("nid").alias("v"), F.col("sh").alias("sh_v"))
     both = near.join(set_u, "u").join(set_v, "v").withColumn("common", F.size(F.array_intersect("sh_u", "sh_v")))
