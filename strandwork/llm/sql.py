@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .mixing import REPEATS, SHARE, SLOT_BITS, WEIGHTS
 from .quality_rules import CLASSES, COMMON, MAX_CHARS, MAX_WORDS, MIN_REFERENCE, MIN_WORDS
 
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -44,4 +45,27 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, char
 FROM j
 """
 
-ORACLES = {"op2_quality_rules": QUALITY}
+MIXING = rf"""
+WITH d AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, ({list(WEIGHTS)!r})[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1]::DOUBLE AS weight, source_size * {REPEATS}::DOUBLE AS cap FROM s),
+-- the level of water: the only one at which min(cap, level * weight) adds up to the mix, found from the caps below it
+c AS (SELECT a.weight, a.cap, a.source, ({SHARE} * (SELECT sum(source_size) FROM w)::DOUBLE - coalesce((SELECT sum(b.cap) FROM w b WHERE b.cap / b.weight < a.cap / a.weight), 0)) / (SELECT sum(b.weight) FROM w b WHERE b.cap / b.weight >= a.cap / a.weight) AS level FROM w a),
+l AS (SELECT min(level) AS level FROM c WHERE level * weight <= cap),
+t AS (SELECT w.source, source_size, round(least(cap, coalesce(level * weight, cap)), 6) AS target FROM w, l),
+m AS (SELECT ceil(sum(target))::BIGINT AS mix FROM t),
+b AS (SELECT mix, greatest(1, (mix + {2**SLOT_BITS - 1}) // {2**SLOT_BITS}) AS block FROM m),
+n AS (SELECT mix, block, (mix + block - 1) // block AS slots, greatest(1, length(bin((mix + block - 1) // block - 1))) AS bits FROM b),
+p AS (SELECT source, ceil(source_size / block::DOUBLE)::BIGINT AS blocks, (sum(target) OVER (ORDER BY source NULLS LAST) - target) / mix AS low FROM t, n WHERE target > 0),
+q AS (SELECT source, blocks, low, coalesce(lead(low) OVER (ORDER BY low), 2) AS high FROM p),
+k AS (SELECT k, list_sum(list_transform(range(0, bits), lambda i: ((k >> i) & 1) << (bits - 1 - i)))::DOUBLE / (1 << bits) AS point FROM n, (SELECT unnest(range(0, slots)) AS k FROM n)),
+r AS (SELECT q.source, blocks, row_number() OVER (PARTITION BY q.source ORDER BY k) - 1 AS rank FROM k JOIN q ON point >= low AND point < high),
+u AS (SELECT source, rank % blocks AS block_no, count(*) AS times FROM r WHERE rank < blocks * {REPEATS} GROUP BY 1, 2),
+e AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d),
+x AS (SELECT e.*, block, unnest(range(start // block, (start + size - 1) // block + 1)) AS block_no FROM e, n WHERE size > 0),
+y AS (SELECT doc_id, x.source, start, sum((least(start + size, (x.block_no + 1) * block) - greatest(start, x.block_no * block)) * times) AS taken FROM x JOIN u ON x.source IS NOT DISTINCT FROM u.source AND x.block_no = u.block_no GROUP BY 1, 2, 3)
+SELECT e.doc_id, e.size, t.source_size, t.target, coalesce(taken, 0)::BIGINT AS taken
+FROM e JOIN t ON e.source IS NOT DISTINCT FROM t.source LEFT JOIN y ON e.doc_id = y.doc_id AND e.start = y.start AND e.source IS NOT DISTINCT FROM y.source AND e.size > 0
+"""
+
+ORACLES = {"op2_quality_rules": QUALITY, "op6_mixing": MIXING}
