@@ -15,8 +15,10 @@ COMMON_WORDS = (
     "el los que en y por con no para se lo una"
 ).split()
 COMMON = list(dict.fromkeys(COMMON_WORDS))
+LETTERS = "".join(chr(ord("A") + i) for i in range(len(COMMON)))
 #: Bins of the character histogram, of the characters in words.
 CLASSES = ("lower", "upper", "digit", "mark", "symbol", "other")
+CHAR_BINS, COMMON_BINS = [f"char_{c}" for c in CLASSES], [f"word_{w}" for w in COMMON] + ["word_others"]
 #: Least words of a document and of a reference for a verdict; largest distances that are kept.
 MIN_WORDS, MIN_REFERENCE, MAX_CHARS, MAX_WORDS = 50, 1000, 0.30, 0.60
 #: References up to this many rows are broadcast.
@@ -27,20 +29,23 @@ SYMBOLS = "[#*$%&|<>]"
 def base_counts(docs: DataFrame) -> DataFrame:
     """docs (text, lang and any other columns) as (_row, lang, the base counts, chars, common): one narrow pass over whole texts.
 
-    _row holds the row as it was, so that its columns can't clash with ours. chars has one count per class of CLASSES, common one per word of COMMON and then the other words. Null texts
-    count as empty. Nothing leaves the row, so hot keys and long texts need no care.
+    _row holds the row as it was, so that its columns can't clash with ours; CHAR_BINS count characters by class,
+    COMMON_BINS the words of COMMON and the others. Null texts count as empty. Nothing leaves the row, so hot keys and long texts need no care.
     """
     line = F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     docs = docs.select(F.struct("*").alias("_row"), F.col("text").cast("string").alias("text"), F.col("lang").alias("lang"))
     df = docs.select("_row", "lang", words(F.col("text")).alias("w"), line.alias("lines"), F.coalesce("text", F.lit("")).alias("text"))
-    dictionary = " " + " ".join(COMMON) + " "
     df = df.withColumns({
         "bare": F.array_join("w", ""),
         "rest": F.regexp_replace("text", r"[\x20\x09-\x0D\p{Ll}]+", ""),
         "n_words": F.size("w").cast("long"),
-        "grams": F.sort_array(F.when(F.size("w") >= 3, F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.struct(F.concat_ws(" ", F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)).alias("g"), i.alias("i"))))),
-        "hits": F.filter(F.transform("w", lambda w: F.instr(F.lit(dictionary), F.concat(F.lit(" "), F.lower(w), F.lit(" ")))), lambda p: p > 0),
+        # A window is compared by its 64-bit hash: within one text that tells windows apart.
+        "windows": F.when(F.size("w") >= 3, F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))),
+        # One letter per common word, in one string: what a letter's removal takes away is its count.
+        "hits": F.array_join(F.transform(F.filter("w", lambda w: F.lower(w).isin(COMMON)), lambda w: F.substring(F.lit(LETTERS), F.array_position(F.array(*map(F.lit, COMMON)), F.lower(w)).cast("int"), F.lit(1))), ""),
     }).drop("text")
+    # Only a text with some window twice has its windows sorted.
+    df = df.withColumn("grams", F.when(F.size(F.array_distinct("windows")) < F.size("windows"), F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("g"), i.alias("i"))))))
     df = df.withColumns({
         "word_chars": F.length("bare").cast("long"),
         "no_upper": F.regexp_replace("rest", r"\p{Lu}+", ""),
@@ -50,27 +55,25 @@ def base_counts(docs: DataFrame) -> DataFrame:
     symbols = F.length("no_upper") - F.length(F.regexp_replace("no_upper", SYMBOLS, ""))
     digits = F.length("no_upper") - F.length(F.regexp_replace("no_upper", r"\d+", ""))
     marks = F.length("no_upper") - F.length(F.regexp_replace("no_upper", r"[.,;:!?'\"()-]+", ""))
-    counts = [F.size("hits") - F.size(F.array_remove("hits", F.lit(dictionary.index(f" {w} ") + 1))) for w in COMMON]
+    counts = [F.length("hits") - F.length(F.replace(F.col("hits"), F.lit(c), F.lit(""))) for c in LETTERS]
     df = df.select(
         "_row", "lang", "n_words", "word_chars", symbols.cast("long").alias("n_symbols"), "n_dup_lines",
         F.coalesce(F.size(F.array_distinct(F.flatten(F.transform("again", lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))), F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.length("rest").alias("r"), F.length("no_upper").alias("u"), digits.alias("d"), marks.alias("m"), F.array(*[c.cast("long") for c in counts]).alias("c"), F.size("hits").alias("n_hits"),
+        F.length("rest").alias("r"), F.length("no_upper").alias("u"), digits.alias("d"), marks.alias("m"), F.length("hits").alias("n_hits"), *[c.cast("long").alias(x) for c, x in zip(counts, COMMON_BINS)],
     )
     chars = [F.col("word_chars") - F.col("r"), F.col("r") - F.col("u"), F.col("d"), F.col("m"), F.col("n_symbols"), F.col("u") - F.col("d") - F.col("m") - F.col("n_symbols")]
-    return df.select(
-        "_row", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.greatest("n_repeat_words", F.lit(0)).alias("n_repeat_words"),
-        F.array(*[c.cast("long") for c in chars]).alias("chars"), F.concat("c", F.array(F.col("n_words") - F.col("n_hits"))).alias("common"),
-    )
+    others = (F.col("n_words") - F.col("n_hits")).alias(COMMON_BINS[-1])
+    return df.select("_row", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *[c.cast("long").alias(x) for c, x in zip(chars, CHAR_BINS)], *COMMON_BINS[:-1], others)
 
 
 def references(counts: DataFrame) -> DataFrame:
     """(ref_lang, ref_words, ref_chars, ref_common): histograms summed over all documents of each language; null: over all."""
-    n_chars, n_common = len(CLASSES), len(COMMON) + 1
-    sums = [F.sum(F.get("chars", F.lit(i))).alias(f"c{i}") for i in range(n_chars)] + [F.sum(F.get("common", F.lit(i))).alias(f"w{i}") for i in range(n_common)]
-    by_lang = counts.groupBy(F.col("lang").alias("ref_lang")).agg(F.sum("n_words").alias("ref_words"), *sums)
+    # Each bin is a column of its own: as elements of an array, all would be made again for each sum.
+    sums = [F.sum(x).alias(x) for x in CHAR_BINS + COMMON_BINS]
+    by_lang = cut(counts.groupBy(F.col("lang").alias("ref_lang")).agg(F.sum("n_words").alias("ref_words"), *sums), "quality")
     whole = by_lang.groupBy().agg(*[F.sum(x).alias(x) for x in by_lang.columns[1:]]).select(F.lit(None).cast("string").alias("ref_lang"), *by_lang.columns[1:])
     rows = by_lang.where("ref_lang is not null").unionByName(whole)
-    return rows.select("ref_lang", "ref_words", F.array(*[f"c{i}" for i in range(n_chars)]).alias("ref_chars"), F.array(*[f"w{i}" for i in range(n_common)]).alias("ref_common"))
+    return rows.select("ref_lang", "ref_words", F.array(*CHAR_BINS).alias("ref_chars"), F.array(*COMMON_BINS).alias("ref_common"))
 
 
 def with_js_distance(df: DataFrame, p: str, q: str, name: str) -> DataFrame:
@@ -86,19 +89,25 @@ def with_js_distance(df: DataFrame, p: str, q: str, name: str) -> DataFrame:
     return df.withColumn(name, distance).drop(f"{name}_{p}", f"{name}_{q}", f"{name}_both")
 
 
-def judge(docs: DataFrame, min_words: int = MIN_WORDS, min_reference: int = MIN_REFERENCE, max_chars: float = MAX_CHARS, max_words: float = MAX_WORDS) -> DataFrame:
+def judge(docs: DataFrame, carry: tuple[str, ...] = (), min_words: int = MIN_WORDS, min_reference: int = MIN_REFERENCE, max_chars: float = MAX_CHARS, max_words: float = MAX_WORDS) -> DataFrame:
     """One row per row of docs: _row (the row as it was), the base counts, base_failed, chars_js, words_js and kept.
 
     The references are the histograms of all documents of the same language (of all documents where lang is null).
     The method rejects a document if a distance exceeds its limit; a document of fewer than min_words words, or a
     reference of fewer than min_reference words, is too short for that verdict, which then stays "keep". Empty
-    tables give empty results; repeated rows are judged alike; a null doc_id is as good as any. The first pass
-    only sums histograms (a few numbers per task are shuffled); the second joins each row with its reference: by
-    broadcast if there are few languages, else by a shuffle of the rows.
+    tables give empty results; repeated rows are judged alike; a null doc_id is as good as any. With carry, _row
+    has only those columns and the counts are written to the shared folder, so that texts are read once. Without,
+    the first pass only sums histograms and the second makes the counts again beside the whole row, whose text is
+    never written. Each row is joined with its reference: by broadcast if there are few languages, else by a
+    shuffle of the rows.
     """
-    refs = cut(references(base_counts(docs)), "quality")
-    refs = F.broadcast(refs) if refs.count() <= MAX_BROADCAST else refs
     counts = base_counts(docs)
+    if carry:
+        counts = cut(counts.withColumn("_row", F.struct(*[F.col(f"_row.{c}").alias(c) for c in carry])), "counts")
+    refs = references(counts)
+    refs = F.broadcast(refs) if refs.count() <= MAX_BROADCAST else refs
+    bins = [F.array(*CHAR_BINS).alias("chars"), F.array(*COMMON_BINS).alias("common")]
+    counts = counts.select("_row", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *bins)
     rows = counts.join(refs, counts.lang.eqNullSafe(refs.ref_lang), "left")
     rows = with_js_distance(with_js_distance(rows, "chars", "ref_chars", "chars_js"), "common", "ref_common", "words_js")
     far = (F.col("n_words") >= min_words) & (F.col("ref_words") >= min_reference) & ((F.col("chars_js") > max_chars) | (F.col("words_js") > max_words))
@@ -116,4 +125,4 @@ def keep_good(docs: DataFrame) -> DataFrame:
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document judged, all of them against their language's histograms."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    return judge(docs).select("_row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "chars_js", "words_js", "kept")
+    return judge(docs, carry=("doc_id",)).select("_row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "chars_js", "words_js", "kept")

@@ -75,7 +75,7 @@ def test_quality_method(spark):
     noise = "%%## @@1 93$$ ~~ ^^ 0x && ** ][ }{ ;; 77 88 "
     docs = [(i, prose * (3 + i % 4) + f"word{i}", "en") for i in range(40)] + [(100, noise * 20, "en"), (101, noise, "en")]
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
-    found = {r["doc_id"]: r for r in rows(quality_rules.judge(df, max_words=0.7).selectExpr("_row.doc_id", "chars_js", "words_js", "n_words", "base_failed", "kept"))}
+    found = {r["doc_id"]: r for r in rows(quality_rules.judge(df, ("doc_id",), max_words=0.7).selectExpr("_row.doc_id", "chars_js", "words_js", "n_words", "base_failed", "kept"))}
     assert found[100]["chars_js"] > 0.3 and not found[100]["kept"]
     assert all(found[i]["chars_js"] < 0.2 for i in range(40))
     assert found[101]["base_failed"]
