@@ -28,7 +28,7 @@ def targets(sizes: DataFrame) -> DataFrame:
 
     What is over is shared anew by weight among the others until none is above: so each target is
     min(REPEATS * size, level * weight) for one level. With the sources ordered by REPEATS * size / weight, the
-    level is set by the first whose cap is not reached. One row per source; sources are few against documents.
+    level is set by the first whose cap is not reached (later ones would give lower levels). One row per source; sources are few against documents.
     """
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -41,7 +41,7 @@ def targets(sizes: DataFrame) -> DataFrame:
     s = s.withColumns({"capped": F.coalesce(F.sum("cap").over(before), F.lit(0.0)), "open": F.sum("weight").over(after), "all": F.sum("source_size").over(whole)})
     s = s.withColumn("level", (SHARE * F.col("all") - F.col("capped")) / F.col("open"))
     s = s.withColumn("fits", F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level")))
-    s = s.withColumn("level", F.min("fits").over(whole))
+    s = s.withColumn("level", F.max("fits").over(whole))
     return s.select("source", "source_size", F.round(F.least("cap", F.coalesce(F.col("level") * F.col("weight"), "cap")), 6).alias("target"))
 
 
@@ -121,6 +121,18 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     return out.select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def keep_taken(docs: DataFrame) -> DataFrame:
+    """The documents of which the mix takes words, each as often as it takes the most of its words (1 to REPEATS times), with all their columns.
+
+    A document that the mix takes in part stays whole. Documents are known by doc_id; rows that share one are taken
+    as often as the most taken of them.
+    """
+    times = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    plan = mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias("mix_id")).agg(F.max(times).alias("times"))
+    both = docs.join(plan, docs.doc_id.eqNullSafe(plan.mix_id))
+    return both.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*[docs[c] for c in docs.columns])
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("source")

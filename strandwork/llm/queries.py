@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from . import language_id, mixing, near_dedup, quality_rules, secret_scans, url_filters
+from . import embedding_dedup, html_extraction, language_id, line_dedup, mixing, near_dedup, pieces, quality_rules, secret_scans, url_filters
 from .sql import ORACLES
 
-QUERIES = {f.__name__: f for f in (url_filters.op1_url_filters, quality_rules.op2_quality_rules, secret_scans.op3_secret_scans, near_dedup.op4_near_dedup, language_id.op5_language_id, mixing.op6_mixing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        url_filters.op1_url_filters, quality_rules.op2_quality_rules, secret_scans.op3_secret_scans, near_dedup.op4_near_dedup, language_id.op5_language_id,
+        mixing.op6_mixing, line_dedup.op7_line_dedup, pieces.op8_sentencepiece, html_extraction.op9_html_extraction, embedding_dedup.op10_embedding_dedup,
+    )
+}
 SQL = {name: text for name, text in ORACLES.items() if name in QUERIES}

@@ -51,7 +51,7 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, ({list(WEIGHTS)!r})[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1]::DOUBLE AS weight, source_size * {REPEATS}::DOUBLE AS cap FROM s),
 -- the level of water: the only one at which min(cap, level * weight) adds up to the mix, found from the caps below it
 c AS (SELECT a.weight, a.cap, a.source, ({SHARE} * (SELECT sum(source_size) FROM w)::DOUBLE - coalesce((SELECT sum(b.cap) FROM w b WHERE b.cap / b.weight < a.cap / a.weight), 0)) / (SELECT sum(b.weight) FROM w b WHERE b.cap / b.weight >= a.cap / a.weight) AS level FROM w a),
-l AS (SELECT min(level) AS level FROM c WHERE level * weight <= cap),
+l AS (SELECT max(level) AS level FROM c WHERE level * weight <= cap),
 t AS (SELECT w.source, source_size, round(least(cap, coalesce(level * weight, cap)), 6) AS target FROM w, l),
 m AS (SELECT ceil(sum(target))::BIGINT AS mix FROM t),
 b AS (SELECT mix, greatest(1, (mix + {2**SLOT_BITS - 1}) // {2**SLOT_BITS}) AS block FROM m),
