@@ -1,4 +1,71 @@
 """Registered queries by name, and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .fixtures import NEEDS, VIEWS, Views, views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+#: Views of SQL only: lineage by recursion and motion by self-joins, other ways than the operators'.
+LINEAGE = """
+SELECT * FROM (
+ WITH RECURSIVE sp AS (SELECT source_id FROM edges GROUP BY 1 HAVING count(*) > 1),
+ g AS (
+  SELECT s.spot_id, s.track_id, CAST(0 AS BIGINT) AS generation, s.spot_id AS head FROM spots s WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.target_id = s.spot_id)
+  UNION ALL
+  SELECT e.target_id, g.track_id, g.generation + CASE WHEN sp.source_id IS NULL THEN 0 ELSE 1 END, CASE WHEN sp.source_id IS NULL THEN g.head ELSE e.target_id END
+  FROM g JOIN edges e ON e.source_id = g.spot_id LEFT JOIN sp ON sp.source_id = g.spot_id)
+ SELECT * FROM g)"""
+PIECES = """
+SELECT l.*, n.tracklet_no FROM lineage l JOIN (
+ SELECT h.head, CAST(row_number() OVER (PARTITION BY h.track_id ORDER BY h.generation, s.frame, h.head) - 1 AS BIGINT) AS tracklet_no
+ FROM lineage h JOIN spots s ON s.spot_id = h.spot_id WHERE h.spot_id = h.head) n ON n.head = l.head"""
+ANGLE = "coalesce(degrees(acos(greatest(-1, least(1, ({c}) / nullif(sqrt(({z}) * ({z}) + ({y}) * ({y}) + ({x}) * ({x})), 0))))), {d})"
+STEP = {c: f"s.{c} - p.{c}" for c in "zyx"}
+MOTION = f"""
+SELECT s.spot_id, s.track_id, s.frame,
+ coalesce(sqrt((s.z - p.z) * (s.z - p.z) + (s.y - p.y) * (s.y - p.y) + (s.x - p.x) * (s.x - p.x)) / greatest(1, s.frame - p.frame), 0) AS speed,
+ coalesce(sqrt((s.z - 2 * p.z + q.z) * (s.z - 2 * p.z + q.z) + (s.y - 2 * p.y + q.y) * (s.y - 2 * p.y + q.y) + (s.x - 2 * p.x + q.x) * (s.x - 2 * p.x + q.x)) / greatest(1, s.frame - q.frame), 0) AS acceleration,
+ {", ".join(ANGLE.format(c=STEP[c], d=0, **STEP) + f" AS motion_angle_{c}" for c in "zyx")},
+ {", ".join(ANGLE.format(c=f"s.{c}", z="s.z", y="s.y", x="s.x", d="NULL") + f" AS radial_angle_{c}" for c in "zyx")}
+FROM spots s LEFT JOIN edges e ON e.target_id = s.spot_id LEFT JOIN spots p ON p.spot_id = e.source_id
+LEFT JOIN edges f ON f.target_id = p.spot_id LEFT JOIN spots q ON q.spot_id = f.source_id"""
+TEXTS = VIEWS | {"lineage": LINEAGE, "pieces": PIECES, "motion": MOTION}
+DEPENDS = {k: [x for x in v if x in VIEWS] for k, v in NEEDS.items()} | {"lineage": ["spots", "edges"], "pieces": ["lineage", "spots"], "motion": ["spots", "edges"]}
+
+
+def with_views(names: str, sql: str) -> str:
+    """sql after the CTEs that it and they need."""
+    order: list[str] = []
+
+    def add(name: str) -> None:
+        for x in DEPENDS[name]:
+            add(x)
+        if name not in order:
+            order.append(name)
+
+    for name in names.split():
+        add(name)
+    return ("WITH " + ",\n".join(f"{n} AS ({TEXTS[n]})" for n in order) + "\n" if order else "") + sql
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles to 6 places, without a negative zero."""
+    return df.select(*[(F.round(F.col(c), 6) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def register(name: str, make: Callable[[Views], DataFrame], needs: str = "", sql: str | None = None, doubles: str = "") -> None:
+    """One query, and its SQL over the named views; doubles: the columns that SQL rounds as rounded() does."""
+    QUERIES[name] = lambda spark, sf_dir: rounded(make(views(spark, sf_dir)))
+    if sql:
+        body = f"SELECT * REPLACE ({', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in doubles.split())}) FROM ({sql})" if doubles else sql
+        SQL[name] = with_views(needs, f"SELECT * FROM ({body})" if body.lstrip().startswith("WITH") else body)
+
+
+from . import catalog_lineage, catalog_space  # noqa: E402,F401  they register
