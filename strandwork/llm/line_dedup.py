@@ -24,14 +24,14 @@ def dense_ranks(keys: DataFrame, columns: list[str], rank: str) -> DataFrame:
 def line_table(docs: DataFrame) -> DataFrame:
     """(row, doc_id, lines): lines is an array of (no, h, n) of the lines with a word: number, 128-bit hash of the line, words."""
     def hashed(x: Column, no: Column) -> Column:
-        return F.struct(no.alias("no"), F.md5(x.cast("binary")).alias("h"), F.size(F.filter(F.split(x, SPACE), lambda w: w != "")).alias("n"))
+        return F.struct(no.alias("no"), F.unhex(F.md5(x.cast("binary"))).alias("h"), F.size(F.filter(F.split(x, SPACE), lambda w: w != "")).alias("n"))
 
     lines = F.filter(F.transform(F.split("text", "\n", -1), hashed), lambda x: x["n"] > 0)
-    return docs.select("row", "doc_id", lines.alias("lines"))
+    return docs.withColumn("lines", lines)
 
 
-def repeated(docs: DataFrame, min_words: int) -> DataFrame:
-    """(row, no): numbers of the lines to delete, of docs (row, doc_id, text).
+def repeated(lines: DataFrame, min_words: int) -> DataFrame:
+    """(row, no): numbers of the lines to delete, of written lines (row, doc_id, lines).
 
     1. Lines that occur once in all texts end every repeated run, so only segments of consecutive repeated lines
        with min_words words or more are kept. Of equal segments the first stays in; the later ones go whole.
@@ -44,7 +44,6 @@ def repeated(docs: DataFrame, min_words: int) -> DataFrame:
        first are copies. Any longer repeated run is the union of such runs, so these cover all of it.
     """
     place = F.struct("doc_id", "row")
-    lines = cut(line_table(docs), "lines")
     flat = lines.select("row", "doc_id", F.posexplode("lines").alias("i", "x")).select("row", "doc_id", "i", F.xxhash64("x.h").alias("key"), "x")
     many = cut(flat.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "many")
     hits = flat.select("row", "i", "key").join(many, "key", "left_semi").groupBy("row").agg(F.sort_array(F.collect_list("i")).alias("at"))
@@ -55,7 +54,7 @@ def repeated(docs: DataFrame, min_words: int) -> DataFrame:
     runs = marked.withColumn("run", F.explode(F.arrays_zip(starts.alias("a"), ends.alias("b"))))
     runs = runs.withColumn("seg", F.slice("lines", F.col("run.a") + 1, F.col("run.b") - F.col("run.a") + 1))
     total = F.aggregate("seg", F.lit(0), lambda s, x: s + x["n"])
-    runs = runs.select("row", "doc_id", F.col("run.a").alias("a"), "seg", total.alias("n"), F.md5(F.array_join(F.transform("seg", lambda x: x["h"]), "").cast("binary")).alias("name"))
+    runs = runs.select("row", "doc_id", F.col("run.a").alias("a"), "seg", total.alias("n"), F.unhex(F.md5(F.array_join(F.transform("seg", lambda x: F.hex(x["h"])), "").cast("binary"))).alias("name"))
     runs = cut(runs, "runs").where(F.col("n") >= min_words)
     first = runs.groupBy("name").agg(F.min(F.struct("doc_id", "row", "a")).alias("first"))
     runs = cut(runs.join(first, "name").withColumn("is_first", F.struct("doc_id", "row", "a") == F.col("first")), "segments")
@@ -109,10 +108,20 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     its first copy stays. Null texts stay null; repeated rows are copies of each other. Only hashes are shuffled,
     except for the last join, which brings the numbers of the deleted lines to their texts.
     """
-    rows = cut(docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).withColumn("row", F.monotonically_increasing_id()), "rows")
-    gone = repeated(rows.select("row", "doc_id", F.coalesce("text", F.lit("")).alias("text")), min_words)
-    gone = gone.groupBy(F.col("row").alias("gone_row")).agg(F.sort_array(F.collect_list("no")).alias("gone"))
-    out = rows.join(gone, F.col("row") == F.col("gone_row"), "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>"))).withColumn("parts", F.split("text", "\n", -1))
+    # A row's key is a hash of its id and text; rows alike in both are numbered. Texts are shuffled once, by that key, and never written.
+    text = F.coalesce(F.col("text"), F.lit(""))
+    key = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.md5(text.cast("binary"))).cast("binary")))
+    keyed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), key.alias("key"), F.xxhash64(*docs.columns).alias("order"))
+    number = F.row_number().over(Window.partitionBy("key").orderBy("order"))
+    row = F.concat("key", F.unhex(F.lpad(F.hex("copy"), 8, "0")))
+    lines = line_table(keyed.select("doc_id", "key", "order", "text")).select("doc_id", "key", "order", "lines")
+    lines = cut(lines.withColumn("copy", number).select(row.alias("row"), "doc_id", "lines"), "lines")
+    gone = repeated(lines, min_words).groupBy("row").agg(F.sort_array(F.collect_list("no")).alias("no"))
+    gone = gone.select(F.substring("row", 1, 16).alias("key"), F.struct(F.conv(F.hex(F.substring("row", 17, 4)), 16, 10).cast("int").alias("copy"), "no").alias("x"))
+    gone = gone.groupBy("key").agg(F.collect_list("x").alias("copies"))
+    out = keyed.select("_row", "key", "order").withColumn("copy", number).join(gone, "key", "left")
+    mine = F.get(F.filter("copies", lambda x: x["copy"] == F.col("copy")), 0)["no"]
+    out = out.withColumn("gone", F.coalesce(mine, F.array().cast("array<int>"))).withColumns({"text": F.col("_row.text"), "parts": F.split("_row.text", "\n", -1)})
     stay = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone"))
     out = out.withColumn("left", F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("parts", i)), "\n")))
     return out.select("_row", F.col("left").alias("text"), F.coalesce(F.size("parts"), F.lit(0)).cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"))
