@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +18,9 @@ MARK = "▁"
 #: A marked word: marks and what follows them up to the next mark. No piece of the vocabulary has a mark after another character.
 MARKED = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: What an unknown character costs below the least score; distinct words that a task remembers between batches.
-UNKNOWN, REMEMBERED = 10.0, 700_000
+UNKNOWN, REMEMBERED = 10.0, 300_000
+#: Characters that are in work at a time; a longer text is in work alone.
+IN_WORK = 1_000_000
 
 
 class Vocabulary:
@@ -110,6 +113,17 @@ def vocabulary(path: str) -> Vocabulary:
     return _LOADED[path]
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, weight) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about IN_WORK by the weight of their rows, so that what is in work at a time is bounded."""
+    for batch in batches:
+        weights = np.cumsum(np.nan_to_num(weight(batch.column(column)).to_numpy(zero_copy_only=False).astype(float)))
+        start = 0
+        while start < len(batch):
+            stop = max(start + 1, int(np.searchsorted(weights, (weights[start - 1] if start else 0) + IN_WORK, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str = MODEL) -> DataFrame:
     """(doc_id, n_pieces, ids) per row of docs.
 
@@ -120,7 +134,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: s
     """
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, known = vocabulary(model), {}
-        for batch in batches:
+        for batch in slices(batches, 1, pc.binary_length):
             texts = [MARKED.findall(MARK + t.replace(" ", MARK)) if t else [] for t in batch.column(1).to_pylist()]
             new = {w for words in texts for w in words} - known.keys()
             if len(known) + len(new) > REMEMBERED:
@@ -136,7 +150,7 @@ def decode(coded: DataFrame, model: str = MODEL) -> DataFrame:
     """(doc_id, n_pieces, ids, text) per row of coded (doc_id, n_pieces, ids): the text that the pieces spell. Null ids give null."""
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
-        for batch in batches:
+        for batch in slices(batches, 2, pc.list_value_length):
             out = [None if ids is None else v.decode(ids) for ids in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.string())], names=["doc_id", "n_pieces", "ids", "text"])
 
