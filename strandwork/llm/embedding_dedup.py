@@ -6,7 +6,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,12 +14,14 @@ from .common import components, cut
 
 #: Least cosine of a link; chance to miss a pair just at it; members that a bucket should have by chance; most vectors of a block.
 COSINE, MISS, CHANCE_MEMBERS, BLOCK = 0.93, 0.001, 8, 1024
+#: Rows of buckets that make one group of work.
+GROUP = 4000
 SEED = 4_242
 
 
 def plan_tables(rows: int, cosine: float = COSINE, miss: float = MISS) -> tuple[int, int]:
-    """Bits per table and tables: bits grow with the logarithm of the rows, tables so that a pair at the limit is missed with probability miss."""
-    bits = max(4, math.ceil(math.log2(max(rows, 2) / CHANCE_MEMBERS)))
+    """Bits per table and tables: bits grow with the logarithm of the rows of the largest label (30 at most), tables so that a pair at the limit is missed with probability miss."""
+    bits = min(30, max(4, math.ceil(math.log2(max(rows, 2) / CHANCE_MEMBERS))))
     together = (1 - math.acos(cosine) / math.pi) ** bits
     return bits, math.ceil(math.log(miss) / math.log(1 - together))
 
@@ -34,11 +35,11 @@ def clean(vectors: DataFrame, vec_id: str, embedding: str, label: str) -> DataFr
 
 
 def signer(bits: int, tables: int):
-    """Arrow function: (node, label, v) to one row per table with the bucket and the signs of all tables."""
+    """Arrow function: (node, label, v, copies) to one row per table with the bucket and the signs of all tables."""
     def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
-            node, label, v = (batch.column(i) for i in range(3))
+            node, label, v, copies = batch.columns
             lengths = v.value_lengths().to_numpy(zero_copy_only=False)
             flat, ends = v.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(lengths)))
             keys = np.zeros((len(batch), tables), np.int64)
@@ -50,38 +51,55 @@ def signer(bits: int, tables: int):
                 x = x / np.abs(x).max(axis=1, keepdims=True)
                 keys[at] = ((x @ planes[int(width)] > 0).reshape(len(at), tables, bits) << np.arange(bits)[None, None]).sum(axis=2)
             for t in range(tables):
-                yield pa.RecordBatch.from_arrays([node, label, v, pa.array(lengths, pa.int32()), pa.array(np.full(len(batch), t, np.int32)), pa.array(keys[:, t].copy()), pa.ListArray.from_arrays(np.arange(0, keys.size + 1, tables, dtype=np.int32), pa.array(keys.reshape(-1)))], names=["node", "label", "v", "width", "table", "bucket", "keys"])
+                yield pa.RecordBatch.from_arrays([node, label, v, copies, pa.array(lengths, pa.int32()), pa.array(np.full(len(batch), t, np.int32)), pa.array(keys[:, t].copy()), pa.ListArray.from_arrays(np.arange(0, keys.size + 1, tables, dtype=np.int32), pa.array(keys.reshape(-1).astype(np.int32)))], names=["node", "label", "v", "copies", "width", "table", "bucket", "keys"])
 
     return signs
 
 
-def bucket_links(frames: pd.DataFrame, cosine: float) -> pd.DataFrame:
-    """For one bucket, or one pair of its blocks: each vector's number of linked vectors (copies counted) that met in no earlier table, and edges that span the links."""
-    frames = frames.sort_values("node", kind="stable")
-    x, keys, weight, block = np.stack(frames.v.to_list()), np.stack(frames["keys"].to_list()), frames.copies.to_numpy(), frames.block.to_numpy()
-    table, low, high = int(frames.table.iloc[0]), int(frames.low.iloc[0]), int(frames.high.iloc[0])
-    x = x / np.abs(x).max(axis=1, keepdims=True)
-    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-    linked = x @ x.T >= cosine
-    np.fill_diagonal(linked, False)
-    if low != high:  # within a block its own pair counts
-        linked &= block[:, None] != block[None, :]
-    rows, columns = np.nonzero(linked)
-    if len(rows):
-        new = ~(keys[rows, :table] == keys[columns, :table]).any(axis=1)
-        rows, columns = rows[new], columns[new]
-    n = len(frames)
-    links = np.bincount(rows, weights=weight[columns], minlength=n).astype(np.int64)
-    label = np.arange(n)
-    while True:  # smallest linked place, again and again: all in this one bounded group
-        near = label.copy()
-        np.minimum.at(near, rows, label[columns])
-        near = near[near]
-        if (near == label).all():
-            break
-        label = near
-    node = frames.node.to_numpy()
-    return pd.DataFrame({"node": node, "links": links, "root": node[label]})[(links > 0)]
+def bucket_links(rows: pa.Table, cosine: float) -> pa.Table:
+    """For the buckets, or pairs of blocks of buckets, of one group: each vector's number of linked vectors (copies counted) that met in no earlier table, and edges that span the links."""
+    number = lambda c: rows.column(c).to_numpy()
+    node, width, table, bucket, block, low, high, copies = (number(c) for c in ("node", "width", "table", "bucket", "block", "low", "high", "copies"))
+    label = np.unique(np.array(rows.column("label").to_pylist()), return_inverse=True)[1]
+    v, keys = rows.column("v").combine_chunks(), rows.column("keys").combine_chunks()
+    flat, ends = v.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(v.value_lengths().to_numpy(zero_copy_only=False))))
+    keys = keys.flatten().to_numpy(zero_copy_only=False).reshape(len(node), -1)
+    parts = (high, low, bucket, table, width, label)
+    order = np.lexsort((node, *parts))
+    change = np.zeros(len(order), bool)
+    for p in parts:
+        change[1:] |= p[order][1:] != p[order][:-1]
+    nodes, links, roots = [], [], []
+    for at in np.split(order, np.flatnonzero(change)):
+        if len(at) < 2:
+            continue
+        x = np.stack([flat[ends[i] : ends[i + 1]] for i in at])
+        x = x / np.abs(x).max(axis=1, keepdims=True)
+        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+        linked = x @ x.T >= cosine
+        np.fill_diagonal(linked, False)
+        if low[at[0]] != high[at[0]]:  # within a block its own pair counts
+            linked &= block[at][:, None] != block[at][None, :]
+        u, w = np.nonzero(linked)
+        if len(u):
+            new = ~(keys[at[u], : table[at[0]]] == keys[at[w], : table[at[0]]]).any(axis=1)
+            u, w = u[new], w[new]
+        if not len(u):
+            continue
+        near = np.arange(len(at))
+        while True:  # smallest linked place, again and again: all in this one bounded bucket
+            label_of = near.copy()
+            np.minimum.at(near, u, label_of[w])
+            near = near[near]
+            if (near == label_of).all():
+                break
+        count = np.bincount(u, weights=copies[at][w], minlength=len(at)).astype(np.int64)
+        some = count > 0
+        nodes.append(node[at][some])
+        links.append(count[some])
+        roots.append(node[at][near][some])
+    whole = lambda parts: pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())
+    return pa.table({"node": whole(nodes), "links": whole(links), "root": whole(roots)})
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
@@ -98,16 +116,19 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "vec_
     rows = cut(clean(vectors, vec_id, embedding, label), "vectors")
     nodes = rows.where("v is not null").groupBy("label", "v").agg(F.min("row").alias("node"), F.count("row").alias("copies"), F.min("vec_id").alias("first_id"))
     nodes = cut(nodes, "vector-nodes")
-    bits, tables = plan_tables(nodes.count(), cosine)
-    signed = nodes.select("node", "label", "v").mapInArrow(signer(bits, tables), "node long, label " + dict(nodes.dtypes)["label"] + ", v array<double>, width int, table int, bucket long, keys array<long>")
+    largest = nodes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    bits, tables = plan_tables(largest, cosine)
+    kind = dict(nodes.dtypes)["label"]
+    signed = nodes.select("node", "label", "v", "copies").mapInArrow(signer(bits, tables), f"node long, label {kind}, v array<double>, copies long, width int, table int, bucket long, keys array<int>")
     key = ["table", "bucket", "label", "width"]
-    keyed = nodes.select("node", "label", "v").mapInArrow(signer(bits, tables), signed.schema).select("node", *key)
-    sizes = keyed.groupBy(*key).agg(F.count("node").alias("members")).where("members > 1")
-    sizes = cut(sizes.select(*key, F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "vector-buckets")
-    met = signed.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    met = met.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.withColumns({"low": F.least("block", "with"), "high": F.greatest("block", "with")}).join(nodes.select("node", "copies"), "node")
-    found = met.groupBy(*key, "low", "high").applyInPandas(lambda frames: bucket_links(frames, cosine), "node long, links long, root long")
+    large = cut(signed.groupBy(*key).agg(F.count("node").alias("members")).where(F.col("members") > BLOCK).select(*key, F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "vector-buckets")
+    met = signed.withColumn("blocks", F.lit(1)) if large.isEmpty() else signed.join(large, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    met = met.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.withColumns({"low": F.least("block", "with"), "high": F.greatest("block", "with")}).drop("with", "blocks")
+    # Many small buckets make one group, so that a group is about GROUP rows of work.
+    groups = max(1, math.ceil(nodes.count() * tables / GROUP))
+    met = met.withColumn("group", F.pmod(F.xxhash64(*key, "low", "high"), F.lit(groups)))
+    found = met.groupBy("group").applyInArrow(lambda rows: bucket_links(rows.drop(["group"]), cosine), "node long, links long, root long")
     found = cut(found, "vector-links")
     labels = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")), "vector")
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))
