@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 from collections.abc import Iterator
@@ -18,9 +19,9 @@ MARK = "▁"
 #: A marked word: marks and what follows them up to the next mark. No piece of the vocabulary has a mark after another character.
 MARKED = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: What an unknown character costs below the least score; distinct words that a task remembers between batches.
-UNKNOWN, REMEMBERED = 10.0, 300_000
+UNKNOWN, REMEMBERED = 10.0, 120_000
 #: Characters that are in work at a time; a longer text is in work alone.
-IN_WORK = 1_000_000
+IN_WORK = 500_000
 
 
 class Vocabulary:
@@ -124,6 +125,18 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, weight) -> Iterator[p
             start = stop
 
 
+def encoded(batches: Iterator[pa.RecordBatch], v: Vocabulary) -> Iterator[tuple[pa.Array, list[list[int]]]]:
+    """Per slice of (id, text) batches: the ids and each text's pieces."""
+    known: dict[str, list[int]] = {}
+    for batch in slices(batches, 1, pc.binary_length):
+        texts = [MARKED.findall(MARK + t.replace(" ", MARK)) if t else [] for t in batch.column(1).to_pylist()]
+        new = {w for words in texts for w in words} - known.keys()
+        if len(known) + len(new) > REMEMBERED:
+            known, new = {}, {w for words in texts for w in words}
+        known |= v.encode_words(list(new))
+        yield batch.column(0), [[i for w in words for i in known[w]] for words in texts]
+
+
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str = MODEL) -> DataFrame:
     """(doc_id, n_pieces, ids) per row of docs.
 
@@ -133,15 +146,8 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: s
     Row by row: no shuffle; whole texts.
     """
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, known = vocabulary(model), {}
-        for batch in slices(batches, 1, pc.binary_length):
-            texts = [MARKED.findall(MARK + t.replace(" ", MARK)) if t else [] for t in batch.column(1).to_pylist()]
-            new = {w for words in texts for w in words} - known.keys()
-            if len(known) + len(new) > REMEMBERED:
-                known, new = {}, {w for words in texts for w in words}
-            known |= v.encode_words(list(new))
-            lists = [[i for w in words for i in known[w]] for words in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in lists], pa.int64()), pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "n_pieces", "ids"])
+        for ids, lists in encoded(batches, vocabulary(model)):
+            yield pa.RecordBatch.from_arrays([ids, pa.array([len(x) for x in lists], pa.int64()), pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "n_pieces", "ids"])
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(coded, "doc_id long, n_pieces long, ids array<int>")
 
@@ -161,10 +167,20 @@ def model_path() -> str:
     return os.environ.get("STRANDWORK_PIECES", MODEL)
 
 
-def encode_and_back(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_pieces, ids, decoded_chars): pieces of each text, and the length of what they decode to."""
-    back = decode(encode(docs, model=model_path()), model=model_path())
-    return back.select("doc_id", "n_pieces", "ids", F.length("text").cast("long").alias("decoded_chars"), F.md5(F.col("text").cast("binary")).alias("decoded_md5"))
+def encode_and_back(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_pieces, ids, decoded_chars, decoded_md5) per row of docs: encode() and what decode() makes of it, in one pass; null texts decode to nothing."""
+    model = model_path()
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(model)
+        for ids, lists in encoded(batches, v):
+            back = [v.decode(x) for x in lists]
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array([len(x) for x in lists], pa.int64()), pa.array(lists, pa.list_(pa.int32())), pa.array([len(t) for t in back], pa.int64()), pa.array([hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest() for t in back])],
+                names=["doc_id", "n_pieces", "ids", "decoded_chars", "decoded_md5"],
+            )
+
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(both, "doc_id long, n_pieces long, ids array<int>, decoded_chars long, decoded_md5 string")
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
