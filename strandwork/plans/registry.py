@@ -68,4 +68,4 @@ def register(name: str, make: Callable[[Views], DataFrame], needs: str = "", sql
         SQL[name] = with_views(needs, f"SELECT * FROM ({body})" if body.lstrip().startswith("WITH") else body)
 
 
-from . import catalog_analysis, catalog_lineage, catalog_more, catalog_space  # noqa: E402,F401  they register
+from . import catalog_analysis, catalog_lineage, catalog_more, catalog_series, catalog_space  # noqa: E402,F401  they register
