@@ -52,18 +52,17 @@ def cross_correlation(rows: DataFrame, features: Sequence[str], lags: int, key:
     return long.select(key, "lag", "p.*").where("c is not null").groupBy(key, "feature", "lag").agg(F.avg("c").alias("ccf"))
 
 
-@F.pandas_udf("double")
-def _log_cdf(z: pd.Series) -> pd.Series:
-    return z.map(lambda x: math.log(max(0.5 * math.erfc(-x / math.sqrt(2)), 1e-300)))
-
-
 def anderson_darling(values: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """(by, n, statistic): distance of the pool from a normal with its mean and sample deviation; null for a constant pool."""
+    @F.pandas_udf("double")
+    def log_cdf(z: pd.Series) -> pd.Series:
+        return z.map(lambda x: math.log(max(0.5 * math.erfc(-x / math.sqrt(2)), 1e-300)))
+
     rows = values.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("v"))
     stats = rows.groupBy(*by).agg(F.avg("v").alias("m"), F.stddev_samp("v").alias("s"), F.count("*").alias("n")).where("s > 0")
     z = rows.join(stats, list(by)).withColumn("z", (F.col("v") - F.col("m")) / F.col("s"))
     ranked = z.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("z")))
-    logs = ranked.withColumns({"below": _log_cdf("z"), "above": _log_cdf(-F.col("z"))})
+    logs = ranked.withColumns({"below": log_cdf("z"), "above": log_cdf(-F.col("z"))})
     total = F.sum((2 * F.col("r") - 1) * F.col("below") + (2 * (F.col("n") - F.col("r")) + 1) * F.col("above"))
     return logs.groupBy(*by, "n").agg((-F.col("n") - total / F.col("n")).alias("statistic"))
 

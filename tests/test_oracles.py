@@ -36,3 +36,11 @@ def test_entry_imports():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_entry_needs_no_session():
+    """The entry module is read before any session exists."""
+    import subprocess
+    import sys
+
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries()"], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
