@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .embedding_dedup import COSINE
+from .line_dedup import MIN_WORDS as MIN_RUN
 from .mixing import REPEATS, SHARE, SLOT_BITS, WEIGHTS
 from .quality_rules import CLASSES, COMMON, MAX_CHARS, MAX_WORDS, MIN_REFERENCE, MIN_WORDS
 
@@ -68,4 +70,44 @@ SELECT e.doc_id, e.size, t.source_size, t.target, coalesce(taken, 0)::BIGINT AS
 FROM e JOIN t ON e.source IS NOT DISTINCT FROM t.source LEFT JOIN y ON e.doc_id = y.doc_id AND e.start = y.start AND e.source IS NOT DISTINCT FROM y.source AND e.size > 0
 """
 
-ORACLES = {"op2_quality_rules": QUALITY, "op6_mixing": MIXING}
+#: All pairs that share a shingle, counted exactly, and components by recursion.
+NEAR = rf"""
+SELECT * FROM (
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM d),
+u AS (SELECT doc_id, unnest(sh) AS x FROM g),
+n AS (SELECT doc_id, len(sh)::BIGINT AS n_shingles FROM g),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM u a JOIN u b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n_shingles + y.n_shingles - c)),
+r AS (SELECT doc_id, doc_id AS c FROM n UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id)
+SELECT n.doc_id, n_shingles, m.c AS component_id, n.doc_id = m.c AS kept FROM n JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY 1) m USING (doc_id))
+"""
+
+#: Runs of the fewest lines with enough words, from each line on and up to each line, by their text.
+LINES = rf"""
+WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+l AS (SELECT doc_id, unnest(range(0, len(parts))) AS no, unnest(parts) AS line FROM d),
+k AS (SELECT *, len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n FROM l),
+w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS i, sum(n) OVER (PARTITION BY doc_id ORDER BY no) AS upto FROM k WHERE n > 0),
+s AS (
+ SELECT a.doc_id, a.i AS i, min(b.i) AS j FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + {MIN_RUN} AND b.upto >= a.upto - a.n + {MIN_RUN} GROUP BY 1, 2
+ UNION SELECT b.doc_id, max(a.i), b.i FROM w b JOIN w a ON a.doc_id = b.doc_id AND a.i BETWEEN b.i - {MIN_RUN} AND b.i AND b.upto >= a.upto - a.n + {MIN_RUN} GROUP BY b.doc_id, b.i),
+t AS (SELECT s.doc_id, s.i, s.j, min(w.no) AS no, string_agg(line, chr(10) ORDER BY w.i) AS name FROM s JOIN w ON w.doc_id = s.doc_id AND w.i BETWEEN s.i AND s.j GROUP BY 1, 2, 3),
+f AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY doc_id, no) AS r FROM t),
+x AS (SELECT DISTINCT w.doc_id, w.no FROM f JOIN w ON w.doc_id = f.doc_id AND w.i BETWEEN f.i AND f.j WHERE r > 1),
+o AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.no) FILTER (x.no IS NULL) AS left_text, count(*)::BIGINT AS n_lines, count(x.no)::BIGINT AS n_removed FROM l LEFT JOIN x ON x.doc_id = l.doc_id AND x.no = l.no GROUP BY 1)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(left_text, '') END AS text, CASE WHEN text IS NULL THEN 0 ELSE n_lines END AS n_lines, n_removed FROM d JOIN o USING (doc_id)
+"""
+
+#: All pairs of a label in doubles; -1 as the label of what can't link.
+VECTORS = f"""
+SELECT * FROM (
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+k AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM k a JOIN k b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) / (a.n * b.n) >= {COSINE}),
+r AS (SELECT vec_id, vec_id AS c FROM v UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.vec_id)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, vec_id = c AS kept
+FROM (SELECT vec_id, min(c) AS c FROM r GROUP BY 1) LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1) USING (vec_id))
+"""
+
+ORACLES = {"op2_quality_rules": QUALITY, "op4_near_dedup": NEAR, "op6_mixing": MIXING, "op7_line_dedup": LINES, "op10_embedding_dedup": VECTORS}
