@@ -102,3 +102,40 @@ def choose_k(vectors: DataFrame, ks: Sequence[int], metric: str = "euclidean", s
         if score > best:
             best, chosen, rows = score, k, found
     return chosen, rows
+
+
+def labels_to_rows(rows: DataFrame, labelled: DataFrame, key: str = "head") -> DataFrame:
+    """rows with the cluster (and its spread) of their tracklet: labelled is (key, cluster, vector)."""
+    return rows.join(labelled.select(key, "cluster").join(spread(labelled), "cluster"), key, "left")
+
+
+def three_view_clusters(views: dict[str, DataFrame], k: int, metric: str = "euclidean", seed: int = 1) -> DataFrame:
+    """(view, measured_in, cluster, spread): the clusters of each view (id, vector), and how wide they are in each of the views."""
+    out = None
+    for name, vectors in views.items():
+        labels = saved(k_clusters(vectors, k, metric, seed).select("id", "cluster"), "view")
+        for other, space in views.items():
+            one = spread(space.join(labels, "id")).select(F.lit(name).alias("view"), F.lit(other).alias("measured_in"), "cluster", "spread")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def classify_knn(rows: DataFrame, labelled: DataFrame, k: int, by: Sequence[str], label: str = "label") -> DataFrame:
+    """(id, label): the commonest label among the k nearest labelled vectors of the same group; ties by the smaller label."""
+    from pyspark.sql import Window
+
+    a = rows.select(*by, F.col("id"), F.col("vector").alias("_u"))
+    b = labelled.select(*by, F.col("id").alias("_o"), F.col("vector").alias("_v"), F.col(label).alias("_l"))
+    near = a.join(b, list(by)).where(F.col("id") != F.col("_o")).withColumn("_d", vector_distance(F.col("_u"), F.col("_v")))
+    top = near.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("_d", "_o"))).where(F.col("_r") <= k)
+    votes = top.groupBy("id", "_l").agg(F.count("*").alias("n"))
+    return votes.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "_l"))).where("_r = 1").select("id", F.col("_l").alias(label))
+
+
+def classify_forest(rows: DataFrame, labelled: DataFrame, label: str = "label", trees: int = 50, seed: int = 1) -> DataFrame:
+    """rows plus prediction, by a random forest fitted on labelled (vector, label: whole numbers from 0)."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    vector = lambda df: df.withColumn("_f", array_to_vector("vector"))
+    model = RandomForestClassifier(featuresCol="_f", labelCol=label, numTrees=trees, seed=seed).fit(vector(labelled))
+    return model.transform(vector(rows)).drop("_f", "rawPrediction", "probability")

@@ -138,3 +138,14 @@ def select_features(rows: DataFrame, features: Sequence[str], ignore: Sequence[s
     """Keys and features less the ignored ones; rows with a null feature are dropped."""
     kept = [c for c in features if c not in ignore]
     return rows.select(*keys, *kept).na.drop(subset=kept)
+
+
+def cluster_scatter(rows: DataFrame, views: Sequence[str]) -> DataFrame:
+    """(frame, y, x, view, label): points in long form, one row per view that has a label for them."""
+    return rows.unpivot(["spot_id", "frame", "y", "x"], list(views), "view", "label").where("label is not null").drop("spot_id")
+
+
+def labelled_tracklets(rows: DataFrame, labels: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Features of spots with the label (spot_id, label) of their tracklet's first labelled spot."""
+    first = rows.join(labels, "spot_id").groupBy("head").agg(F.min_by("label", F.struct("frame", "spot_id")).alias("label"))
+    return rows.join(first, "head").select("spot_id", "head", *features, "label")

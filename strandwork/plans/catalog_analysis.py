@@ -162,3 +162,7 @@ ACF = f"""SELECT a.head, lag, sum((a.speed - a.m) * (b.speed - b.m)) / nullif(an
 acf = lambda v: A.autocorrelation(T.numbered(full(v)).select("head", "i", F.col("speed").alias("value")), 5)
 q("autocorrelation", lambda v: acf(v).withColumn("lag", F.col("lag").cast("long")), ON, ACF, "acf")
 q("pooled_normal_fit", lambda v: A.pooled_normal_fit(full(v).withColumn("later", F.col("generation") > 0), ["later"], "speed"), ON, f'SELECT generation > 0 AS later, avg(speed) AS mean, stddev_pop(speed) AS std FROM {FULL} GROUP BY 1', "mean std")
+q("cluster_scatter", lambda v: U.cluster_scatter(v.spots.select("spot_id", "frame", "y", "x", F.col("cell_type").alias("shape"), F.when(F.col("frame") > 5, F.col("cell_type")).alias("dynamic")), ["shape", "dynamic"]), "spots",
+  "SELECT frame, y, x, 'shape' AS view, cell_type AS label FROM spots WHERE cell_type IS NOT NULL UNION ALL SELECT frame, y, x, 'dynamic', cell_type FROM spots WHERE cell_type IS NOT NULL AND frame > 5", "y x")
+q("labelled_tracklets", lambda v: U.labelled_tracklets(full(v), v.spots.where("spot_id % 5 = 0").select("spot_id", (F.col("spot_id") % 3).alias("label")), ["speed"]), ON,
+  f"WITH l AS (SELECT DISTINCT ON (head) head, spot_id % 3 AS label FROM {FULL} WHERE spot_id % 5 = 0 ORDER BY head, frame, spot_id) SELECT spot_id, f.head, speed, label FROM {FULL} f JOIN l ON l.head = f.head", "speed")
