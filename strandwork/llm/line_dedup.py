@@ -56,7 +56,8 @@ def repeated(lines: DataFrame, min_words: int) -> DataFrame:
     total = F.aggregate("seg", F.lit(0), lambda s, x: s + x["n"])
     runs = runs.select("row", "doc_id", F.col("run.a").alias("a"), "seg", total.alias("n"), F.unhex(F.md5(F.array_join(F.transform("seg", lambda x: F.hex(x["h"])), "").cast("binary"))).alias("name"))
     runs = cut(runs, "runs").where(F.col("n") >= min_words)
-    first = runs.groupBy("name").agg(F.min(F.struct("doc_id", "row", "a")).alias("first"))
+    # Firsts are written before they are joined: both sides are then plain exchanges, and adaptive execution splits a name of very many copies.
+    first = cut(runs.groupBy("name").agg(F.min(F.struct("doc_id", "row", "a")).alias("first")), "firsts")
     runs = cut(runs.join(first, "name").withColumn("is_first", F.struct("doc_id", "row", "a") == F.col("first")), "segments")
     copies = runs.where("not is_first").select("row", F.explode("seg.no").alias("no"))
 
@@ -66,14 +67,13 @@ def repeated(lines: DataFrame, min_words: int) -> DataFrame:
     ranked = cut(one.join(dense_ranks(one, ["h"], "r0"), "h").drop("h"), "r0")
     # The shortest run of min_words words that starts (ends) at each line: its number of lines, by running sums of words.
     w = Window.partitionBy("s").orderBy("i")
-    sums = ranked.withColumn("to", F.sum("n").over(w))
-    arrays = sums.groupBy("s").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "to"))), lambda x: x["to"]).alias("sums"))
-    sums = sums.join(arrays, "s").withColumn("from", F.col("to") - F.col("n"))
-    ahead = F.size(F.filter(F.slice("sums", F.col("i") + 1, F.lit(min_words)), lambda t: t < F.col("from") + min_words)) + 1
-    reach = F.greatest(F.col("i") - (min_words - 1), F.lit(0))
-    behind = F.size(F.filter(F.slice("sums", reach + 1, F.col("i") - reach), lambda t: t > F.col("to") - min_words)) + 1
-    sums = sums.withColumns({"ahead": F.when(F.get("sums", F.size("sums") - 1) >= F.col("from") + min_words, ahead), "behind": F.when(F.col("to") >= min_words, behind)})
-    ranked = cut(sums.drop("sums", "from", "to"), "reach")
+    # Every line has a word, so such a run has min_words lines at most: both are found in a frame of so many rows.
+    sums = ranked.withColumn("to", F.sum("n").over(w)).withColumn("from", F.col("to") - F.col("n"))
+    sums = sums.withColumns({"next": F.collect_list("to").over(w.rowsBetween(0, min_words - 1)), "prior": F.collect_list("to").over(w.rowsBetween(1 - min_words, -1))})
+    ahead = F.size(F.filter("next", lambda t: t < F.col("from") + min_words)) + 1
+    behind = F.size(F.filter("prior", lambda t: t > F.col("to") - min_words)) + 1
+    sums = sums.withColumns({"ahead": F.when(F.array_max("next") >= F.col("from") + min_words, ahead), "behind": F.when(F.col("to") >= min_words, behind)})
+    ranked = cut(sums.drop("next", "prior", "from", "to"), "reach")
     longest = ranked.agg(F.greatest(F.max("ahead"), F.max("behind")).alias("m")).first().m or 0
     k = 0
     while 2 ** (k + 1) <= longest:
@@ -94,7 +94,7 @@ def repeated(lines: DataFrame, min_words: int) -> DataFrame:
     named = spans.join(head, ["s", "at"]).join(tail, ["s", "tail"])
     named = named.select("s", "at", "m", F.struct("doc_id", "row", "no").alias("place"), F.get("head_ranks", "level").alias("x"), F.get("tail_ranks", "level").alias("y"))
     named = cut(named, "intervals")
-    firsts = named.groupBy("m", "x", "y").agg(F.min("place").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    firsts = cut(named.groupBy("m", "x", "y").agg(F.min("place").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"), "interval-firsts")
     later = named.join(firsts, ["m", "x", "y"]).where("place <> first").select("s", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("m") - 1)).alias("i")).distinct()
     runs_gone = later.join(ends.select("s", "i", "row", "no"), ["s", "i"]).select("row", "no")
     return copies.union(runs_gone).distinct()
