@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, cut, words
@@ -19,8 +19,14 @@ LETTERS = "".join(chr(ord("A") + i) for i in range(len(COMMON)))
 #: Bins of the character histogram, of the characters in words.
 CLASSES = ("lower", "upper", "digit", "mark", "symbol", "other")
 CHAR_BINS, COMMON_BINS = [f"char_{c}" for c in CLASSES], [f"word_{w}" for w in COMMON] + ["word_others"]
-#: Least words of a document and of a reference for a verdict; largest distances that are kept.
+#: Least words of a document and of a reference for a verdict; largest distances that are ever kept.
 MIN_WORDS, MIN_REFERENCE, MAX_CHARS, MAX_WORDS = 50, 1000, 0.30, 0.60
+#: Bands of length in an octave of words; least different documents of a band for limits of its own.
+BANDS, MIN_BAND = 2, 30
+#: Distances from the median that are kept, in standard deviations as the quartile above (chars) or below (words) tells
+#: them, and the least of one, as a share of the median. Junk lies above: words are judged by the side without it, characters,
+#: whose clean documents have a long tail (numbers, names), by the other one.
+FAR_CHARS, FAR_WORDS, QUARTILE, LEAST_CHARS, LEAST_WORDS = 15.0, 4.5, 0.6745, 0.02, 0.1
 #: References up to this many rows are broadcast.
 MAX_BROADCAST = 1000
 SYMBOLS = "[#*$%&|<>]"
@@ -89,28 +95,73 @@ def with_js_distance(df: DataFrame, p: str, q: str, name: str) -> DataFrame:
     return df.withColumn(name, distance).drop(f"{name}_{p}", f"{name}_{q}", f"{name}_both")
 
 
+def band() -> Column:
+    return F.floor(F.log2("n_words") * BANDS).cast("int")
+
+
+def with_distances(counts: DataFrame, refs: DataFrame, *names: str) -> DataFrame:
+    """The named columns of counts, the row of refs of the same language, chars_js and words_js."""
+    bins = [F.array(*CHAR_BINS).alias("chars"), F.array(*COMMON_BINS).alias("common")]
+    counts = counts.select(*names, "lang", "n_words", *bins)
+    rows = counts.join(refs, counts.lang.eqNullSafe(refs.ref_lang), "left")
+    return with_js_distance(with_js_distance(rows, "chars", "ref_chars", "chars_js"), "common", "ref_common", "words_js")
+
+
+def limits(distances: DataFrame, min_words: int = MIN_WORDS, min_reference: int = MIN_REFERENCE) -> DataFrame:
+    """(limit_lang, limits): by language, a map from each of its bands of length to the largest chars_js and words_js that are kept.
+
+    A limit is the median of all documents of the language and band plus a multiple of their spread, so that the
+    sampling noise of short texts and the divergence of long ones are judged apart. Documents alike in length and
+    both distances (exact copies) count once. A band with under MIN_BAND documents takes the limits of the next
+    shorter band that has them (never stricter for clean texts, whose noise falls with length), else those of the band
+    over all languages, else none. Distances are counted to 4 places before quantiles are taken, so they are exact and no group is large.
+    """
+    d = distances.where((F.col("n_words") >= min_words) & (F.col("ref_words") >= min_reference))
+    d = d.select("lang", "n_words", "chars_js", "words_js").distinct().withColumn("band", band())
+    each = F.explode(F.array(*[F.struct(F.lit(x).alias("kind"), F.round(x, 4).alias("value")) for x in ("chars_js", "words_js")]))
+    n = cut(d.select("lang", "band", each.alias("m")).groupBy("lang", "band", "m.kind", "m.value").agg(F.count("*").alias("n")), "distances")
+
+    def by(*keys: str) -> DataFrame:
+        q = n.where("lang is not null") if "lang" not in keys else n
+        q = q.groupBy(*keys).agg(*[F.expr(f"percentile(value, array(0.25, 0.5, 0.75), n) filter (where kind = '{x}')").alias(x) for x in ("chars_js", "words_js")], F.expr("sum(n) filter (where kind = 'words_js')").alias("docs"))
+        low, mid, high = ([F.col(x)[i] for x in ("chars_js", "words_js")] for i in range(3))
+        chars = mid[0] + FAR_CHARS * F.greatest((high[0] - mid[0]) / QUARTILE, LEAST_CHARS * mid[0])
+        common = mid[1] + FAR_WORDS * F.greatest((mid[1] - low[1]) / QUARTILE, LEAST_WORDS * mid[1])
+        return q.select(*keys, F.when(F.col("docs") >= MIN_BAND, F.struct(chars.alias("chars"), common.alias("words"))).alias("at"))
+
+    shorter = F.last("at", True).over(Window.partitionBy("lang").orderBy("band"))
+    whole = by("band").select("band", F.col("at").alias("whole"))
+    rows = by("lang", "band").withColumn("at", shorter).join(whole, "band", "left")
+    at = F.coalesce("at", F.when(F.col("lang").isNotNull(), F.col("whole")))
+    return rows.groupBy(F.col("lang").alias("limit_lang")).agg(F.map_from_entries(F.collect_list(F.struct("band", at.alias("at")))).alias("limits"))
+
+
 def judge(docs: DataFrame, carry: tuple[str, ...] = (), min_words: int = MIN_WORDS, min_reference: int = MIN_REFERENCE, max_chars: float = MAX_CHARS, max_words: float = MAX_WORDS) -> DataFrame:
     """One row per row of docs: _row (the row as it was), the base counts, base_failed, chars_js, words_js and kept.
 
     The references are the histograms of all documents of the same language (of all documents where lang is null).
-    The method rejects a document if a distance exceeds its limit; a document of fewer than min_words words, or a
-    reference of fewer than min_reference words, is too short for that verdict, which then stays "keep". Empty
-    tables give empty results; repeated rows are judged alike; a null doc_id is as good as any. With carry, _row
-    has only those columns and the counts are written to the shared folder, so that texts are read once. Without,
-    the first pass only sums histograms and the second makes the counts again beside the whole row, whose text is
-    never written. Each row is joined with its reference: by broadcast if there are few languages, else by a
-    shuffle of the rows.
+    The method rejects a document if a distance exceeds that of limits() for its language and length, or max_chars or
+    max_words in any case; a document of fewer than min_words words, or a reference of fewer than min_reference
+    words, is too short for that verdict, which then stays "keep". Empty tables give empty results; repeated rows
+    are judged alike; a null doc_id is as good as any. With carry, _row has only those columns and the counts are
+    written to the shared folder, so that texts are read once. Without, the first pass only writes histograms and the
+    second makes the counts again beside the whole row, whose text is never written. Each row is joined with its
+    reference and limits: by broadcast if there are few languages, else by a shuffle of the rows.
     """
     counts = base_counts(docs)
     if carry:
-        counts = cut(counts.withColumn("_row", F.struct(*[F.col(f"_row.{c}").alias(c) for c in carry])), "counts")
-    refs = references(counts)
-    refs = F.broadcast(refs) if refs.count() <= MAX_BROADCAST else refs
-    bins = [F.array(*CHAR_BINS).alias("chars"), F.array(*COMMON_BINS).alias("common")]
-    counts = counts.select("_row", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *bins)
-    rows = counts.join(refs, counts.lang.eqNullSafe(refs.ref_lang), "left")
-    rows = with_js_distance(with_js_distance(rows, "chars", "ref_chars", "chars_js"), "common", "ref_common", "words_js")
-    far = (F.col("n_words") >= min_words) & (F.col("ref_words") >= min_reference) & ((F.col("chars_js") > max_chars) | (F.col("words_js") > max_words))
+        counts = narrow = cut(counts.withColumn("_row", F.struct(*[F.col(f"_row.{c}").alias(c) for c in carry])), "counts")
+    else:
+        narrow = cut(counts.select("lang", "n_words", *CHAR_BINS, *COMMON_BINS), "counts")
+    refs = references(narrow)
+    few = refs.count() <= MAX_BROADCAST
+    most = limits(with_distances(narrow, F.broadcast(refs) if few else refs), min_words, min_reference)
+    refs = cut(refs.join(most, refs.ref_lang.eqNullSafe(most.limit_lang), "left").drop("limit_lang"), "limits")
+    refs = F.broadcast(refs) if few else refs
+    rows = with_distances(counts, refs, "_row", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    most = F.element_at("limits", band())
+    over = [F.col(x) > F.least(F.lit(y), F.coalesce(most[z], F.lit(y))) for x, y, z in (("chars_js", max_chars, "chars"), ("words_js", max_words, "words"))]
+    far = (F.col("n_words") >= min_words) & (F.col("ref_words") >= min_reference) & (over[0] | over[1])
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     # One expression over both sides of the join: it stays above it, and the counts are made once.
     kept = ~F.coalesce(failed | far, failed)

@@ -1,6 +1,7 @@
 """URL filters, quality rules and secret scans against plain Python."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -81,6 +82,22 @@ def test_quality_method(spark):
     assert found[101]["base_failed"]
 
 
+def test_quality_limits_by_length(spark):
+    """Long clean texts stay; of the same length, tables of cells without common words and symbol junk go, both ways; a lone band is not judged by itself."""
+    rng = random.Random(7)
+    common, rare = quality_rules.COMMON[:20], [f"{a}{b}{c}" for a in ("tor", "mal", "pen", "gis") for b in ("a", "e", "o") for c in ("nd", "rt", "lk", "ve")]
+    prose = lambda n: " ".join(rng.choice(common) if rng.random() < 0.4 else rng.choice(rare) + rng.choice(rare) for _ in range(n))
+    table = lambda n: " | ".join(rng.choice(rare) + rng.choice(rare) for _ in range(n // 2))
+    noise = lambda n: " ".join(rng.choice(rare) + rng.choice(rare) + rng.choice(("###", "$$$", "%%%")) for _ in range(n))
+    texts = {"clean": [prose(n) for n in (60, 400) for _ in range(60)], "table": [table(400) for _ in range(4)], "noise": [noise(400) for _ in range(4)], "long": [prose(3000)]}
+    docs = [(i, kind, t, "en") for i, (kind, t) in enumerate((k, t) for k, ts in texts.items() for t in ts)]
+    df = spark.createDataFrame(docs, "doc_id long, kind string, text string, lang string")
+    found = rows(quality_rules.judge(df, ("doc_id", "kind")).selectExpr("_row.doc_id", "_row.kind", "base_failed", "words_js", "kept"))
+    assert all(r["base_failed"] or r["kept"] == (r["kind"] in ("clean", "long")) for r in found), [r for r in found if r["kept"] != (r["kind"] in ("clean", "long"))]
+    assert {r["kind"] for r in found if not r["base_failed"]} == set(texts) and all(r["words_js"] < quality_rules.MAX_WORDS for r in found)
+    assert {r["doc_id"] for r in rows(quality_rules.keep_good(df))} == {r["doc_id"] for r in found if r["kept"]}
+
+
 def test_keep_good_keeps_columns(spark, odd_docs):
     kept = quality_rules.keep_good(odd_docs)
     assert kept.columns == odd_docs.columns
