@@ -1,4 +1,4 @@
-"""HTML extraction: paragraphs give points to their ancestors, discounted by link density; the best container and its siblings stay."""
+"""HTML extraction: paragraphs give points to their ancestors, discounted by link density; all of the article around the container of nearly all points stays."""
 
 from __future__ import annotations
 
@@ -20,16 +20,22 @@ BOILERPLATE = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|byline|comments?|commentlist|cookies?|consent|disqus|footer|header|masthead|menu|nav\w*|newsletter|notices?|pagination|popup|promo\w*|related|repl(?:y|ies)|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
     re.I,
 )
+#: Class words of this kind name what a page has or lacks; those of the second are of texts that can be longer than the article.
+HAS, REMARKS = re.compile(r"(?:^|[_-])(?:no|has|with|without)[_-]", re.I), re.compile(r"comment|disqus|repl(?:y|ies)|related|cookie|consent|notice", re.I)
+#: Elements that class words never drop; shares of a page's points that save an element from its class words (REMARKS: the second); share that the container holds.
+WHOLE, MOST, ALL, NEARLY = set("html body main article".split()), 0.5, 0.98, 0.9
+#: Blocks that belong to the text beside them.
+PLAIN = set("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
 #: Elements that an opening tag closes, up to the elements named.
 CLOSES = {"p": ({"p"}, BLOCK - {"p"}), "li": ({"li", "p"}, {"ul", "ol"}), "dt": ({"dt", "dd", "p"}, {"dl"}), "dd": ({"dt", "dd", "p"}, {"dl"}), "tr": ({"tr", "td", "th", "p"}, {"table"}), "td": ({"td", "th", "p"}, {"tr", "table"}), "th": ({"td", "th", "p"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "score", "text", "links", "dropped")
+    __slots__ = ("tag", "parent", "text", "links", "points", "dropped", "named", "gone")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
-        self.score, self.text, self.links = 0.0, 0, 0
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, named: str = ""):
+        self.tag, self.parent, self.dropped, self.named = tag, parent, dropped, named
+        self.text, self.links, self.points, self.gone = 0, 0, 0.0, False
 
 
 class Page(HTMLParser):
@@ -38,7 +44,7 @@ class Page(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", None, False)
-        self.stack, self.parts, self.linked, self.blocks = [self.root], [], 0, []
+        self.stack, self.parts, self.linked, self.blocks, self.nodes = [self.root], [], 0, [], [self.root]
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -63,8 +69,11 @@ class Page(HTMLParser):
         words = " ".join(str(v) for k, v in attrs if k in ("class", "id", "role") and v)
         above = self.stack[-1]
         # An article's own header or footer element is not the page's, but neither is it its text.
-        dropped = above.dropped or tag in HIDDEN or tag in ASIDE or bool(tag in BLOCK and words and BOILERPLATE.search(words)) or any(k == "hidden" for k, _ in attrs)
-        self.stack.append(Node(tag, above, dropped))
+        dropped = above.dropped or tag in HIDDEN or tag in ASIDE or any(k == "hidden" for k, _ in attrs)
+        # What class words say is judged when the page's points are known.
+        named = " ".join(w for w in words.split() if BOILERPLATE.search(w) and not HAS.search(w)) if tag in BLOCK - WHOLE else ""
+        self.stack.append(Node(tag, above, dropped, named))
+        self.nodes.append(self.stack[-1])
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -86,6 +95,27 @@ class Page(HTMLParser):
                 self.linked += len(" ".join(data.split()))
 
 
+def weigh(page: Page) -> None:
+    """Points, text and linked text of the blocks that are not gone, for each element above them."""
+    for n in page.nodes:
+        n.points, n.text, n.links = 0.0, 0, 0
+    for node, text, linked in page.blocks:
+        if node.gone:
+            continue
+        points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / len(text))
+        node.text, node.links = node.text + len(text), node.links + linked
+        if node.parent is None:
+            node.points += points
+        while (node := node.parent) is not None:
+            node.points, node.text, node.links = node.points + points, node.text + len(text), node.links + linked
+
+
+def within(node: Node | None, *tops: Node) -> Node | None:
+    while node is not None and node not in tops:
+        node = node.parent
+    return node
+
+
 def extract(html: str | None) -> str:
     """Main text of one page; empty if there is none."""
     if not html:
@@ -94,37 +124,41 @@ def extract(html: str | None) -> str:
     page.feed(html)
     page.close()
     page.flush()
-    for node, text, linked in page.blocks:
-        above, share = node.parent or node, 1.0
-        points = 1 + text.count(",") + min(len(text) / 100, 3)
-        for _ in range(3):  # parent in full, grandparent by half, its parent by a third
-            above.score += points * share
-            if above.parent is None:
-                break
-            above, share = above.parent, share / 2 if share == 1.0 else 1 / 3
-        while node is not None:
-            node.text += len(text)
-            node.links += linked
-            node = node.parent
-    seen, best, most = set(), None, 0.0
-    for node, _, _ in page.blocks:
-        node = node.parent or node
-        while node is not None and id(node) not in seen:
-            seen.add(id(node))
-            score = node.score * (1 - node.links / node.text)
-            if score > most:
-                best, most = node, score
-            node = node.parent
-    if best is None:
+    weigh(page)
+    if any(n.named for n in page.nodes):
+        total = page.root.points
+        for n in page.nodes[1:]:
+            n.gone = n.parent.gone or bool(n.named) and n.points <= total * (ALL if REMARKS.search(n.named) else MOST)
+        weigh(page)
+    total = page.root.points
+    if total <= 0:
         return ""
-    # The best container, and siblings that look like parts of the same text: with a fifth of its points, or a plain block of their own.
+    # The lowest container of nearly all points; those that hold so much lie within each other.
+    best = [n for n in page.nodes if n.points >= NEARLY * total][-1]
+    above, tops = best, []
+    while above is not None and not tops:
+        tops = [above] if above.tag in ("article", "main") else []
+        above = above.parent
+    if not tops:
+        parts = [n for n in page.nodes if n.tag in ("article", "main") and n.points > 0]
+        most = max((n.points for n in parts), default=0.0)
+        if most >= MOST * total:
+            tops = [n for n in parts if n.points >= most / 5]
     kept = []
     for node, text, linked in page.blocks:
-        at = node
-        while at is not None and at is not best and at.parent is not best.parent:
-            at = at.parent
-        density = linked / len(text)
-        if at is best or at is not None and (at.score * (1 - at.links / at.text) >= most / 5 or at is node and node.tag in ("p", "h1", "blockquote", "pre") and density < 0.25):
+        if node.gone:
+            continue
+        if tops:
+            # Lists of links beside the container are no text of the article.
+            good = within(node, *tops) is not None and (linked < len(text) / 2 or within(node, best) is not None and best.tag not in ("body", "html"))
+        elif best.tag in ("body", "html"):
+            good = linked < len(text) / 2
+        else:
+            at = node
+            while at is not None and at is not best and at.parent is not best.parent:
+                at = at.parent
+            good = at is best or at is not None and at.links < at.text / 4 and (at.tag in PLAIN or at.tag == best.tag)
+        if good:
             kept.append(text)
     return "\n\n".join(kept)
 
@@ -133,7 +167,8 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     """(page_id, url, text, n_chars) per row of pages: the page's main text, blocks joined by an empty line.
 
     Character references are decoded, white space inside a block is one space; nothing is cut off. A null or empty
-    html, or one without text outside of boilerplate, gives an empty text. Broken markup is read as browsers read
+    html, or one without text outside of boilerplate, gives an empty text. Class words never drop html, body, main or
+    article, nor what holds most of the page's points; within an article or main every other block stays. Broken markup is read as browsers read
     it, roughly: unclosed paragraphs end where a block begins. Row by row in Arrow batches, no shuffle.
     """
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -43,6 +43,29 @@ def test_comments_inside_article():
     assert got == f"{PROSE.strip()}\n\n{PROSE.strip()}"
 
 
+def test_class_words_around_article():
+    """Words that say what a page has, or that stand on what holds the article, take nothing away; a long comment section still goes."""
+    text = f"{PROSE.strip()}\n\n{PROSE.strip()}"
+    inner = f"<p>{PROSE}</p><p>{PROSE}</p>"
+    for around in ("<body class='single no-sidebar'><div>{}</div>", "<body class=sidebar><div>{}</div>", "<main class='has-footer'>{}</main>", "<div class='content with-sidebar'>{}</div>", "<article class='related'>{}</article>", "<div class='page sidebar'><div>{}</div></div>"):
+        assert H.extract(around.format(inner)) == text, around
+        assert H.extract(around.format(inner + "<div class='sidebar'><p>Aside, short</p></div>")) == text, around
+    assert H.extract(f"<article><div>{inner}</div></article><section id=comments>{inner * 9}</section>") == text
+
+
+def test_short_parts_of_article():
+    """A short section beside long ones, and headings, lists, tables and figures beside paragraphs, stay."""
+    long = f"<p>{PROSE}</p>" * 9
+    short = "<h2>Short</h2><p>One, two.</p>"
+    want = ["Short", "One, two."] + [PROSE.strip()] * 9
+    for tag in ("section", "div"):
+        parts = f"<{tag}>{short}</{tag}><{tag}>{long}</{tag}>"
+        for page_ in (f"<article>{parts}</article>", f"<main>{parts}</main>", f"<body><div id=x>{parts}</div>"):
+            assert H.extract(page_).split("\n\n") == want, page_[:40]
+    got = H.extract(f"<div id=x><h2>A</h2><ul><li>b</ul><table><tr><td>c</table><figure><figcaption>d</figcaption></figure><div>{long}</div><h3>e</h3></div>")
+    assert got.split("\n\n") == ["A", "b", "c", "d"] + [PROSE.strip()] * 9 + ["e"]
+
+
 def test_odd(spark):
     assert [H.extract(x) for x in (None, "", "   ", "<p></p>", "<script>x</script>", "<nav><a href=x>a</a></nav>")] == [""] * 6
     assert H.extract("just text &lt;here&gt;") == "just text <here>"
