@@ -63,3 +63,28 @@ def test_mixing(spark, sf, odd_dir):
         assert len(found) == len(docs)
         for s in order:
             assert abs(taken[s] - goal[s]) <= max(3, 0.01 * mix / len(order)), (s, taken[s], goal[s])
+
+
+def by_source(found):
+    taken, target = Counter(), {}
+    for r in found:
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    return taken, target
+
+
+def test_mixing_small_sources(spark):
+    """Sources of a few words beside a source whose blocks are larger than they are take their targets, and so does the large one."""
+    docs = spark.range(400).selectExpr("id as doc_id", "repeat('w ', 10000) as text", "'a' as source")
+    docs = docs.union(spark.createDataFrame([(1000, "one two three four five", None), (1001, "six seven eight", None), (1002, "a b c", "s"), (1003, "", "t")], "doc_id long, text string, source string"))
+    taken, target = by_source(rows(mixing.mix(docs)))
+    assert target[None] == 16 and target["s"] == 6
+    assert all(abs(taken[s] - target[s]) <= 0.5 for s in target), (taken, target)
+    assert {r.doc_id for r in mixing.keep_taken(docs).where("doc_id >= 1000").collect()} == {1000, 1001, 1002}
+
+
+def test_mixing_many_sources(spark):
+    docs = spark.range(10_050).selectExpr("id as doc_id", "'x y z' as text", "cast(id as string) as source")
+    taken, target = by_source(rows(mixing.mix(docs)))
+    assert len(target) == 10_050 and all(abs(taken[s] - target[s]) <= 0.5 for s in target)
