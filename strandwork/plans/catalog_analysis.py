@@ -99,7 +99,7 @@ register("sample_boundary", lambda v: X.sample_boundary(v.voxels, 20))
 q("centre_cloud", lambda v: X.centre_cloud(v.voxels.where("label > 0").select("t", "label", *[F.col(c).cast("double").alias(c) for c in "zyx"]), ["t", "label"]), "voxels", "SELECT t, label, z - avg(z) OVER w AS z, y - avg(y) OVER w AS y, x - avg(x) OVER w AS x FROM voxels WHERE label > 0 WINDOW w AS (PARTITION BY t, label)", "z y x")
 q("box_at_point", lambda v: X.box_at_point(v.spots.select("spot_id", F.col("frame").alias("t"), (F.col("z") / 5).alias("z"), (F.col("y") / 4).alias("y"), (F.col("x") / 8).alias("x")), v.voxels, "spot_id"), "spots voxels",
   f"SELECT spot_id, r.label, y_max - y_min + 1 AS height, x_max - x_min + 1 AS width, z_max - z_min + 1 AS depth FROM spots s JOIN voxels b ON b.t = s.frame AND b.z = round_even(s.z / 5, 0) AND b.y = round_even(s.y / 4, 0) AND b.x = round_even(s.x / 8, 0) AND b.label > 0 JOIN ({REGIONS}) r ON r.t = b.t AND r.label = b.label")
-q("crop_patches", lambda v: X.crop_patches(v.spots.where("frame < 7").select("spot_id", F.col("frame").alias("t"), (F.col("z") / 10 + 1).alias("z"), (F.col("y") / 4).alias("y"), (F.col("x") / 8).alias("x")), v.voxels, "spot_id", (1, 2, 1)).select("spot_id", "dz", "dy", "dx", "value"), "spots voxels",
+q("crop_patches", lambda v: X.crop_patches(v.spots.select("spot_id", F.col("frame").alias("t"), (F.col("z") / 10 + 1).alias("z"), (F.col("y") / 4).alias("y"), (F.col("x") / 8).alias("x")), v.voxels, "spot_id", (1, 2, 1)).select("spot_id", "dz", "dy", "dx", "value"), "spots voxels",
   """WITH c AS (SELECT spot_id, b.z - round_even(s.z / 10 + 1, 0)::BIGINT AS dz, b.y - round_even(s.y / 4, 0)::BIGINT AS dy, b.x - round_even(s.x / 8, 0)::BIGINT AS dx, value FROM spots s JOIN voxels b ON b.t = s.frame AND b.z = round_even(s.z / 10 + 1, 0) AND b.x = round_even(s.x / 8, 0) AND b.y - round_even(s.y / 4, 0) BETWEEN -1 AND 0 WHERE s.frame < 7)
   SELECT spot_id, dz, dy, dx, value FROM (SELECT *, count(*) OVER (PARTITION BY spot_id) AS n FROM c) WHERE n = 2""")
 q("percentile_normalise", lambda v: X.percentile_normalise(v.voxels).select("t", "z", "y", "x", "normalised"), "voxels",

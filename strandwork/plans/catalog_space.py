@@ -33,11 +33,11 @@ def edge_of_mask(v):
     return voxels.boundary_pairs(v.voxels).select(F.col("t").alias("frame"), *[F.col(c).cast("double").alias(c) for c in "zyx"]).distinct()
 
 
-register("distance_to_boundary", lambda v: P.distance_to_boundary(v.spots.where("frame < 7"), edge_of_mask(v), 4.0), "spots voxels",
+register("distance_to_boundary", lambda v: P.distance_to_boundary(v.spots, edge_of_mask(v), 4.0), "spots voxels",
          f"""WITH b AS ({BOUNDARY}), m AS (SELECT frame, avg(z) AS mz, avg(y) AS my, avg(x) AS mx FROM b GROUP BY 1)
          SELECT spot_id, min({D}) AS distance_cell_mask, any_value(mz) AS mask_centroid_z, any_value(my) AS mask_centroid_y, any_value(mx) AS mask_centroid_x FROM spots a JOIN b ON a.frame = b.frame JOIN m ON m.frame = a.frame WHERE a.frame < 7 GROUP BY 1""",
          "distance_cell_mask mask_centroid_z mask_centroid_y mask_centroid_x")
-register("label_density", lambda v: P.label_density(v.spots.where("frame < 7"), v.voxels, 2.0), "spots voxels",
+register("label_density", lambda v: P.label_density(v.spots, v.voxels, 2.0), "spots voxels",
          "SELECT spot_id, count(DISTINCT label) AS local_density FROM spots s LEFT JOIN voxels b ON b.t = s.frame AND abs(b.z - s.z) <= 4 AND abs(b.y - s.y) <= 4 AND abs(b.x - s.x) <= 4 WHERE s.frame < 7 GROUP BY 1")
 
 
@@ -47,10 +47,10 @@ def regions(v):
     return voxels.regions(v.voxels)
 
 
-register("match_second_channel", lambda v: P.match_second_channel(v.spots.where("frame < 7"), regions(v).selectExpr("t", "label", "z", "y", "x", "total", "z_max - z_min + 1 as z_size", "y_max - y_min + 1 as y_size", "x_max - x_min + 1 as x_size"), 12.0), "spots voxels",
+register("match_second_channel", lambda v: P.match_second_channel(v.spots, regions(v).selectExpr("t", "label", "z", "y", "x", "total", "z_max - z_min + 1 as z_size", "y_max - y_min + 1 as y_size", "x_max - x_min + 1 as x_size"), 12.0), "spots voxels",
          f"""WITH r AS (SELECT *, cbrt(3 * CAST((z_max - z_min + 1) * (y_max - y_min + 1) * (x_max - x_min + 1) AS DOUBLE) / (4 * pi())) AS s FROM ({REGIONS}))
          SELECT * FROM (SELECT DISTINCT ON (spot_id) spot_id, b.label, b.z AS c2_z, b.y AS c2_y, b.x AS c2_x, total AS c2_intensity, s AS c2_radius, {D} AS d FROM spots a JOIN r b ON a.frame = b.t AND {D} <= 12 WHERE a.frame < 7 ORDER BY spot_id, {D}, b.label) WHERE d <= 2 * c2_radius""".replace("SELECT * FROM (SELECT DISTINCT", "SELECT * EXCLUDE (d) FROM (SELECT DISTINCT"), "c2_z c2_y c2_x c2_radius")
-register("attach_regions", lambda v: P.attach_regions(v.spots.where("frame < 7"), regions(v).selectExpr("t", "label", "z", "y", "x", "double(z_max - z_min + 1) as eigen_first", "double(y_max - y_min + 1) as eigen_second", "double(x_max - x_min + 1) as eigen_third"), 12.0), "spots voxels",
+register("attach_regions", lambda v: P.attach_regions(v.spots, regions(v).selectExpr("t", "label", "z", "y", "x", "double(z_max - z_min + 1) as eigen_first", "double(y_max - y_min + 1) as eigen_second", "double(x_max - x_min + 1) as eigen_third"), 12.0), "spots voxels",
          f"""WITH r AS (SELECT *, cbrt(CAST((z_max - z_min + 1) * (y_max - y_min + 1) * (x_max - x_min + 1) AS DOUBLE)) AS s FROM ({REGIONS}))
          SELECT spot_id, label, s AS region_radius FROM (SELECT DISTINCT ON (spot_id) spot_id, b.label, s, {D} AS d FROM spots a JOIN r b ON a.frame = b.t AND {D} <= 12 WHERE a.frame < 7 ORDER BY spot_id, {D}, b.label) WHERE d < s""", "region_radius")
 register("attach_latent", lambda v: P.attach_latent(v.spots, v.annotations.select(F.col("ann_id").alias("latent_id"), F.col("t").alias("frame"), "z", "y", "x", F.array("z", "x").alias("latent")), 8.0).selectExpr("spot_id", "latent[0] as first", "latent[1] as second"))
