@@ -120,15 +120,22 @@ def three_view_clusters(views: dict[str, DataFrame], k: int, metric: str = "eucl
     return out
 
 
-def classify_knn(rows: DataFrame, labelled: DataFrame, k: int, by: Sequence[str], label: str = "label") -> DataFrame:
-    """(id, label): the commonest label among the k nearest labelled vectors of the same group; ties by the smaller label."""
+def classify_knn(rows: DataFrame, labelled: DataFrame, k: int, by: Sequence[str] = (), label: str = "label", blocks: int = 8) -> DataFrame:
+    """(id, label): the commonest label among the k nearest labelled vectors of the same group (without by: of all); ties by the smaller label.
+
+    Both sides are dealt to blocks by hash and each pair of blocks is joined, so that no group is one task's work;
+    each row keeps its k best of each block, then its k best of those.
+    """
     from pyspark.sql import Window
 
-    a = rows.select(*by, F.col("id"), F.col("vector").alias("_u"))
-    b = labelled.select(*by, F.col("id").alias("_o"), F.col("vector").alias("_v"), F.col(label).alias("_l"))
-    near = a.join(b, list(by)).where(F.col("id") != F.col("_o")).withColumn("_d", vector_distance(F.col("_u"), F.col("_v")))
-    top = near.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("_d", "_o"))).where(F.col("_r") <= k)
-    votes = top.groupBy("id", "_l").agg(F.count("*").alias("n"))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    a = rows.select(*by, F.col("id"), F.col("vector").alias("_u"), block("id").alias("_p"), every.alias("_q"))
+    b = labelled.select(*by, F.col("id").alias("_o"), F.col("vector").alias("_v"), F.col(label).alias("_l"), every.alias("_p"), block("id").alias("_q"))
+    near = a.join(b, [*by, "_p", "_q"]).where(F.col("id") != F.col("_o")).withColumn("_d", vector_distance(F.col("_u"), F.col("_v"))).select("id", "_q", "_o", "_l", "_d")
+    for keys in (["id", "_q"], ["id"]):
+        near = near.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_d", "_o"))).where(F.col("_r") <= k).drop("_r")
+    votes = near.groupBy("id", "_l").agg(F.count("*").alias("n"))
     return votes.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "_l"))).where("_r = 1").select("id", F.col("_l").alias(label))
 
 

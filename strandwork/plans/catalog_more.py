@@ -69,7 +69,7 @@ def round_trip(v):
 
 register("read_spots_xml", round_trip, "spots", "SELECT spot_id, frame, z, y, x, radius FROM spots", "z y x radius")
 
-register("classify_knn", lambda v: C.classify_knn(vectors(v).withColumn("g", F.col("id") % 4), vectors(v).withColumn("g", F.col("id") % 4).where("id % 3 = 0"), 3, ["g"]), "",
+register("classify_knn", lambda v: C.classify_knn(vectors(v), vectors(v).where("id % 3 = 0"), 3), "",
          f"""SELECT id, label FROM (SELECT id, label, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, label) AS r FROM (SELECT a.id, b.label, row_number() OVER (PARTITION BY a.id ORDER BY {DIST}, b.id) AS k FROM {VEC} a JOIN {VEC} b ON a.id % 4 = b.id % 4 AND a.id <> b.id AND b.id % 3 = 0) WHERE k <= 3 GROUP BY 1, 2) WHERE r = 1""")
 register("classify_forest", lambda v: C.classify_forest(vectors(v), vectors(v).where("id % 3 = 0"), trees=10).select("id", "prediction"))
 register("three_view_clusters", lambda v: C.three_view_clusters({"first": vectors(v).withColumn("vector", F.slice("vector", 1, 32)), "last": vectors(v).withColumn("vector", F.slice("vector", 33, 32)), "both": vectors(v)}, 4))

@@ -1,5 +1,8 @@
 """Registered queries answer for all of their input, not for a prefix or a remainder of it."""
 
+from collections import Counter
+
+import numpy as np
 import pytest
 
 from strandwork.plans import registry
@@ -10,3 +13,12 @@ def test_every_spot(spark, sf, name):
     spots = {r.spot_id for r in registry.QUERIES["scale_values"](spark, sf).select("spot_id").collect()}
     found = [r.spot_id for r in registry.QUERIES[name](spark, sf).select("spot_id").collect()]
     assert len(found) == len(spots) and set(found) == spots
+
+
+def test_nearest_of_all_labelled(spark, sf):
+    """Votes of the three nearest of all labelled vectors, by numpy."""
+    table = [(r.vec_id, r.label, np.array(r.embedding, dtype=float)) for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("label is not null and embedding is not null").collect()]
+    trained = [x for x in table if x[0] % 3 == 0]
+    near = {i: sorted((float(np.sqrt(((v - w) ** 2).sum())), o, y) for o, y, w in trained if o != i)[:3] for i, _, v in table}
+    expected = {i: min(Counter(y for *_, y in n).items(), key=lambda x: (-x[1], x[0]))[0] for i, n in near.items()}
+    assert {r.id: r.label for r in registry.QUERIES["classify_knn"](spark, sf).collect()} == expected
