@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -39,7 +40,7 @@ register("tracklet_spans", lambda v: L.tracklet_spans(v.pieces, v.spots), "piece
 register("tracklet_life", lambda v: L.tracklet_life(L.tracklet_spans(v.pieces, v.spots)), "pieces", f"SELECT *, end_frame - start_frame AS life FROM ({SPANS}) WHERE generation > 0 OR end_frame > start_frame")
 register("propagate_fate", lambda v: L.propagate_fate(v.spots, v.annotations.select(F.col("ann_id").alias("spot_id"), (F.col("ann_id") % 4).alias("fate"))), "spots annotations",
          "WITH f AS (SELECT track_id, max(ann_id % 4) AS fate FROM annotations JOIN spots ON spot_id = ann_id GROUP BY 1) SELECT spot_id, coalesce(fate, -1) AS fate FROM spots LEFT JOIN f USING (track_id)")
-register("ancestors_of", lambda v: L.ancestors_of(v.edges, L.leaves(v.edges).where("track_id % 3 = 0")), "edges",
+register("ancestors_of", lambda v: L.ancestors_of(v.edges, L.leaves(v.edges)), "edges",
          """SELECT * FROM (WITH RECURSIVE a AS (SELECT target_id AS spot_id, source_id AS ancestor FROM edges WHERE track_id % 3 = 0 AND target_id NOT IN (SELECT source_id FROM edges)
          UNION ALL SELECT a.spot_id, e.source_id FROM a JOIN edges e ON e.target_id = a.ancestor) SELECT DISTINCT * FROM a)""")
 register("keep_filtered", lambda v: L.keep_filtered(v.spots, v.annotations.join(v.spots, F.col("ann_id") == F.col("spot_id")).select("track_id")).select("spot_id", "track_id"), "spots annotations",
@@ -72,7 +73,15 @@ register("broadcast_track_stats", lambda v: K.broadcast_track_stats(v.spots, K.t
          f"SELECT spot_id, displacement, max_distance FROM spots JOIN ({SUMMARY}) USING (track_id)", "displacement max_distance")
 register("mean_square_lag", lambda v: K.mean_square_lag(v.spots.select(F.col("track_id").alias("key"), F.col("seq").alias("i"), "z", "y", "x"), 5), "spots",
          "SELECT CAST(lag AS INTEGER) AS lag, count(*) AS pairs, avg((b.z - a.z) ** 2 + (b.y - a.y) ** 2 + (b.x - a.x) ** 2) AS mean_square FROM range(1, 6) r(lag) JOIN spots a ON true JOIN spots b ON b.track_id = a.track_id AND b.seq = a.seq + lag GROUP BY 1", "mean_square")
-register("intensity_spectrum", lambda v: K.intensity_spectrum(v.spots.where("track_id % 3 <> 0").select(F.col("track_id").alias("key"), F.col("seq").alias("i"), F.col("intensity").alias("value"))), "spots",
+
+
+def tracklet_values(v, column):
+    """(key, i, value): a column along each tracklet, whose key is its head."""
+    place = F.row_number().over(Window.partitionBy("head").orderBy("frame", "spot_id")) - 1
+    return v.pieces.select("spot_id", "head").join(v.spots.select("spot_id", "frame", column), "spot_id").select(F.col("head").alias("key"), place.alias("i"), F.col(column).alias("value"))
+
+
+register("intensity_spectrum", lambda v: K.intensity_spectrum(tracklet_values(v, "intensity")), "spots",
          """WITH n AS (SELECT track_id, count(*) AS n FROM spots WHERE track_id % 3 <> 0 GROUP BY 1), w AS (SELECT track_id, n, CAST(unnest(range(0, greatest(1, n // 2))) AS INTEGER) AS k FROM n)
          SELECT track_id AS key, k, k / CAST(n AS DOUBLE) AS frequency, sqrt(sum(intensity * cos(-2 * pi() * k * seq / n)) ** 2 + sum(intensity * sin(-2 * pi() * k * seq / n)) ** 2) AS magnitude FROM spots JOIN w USING (track_id) GROUP BY 1, 2, n""", "frequency magnitude")
 

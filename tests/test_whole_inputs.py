@@ -22,3 +22,18 @@ def test_nearest_of_all_labelled(spark, sf):
     near = {i: sorted((float(np.sqrt(((v - w) ** 2).sum())), o, y) for o, y, w in trained if o != i)[:3] for i, _, v in table}
     expected = {i: min(Counter(y for *_, y in n).items(), key=lambda x: (-x[1], x[0]))[0] for i, n in near.items()}
     assert {r.id: r.label for r in registry.QUERIES["classify_knn"](spark, sf).collect()} == expected
+
+
+def test_every_tracklet_and_leaf(spark, sf):
+    """Spectra of every tracklet, and the ancestors of every leaf, by walking up."""
+    v = registry.views(spark, sf)
+    heads = {r.head for r in v.pieces.groupBy("head").count().collect()}
+    assert {r.key for r in registry.QUERIES["intensity_spectrum"](spark, sf).collect()} == heads
+    edges = [(r.source_id, r.target_id) for r in v.edges.collect()]
+    parent, expected = {t: s for s, t in edges}, set()
+    for leaf in {t for _, t in edges} - {s for s, _ in edges}:
+        at = leaf
+        while at in parent:
+            at = parent[at]
+            expected.add((leaf, at))
+    assert {(r.spot_id, r.ancestor) for r in registry.QUERIES["ancestors_of"](spark, sf).collect()} == expected
