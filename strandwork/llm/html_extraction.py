@@ -15,65 +15,96 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 BLOCK = set("address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 HIDDEN = set("script style noscript template head title svg math iframe object canvas audio video select button input textarea".split())
 #: Elements and class or id words of what is around an article: menus, headers, footers, sidebars, notices, adverts, forms, comments.
-ASIDE = set("nav header footer aside form dialog menu".split())
+ASIDE = set("nav header footer aside dialog menu".split())
 BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|byline|comments?|commentlist|cookies?|consent|disqus|footer|header|masthead|menu|nav\w*|newsletter|notices?|pagination|popup|promo\w*|related|repl(?:y|ies)|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|commentlist|cookies?|consent|disqus|footer|header|masthead|menu|nav\w*|newsletter|notices?|pagination|popup|promo\w*|related|repl(?:y|ies)|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
     re.I,
 )
 #: Class words of this kind name what a page has or lacks; those of the second are of texts that can be longer than the article.
 HAS, REMARKS = re.compile(r"(?:^|[_-])(?:no|has|with|without)[_-]", re.I), re.compile(r"comment|disqus|repl(?:y|ies)|related|cookie|consent|notice", re.I)
+#: Class words that also name what an article is about: they drop only what is short or made of links (its share of the text, its length).
+VAGUE, LINKED, SHORT = re.compile(r"(?:ad|banner|header|masthead|promo\w*|related|share|sharing|skip|social|toolbar|widget)", re.I), 0.3, 200
 #: Elements that class words never drop; shares of a page's points that save an element from its class words (REMARKS: the second); share that the container holds.
 WHOLE, MOST, ALL, NEARLY = set("html body main article".split()), 0.5, 0.98, 0.9
 #: Blocks that belong to the text beside them.
 PLAIN = set("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
-#: Elements that an opening tag closes, up to the elements named.
-CLOSES = {"p": ({"p"}, BLOCK - {"p"}), "li": ({"li", "p"}, {"ul", "ol"}), "dt": ({"dt", "dd", "p"}, {"dl"}), "dd": ({"dt", "dd", "p"}, {"dl"}), "tr": ({"tr", "td", "th", "p"}, {"table"}), "td": ({"td", "th", "p"}, {"tr", "table"}), "th": ({"td", "th", "p"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+#: Elements that an opening tag closes, up to the elements named; other blocks close an open paragraph.
+CLOSES = {"li": ("li p", "ul ol"), "dt": ("dt dd p", "dl"), "dd": ("dt dd p", "dl"), "tr": ("tr td th p", "table"), "td": ("td th p", "tr table"), "th": ("td th p", "tr table")}
+CLOSES = {tag: (closed.split(), upto.split()) for tag, (closed, upto) in CLOSES.items()}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "text", "links", "points", "dropped", "named", "gone")
+    """An element; `holder` is the block that it is in (or is), `owner` the article or main above it, `header` the header element."""
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool, named: str = ""):
-        self.tag, self.parent, self.dropped, self.named = tag, parent, dropped, named
-        self.text, self.links, self.points, self.gone = 0, 0, 0.0, False
+    __slots__ = ("tag", "parent", "holder", "owner", "header", "linked", "dropped", "named", "titled", "text", "links", "points", "gone", "mark")
+
+    def __init__(self, tag: str, parent: Node | None):
+        self.tag, self.parent, self.named, self.titled, self.dropped, self.linked = tag, parent, "", False, False, tag == "a"
+        self.owner = self if tag in ("article", "main") else None
+        self.header = self if tag == "header" else None
+        self.holder = self
+        if parent is not None:
+            self.dropped, self.linked = parent.dropped, self.linked or parent.linked
+            self.owner, self.header = self.owner or parent.owner, self.header or parent.header
+            self.holder = self if tag in BLOCK else parent.holder
+        self.text, self.links, self.points, self.gone, self.mark = 0, 0, 0.0, False, False
 
 
 class Page(HTMLParser):
-    """Blocks of a page in order: (node of the block, its text, length of its text within links)."""
+    """Elements of a page, parents before children, and its blocks in order: (node of the block, its text, length of its text within links).
+
+    Where each kind of element is open is kept in `places`, so that no tag walks over the open elements: time is linear in the page.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = Node("html", None, False)
-        self.stack, self.parts, self.linked, self.blocks, self.nodes = [self.root], [], 0, [], [self.root]
+        self.root = Node("html", None)
+        self.stack, self.places = [self.root], {"html": [0]}
+        self.parts, self.linked, self.blocks, self.nodes = [], 0, [], [self.root]
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            holder = next(n for n in reversed(self.stack) if n.tag in BLOCK or n is self.root)
-            self.blocks.append((holder, text, min(self.linked, len(text))))
+            self.blocks.append((self.stack[-1].holder, text, min(self.linked, len(text))))
         self.parts, self.linked = [], 0
 
+    def last(self, tags: list[str]) -> int:
+        """Place of the innermost open element of these tags; 0 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def leave(self, place: int) -> None:
+        for n in self.stack[place:]:
+            self.places[n.tag].pop()
+        del self.stack[place:]
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCK:
             self.flush()
-            closed, upto = CLOSES.get(tag, ({"p"}, BLOCK - {"p"}))
-            for i in range(len(self.stack) - 1, 0, -1):
-                if self.stack[i].tag in closed:
-                    del self.stack[i:]
-                elif self.stack[i].tag in upto:
-                    break
+            if tag in CLOSES:
+                closed, upto = CLOSES[tag]
+                while (place := self.last(closed)) > self.last(upto):
+                    self.leave(place)
+            elif self.stack[-1].holder.tag == "p":
+                self.leave(self.last(["p"]))
         elif tag == "br":
             self.parts.append(" ")
         if tag in VOID:
             return
-        words = " ".join(str(v) for k, v in attrs if k in ("class", "id", "role") and v)
-        above = self.stack[-1]
-        # An article's own header or footer element is not the page's, but neither is it its text.
-        dropped = above.dropped or tag in HIDDEN or tag in ASIDE or any(k == "hidden" for k, _ in attrs)
-        # What class words say is judged when the page's points are known.
-        named = " ".join(w for w in words.split() if BOILERPLATE.search(w) and not HAS.search(w)) if tag in BLOCK - WHOLE else ""
-        self.stack.append(Node(tag, above, dropped, named))
-        self.nodes.append(self.stack[-1])
+        node = Node(tag, self.stack[-1])
+        # An article's own header is judged later, like what class words say: by what it holds.
+        own = tag == "header" and node.owner is not None
+        node.dropped = node.dropped or tag in HIDDEN or tag in ASIDE and not own or any(k == "hidden" for k, _ in attrs)
+        if tag in BLOCK - WHOLE:
+            words = " ".join(str(v) for k, v in attrs if k in ("class", "id", "role") and v)
+            node.named = " ".join(w for w in words.split() if BOILERPLATE.search(w) and not HAS.search(w))
+            if tag in ("form", "header"):
+                node.named = f"{node.named} {tag}".lstrip()
+        if tag in HEADINGS and node.header is not None:
+            node.header.titled = True
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(node)
+        self.nodes.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -81,39 +112,44 @@ class Page(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
             self.flush()
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag == tag:
-                del self.stack[i:]
-                return
-            if self.stack[i].tag in BLOCK and tag not in BLOCK:
-                return
+        place = self.last([tag])
+        # The end of an inline element closes no block.
+        if place and (tag in BLOCK or self.stack[place].holder is self.stack[-1].holder):
+            self.leave(place)
 
     def handle_data(self, data: str) -> None:
         if not self.stack[-1].dropped:
             self.parts.append(data)
-            if any(n.tag == "a" for n in self.stack):
+            if self.stack[-1].linked:
                 self.linked += len(" ".join(data.split()))
 
 
 def weigh(page: Page) -> None:
-    """Points, text and linked text of the blocks that are not gone, for each element above them."""
+    """Points, text and linked text of the blocks that are not gone, for each element above them (not for the block itself), added up from the leaves."""
     for n in page.nodes:
         n.points, n.text, n.links = 0.0, 0, 0
+    own: dict[Node, float] = {}
     for node, text, linked in page.blocks:
-        if node.gone:
-            continue
-        points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / len(text))
-        node.text, node.links = node.text + len(text), node.links + linked
-        if node.parent is None:
-            node.points += points
-        while (node := node.parent) is not None:
-            node.points, node.text, node.links = node.points + points, node.text + len(text), node.links + linked
-
-
-def within(node: Node | None, *tops: Node) -> Node | None:
-    while node is not None and node not in tops:
-        node = node.parent
-    return node
+        if not node.gone:
+            own[node] = own.get(node, 0.0) + (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / len(text))
+            node.text, node.links = node.text + len(text), node.links + linked
+    for n in reversed(page.nodes):
+        above = n.parent
+        if above is not None:
+            above.points, above.text, above.links = above.points + n.points + own.get(n, 0.0), above.text + n.text, above.links + n.links
+    page.root.points += own.get(page.root, 0.0)
+
+
+def boilerplate(n: Node, total: float, own: float) -> bool:
+    """Whether what its class words, or its being a form or header, say of an element holds, given its points and the page's."""
+    if own > total * (ALL if REMARKS.search(n.named) else MOST):
+        return False
+    words = n.named.split()
+    if words == ["header"] and n.tag == "header":
+        return not n.titled or n.links > n.text * LINKED
+    if all(VAGUE.search(w) for w in words):
+        return n.links > n.text * LINKED or n.text < SHORT
+    return True
 
 
 def extract(html: str | None) -> str:
@@ -126,37 +162,45 @@ def extract(html: str | None) -> str:
     page.flush()
     weigh(page)
     if any(n.named for n in page.nodes):
-        total = page.root.points
+        own = {}
+        for node, text, linked in page.blocks:
+            own[node] = own.get(node, 0.0) + (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / len(text))
         for n in page.nodes[1:]:
-            n.gone = n.parent.gone or bool(n.named) and n.points <= total * (ALL if REMARKS.search(n.named) else MOST)
+            n.gone = n.parent.gone or bool(n.named) and boilerplate(n, page.root.points, n.points + own.get(n, 0.0))
         weigh(page)
     total = page.root.points
     if total <= 0:
         return ""
     # The lowest container of nearly all points; those that hold so much lie within each other.
     best = [n for n in page.nodes if n.points >= NEARLY * total][-1]
-    above, tops = best, []
-    while above is not None and not tops:
-        tops = [above] if above.tag in ("article", "main") else []
-        above = above.parent
+    tops = {best.owner} if best.owner is not None else set()
     if not tops:
-        parts = [n for n in page.nodes if n.tag in ("article", "main") and n.points > 0]
+        parts = [n for n in page.nodes if n.owner is n and n.points > 0]
         most = max((n.points for n in parts), default=0.0)
         if most >= MOST * total:
-            tops = [n for n in parts if n.points >= most / 5]
-    kept = []
+            tops = {n for n in parts if n.points >= most / 5}
+    # Under a top; in best; and, beside best, the branch of their parent that an element is in.
+    branch: dict[Node, Node] = {}
+    inside: set[Node] = set()
+    for n in page.nodes:
+        n.mark = n in tops or n.parent is not None and n.parent.mark
+        if n is best or n.parent in inside:
+            inside.add(n)
+        if n.parent is best.parent:
+            branch[n] = n
+        elif n.parent in branch:
+            branch[n] = branch[n.parent]
+    wide, kept = best.tag in ("body", "html"), []
     for node, text, linked in page.blocks:
         if node.gone:
             continue
         if tops:
             # Lists of links beside the container are no text of the article.
-            good = within(node, *tops) is not None and (linked < len(text) / 2 or within(node, best) is not None and best.tag not in ("body", "html"))
-        elif best.tag in ("body", "html"):
+            good = node.mark and (linked < len(text) / 2 or node in inside and not wide)
+        elif wide:
             good = linked < len(text) / 2
         else:
-            at = node
-            while at is not None and at is not best and at.parent is not best.parent:
-                at = at.parent
+            at = branch.get(node)
             good = at is best or at is not None and at.links < at.text / 4 and (at.tag in PLAIN or at.tag == best.tag)
         if good:
             kept.append(text)
@@ -168,8 +212,10 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
 
     Character references are decoded, white space inside a block is one space; nothing is cut off. A null or empty
     html, or one without text outside of boilerplate, gives an empty text. Class words never drop html, body, main or
-    article, nor what holds most of the page's points; within an article or main every other block stays. Broken markup is read as browsers read
-    it, roughly: unclosed paragraphs end where a block begins. Row by row in Arrow batches, no shuffle.
+    article, nor what holds most of the page's points, and vague ones only what is short or made of links; an article's
+    own header stays if it has a heading; within an article or main every other block stays. Broken markup is read as
+    browsers read it, roughly: unclosed paragraphs end where a block begins. Repeated rows give equal rows; extra columns
+    are not read. Row by row in Arrow batches, no shuffle; time is linear in a page's length, however deep it nests.
     """
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -80,3 +80,36 @@ def test_odd(spark):
 
 def test_empty(spark, empty_dir):
     assert H.op9_html_extraction(spark, empty_dir).count() == 0
+
+
+def test_layouts():
+    """One article, two long paragraphs and what belongs to them, in many shapes of page; what is around it goes."""
+    a, b = PROSE.strip(), PROSE.strip().replace("long", "short")
+    body = f"<p>{a}</p><p>{b}</p>"
+    around = "<nav><a href=/>Home</a> <a href=/x>News</a></nav><header><h1>Site</h1><p>Its slogan, here</p></header>{}<aside><p>Read also, this, and that</p></aside><footer>Imprint</footer>"
+    shapes = {
+        "<article>{}</article>": [a, b],
+        "<main><section><h2>Summary</h2><p>Short.</p></section><section>{}</section></main>": ["Summary", "Short.", a, b],
+        "<article><header><h1>Title</h1><p class=byline>By A. Writer</p></header>{}</article>": ["Title", "By A. Writer", a, b],
+        "<h2>Title</h2><div>{}</div><ul><li>First point<li>Second point</ul>": ["Title", a, b, "First point", "Second point"],
+        "<main class='no-sidebar'>{}</main>": [a, b],
+        "<form action=/><div>{}</div><input name=q></form>": [a, b],
+        "<div id=content><div>{}<div class='share price'><p>" + a + "</p></div></div></div>": [a, b, a],
+        "<div><div><div><p>Lead, in</p>{}</div></div></div>": ["Lead, in", a, b],
+        "<table><tr><td><a href=1>One</a><td>{}</td></tr></table>": [a, b],
+        "<section role=main><h1>T</h1>{}<blockquote>Quoted</blockquote><pre>x  = 1</pre></section>": ["T", a, b, "Quoted", "x = 1"],
+        "<article>{}<div class='social share'><a href=1>Tweet</a> <a href=2>Post</a></div><div class=related><a href=1>Other</a></div><footer><p>Filed under x</p></footer></article>": [a, b],
+        "<div class=post>{}<form><p>Subscribe, now</p></form><div id=comments><p>First, really</p></div></div>": [a, b],
+    }
+    for shape, want in shapes.items():
+        for page_ in (around.format(shape.format(body)), f"<html><body>{around.format(f'<div class=wrap>{shape.format(body)}</div>')}</body></html>"):
+            assert H.extract(page_).split("\n\n") == want, shape
+
+
+def test_time_is_linear_in_nesting():
+    import time
+
+    for hostile in ("<div>" * 100_000, "<div><p>x, y" * 30_000, "<li><ul>" + "<div>" * 30_000 + "<li>a</li>" * 30_000, "<b>" * 60_000 + "x" + "</i>" * 60_000):
+        start = time.process_time()
+        H.extract(hostile)
+        assert time.process_time() - start < 10
