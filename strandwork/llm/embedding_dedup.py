@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import components, cut
 
 #: Least cosine of a link; chance to miss a pair just at it; members that a bucket should have by chance; most vectors of a block.
-COSINE, MISS, CHANCE_MEMBERS, BLOCK = 0.93, 0.001, 8, 1024
+COSINE, MISS, CHANCE_MEMBERS, BLOCK = 0.93, 0.001, 128, 1024
 #: Rows of buckets that make one group of work.
 GROUP = 4000
 SEED = 4_242
@@ -27,43 +27,50 @@ def plan_tables(rows: int, cosine: float = COSINE, miss: float = MISS) -> tuple[
 
 
 def clean(vectors: DataFrame, vec_id: str, embedding: str, label: str) -> DataFrame:
-    """(row, vec_id, label, v): the vector in doubles; null v where it can't link (null or empty vector or label, a null or non-finite part, all zeros)."""
-    v = F.transform(F.col(embedding), lambda x: x.cast("double"))
-    ok = (F.size(v) > 0) & F.col(label).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    """(row, vec_id, label, v, key): the vector (floats stay floats, other numbers become doubles) and a 128-bit hash of label and vector.
+
+    v and key are null where the vector can't link: a null or empty vector or label, a null or non-finite part, all zeros.
+    """
+    v = F.col(embedding) if dict(vectors.dtypes)[embedding] == "array<float>" else F.transform(F.col(embedding), lambda x: x.cast("double"))
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    ok = (F.size(v) > 0) & F.col(label).isNotNull() & F.forall(v, finite) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(label).alias("label"), F.when(ok, v).alias("v"))
-    return rows.withColumn("row", F.monotonically_increasing_id())
+    key = F.unhex(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(k), "label", "v")), 16, "0") for k in (SEED, SEED + 1)]))
+    return rows.withColumn("key", F.when(F.col("v").isNotNull(), key)).withColumn("row", F.monotonically_increasing_id())
 
 
 def signer(bits: int, tables: int):
-    """Arrow function: (node, label, v, copies) to one row per table with the bucket and the signs of all tables."""
+    """Arrow function: (node, label, v, copies) to one row per table with the bucket and the packed signs of all tables."""
     def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
             node, label, v, copies = batch.columns
             lengths = v.value_lengths().to_numpy(zero_copy_only=False)
             flat, ends = v.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(lengths)))
-            keys = np.zeros((len(batch), tables), np.int64)
+            signs = np.zeros((len(batch), tables * bits), bool)
             for width in np.unique(lengths):  # vectors of one length are compared only with each other
                 if int(width) not in planes:
                     planes[int(width)] = np.random.default_rng((SEED, int(width))).standard_normal((int(width), bits * tables))
                 at = np.flatnonzero(lengths == width)
-                x = np.stack([flat[ends[i] : ends[i + 1]] for i in at])
+                x = np.stack([flat[ends[i] : ends[i + 1]] for i in at]).astype(np.float64)
                 x = x / np.abs(x).max(axis=1, keepdims=True)
-                keys[at] = ((x @ planes[int(width)] > 0).reshape(len(at), tables, bits) << np.arange(bits)[None, None]).sum(axis=2)
+                signs[at] = x @ planes[int(width)] > 0
+            keys = (signs.reshape(len(batch), tables, bits).astype(np.int64) << np.arange(bits)[None, None]).sum(axis=2)
+            packed = pa.array([row.tobytes() for row in np.packbits(signs, axis=1)], pa.binary())
             for t in range(tables):
-                yield pa.RecordBatch.from_arrays([node, label, v, copies, pa.array(lengths, pa.int32()), pa.array(np.full(len(batch), t, np.int32)), pa.array(keys[:, t].copy()), pa.ListArray.from_arrays(np.arange(0, keys.size + 1, tables, dtype=np.int32), pa.array(keys.reshape(-1).astype(np.int32)))], names=["node", "label", "v", "copies", "width", "table", "bucket", "keys"])
+                yield pa.RecordBatch.from_arrays([node, label, v, copies, pa.array(lengths, pa.int32()), pa.array(np.full(len(batch), t, np.int32)), pa.array(keys[:, t].copy()), packed], names=["node", "label", "v", "copies", "width", "table", "bucket", "signs"])
 
     return signs
 
 
-def bucket_links(rows: pa.Table, cosine: float) -> pa.Table:
+def bucket_links(rows: pa.Table, cosine: float, bits: int, tables: int) -> pa.Table:
     """For the buckets, or pairs of blocks of buckets, of one group: each vector's number of linked vectors (copies counted) that met in no earlier table, and edges that span the links."""
     number = lambda c: rows.column(c).to_numpy()
     node, width, table, bucket, block, low, high, copies = (number(c) for c in ("node", "width", "table", "bucket", "block", "low", "high", "copies"))
     label = np.unique(np.array(rows.column("label").to_pylist()), return_inverse=True)[1]
-    v, keys = rows.column("v").combine_chunks(), rows.column("keys").combine_chunks()
+    v = rows.column("v").combine_chunks()
     flat, ends = v.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(v.value_lengths().to_numpy(zero_copy_only=False))))
-    keys = keys.flatten().to_numpy(zero_copy_only=False).reshape(len(node), -1)
+    packed = np.frombuffer(b"".join(rows.column("signs").to_pylist()), np.uint8).reshape(len(node), -1)
     parts = (high, low, bucket, table, width, label)
     order = np.lexsort((node, *parts))
     change = np.zeros(len(order), bool)
@@ -73,7 +80,7 @@ def bucket_links(rows: pa.Table, cosine: float) -> pa.Table:
     for at in np.split(order, np.flatnonzero(change)):
         if len(at) < 2:
             continue
-        x = np.stack([flat[ends[i] : ends[i + 1]] for i in at])
+        x = np.stack([flat[ends[i] : ends[i + 1]] for i in at]).astype(np.float64)
         x = x / np.abs(x).max(axis=1, keepdims=True)
         x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
         linked = x @ x.T >= cosine
@@ -81,8 +88,11 @@ def bucket_links(rows: pa.Table, cosine: float) -> pa.Table:
         if low[at[0]] != high[at[0]]:  # within a block its own pair counts
             linked &= block[at][:, None] != block[at][None, :]
         u, w = np.nonzero(linked)
-        if len(u):
-            new = ~(keys[at[u], : table[at[0]]] == keys[at[w], : table[at[0]]]).any(axis=1)
+        earlier = int(table[at[0]])
+        if len(u) and earlier:
+            signs = np.unpackbits(packed[at], axis=1, count=bits * tables).reshape(len(at), tables, bits)[:, :earlier]
+            keys = (signs.astype(np.int64) << np.arange(bits)[None, None]).sum(axis=2)
+            new = np.concatenate([~(keys[u[i : i + 65536]] == keys[w[i : i + 65536]]).any(axis=1) for i in range(0, len(u), 65536)])
             u, w = u[new], w[new]
         if not len(u):
             continue
@@ -107,19 +117,20 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "vec_
 
     Vectors with equal, non-null labels and equal lengths are linked if their cosine (doubles) is at least
     `cosine`. Null, empty and all-zero vectors, and such with null or non-finite parts, link with nothing.
-    Exact copies are one node with a count, so they cost one row, and count as each other's links. Repeated rows
-    are copies. Nodes that share a bucket of some table are compared exactly; a pair counts in the first table
+    Exact copies (equal 128-bit hashes) are one node with a count, so they cost one row, and count as each other's
+    links. Repeated rows are copies. Nodes that share a bucket of some table are compared exactly; a pair counts in the first table
     where it meets, so each link once. A bucket of any size is dealt to blocks, and each pair of blocks is one
     group of at most about 2 * BLOCK vectors: no task gets a whole large bucket, and no pair is a row. A pair
-    just at the limit is missed with probability MISS.
+    just at the limit is missed with probability MISS. Per table a node shuffles its vector (floats as floats) and
+    its packed signs, once for each block that it is compared with; buckets of CHANCE_MEMBERS keep the tables few.
     """
     rows = cut(clean(vectors, vec_id, embedding, label), "vectors")
-    nodes = rows.where("v is not null").groupBy("label", "v").agg(F.min("row").alias("node"), F.count("row").alias("copies"), F.min("vec_id").alias("first_id"))
+    nodes = rows.where("key is not null").groupBy("key").agg(F.min("row").alias("node"), F.any_value("label").alias("label"), F.any_value("v").alias("v"), F.count("row").alias("copies"), F.min("vec_id").alias("first_id"))
     nodes = cut(nodes, "vector-nodes")
     largest = nodes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     bits, tables = plan_tables(largest, cosine)
-    kind = dict(nodes.dtypes)["label"]
-    signed = nodes.select("node", "label", "v", "copies").mapInArrow(signer(bits, tables), f"node long, label {kind}, v array<double>, copies long, width int, table int, bucket long, keys array<int>")
+    kind = dict(nodes.dtypes)
+    signed = nodes.select("node", "label", "v", "copies").mapInArrow(signer(bits, tables), f"node long, label {kind['label']}, v {kind['v']}, copies long, width int, table int, bucket long, signs binary")
     key = ["table", "bucket", "label", "width"]
     large = cut(signed.groupBy(*key).agg(F.count("node").alias("members")).where(F.col("members") > BLOCK).select(*key, F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "vector-buckets")
     met = signed.withColumn("blocks", F.lit(1)) if large.isEmpty() else signed.join(large, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -128,16 +139,15 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "vec_
     # Many small buckets make one group, so that a group is about GROUP rows of work.
     groups = max(1, math.ceil(nodes.count() * tables / GROUP))
     met = met.withColumn("group", F.pmod(F.xxhash64(*key, "low", "high"), F.lit(groups)))
-    found = met.groupBy("group").applyInArrow(lambda rows: bucket_links(rows.drop(["group"]), cosine), "node long, links long, root long")
+    found = met.groupBy("group").applyInArrow(lambda rows: bucket_links(rows.drop(["group"]), cosine, bits, tables), "node long, links long, root long")
     found = cut(found, "vector-links")
     labels = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")), "vector")
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = nodes.join(counted, "node", "left").join(labels.select(F.col("node").alias("n"), "component"), F.col("node") == F.col("n"), "left").withColumn("component", F.coalesce("component", "node"))
     smallest = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    known = joined.join(smallest, "component").select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    known = known.select(F.col("label").alias("l"), F.col("v").alias("w"), "n_links", "component_id")
-    out = rows.join(known, (rows.label == known.l) & (rows.v == known.w), "left")
-    smallest_id = F.when(F.col("v").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    known = joined.join(smallest, "component").select(F.col("key").alias("node_key"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    out = rows.drop("v", "label").join(known, F.col("key") == F.col("node_key"), "left")
+    smallest_id = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), smallest_id.alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
