@@ -9,8 +9,10 @@ from .common import cut, words
 
 #: Weights of the sources in code-point order, repeating; share of all tokens that the mix has; most times that a token is used.
 WEIGHTS, SHARE, REPEATS = (5.0, 2.0, 1.0), 1.5, 2
-#: Slots that a schedule has at most: a block is 1 / 2^SLOT_BITS of the mix; what a source's blocks lack or have over its target is set right by words.
-SLOT_BITS = 17
+#: Words of a block, at any size of the corpus; what a source's blocks lack or have over its target is set right by words.
+BLOCK = 1024
+#: Slots whose ranks are counted together; bits of the cells by which slots find their source.
+CHUNK, CELL_BITS = 1 << 16, 12
 #: Sources up to this many are broadcast.
 MAX_BROADCAST = 10_000
 #: Hexadecimal digits of the shuffle key that a source's documents are first dealt by.
@@ -52,38 +54,38 @@ def schedule(spark: SparkSession, goals: DataFrame) -> DataFrame:
 
     Slot k's van der Corput point (k's bits reversed, as a fraction) falls into one source's part of the
     cumulative targets. A source's slots are ranked in order, rank r takes its block r modulo its blocks, and
-    ranks beyond REPEATS passes are empty. Ranks are counted by chunks of slots, so that a source with most of
-    the slots is many tasks' work. The number of slots is bounded: 2^SLOT_BITS at most. A point is a whole number
-    of 2^bits, so a source's part is a run of such numbers, and slots find their source by an equi-join.
+    ranks beyond REPEATS passes are empty. There is a slot per BLOCK words of the mix, so they grow with it. A
+    point finds its source by an equi-join of cells, of which each source's part covers a run (2^CELL_BITS and one
+    per source in all), and ranks are counted by chunks of slots, so that a source with most of the slots is many
+    tasks' work.
     """
-    one = goals.agg(F.coalesce(F.ceil(F.sum("target")), F.lit(0)).cast("long").alias("mix")).first()
-    mix = one.mix or 0
-    block = max(1, -(-mix // (1 << SLOT_BITS)))
-    count = -(-mix // block)
-    bits = max(1, (count - 1).bit_length())
-    order = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    parts = goals.where("target > 0").withColumn("high", F.sum("target").over(order))
-    by_source = Window.orderBy(F.col("source").asc_nulls_last())
-    parts = parts.select("source", F.ceil(F.col("source_size") / block).cast("long").alias("blocks"), ((F.col("high") - F.col("target")) / mix if mix else F.lit(0.0)).alias("low"))
-    parts = parts.withColumns({"part": F.row_number().over(by_source), "high": F.coalesce(F.lead("low").over(by_source), F.lit(1.0))})
-    first, end = (F.ceil(F.col(x) * (1 << bits)).cast("long") for x in ("low", "high"))
-    cells = parts.where(end > first).select("part", "source", "blocks", F.explode(F.sequence(first, end - 1)).alias("cell"))
-    cell = F.conv(F.reverse(F.lpad(F.bin("id"), bits, "0")), 2, 10).cast("long")
-    slots = spark.range(count).select(F.col("id").alias("slot"), cell.alias("cell")).join(cells, "cell").withColumn("chunk", F.floor(F.col("slot") / 1024))
-    ranked = slots.withColumn("in_chunk", F.row_number().over(Window.partitionBy("part", "chunk").orderBy("slot")) - 1)
+    mix = goals.agg(F.coalesce(F.ceil(F.sum("target")), F.lit(0)).cast("long").alias("mix")).first().mix or 0
+    count = -(-mix // BLOCK)
+    bits = max(CELL_BITS, (count - 1).bit_length())
+    order = Window.orderBy(F.col("source").asc_nulls_last())
+    parts = goals.where("target > 0").withColumn("high", F.sum("target").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    low = (F.col("high") - F.col("target")) / F.lit(float(max(mix, 1)))
+    parts = parts.select("source", F.ceil(F.col("source_size") / BLOCK).cast("long").alias("blocks"), F.ceil(low * float(1 << bits)).cast("long").alias("low"))
+    parts = parts.withColumns({"part": F.row_number().over(order), "high": F.coalesce(F.lead("low").over(order), F.lit(1 << bits).cast("long"))}).where("high > low")
+    cell = lambda place: F.shiftright(place, bits - CELL_BITS)
+    parts = parts.withColumn("cell", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high") - 1))))
+    place = F.conv(F.reverse(F.lpad(F.bin("id"), bits, "0")), 2, 10).cast("long")
+    slots = spark.range(count).select(F.col("id").alias("slot"), place.alias("place")).withColumn("cell", cell(F.col("place")))
+    slots = slots.join(parts, "cell").where("place >= low and place < high").select("part", "source", "blocks", "slot", F.floor(F.col("slot") / CHUNK).alias("chunk"))
     chunks = slots.groupBy("part", "chunk").agg(F.count("slot").alias("n"))
     before = Window.partitionBy("part").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.select("part", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    ranked = slots.withColumn("in_chunk", F.row_number().over(Window.partitionBy("part", "chunk").orderBy("slot")) - 1)
     ranked = ranked.join(chunks, ["part", "chunk"]).withColumn("rank", F.col("before") + F.col("in_chunk"))
     taken = ranked.where(F.col("rank") < F.col("blocks") * REPEATS)
-    return taken.groupBy("source", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.count("slot").alias("times")).withColumn("block_size", F.lit(block).cast("long"))
+    return taken.groupBy("source", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.count("slot").alias("times"))
 
 
-def remainders(goals: DataFrame, plan: DataFrame, block: int) -> DataFrame:
+def remainders(goals: DataFrame, plan: DataFrame) -> DataFrame:
     """goals plus low, high and sign: a source takes its stream's words in order, pass after pass; those from low to high are yet to be taken (1) or taken too much (-1)."""
     slots = plan.groupBy(F.col("source").alias("slot_source")).agg(F.sum("times").alias("n"))
-    n, blocks = F.coalesce("n", F.lit(0)), F.greatest(F.ceil(F.col("source_size") / block), F.lit(1)).cast("long")
-    done = F.floor(n / blocks) * F.col("source_size") + F.least((n % blocks) * block, "source_size")
+    n, blocks = F.coalesce("n", F.lit(0)), F.greatest(F.ceil(F.col("source_size") / BLOCK), F.lit(1)).cast("long")
+    done = F.floor(n / blocks) * F.col("source_size") + F.least((n % blocks) * BLOCK, "source_size")
     rows = goals.join(slots, goals.source.eqNullSafe(slots.slot_source), "left").withColumns({"done": done.cast("long"), "goal": F.least(F.round("target").cast("long"), F.col("source_size") * REPEATS)})
     return rows.select(*goals.columns, F.least("done", "goal").alias("low"), F.greatest("done", "goal").alias("high"), F.signum(F.col("goal") - F.col("done")).cast("long").alias("sign"))
 
@@ -114,15 +116,14 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     sizes = cut(sized(docs, doc_id, text, source), "sizes")
     goals = cut(targets(sizes), "targets")
     plan = cut(schedule(docs.sparkSession, goals), "plan")
-    block = plan.select(F.max("block_size").alias("b")).first().b or 1
     rows = cut(streamed(sizes).withColumn("row", F.monotonically_increasing_id()), "stream")
-    reach = F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))
+    reach = F.sequence(F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK))
     pieces = rows.where("size > 0").select("row", "source", "start", "size", F.explode(reach).alias("block"))
-    pieces = pieces.withColumn("words", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block))
+    pieces = pieces.withColumn("words", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK) - F.greatest("start", F.col("block") * BLOCK))
     whole_plan = plan
     plan = plan.select(F.col("source").alias("plan_source"), F.col("block").alias("plan_block"), "times")
     used = pieces.join(plan, pieces.source.eqNullSafe(plan.plan_source) & (pieces.block == plan.plan_block)).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    goals = cut(remainders(goals, whole_plan, block), "remainders").withColumnRenamed("source", "goal_source").withColumnRenamed("source_size", "total")
+    goals = cut(remainders(goals, whole_plan), "remainders").withColumnRenamed("source", "goal_source").withColumnRenamed("source_size", "total")
     goals = F.broadcast(goals) if goals.count() <= MAX_BROADCAST else goals
     out = rows.join(used, "row", "left").join(goals, rows.source.eqNullSafe(goals.goal_source))
     passes = [F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), F.col("high") - F.col("total") * k) - F.greatest("start", F.col("low") - F.col("total") * k)) for k in range(REPEATS)]
