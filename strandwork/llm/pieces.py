@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,16 +17,20 @@ from pyspark.sql import functions as F
 #: The public vocabulary file that the query uses; a parameter, never copied.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: A marked word: marks and what follows them up to the next mark. No piece of the vocabulary has a mark after another character.
-MARKED = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-#: What an unknown character costs below the least score; distinct words that a task remembers between batches.
-UNKNOWN, REMEMBERED = 10.0, 120_000
-#: Characters that are in work at a time; a longer text is in work alone.
-IN_WORK = 500_000
+#: A marked word: spaces (the marks) and what follows them up to the next space. No piece of the vocabulary has a mark after another character.
+MARKED = re.compile(" +[^ ]*|[^ ]+")
+#: What an unknown character costs below the least score; distinct words after which a task's memory of words ages (twice as many are held at most).
+UNKNOWN, REMEMBERED = 10.0, 250_000
+#: Bytes of text that are in work at a time; a longer text is in work alone.
+IN_WORK = 6_000_000
 
 
 class Vocabulary:
-    """Pieces and scores of a SentencePiece file, as a trie of dictionaries; with byte pieces for unknown characters."""
+    """Pieces and scores of a SentencePiece file, as a trie of dictionaries; with byte pieces for unknown characters.
+
+    A mark is held as the space that it stands for, so that a text's own U+2581 is an unknown character, which byte
+    pieces spell, and comes back as itself.
+    """
 
     def __init__(self, path: str):
         import sentencepiece
@@ -39,56 +44,75 @@ class Vocabulary:
         self.trie: dict = {}
         for i in usual:
             node = self.trie
-            for c in self.pieces[i]:
+            for c in self.pieces[i].replace(MARK, " "):
                 node = node.setdefault(c, {})
             node[""] = (model.get_score(i), i)
         self.byte_of = {i: b for b, i in self.bytes.items()}
+        self.spelled = [p.replace(MARK, " ") for p in self.pieces]
+
+        self.unseen = (1, self.least - UNKNOWN, self.unknown)
+        self.start: list = [{}, (), ()]
+        self.states: dict[int, list] = {}
+
+    def step(self, state: list, c: str) -> list:
+        """The state after one more character, made when it is first needed.
 
-    def encode_words(self, words: list[str]) -> dict[str, list[int]]:
+        A state stands for all walks through the vocabulary that are alive at a place of a word: transitions, the
+        pieces that end there (length, score, number; longest first), and the walks (length, trie node). The
+        longest walk determines the others, so there are no more states than trie nodes.
+        """
+        alive = [(n + 1, node[c]) for n, node in (*state[2], (0, self.trie)) if c in node]
+        if not alive:
+            return self.start
+        found = self.states.get(id(alive[0][1]))
+        if found is None:
+            found = self.states[id(alive[0][1])] = [{}, tuple((n, *node[""]) for n, node in alive if "" in node), tuple(alive)]
+        state[0][c] = found
+        return found
+
+    def encode_words(self, words: list[str]) -> dict[str, tuple[int, ...]]:
         """Best segmentation of each word: the largest sum of scores; of equal ones the first found from the left.
 
         The words are sorted, so that they come as a depth-first walk of their trie: what a word shares with the one
-        before it, forward scores and where the vocabulary's walks from each start stand, is kept on a stack.
+        before it, forward scores and where the vocabulary's walks stand, is kept on a stack.
         """
-        out: dict[str, list[int]] = {}
-        trie, cost = self.trie, self.least - UNKNOWN
-        best, back, last = [0.0], [(0, -1)], ""
-        walks: list[list] = [[]]  # at each depth: (start, place in the vocabulary) of the walks still alive
+        out: dict[str, tuple[int, ...]] = {}
+        cost, unseen, last = self.unseen[1], self.unseen, ""
+        best, back, states = [0.0], [unseen], [self.start]
         for word in sorted(set(words)):
             depth, limit = 0, min(len(word), len(last))
             while depth < limit and word[depth] == last[depth]:
                 depth += 1
-            del best[depth + 1 :], back[depth + 1 :], walks[depth + 1 :]
+            del best[depth + 1 :], back[depth + 1 :], states[depth + 1 :]
+            state = states[depth]
             for at in range(depth, len(word)):
                 c = word[at]
-                score, piece, alive = best[at] + cost, (at, self.unknown), []
-                for start, node in (*walks[at], (at, trie)):
-                    found = node.get(c)
-                    if found is not None:
-                        alive.append((start, found))
-                        end = found.get("")
-                        if end is not None:
-                            s = best[start] + end[0]
-                            if s > score or s == score and piece[1] == self.unknown:
-                                score, piece = s, (start, end[1])
+                state = state[0].get(c) or self.step(state, c)
+                score, piece = best[at] + cost, unseen
+                for found in state[1]:
+                    s = best[at + 1 - found[0]] + found[1]
+                    if s > score or s == score and piece is unseen:
+                        score, piece = s, found
                 best.append(score)
                 back.append(piece)
-                walks.append(alive)
+                states.append(state)
             ids, at = [], len(word)
             while at:
-                start, i = back[at]
-                if i == self.unknown and self.bytes:
-                    ids += [self.bytes[b] for b in reversed(word[start:at].encode("utf-8", "surrogatepass"))]
+                piece = back[at]
+                at -= piece[0]
+                if piece is unseen and self.bytes:
+                    ids += [self.bytes[b] for b in reversed(word[at].encode("utf-8", "surrogatepass"))]
                 else:
-                    ids.append(i)
-                at = start
+                    ids.append(piece[2])
             ids.reverse()
-            out[word] = ids
+            out[word] = tuple(ids)
             last = word
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        """Text of the pieces: runs of byte pieces are UTF-8, marks are spaces, the first mark is the dummy prefix."""
+    def spell(self, ids: Sequence[int]) -> str:
+        """What pieces spell: runs of byte pieces are UTF-8, marks are spaces."""
+        if self.byte_of.keys().isdisjoint(ids):
+            return "".join([self.spelled[i] for i in ids])
         parts, run = [], bytearray()
         for i in ids:
             if i in self.byte_of:
@@ -97,10 +121,14 @@ class Vocabulary:
                 if run:
                     parts.append(run.decode("utf-8", "replace"))
                     run = bytearray()
-                parts.append(self.pieces[i])
+                parts.append(self.spelled[i])
         if run:
             parts.append(run.decode("utf-8", "replace"))
-        text = "".join(parts).replace(MARK, " ")
+        return "".join(parts)
+
+    def decode(self, ids: Sequence[int]) -> str:
+        """Text of the pieces, without the dummy prefix (the first mark)."""
+        text = self.spell(ids)
         return text[1:] if text.startswith(" ") else text
 
 
@@ -125,29 +153,87 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, weight) -> Iterator[p
             start = stop
 
 
-def encoded(batches: Iterator[pa.RecordBatch], v: Vocabulary) -> Iterator[tuple[pa.Array, list[list[int]]]]:
-    """Per slice of (id, text) batches: the ids and each text's pieces."""
-    known: dict[str, list[int]] = {}
+def marked_words(texts: pa.Array) -> pa.Array:
+    """List of each text's marked words, each without its first mark; none for null and empty texts."""
+    texts = texts.take(pa.array(np.arange(len(texts))))  # a copy: pc.if_else reads beyond the start of a slice
+    texts = pc.if_else(pc.equal(pc.binary_length(texts), 0), None, texts)
+    runs = pc.fill_null(pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " ")), False)
+    plain = pc.split_pattern(pc.if_else(runs, None, texts), " ")
+    if not pc.any(runs).as_py():
+        return plain
+    # Runs of spaces belong to the word after them: these few texts are split by the pattern.
+    at = np.flatnonzero(runs.to_numpy(zero_copy_only=False))
+    odd = pa.array([[w[1:] for w in MARKED.findall(" " + t)] for t in texts.take(pa.array(at)).to_pylist()], plain.type)
+    place = np.arange(len(texts))
+    place[at] = len(texts) + np.arange(len(at))
+    return pa.concat_arrays([plain, odd]).take(pa.array(place))
+
+
+class Memory:
+    """Pieces of the words that a task met last, and what they decode to where that is not the word itself; two generations of bounded size."""
+
+    def __init__(self, v: Vocabulary):
+        self.v, self.young, self.old, self.other = v, {}, {}, {}
+
+    def of(self, words: list[str]) -> list[tuple[int, ...]]:
+        """Pieces of each marked word, given without its first mark."""
+        young, old = self.young, self.old
+        if len(young) > REMEMBERED:
+            self.old, self.young, self.other = young, {}, {w: t for w, t in self.other.items() if w in young}
+            young, old = self.young, self.old
+        new = []
+        for w in words:
+            if w not in young:
+                ids = old.get(w)
+                if ids is None:
+                    new.append(" " + w)
+                else:
+                    young[w] = ids
+        for marked, ids in self.v.encode_words(new).items():
+            young[marked[1:]] = ids
+            if (text := self.v.spell(ids)) != marked:
+                self.other[marked[1:]] = text
+        return [young[w] for w in words]
+
+    def decoded(self, words: list[str]) -> list[str]:
+        """The texts that the words' pieces decode to, with their first mark."""
+        return [self.other.get(w, " " + w) for w in words] if self.other else [" " + w for w in words]
+
+
+def encoded(batches: Iterator[pa.RecordBatch], v: Vocabulary) -> Iterator[tuple[pa.Array, pa.ListArray, pa.Array]]:
+    """Per slice of (id, text) batches: the ids, each text's pieces, and what they decode to.
+
+    Arrow splits the texts and numbers their distinct words; only words that the task doesn't remember are segmented,
+    and decoded from their pieces, in Python. No piece goes over a mark, so a text's pieces are its words' in order.
+    """
+    memory = Memory(v)
     for batch in slices(batches, 1, pc.binary_length):
-        texts = [MARKED.findall(MARK + t.replace(" ", MARK)) if t else [] for t in batch.column(1).to_pylist()]
-        new = {w for words in texts for w in words} - known.keys()
-        if len(known) + len(new) > REMEMBERED:
-            known, new = {}, {w for words in texts for w in words}
-        known |= v.encode_words(list(new))
-        yield batch.column(0), [[i for w in words for i in known[w]] for words in texts]
+        lists = marked_words(batch.column(1))
+        ends = np.concatenate(([0], np.cumsum(pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)))).astype(np.int32)
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        each = memory.of(words)
+        sizes = np.fromiter(map(len, each), np.int32, len(each))
+        flat = np.fromiter(chain.from_iterable(each), np.int32, int(sizes.sum()))
+        by_word = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat)).take(coded.indices)
+        to = np.concatenate(([0], np.cumsum(by_word.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int32)
+        pieces = pa.ListArray.from_arrays(pa.array(to[ends]), by_word.flatten())
+        spelled = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), pa.array(memory.decoded(words), pa.string()).take(coded.indices)), "")
+        yield batch.column(0), pieces, pc.utf8_slice_codeunits(spelled, 1)
 
 
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str = MODEL) -> DataFrame:
     """(doc_id, n_pieces, ids) per row of docs.
 
     A text gets a dummy prefix and its spaces become marks; no other normalisation (the file's is identity). Null
-    and empty texts have no pieces. Marked words are independent, as no piece goes over a mark, so each distinct
-    word of an Arrow batch is segmented once; a bounded memory carries words over to the task's next batches.
-    Row by row: no shuffle; whole texts.
+    and empty texts have no pieces; a null doc_id is as good as any, repeated rows are encoded alike, extra columns
+    are not read. A U+2581 of the text is no mark: byte pieces spell it. Marked words are independent, as no piece
+    goes over a mark, so each distinct word of a slice is segmented once; a bounded memory carries words over to
+    the task's next slices. Row by row: no shuffle; whole texts. The model file must lie at the same path on every executor.
     """
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, lists in encoded(batches, vocabulary(model)):
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(x) for x in lists], pa.int64()), pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "n_pieces", "ids"])
+        for ids, pieces, _ in encoded(batches, vocabulary(model)):
+            yield pa.RecordBatch.from_arrays([ids, pieces.value_lengths().cast(pa.int64()), pieces], names=["doc_id", "n_pieces", "ids"])
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(coded, "doc_id long, n_pieces long, ids array<int>")
 
@@ -172,11 +258,10 @@ def encode_and_back(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     model = model_path()
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(model)
-        for ids, lists in encoded(batches, v):
-            back = [v.decode(x) for x in lists]
+        for ids, pieces, back in encoded(batches, vocabulary(model)):
+            sums = [hashlib.md5(t).hexdigest() for t in back.cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([len(x) for x in lists], pa.int64()), pa.array(lists, pa.list_(pa.int32())), pa.array([len(t) for t in back], pa.int64()), pa.array([hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest() for t in back])],
+                [ids, pieces.value_lengths().cast(pa.int64()), pieces, pc.utf8_length(back).cast(pa.int64()), pa.array(sums, pa.string())],
                 names=["doc_id", "n_pieces", "ids", "decoded_chars", "decoded_md5"],
             )
 

@@ -69,3 +69,36 @@ def test_shared_prefixes(v):
 
 def test_empty(spark, empty_dir):
     assert P.op8_sentencepiece(spark, empty_dir).count() == 0
+
+
+def test_mark_of_the_text_comes_back(spark, v):
+    """U+2581 is no space; runs of spaces and spaces at the ends stay."""
+    texts = ["a ▁ b", "▁", "▁▁x ▁y", "  a   b  ", " ", "   ", "a ", "é▁ 日本", "", None, "x  ▁  y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in rows(P.encode_and_back(docs))}
+    back = {r["doc_id"]: r["text"] for r in rows(P.decode(P.encode(docs)))}
+    for k, t in enumerate(texts):
+        assert back[k] == (t or "") and v.decode(found[k]["ids"]) == (t or "")
+        assert found[k]["decoded_md5"] == hashlib.md5((t or "").encode()).hexdigest() and found[k]["decoded_chars"] == len(t or "")
+
+
+def test_memory_of_words_is_bounded(spark, monkeypatch, v):
+    import pyarrow as pa
+
+    monkeypatch.setattr(P, "REMEMBERED", 3)
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [k], "text": [f"w{k} the cat{k % 2} sat"]}) for k in range(6)]
+    for k, (_, pieces, back) in enumerate(P.encoded(iter(batches), v)):
+        assert back.to_pylist() == [f"w{k} the cat{k % 2} sat"] and v.decode(pieces[0].as_py()) == f"w{k} the cat{k % 2} sat"
+
+
+def test_slices_of_a_batch(spark, monkeypatch, v):
+    """Slices that start inside a batch read their own rows."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(P, "IN_WORK", 40)
+    texts = [None, "the first", "  é two", "", "日本 ▁", "last " * 30] * 7
+    out = []
+    for _, pieces, back in P.encoded(iter([pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})]), v):
+        assert [v.decode(p) for p in pieces.to_pylist()] == back.to_pylist()
+        out += back.to_pylist()
+    assert out == [t or "" for t in texts]
