@@ -5,7 +5,7 @@ from __future__ import annotations
 from .embedding_dedup import COSINE
 from .line_dedup import MIN_WORDS as MIN_RUN
 from .mixing import BLOCK, REPEATS, SHARE, WEIGHTS
-from .quality_rules import CLASSES, COMMON, MAX_CHARS, MAX_WORDS, MIN_REFERENCE, MIN_WORDS
+from .quality_rules import BANDS, CLASSES, COMMON, FAR_CHARS, FAR_WORDS, LEAST_CHARS, LEAST_WORDS, MAX_CHARS, MAX_WORDS, MIN_BAND, MIN_REFERENCE, MIN_WORDS, QUARTILE
 
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -40,11 +40,22 @@ s AS (
   SELECT lang AS ref_lang, sum(n_words) AS ref_words, [{', '.join(f'sum(chars[{i + 1}])' for i in range(len(CLASSES)))}]::BIGINT[] AS ref_chars,
    [{', '.join(f'sum(common[{i + 1}])' for i in range(len(COMMON) + 1))}]::BIGINT[] AS ref_common
   FROM f GROUP BY GROUPING SETS ((lang), ()) HAVING lang IS NOT NULL OR grouping(lang) = 1),
-j AS (SELECT f.*, ref_words, {_distance('chars', 'ref_chars')} AS chars_js, {_distance('common', 'ref_common')} AS words_js FROM f LEFT JOIN s ON f.lang IS NOT DISTINCT FROM s.ref_lang)
+j AS (SELECT f.*, ref_words, {_distance('chars', 'ref_chars')} AS chars_js, {_distance('common', 'ref_common')} AS words_js FROM f LEFT JOIN s ON f.lang IS NOT DISTINCT FROM s.ref_lang),
+-- limits: median and quartiles of the distances, by language and half octave of length; copies count once
+o AS (SELECT DISTINCT lang, n_words, floor(log2(n_words) * {BANDS}) AS band, chars_js, words_js FROM j WHERE n_words >= {MIN_WORDS} AND ref_words >= {MIN_REFERENCE}),
+q AS (
+ SELECT lang, band, grouping(lang) = 1 AS whole, count(*) AS docs, quantile_cont(round(chars_js, 4), [0.25, 0.5, 0.75]) AS c, quantile_cont(round(words_js, 4), [0.25, 0.5, 0.75]) AS w
+ FROM (SELECT * FROM o WHERE lang IS NOT NULL) GROUP BY GROUPING SETS ((lang, band), (band))
+ UNION ALL SELECT NULL, band, false, count(*), quantile_cont(round(chars_js, 4), [0.25, 0.5, 0.75]), quantile_cont(round(words_js, 4), [0.25, 0.5, 0.75]) FROM o WHERE lang IS NULL GROUP BY band),
+t AS (
+ SELECT lang, band, whole, CASE WHEN docs >= {MIN_BAND} THEN c[2] + {FAR_CHARS} * greatest((c[3] - c[2]) / {QUARTILE}, {LEAST_CHARS} * c[2]) END AS far_chars,
+  CASE WHEN docs >= {MIN_BAND} THEN w[2] + {FAR_WORDS} * greatest((w[2] - w[1]) / {QUARTILE}, {LEAST_WORDS} * w[2]) END AS far_words FROM q),
+v AS (SELECT lang, band, last_value(far_chars IGNORE NULLS) OVER k AS far_chars, last_value(far_words IGNORE NULLS) OVER k AS far_words FROM t WHERE NOT whole WINDOW k AS (PARTITION BY lang ORDER BY band)),
+m AS (SELECT v.lang, v.band, coalesce(v.far_chars, CASE WHEN v.lang IS NOT NULL THEN t.far_chars END) AS far_chars, coalesce(v.far_words, CASE WHEN v.lang IS NOT NULL THEN t.far_words END) AS far_words FROM v LEFT JOIN t ON t.whole AND t.band = v.band)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, chars_js, words_js,
  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
- NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT coalesce(n_words >= {MIN_WORDS} AND ref_words >= {MIN_REFERENCE} AND (chars_js > {MAX_CHARS} OR words_js > {MAX_WORDS}), false) AS kept
-FROM j
+ NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT coalesce(n_words >= {MIN_WORDS} AND ref_words >= {MIN_REFERENCE} AND (chars_js > least({MAX_CHARS}, coalesce(far_chars, {MAX_CHARS})) OR words_js > least({MAX_WORDS}, coalesce(far_words, {MAX_WORDS}))), false) AS kept
+FROM j LEFT JOIN m ON j.lang IS NOT DISTINCT FROM m.lang AND m.band = CASE WHEN n_words > 0 THEN floor(log2(n_words) * {BANDS}) END
 """
 
 MIXING = rf"""
