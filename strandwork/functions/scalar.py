@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Features of a spot by kind, as the feature table names them.
 SHAPE = ("radius", "eccentricity_first", "eccentricity_second", "eccentricity_third", "local_density", "surface_area")
 DYNAMIC = ("speed", "motion_angle_z", "motion_angle_y", "motion_angle_x", "acceleration", "distance_cell_mask", "radial_angle_z", "radial_angle_y", "radial_angle_x", "cell_axis_z", "cell_axis_y", "cell_axis_x", "msd")
 

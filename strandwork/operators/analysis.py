@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import lineage, space
+from . import blocks, lineage, space
 
 
 def ensemble_average(rows: DataFrame, features: Sequence[str], cell_type: str = "cell_type", key: str = "head") -> DataFrame:
@@ -33,10 +33,13 @@ def ergodicity_gap(rows: DataFrame, features: Sequence[str], delta: int, cell_ty
 
 
 def cloud_distance(truth: DataFrame, found: DataFrame, gate: float) -> DataFrame:
-    """(track_id, other_id, cost) of tracks with points within gate in one frame: the larger of the two mean nearest-point distances, points without a partner counting the gate."""
+    """(track_id, other_id, cost) of tracks with points within gate in one frame: the larger of the two mean nearest-point distances, points without a partner counting the gate.
+
+    Nearest distances are added up in whole units of 1e-9, so that a cost does not depend on the order of its rows.
+    """
     pairs = space.within(truth.select("spot_id", "track_id", "frame", *space.AXES), found.select("spot_id", "track_id", "frame", *space.AXES), gate)
     sizes = lambda df, k: df.groupBy(F.col("track_id").alias(k)).agg(F.count("*").alias(f"{k}_n"))
-    near = lambda side, name: pairs.groupBy("q_track_id", "p_track_id", f"{side}_spot_id").agg(F.min("distance").alias("d")).groupBy("q_track_id", "p_track_id").agg(F.sum("d").alias(f"{name}_sum"), F.count("*").alias(f"{name}_hit"))
+    near = lambda side, name: pairs.groupBy("q_track_id", "p_track_id", f"{side}_spot_id").agg(F.round(F.min("distance") * 1e9).cast("long").alias("d")).groupBy("q_track_id", "p_track_id").agg((F.sum("d") / 1e9).alias(f"{name}_sum"), F.count("*").alias(f"{name}_hit"))
     both = near("q", "a").join(near("p", "b"), ["q_track_id", "p_track_id"]).join(sizes(truth, "q_track_id"), "q_track_id").join(sizes(found, "p_track_id"), "p_track_id")
     mean = lambda n, k: (F.col(f"{n}_sum") + (F.col(f"{k}_n") - F.col(f"{n}_hit")) * gate) / F.col(f"{k}_n")
     return both.select(F.col("q_track_id").alias("track_id"), F.col("p_track_id").alias("other_id"), F.greatest(mean("a", "q_track_id"), mean("b", "p_track_id")).alias("cost"))
@@ -75,8 +78,9 @@ def cycle_accuracy(lives: DataFrame, other: DataFrame, factor: int = 1) -> DataF
     return gaps.agg((1 - F.max(F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb")))).alias("accuracy"))
 
 
-def complete_tracks(assigned: DataFrame, spans: DataFrame, others: DataFrame) -> DataFrame:
-    """(complete): twice the assigned pairs with equal first and last frame over all tracks of both; spans are (track_id, start, stop)."""
+def complete_tracks(assigned: DataFrame, spans: DataFrame, others: DataFrame, factor: int = 1) -> DataFrame:
+    """(complete): twice the assigned pairs with equal first and last frame over all tracks of both; spans are (track_id, start, stop); others' frames times factor."""
+    others = others.withColumns({c: F.col(c) * factor for c in ("start", "stop")})
     pairs = assigned.join(spans, "track_id").join(others.select(F.col("track_id").alias("other_id"), F.col("start").alias("s2"), F.col("stop").alias("e2")), "other_id")
     n = pairs.agg(F.count_if((F.col("start") == F.col("s2")) & (F.col("stop") == F.col("e2"))).alias("n"))
     return n.join(spans.agg(F.count("*").alias("na")), F.lit(True)).join(others.agg(F.count("*").alias("nb")), F.lit(True)).select((2 * F.col("n") / (F.col("na") + F.col("nb"))).alias("complete"))
@@ -155,9 +159,26 @@ def follow(sources: DataFrame, moves: DataFrame, radius: float, steps: int, key:
     return out
 
 
+def track_clouds(spots: DataFrame) -> DataFrame:
+    """(track_id, n, frame, z, y, x): each track's points, with the number of them."""
+    sizes = spots.groupBy("track_id").agg(F.count("*").alias("n"))
+    return spots.select("track_id", "frame", *space.AXES).join(sizes, "track_id")
+
+
+def downsample_time(spots: DataFrame, factor: int) -> DataFrame:
+    """spots with their frames times factor: a tracking of every factor-th frame set beside one of all."""
+    return spots.withColumn("frame", F.col("frame") * factor)
+
+
 def xy_drift(steps: DataFrame, axes: Sequence[str] = ("y", "x")) -> DataFrame:
-    """(frame, drift per axis): the median step of linked spots into each frame, added up from the first frame's 0."""
-    shift = steps.groupBy(F.col("to_frame").alias("frame")).agg(*[F.median(f"d{c}").alias(f"_{c}") for c in axes])
+    """(frame, drift per axis): the median step of linked spots into each frame, added up from the first frame's 0.
+
+    Medians are exact and found by ranks over range partitions, so that a frame of any size is many tasks' work.
+    """
+    shift = None
+    for c in axes:
+        one = blocks.quantiles(steps.select(F.col("to_frame").alias("frame"), f"d{c}"), ["frame"], f"d{c}", {f"_{c}": 0.5})
+        shift = one if shift is None else shift.join(one, "frame")
     run = Window.orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)  # one row per frame
     first = steps.agg(F.min("from_frame").alias("frame")).select("frame", *[F.lit(0.0).alias(f"_{c}") for c in axes])
     return shift.unionByName(first).select("frame", *[F.sum(f"_{c}").over(run).alias(f"drift_{c}") for c in axes])
@@ -174,7 +195,7 @@ def rotation_drift(steps: DataFrame, spots: DataFrame, centre: tuple[float, floa
 
 def apply_translation(spots: DataFrame, drift: DataFrame, axes: Sequence[str] = ("y", "x")) -> DataFrame:
     """spots with each frame's drift taken off; frames without one stay."""
-    return spots.join(F.broadcast(drift), "frame", "left").withColumns({c: F.col(c) - F.coalesce(f"drift_{c}", F.lit(0.0)) for c in axes}).drop(*[f"drift_{c}" for c in axes])
+    return spots.join(drift, "frame", "left").withColumns({c: F.col(c) - F.coalesce(f"drift_{c}", F.lit(0.0)) for c in axes}).drop(*[f"drift_{c}" for c in axes])
 
 
 def apply_rotation(spots: DataFrame, rotation: DataFrame, centre: tuple[float, float]) -> DataFrame:
@@ -182,15 +203,16 @@ def apply_rotation(spots: DataFrame, rotation: DataFrame, centre: tuple[float, f
     cy, cx = centre
     r = -F.coalesce("rotation", F.lit(0.0))
     dy, dx = F.col("y") - cy, F.col("x") - cx
-    return spots.join(F.broadcast(rotation), "frame", "left").withColumns({"y": F.sin(r) * dx + F.cos(r) * dy + cy, "x": F.cos(r) * dx - F.sin(r) * dy + cx}).drop("rotation")
+    return spots.join(rotation, "frame", "left").withColumns({"y": F.sin(r) * dx + F.cos(r) * dy + cy, "x": F.cos(r) * dx - F.sin(r) * dy + cx}).drop("rotation")
 
 
 def crop_common(spots: DataFrame, drift: DataFrame, size: tuple[float, float]) -> DataFrame:
-    """Spots (already shifted) within the area (y, x) that is valid in every frame."""
+    """Spots (already shifted) within the area (y, x) that is valid in every frame; its bounds count to 9 places, so that a sum's last bit moves no spot out."""
     ends = drift.agg(*[f(f"drift_{c}").alias(f"{n}_{c}") for c in ("y", "x") for f, n in ((F.min, "lo"), (F.max, "hi"))])
     df = spots.join(F.broadcast(ends), F.lit(True))
     for c, s in zip(("y", "x"), size):
-        df = df.where((F.col(c) >= F.greatest(F.lit(0.0), -F.col(f"lo_{c}"))) & (F.col(c) <= s - F.greatest(F.lit(0.0), F.col(f"hi_{c}"))))
+        low, high = F.round(F.greatest(F.lit(0.0), -F.col(f"lo_{c}")), 9), F.round(s - F.greatest(F.lit(0.0), F.col(f"hi_{c}")), 9)
+        df = df.where((F.col(c) >= low) & (F.col(c) <= high))
     return df.drop("lo_y", "hi_y", "lo_x", "hi_x")
 
 

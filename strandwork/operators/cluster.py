@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import in_blocks
 from .lineage import saved
 
 
@@ -27,7 +30,7 @@ def vector_distance(a: Column, b: Column, metric: str = "euclidean", skip: int =
 
 
 def pairwise_distance(vectors: DataFrame, by: Sequence[str], metric: str = "euclidean", key: str = "id") -> DataFrame:
-    """(by, a, b, distance) of all pairs a < b within a group: an equi-join on the group, which is a frame, a label or a block of ids."""
+    """(by, a, b, distance) of all pairs a < b within a group: that is the result that it is asked for. What only needs near pairs, sums or the nearest goes by in_blocks()."""
     a = vectors.select(*by, F.col(key).alias("a"), F.col("vector").alias("_u"))
     b = vectors.select(*by, F.col(key).alias("b"), F.col("vector").alias("_v"))
     return a.join(b, list(by)).where("a < b").select(*by, "a", "b", vector_distance(F.col("_u"), F.col("_v"), metric).alias("distance"))
@@ -46,9 +49,42 @@ def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             return state
 
 
+def matrix(a: pd.Series, b: pd.Series, metric: str = "euclidean") -> np.ndarray:
+    """Distances of every vector of a from every vector of b, as vector_distance() has them."""
+    u, v = np.array(a.tolist(), float), np.array(b.tolist(), float)
+    if metric == "cosine":
+        norms = np.sqrt((u * u).sum(axis=1))[:, None] * np.sqrt((v * v).sum(axis=1))[None, :]
+        return np.where(norms > 0, 1 - (u @ v.T) / np.where(norms > 0, norms, 1), 0.0)
+    return np.sqrt(np.maximum(np.array([((v - row) ** 2).sum(axis=1) for row in u]), 0.0))
+
+
 def threshold_clusters(vectors: DataFrame, by: Sequence[str], limit: float, metric: str = "euclidean") -> DataFrame:
-    """(id, cluster): components of pairs closer than limit: the single-linkage tree cut at that distance."""
-    return connected(pairwise_distance(vectors, by, metric).where(F.col("distance") < limit), vectors)
+    """(id, cluster): components of pairs closer than limit: the single-linkage tree cut at that distance.
+
+    Blocks of a group are compared as matrices and give one link to each row that is near some other: a row's links within
+    one pair of blocks come down to a spanning forest of them, so pairs are not rows.
+    """
+    def links(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        near = matrix(a["vector"], b["vector"], metric) < limit
+        left, right = a["id"].to_numpy(), b["id"].to_numpy()
+        u, v = np.nonzero(near & (left[:, None] != right[None, :]))
+        order, n = np.full(len(left) + len(right), -1), len(left)
+        for s in range(n):  # breadth first over both sides: each row that is reached gives one link
+            if order[s] < 0 and near[s].any():
+                order[s], queue = s, [s]
+                while queue:
+                    at = queue.pop()
+                    new = [n + k for k in np.flatnonzero(near[at]) if order[n + k] < 0] if at < n else [k for k in np.flatnonzero(near[:, at - n]) if order[k] < 0]
+                    for k in new:
+                        order[k] = at
+                    queue += new
+        every = np.concatenate((left, right))
+        at = np.flatnonzero((order >= 0) & (order != np.arange(len(order))))
+        out = pd.DataFrame({"a": every[order[at]], "b": every[at]})
+        return out[out["a"] != out["b"]] if len(u) else out.iloc[:0]
+
+    rows = vectors.select(*by, "id", "vector")
+    return connected(in_blocks(rows, rows, by, links, "a long, b long"), vectors)
 
 
 def k_clusters(vectors: DataFrame, k: int, metric: str = "euclidean", seed: int = 1, bisecting: bool = False) -> DataFrame:
@@ -65,7 +101,7 @@ def centroids(rows: DataFrame, label: str = "cluster") -> DataFrame:
 
 
 def _to_centre(rows: DataFrame, label: str) -> DataFrame:
-    return rows.join(F.broadcast(centroids(rows, label).withColumnRenamed("vector", "_m")), label).withColumn("_d", vector_distance(F.col("vector"), F.col("_m")))
+    return rows.join(centroids(rows, label).withColumnRenamed("vector", "_m"), label).withColumn("_d", vector_distance(F.col("vector"), F.col("_m")))
 
 
 def wcss(rows: DataFrame, label: str = "cluster") -> DataFrame:
@@ -78,18 +114,29 @@ def spread(rows: DataFrame, label: str = "cluster") -> DataFrame:
     return _to_centre(rows, label).groupBy(label).agg(F.avg("_d").alias("spread"))
 
 
+def position_spread(rows: DataFrame, label: str = "cluster", axes: Sequence[str] = ("z", "y", "x")) -> DataFrame:
+    """(label, spread): mean distance of the label's places to their mean."""
+    return spread(rows.where(F.col(label).isNotNull()).select(label, F.array(*[F.col(c).cast("double") for c in axes]).alias("vector")), label)
+
+
 def silhouette(rows: DataFrame, metric: str = "euclidean", label: str = "cluster", key: str = "id") -> DataFrame:
     """(silhouette): mean over rows of (nearest other label's mean distance - own) / the larger; 0 for labels of one row.
 
-    Per row and label one mean: a block join on a constant group, for the bounded samples that scores are made on.
+    Pairs of blocks are compared as matrices and give sums of distances per row and label, which are added up: no pair is a row.
     """
-    one = rows.withColumn("_g", F.lit(1))
-    half = pairwise_distance(one, ["_g"], metric, key)
-    sides = half.select(F.col("a").alias("p"), F.col("b").alias("o"), "distance").union(half.select("b", "a", "distance"))
-    labels = rows.select(F.col(key).alias("o"), F.col(label).alias("lo"))
-    means = sides.join(labels, "o").groupBy("p", "lo").agg(F.avg("distance").alias("d"))
-    own = rows.select(F.col(key).alias("p"), F.col(label).alias("lp"))
-    both = means.join(own, "p").groupBy("p").agg(F.max(F.when(F.col("lo") == F.col("lp"), F.col("d"))).alias("a"), F.min(F.when(F.col("lo") != F.col("lp"), F.col("d"))).alias("b"))
+    flat = rows.select(F.lit(0).alias("_all"), F.col(key).alias("id"), F.when(F.col(label).isNotNull(), F.xxhash64(label)).alias("label"), "vector").where("label is not null")
+
+    def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        d = matrix(a["vector"], b["vector"], metric)
+        d[a["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :]] = np.nan  # a row is no neighbour of its own
+        parts = []
+        for other, at in b.groupby("label").indices.items():
+            parts.append(pd.DataFrame({"id": a["id"], "own": a["label"], "other": other, "total": np.nansum(d[:, at], axis=1), "n": (~np.isnan(d[:, at])).sum(axis=1)}))
+        return pd.concat(parts, ignore_index=True)
+
+    found = in_blocks(flat, flat, ["_all"], sums, f"id {dict(flat.dtypes)['id']}, own long, other long, total double, n long")
+    means = found.groupBy("id", "own", "other").agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0))).alias("d"))
+    both = means.groupBy("id").agg(F.max(F.when(F.col("other") == F.col("own"), F.col("d"))).alias("a"), F.min(F.when(F.col("other") != F.col("own"), F.col("d"))).alias("b"))
     return both.agg(F.avg(F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0))).alias("silhouette"))
 
 
@@ -120,23 +167,28 @@ def three_view_clusters(views: dict[str, DataFrame], k: int, metric: str = "eucl
     return out
 
 
-def classify_knn(rows: DataFrame, labelled: DataFrame, k: int, by: Sequence[str] = (), label: str = "label", blocks: int = 8) -> DataFrame:
+def classify_knn(rows: DataFrame, labelled: DataFrame, k: int, by: Sequence[str] = (), label: str = "label") -> DataFrame:
     """(id, label): the commonest label among the k nearest labelled vectors of the same group (without by: of all); ties by the smaller label.
 
-    Both sides are dealt to blocks by hash and each pair of blocks is joined, so that no group is one task's work;
-    each row keeps its k best of each block, then its k best of those.
+    Pairs of blocks are compared as matrices; each row keeps its k best of each block (ties by the smaller id), then its k best of those.
     """
-    from pyspark.sql import Window
-
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    a = rows.select(*by, F.col("id"), F.col("vector").alias("_u"), block("id").alias("_p"), every.alias("_q"))
-    b = labelled.select(*by, F.col("id").alias("_o"), F.col("vector").alias("_v"), F.col(label).alias("_l"), every.alias("_p"), block("id").alias("_q"))
-    near = a.join(b, [*by, "_p", "_q"]).where(F.col("id") != F.col("_o")).withColumn("_d", vector_distance(F.col("_u"), F.col("_v"))).select("id", "_q", "_o", "_l", "_d")
-    for keys in (["id", "_q"], ["id"]):
-        near = near.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_d", "_o"))).where(F.col("_r") <= k).drop("_r")
-    votes = near.groupBy("id", "_l").agg(F.count("*").alias("n"))
-    return votes.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "_l"))).where("_r = 1").select("id", F.col("_l").alias(label))
+    a = rows.select(*by, F.lit(0).alias("_all"), "id", "vector")
+    b = labelled.select(*by, F.lit(0).alias("_all"), "id", "vector", F.col(label).alias("label"))
+
+    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        y = y.sort_values("id")
+        d = matrix(x["vector"], y["vector"])
+        d[x["id"].to_numpy()[:, None] == y["id"].to_numpy()[None, :]] = np.inf
+        at = np.argsort(d, axis=1, kind="stable")[:, :k]
+        row = np.repeat(np.arange(len(x)), at.shape[1])
+        out = pd.DataFrame({"id": x["id"].to_numpy()[row], "other": y["id"].to_numpy()[at.ravel()], "label": y["label"].to_numpy()[at.ravel()], "d": d[row, at.ravel()]})
+        return out[np.isfinite(out["d"])]
+
+    kinds = dict(b.dtypes)
+    near = in_blocks(a, b, [*by, "_all"], best, f"id {dict(a.dtypes)['id']}, other {kinds['id']}, label {kinds['label']}, d double")
+    near = near.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("d", "other"))).where(F.col("_r") <= k)
+    votes = near.groupBy("id", "label").agg(F.count("*").alias("n"))
+    return votes.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "label"))).where("_r = 1").select("id", F.col("label").alias(label))
 
 
 def classify_forest(rows: DataFrame, labelled: DataFrame, label: str = "label", trees: int = 50, seed: int = 1) -> DataFrame:

@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir, which driver and executors share; a temporary folder only where that is unset."""
+    """The session's spark.checkpoint.dir, which driver and executors share; a temporary folder only where that is unset and driver and executors are one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='strandwork-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -89,36 +91,46 @@ def one_parent(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("target_id").alias("spot_id")).agg(F.min("source_id").alias("parent"))
 
 
-def doubled(start: DataFrame, name: str, add: list[str]) -> DataFrame:
-    """Pointer doubling over (spot_id, ptr, end, *add): until every ptr is null, follow it; sums of `add` gather along the way, end is the last spot reached."""
-    state = saved(start, name)
-    while not state.where("ptr is not null").isEmpty():
-        ahead = state.select(F.col("spot_id").alias("_k"), F.col("ptr").alias("_p"), F.col("end").alias("_e"), *[F.col(a).alias(f"_{a}") for a in add])
-        joined = state.join(ahead, F.col("ptr") == F.col("_k"), "left")
-        state = saved(joined.select("spot_id", F.col("_p").alias("ptr"), F.coalesce("_e", "end").alias("end"), *[(F.col(a) + F.coalesce(f"_{a}", F.lit(0))).alias(a) for a in add]), name)
-    return state
+def branches(spots: DataFrame, edges: DataFrame) -> DataFrame:
+    """(spot_id, generation, head) by one pointer doubling: splits strictly above each spot, and the root or child of a split that begins its piece.
+
+    A row's pointer is the spot 2^k steps above it; generation and head tell what lies on the way there. Each round joins
+    the rows that have not reached their root with what their pointers know; finished rows are only looked up.
+    """
+    split = splits(edges).select(F.col("spot_id").alias("parent"), F.lit(1).alias("_split"))
+    start = spots.select("spot_id").join(one_parent(edges), "spot_id", "left").join(split, "parent", "left")
+    begins = F.col("parent").isNull() | F.col("_split").isNotNull()
+    start = start.select("spot_id", F.col("parent").alias("ptr"), F.coalesce("_split", F.lit(0)).cast("long").alias("generation"), F.when(begins, F.col("spot_id")).alias("head"))
+    state = saved(start, "branches")
+    done, going = [state.where("ptr is null")], state.where("ptr is not null")
+    while not going.isEmpty():
+        known = going
+        for d in done:
+            known = known.unionByName(d)
+        ahead = known.select(F.col("spot_id").alias("_k"), F.col("ptr").alias("_p"), F.col("generation").alias("_g"), F.col("head").alias("_h"))
+        joined = going.join(ahead, F.col("ptr") == F.col("_k"))
+        state = saved(joined.select("spot_id", F.col("_p").alias("ptr"), (F.col("generation") + F.col("_g")).alias("generation"), F.coalesce("head", "_h").alias("head")), "branches")
+        done.append(state.where("ptr is null"))
+        going = state.where("ptr is not null")
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out.select("spot_id", "generation", "head")
 
 
 def generations(spots: DataFrame, edges: DataFrame) -> DataFrame:
     """(spot_id, track_id, generation): number of split spots strictly above each spot."""
-    split = splits(edges).select(F.col("spot_id").alias("parent"), F.lit(1).alias("_split"))
-    start = spots.select("spot_id").join(one_parent(edges), "spot_id", "left").join(split, "parent", "left")
-    start = start.select("spot_id", F.col("parent").alias("ptr"), F.coalesce("parent", "spot_id").alias("end"), F.coalesce("_split", F.lit(0)).cast("long").alias("generation"))
-    return doubled(start, "generations", ["generation"]).select("spot_id", "generation").join(spots.select("spot_id", "track_id"), "spot_id")
+    return branches(spots, edges).select("spot_id", "generation").join(spots.select("spot_id", "track_id"), "spot_id")
 
 
 def tracklet_heads(spots: DataFrame, edges: DataFrame) -> DataFrame:
     """(spot_id, head): the root or child of a split that begins each spot's unbranched piece."""
-    split = splits(edges).select(F.col("spot_id").alias("parent"), F.lit(True).alias("_split"))
-    start = spots.select("spot_id").join(one_parent(edges), "spot_id", "left").join(split, "parent", "left")
-    start = start.select("spot_id", F.when(F.col("_split").isNull(), F.col("parent")).alias("ptr"))
-    start = start.withColumn("end", F.coalesce("ptr", "spot_id"))
-    return doubled(start, "tracklets", []).select("spot_id", F.col("end").alias("head"))
+    return branches(spots, edges).select("spot_id", "head")
 
 
 def tracklets(spots: DataFrame, edges: DataFrame) -> DataFrame:
     """(spot_id, track_id, generation, head, tracklet_no): pieces numbered from 0 by (generation, frame, head) within their track."""
-    known = generations(spots, edges).join(tracklet_heads(spots, edges), "spot_id")
+    known = saved(branches(spots, edges).join(spots.select("spot_id", "track_id"), "spot_id"), "known")
     heads = known.where("spot_id = head").join(spots.select("spot_id", "frame"), "spot_id").select("head", "track_id", "generation", "frame")
     numbered = heads.withColumn("tracklet_no", (F.row_number().over(Window.partitionBy("track_id").orderBy("generation", "frame", "head")) - 1).cast("long"))
     return known.join(numbered.select("head", "tracklet_no"), "head").select("spot_id", "track_id", "generation", "head", "tracklet_no")
@@ -147,20 +159,36 @@ def propagate_fate(spots: DataFrame, fates: DataFrame) -> DataFrame:
     return spots.select("spot_id", "track_id").join(by_track, "track_id", "left").select("spot_id", F.coalesce("fate", F.lit(-1)).alias("fate"))
 
 
-def ancestors_of(edges: DataFrame, asked: DataFrame) -> DataFrame:
-    """(spot_id, ancestor) of the asked spots: one track's depth at most for each. Frontiers double in depth by joining with the pairs found so far."""
-    up = one_parent(edges)
-    hops = saved(up.select("spot_id", F.col("parent").alias("ancestor")), "hops")
-    found = saved(asked.select("spot_id").distinct().join(hops, "spot_id"), "ancestors")
+def reached(hops: DataFrame, asked: DataFrame) -> DataFrame:
+    """(spot_id, other) of all that the asked spots reach over hops (spot_id, other). Frontiers double in depth by joining with the pairs found so far."""
+    hops = saved(hops, "hops")
+    found = saved(asked.select("spot_id").distinct().join(hops, "spot_id").distinct(), "reached")
     while True:
-        more = found.select("spot_id", F.col("ancestor").alias("_via")).join(hops.select(F.col("spot_id").alias("_via"), "ancestor"), "_via").select("spot_id", "ancestor")
-        grown = saved(found.unionByName(more).distinct(), "ancestors")
+        more = found.select("spot_id", F.col("other").alias("_via")).join(hops.select(F.col("spot_id").alias("_via"), "other"), "_via").select("spot_id", "other")
+        grown = saved(found.unionByName(more).distinct(), "reached")
         if grown.count() == found.count():
             return found
         found = grown
         # hop twice as far in the next round
-        far = hops.select(F.col("spot_id").alias("_s"), F.col("ancestor").alias("_m")).join(hops.select(F.col("spot_id").alias("_m"), F.col("ancestor").alias("_a")), "_m")
-        hops = saved(hops.unionByName(far.select(F.col("_s").alias("spot_id"), F.col("_a").alias("ancestor"))).distinct(), "hops")
+        far = hops.select(F.col("spot_id").alias("_s"), F.col("other").alias("_m")).join(hops.select(F.col("spot_id").alias("_m"), F.col("other").alias("_a")), "_m")
+        hops = saved(hops.unionByName(far.select(F.col("_s").alias("spot_id"), F.col("_a").alias("other"))).distinct(), "hops")
+
+
+def ancestors_of(edges: DataFrame, asked: DataFrame) -> DataFrame:
+    """(spot_id, ancestor) of the asked spots: one track's depth at most for each; of several parents the smallest counts."""
+    return reached(one_parent(edges).select("spot_id", F.col("parent").alias("other")), asked).withColumnRenamed("other", "ancestor")
+
+
+def descendants_of(edges: DataFrame, asked: DataFrame) -> DataFrame:
+    """(spot_id, descendant) of the asked spots: all that follow them in their track."""
+    return reached(edges.select(F.col("source_id").alias("spot_id"), F.col("target_id").alias("other")).distinct(), asked).withColumnRenamed("other", "descendant")
+
+
+def attach_tracklet_dim(spots: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(spot_id, track_id, generation, tracklet_no, life): spots with their tracklet and how many frames it lasts."""
+    life = tracklet_spans(pieces, spots).select("track_id", "tracklet_no", "generation", (F.col("end_frame") - F.col("start_frame")).alias("life"))
+    mine = pieces.select("spot_id", "track_id", "tracklet_no")
+    return spots.select("spot_id").join(mine, "spot_id").join(life, ["track_id", "tracklet_no"]).select("spot_id", "track_id", "generation", "tracklet_no", "life")
 
 
 def keep_filtered(rows: DataFrame, listed: DataFrame) -> DataFrame:

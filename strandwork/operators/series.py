@@ -7,10 +7,11 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import analysis, tracklets
+from .blocks import ranked
 from .space import knn
 
 
@@ -53,7 +54,7 @@ def cross_correlation(rows: DataFrame, features: Sequence[str], lags: int, key:
 
 
 def anderson_darling(values: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """(by, n, statistic): distance of the pool from a normal with its mean and sample deviation; null for a constant pool."""
+    """(by, n, statistic): distance of the pool from a normal with its mean and sample deviation; null for a constant pool. Ranks come from range partitions, so a pool may hold all rows."""
     @F.pandas_udf("double")
     def log_cdf(z: pd.Series) -> pd.Series:
         return z.map(lambda x: math.log(max(0.5 * math.erfc(-x / math.sqrt(2)), 1e-300)))
@@ -61,27 +62,43 @@ def anderson_darling(values: DataFrame, by: Sequence[str], value: str) -> DataFr
     rows = values.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("v"))
     stats = rows.groupBy(*by).agg(F.avg("v").alias("m"), F.stddev_samp("v").alias("s"), F.count("*").alias("n")).where("s > 0")
     z = rows.join(stats, list(by)).withColumn("z", (F.col("v") - F.col("m")) / F.col("s"))
-    ranked = z.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("z")))
-    logs = ranked.withColumns({"below": log_cdf("z"), "above": log_cdf(-F.col("z"))})
+    logs = ranked(z, by, ["z"], "r").withColumns({"below": log_cdf("z"), "above": log_cdf(-F.col("z"))})
     total = F.sum((2 * F.col("r") - 1) * F.col("below") + (2 * (F.col("n") - F.col("r")) + 1) * F.col("above"))
     return logs.groupBy(*by, "n").agg((-F.col("n") - total / F.col("n")).alias("statistic"))
 
 
-def generation_report(rows: DataFrame, spans: DataFrame, features: Sequence[str], lags: int = 5) -> DataFrame:
-    """(later, feature, tracklets, mean, std, statistic): normal fit and normality of pooled autocorrelations, for first tracklets and later ones.
+def generation_report(rows: DataFrame, spans: DataFrame, features: Sequence[str], lags: int = 5, cell_type: str | None = None) -> DataFrame:
+    """(later, kind, feature, tracklets, mean, std, statistic): what first tracklets and later ones are like.
 
-    rows have head, frame, spot_id, generation and features; spans only bound the tracklets (life above 0 for first ones).
+    rows have head, frame, spot_id, generation, features (and cell_type); spans (head, life) bound the tracklets: first ones
+    need a life above 0. Kinds: the pooled normalised autocorrelation and the cross-correlation at lags from 1 on, with
+    their normal fit and distance from normality; the slope of a straight line; the features' covariances ("a,b"). With a
+    cell_type only its tracklets count. Undefined values are left out.
     """
-    kept = rows.join(spans.select("head"), "head", "left_semi")
-    numbered = tracklets.numbered(kept)
-    out = None
-    for f in features:
-        acf = analysis.autocorrelation(numbered.select("head", "i", F.col(f).alias("value")), lags).where("acf is not null and lag > 0")
-        pool = acf.join(kept.groupBy("head").agg((F.max("generation") > 0).alias("later")), "head").withColumn("feature", F.lit(f))
-        fit = pool.groupBy("later", "feature").agg(F.countDistinct("head").alias("tracklets"), F.avg("acf").alias("mean"), F.stddev_pop("acf").alias("std"))
-        one = fit.join(anderson_darling(pool, ["later", "feature"], "acf").drop("n"), ["later", "feature"], "left")
-        out = one if out is None else out.unionByName(one)
-    return out
+    kept = rows if cell_type is None else rows.where(F.col("cell_type") == cell_type)
+    group = kept.groupBy("head").agg((F.max("generation") > 0).alias("later")).join(spans.select("head", "life"), "head").where("later or life > 0").select("head", "later")
+    numbered = tracklets.numbered(kept.join(group.select("head"), "head", "left_semi"))
+    series = [numbered.select("head", "i", F.col(f).alias("value")) for f in features]
+    parts = [analysis.autocorrelation(s, lags).where("lag > 0").select("head", F.lit("autocorrelation").alias("kind"), F.lit(f).alias("feature"), F.col("acf").alias("value")) for f, s in zip(features, series)]
+    parts += [linear_trend(s).select("head", F.lit("slope").alias("kind"), F.lit(f).alias("feature"), F.col("slope").alias("value")) for f, s in zip(features, series)]
+    if len(features) > 1:
+        parts.append(cross_correlation(numbered.select("head", "i", *features), features, lags).where("lag > 0").select("head", F.lit("cross-correlation").alias("kind"), "feature", F.col("ccf").alias("value")))
+    names = F.array(*map(F.lit, features))
+    cov = tracklets.covariance_long(numbered, features).where("i <= j")
+    parts.append(cov.select("head", F.lit("covariance").alias("kind"), F.concat_ws(",", F.get(names, F.col("i")), F.get(names, F.col("j"))).alias("feature"), F.col("covariance").alias("value")))
+    values = parts[0]
+    for p in parts[1:]:
+        values = values.unionByName(p)
+    pool, by = values.where("value is not null").join(group, "head"), ["later", "kind", "feature"]
+    fit = pool.groupBy(*by).agg(F.countDistinct("head").alias("tracklets"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    normal = anderson_darling(pool.where("kind like '%correlation'"), by, "value").drop("n")
+    return fit.join(normal, by, "left")
+
+
+def by_duration(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """rows with `place`: their tracklet's number from 1 in order of life (longest first), then head: the order in which a report lists tracklets."""
+    order = ranked(spans.select("head", "life", (-F.col("life")).alias("_short")), [], ["_short", "head"], "place")
+    return rows.join(order.select("head", "place"), "head")
 
 
 def score_windows(rows: DataFrame, features: Sequence[str], length: int, model: Callable[[np.ndarray], np.ndarray], key: str = "head") -> DataFrame:
@@ -104,6 +121,6 @@ def sample_sources(starts: DataFrame, points: DataFrame, n: int, nearest: bool =
 
 
 def as_tracks(paths: DataFrame, key: str = "id") -> DataFrame:
-    """Paths numbered from 0 in order of their key: numbers come from one row per path."""
-    ids = paths.select(key).distinct().withColumn("path", F.row_number().over(Window.orderBy(key)) - 1).withColumn("path", F.col("path").cast("long"))
-    return paths.join(ids, key).orderBy("path", "frame")
+    """Paths numbered from 0 in order of their key, by ranks over range partitions; rows are not sorted."""
+    ids = ranked(paths.select(key).distinct(), [], [key], "path").withColumn("path", F.col("path") - 1)
+    return paths.join(ids, key)

@@ -8,19 +8,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import histogram_bin, usable_radius
+from .blocks import before_in_order
 
-MEASURES = ("radius", "speed", "acceleration", "motion_angle_z", "motion_angle_y", "motion_angle_x")
+MEASURES = ("radius", "speed", "acceleration", "motion_angle_z", "motion_angle_y", "motion_angle_x", "distance_cell_mask", "local_density")
+
+
+def cohorts(dividing: Column, fate: Column) -> Column:
+    """The cohorts of a spot: all, dividing or non-dividing, and its fate if it has one."""
+    return F.array_compact(F.array(F.lit("all"), F.when(dividing, F.lit("dividing")).otherwise(F.lit("non_dividing")), fate))
 
 
 def frame_summary(spots: DataFrame, cohorts: Column, measures: Sequence[str] = MEASURES) -> DataFrame:
     """(frame, cohort, n, mean and population deviation of each measure and of the change of position).
 
     cohorts is an array of the cohorts that a row is in. Change is the absolute difference to the spot before it in
-    order of spot_id in its frame and cohort, as the summed tables have it; radii of 0 or less are missing.
+    order of spot_id in its frame and cohort, as the summed tables have it; radii of 0 or less are missing. A frame of
+    any size is worked on in runs of spot ids.
     """
     tagged = spots.withColumn("cohort", F.explode(cohorts))
-    order = Window.partitionBy("frame", "cohort").orderBy("spot_id")
-    moved = tagged.withColumns({f"change_{c}": F.abs(F.col(c) - F.lag(c).over(order)) for c in ("z", "y", "x")})
+    moved = before_in_order(tagged, ["frame", "cohort"], "spot_id", ["z", "y", "x"])
+    moved = moved.withColumns({f"change_{c}": F.abs(F.col(c) - F.col(f"prior_{c}")) for c in ("z", "y", "x")})
     if "radius" in measures:
         moved = moved.withColumn("radius", usable_radius(F.col("radius")))
     columns = [*[f"change_{c}" for c in ("z", "y", "x")], *measures]
@@ -82,9 +89,18 @@ def cluster_sizes(rows: DataFrame, label: str) -> DataFrame:
 
 
 def class_balanced_sample(tracklets: DataFrame, flag: str, ratio: float, seed: int = 0, key: str = "head") -> DataFrame:
-    """All flagged tracklets, and at most ratio times as many others, by hash: sampling is the feature."""
-    n = tracklets.where(flag).count()
-    others = tracklets.where(~F.col(flag)).orderBy(F.xxhash64(F.lit(seed), key), key).limit(int(ratio * n))
+    """All flagged tracklets, and at most ratio times as many others, the first in order of a hash: sampling is the feature.
+
+    The hash's range is cut into 4,096 parts: counts tell which are taken whole, and only the part at the edge is sorted.
+    """
+    want = int(ratio * tracklets.where(flag).count())
+    hashed = tracklets.where(~F.col(flag)).withColumn("_h", F.xxhash64(F.lit(seed), key)).withColumn("_part", F.shiftrightunsigned("_h", 52).cast("int"))
+    parts = hashed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    dealt = hashed.join(F.broadcast(parts.withColumn("_before", before)), "_part").where(F.col("_before") < want)
+    whole = dealt.where(F.col("_before") + F.col("_n") <= want)
+    edge = dealt.where(F.col("_before") + F.col("_n") > want).withColumn("_r", F.row_number().over(Window.partitionBy("_part").orderBy("_h", key)))
+    others = whole.select(*tracklets.columns).unionByName(edge.where(F.col("_r") <= F.lit(want) - F.col("_before")).select(*tracklets.columns))
     return tracklets.where(flag).unionByName(others)
 
 

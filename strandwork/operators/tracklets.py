@@ -78,18 +78,26 @@ def covariance_vector(rows: DataFrame, features: Sequence[str], key: str = "head
 
 
 def covariance_eigen(vectors: DataFrame, key: str = "head") -> DataFrame:
-    """(key, eigenvalues): of flattened covariance matrices, largest first; null where a part is null."""
-    @F.pandas_udf("array<double>")
-    def values(m: pd.Series) -> pd.Series:
-        def one(v):
+    """(key, eigenvalues, eigenvectors) of flattened covariance matrices, largest first; null where a part is null.
+
+    Eigenvectors are of length 1, one array each, their first part that is not 0 above 0; both are real, since the matrices are symmetric.
+    """
+    @F.pandas_udf("struct<eigenvalues: array<double>, eigenvectors: array<array<double>>>")
+    def solved(m: pd.Series) -> pd.DataFrame:
+        values, axes = [], []
+        for v in m:
             if v is None or any(x is None or not np.isfinite(x) for x in v):
-                return None
+                values.append(None)
+                axes.append(None)
+                continue
             n = int(round(len(v) ** 0.5))
-            return np.linalg.eigvalsh(np.asarray(v, float).reshape(n, n))[::-1].tolist()
+            w, u = np.linalg.eigh(np.asarray(v, float).reshape(n, n))
+            lead = u[np.argmax(np.abs(u) > 1e-12, axis=0), np.arange(n)]
+            values.append(w[::-1].tolist())
+            axes.append((u * np.where(lead < 0, -1.0, 1.0))[:, ::-1].T.tolist())
+        return pd.DataFrame({"eigenvalues": values, "eigenvectors": axes})
 
-        return m.map(one)
-
-    return vectors.select(key, values("covariance").alias("eigenvalues"))
+    return vectors.select(key, solved("covariance").alias("e")).select(key, "e.*")
 
 
 def raw_vector(rows: DataFrame, features: Sequence[str], length: int, key: str = "head") -> DataFrame:

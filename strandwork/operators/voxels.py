@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import in_blocks
+
 AXES = ("z", "y", "x")
 
 
@@ -46,7 +50,7 @@ def exposed_area(voxels: DataFrame, scale: tuple[float, float, float] = (1.0, 1.
     return neighbours(voxels.where("label > 0")).join(same, ["t", "label", "nz", "ny", "nx"], "left_anti").groupBy("t", "label").agg(F.sum(face).alias("area"))
 
 
-def largest_component(voxels: DataFrame, rounds: int = 64) -> DataFrame:
+def largest_component(voxels: DataFrame) -> DataFrame:
     """Foreground voxels (any label) of the largest connected part of each frame; of equal ones the one with the smallest first voxel.
 
     Labels are numbers by (z, y, x); each round takes the smallest of a voxel and its neighbours and then follows
@@ -58,7 +62,7 @@ def largest_component(voxels: DataFrame, rounds: int = 64) -> DataFrame:
     on = voxels.where("label > 0").select("t", *AXES)
     edges = saved(neighbours(on).join(on.select("t", *[F.col(c).alias(f"n{c}") for c in AXES]), ["t", "nz", "ny", "nx"]).select("t", place.alias("u"), F.struct(*[F.col(f"n{c}").alias(c) for c in AXES]).alias("v")), "voxel-edges")
     state = saved(on.select("t", place.alias("node"), place.alias("part")), "parts")
-    for _ in range(rounds):
+    while True:
         near = edges.join(state.select("t", F.col("node").alias("v"), "part"), ["t", "v"]).groupBy("t", F.col("u").alias("node")).agg(F.min("part").alias("near"))
         step = state.join(near, ["t", "node"], "left").select("t", "node", F.col("part").alias("old"), F.least("part", "near").alias("part"))
         new = saved(step.join(step.select("t", F.col("node").alias("part"), F.col("part").alias("above")), ["t", "part"], "left").select("t", "node", "old", F.least("part", "above").alias("part")), "parts")
@@ -76,10 +80,17 @@ def frame_mask(voxels: DataFrame) -> DataFrame:
     return voxels.join(F.broadcast(ends), F.lit(True)).where("y > y_lo and y < y_hi and x > x_lo and x < x_hi").select(*voxels.columns)
 
 
+def widest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    """(m): the largest distance between a point of a and one of b."""
+    p, q = (x[list(AXES)].to_numpy(float) for x in (a, b))
+    square = sum((p[:, [i]] - q[:, i][None, :]) ** 2 for i in range(len(AXES)))
+    return pd.DataFrame({"m": [float(np.sqrt(square.max()))]})
+
+
 def cell_size(voxels: DataFrame, default: float = 50.0, top: int = 10) -> DataFrame:
     """(cell_size): the largest distance across one of the `top` biggest regions of frames 0 and half-way; the default without any.
 
-    Only the ends of each region's rows of voxels can be farthest apart, and only those are paired.
+    Only the ends of each region's rows of voxels can be farthest apart, and only those are compared, block by block.
     """
     half = voxels.agg(F.floor((F.max("t") + 1) / 2).alias("h"))
     chosen = voxels.where("label > 0").join(F.broadcast(half), F.lit(True)).where("t = 0 or t = h").drop("h")
@@ -87,9 +98,9 @@ def cell_size(voxels: DataFrame, default: float = 50.0, top: int = 10) -> DataFr
     big = sizes.withColumn("r", F.row_number().over(Window.partitionBy("t").orderBy(F.desc("n"), "label"))).where(F.col("r") <= top).select("t", "label")
     ends = chosen.join(big, ["t", "label"]).groupBy("t", "label", "z", "y").agg(F.min("x").alias("a"), F.max("x").alias("b"))
     ends = ends.select("t", "label", "z", "y", F.explode(F.array_distinct(F.array("a", "b"))).alias("x"))
-    other = ends.select("t", "label", *[F.col(c).alias(f"o{c}") for c in AXES])
-    far = ends.join(other, ["t", "label"]).agg(F.max(F.sqrt(sum(((F.col(c) - F.col(f"o{c}")) ** 2 for c in ("y", "x")), (F.col("z") - F.col("oz")) ** 2))).alias("m"))
-    return far.select(F.coalesce("m", F.lit(default)).alias("cell_size"))
+    ends = ends.withColumn("id", F.xxhash64(*AXES))
+    far = in_blocks(ends, ends, ["t", "label"], widest, "m double")
+    return far.agg(F.coalesce(F.max("m"), F.lit(default)).alias("cell_size"))
 
 
 def eigenvalues3(a: dict[str, Column]) -> list[Column]:
@@ -106,16 +117,41 @@ def eigenvalues3(a: dict[str, Column]) -> list[Column]:
     return [first, 3 * q - first - last, last]
 
 
+def long_axis(a: dict[str, Column], first: Column, second: Column) -> list[Column]:
+    """Degrees (0 to 90) between the line of a symmetric matrix's largest eigenvalue and the z, y and x axis; null where it is not single.
+
+    The eigenvector is the longest of the cross products of the rows of the matrix less the eigenvalue: each is along it or 0.
+    """
+    rows = [(a["zz"] - first, a["zy"], a["zx"]), (a["zy"], a["yy"] - first, a["yx"]), (a["zx"], a["yx"], a["xx"] - first)]
+    cross = lambda u, v: (u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0])
+    found = [cross(rows[i], rows[k]) for i, k in ((0, 1), (0, 2), (1, 2))]
+    sizes = [v[0] * v[0] + v[1] * v[1] + v[2] * v[2] for v in found]
+    most = F.greatest(*sizes)
+    single = (first - second) > F.lit(1e-6) * first
+
+    def angle(c: int) -> Column:
+        part = F.coalesce(*[F.when(n == most, F.abs(v[c])) for v, n in zip(found, sizes)])
+        return F.when(single, F.degrees(F.acos(F.least(F.lit(1.0), part / F.nullif(F.sqrt(most), F.lit(0.0))))))
+
+    return [angle(c) for c in range(3)]
+
+
 def shape_moments(voxels: DataFrame) -> DataFrame:
-    """(t, label, eccentricity_first, _second, _third): square roots of the eigenvalues of the covariance of a region's voxels, largest first."""
+    """(t, label, eccentricity_*, eigen_*, cell_axis_*) of a region's voxels.
+
+    Eigenvalues of their covariance (largest first), their square roots, and the angles in degrees of the longest axis with
+    z, y and x (null where two axes are longest). Regions of under four voxels have none.
+    """
     pairs = [("z", "z"), ("y", "y"), ("x", "x"), ("z", "y"), ("z", "x"), ("y", "x")]
     cov = voxels.where("label > 0").groupBy("t", "label").agg(F.count("*").alias("n"), *[F.covar_samp(F.col(a).cast("double"), F.col(b).cast("double")).alias(a + b) for a, b in pairs]).where("n > 3")
-    values = eigenvalues3({a + b: F.col(a + b) for a, b in pairs})
-    return cov.select("t", "label", *[F.sqrt(F.greatest(e, F.lit(0.0))).alias(f"eccentricity_{n}") for e, n in zip(values, ("first", "second", "third"))])
+    parts, order = {a + b: F.col(a + b) for a, b in pairs}, ("first", "second", "third")
+    cov = cov.withColumns({f"eigen_{n}": F.greatest(e, F.lit(0.0)) for e, n in zip(eigenvalues3(parts), order)})
+    angles = long_axis(parts, F.col("eigen_first"), F.col("eigen_second"))
+    return cov.select("t", "label", *[F.sqrt(f"eigen_{n}").alias(f"eccentricity_{n}") for n in order], *[f"eigen_{n}" for n in order], *[e.alias(f"cell_axis_{c}") for e, c in zip(angles, AXES)])
 
 
 def region_shapes(voxels: DataFrame) -> DataFrame:
-    """(t, label, centroid, eccentricities, area) of frames with more than one usable region; null where a shape failed."""
+    """(t, label, centroid, size, what shape_moments() gives, area) of frames with more than one usable region; null where a shape failed."""
     joined = regions(voxels).select("t", "label", *AXES, "size").join(shape_moments(voxels), ["t", "label"], "left").join(exposed_area(voxels), ["t", "label"], "left")
     many = joined.groupBy("t").agg(F.count("eccentricity_first").alias("n")).where("n > 1").select("t")
     return joined.join(many, "t", "left_semi")
@@ -165,6 +201,10 @@ def crop_patches(rows: DataFrame, voxels: DataFrame, key: str, size: tuple[int,
 
 
 def percentile_normalise(voxels: DataFrame, low: float = 1.0, high: float = 99.8, chunk: int = 50, eps: float = 1e-20) -> DataFrame:
-    """voxels plus `normalised`: value between its chunk of frames' low and high percentiles."""
-    ends = voxels.groupBy(F.floor(F.col("t") / chunk).alias("_c")).agg(F.percentile("value", low / 100).alias("_lo"), F.percentile("value", high / 100).alias("_hi"))
-    return voxels.withColumn("_c", F.floor(F.col("t") / chunk)).join(F.broadcast(ends), "_c").withColumn("normalised", (F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + eps)).drop("_c", "_lo", "_hi")
+    """voxels plus `normalised`: value between its chunk of frames' low and high percentiles.
+
+    Percentiles are of counted values: what one place holds is a chunk's distinct values, not its voxels.
+    """
+    counted = voxels.groupBy(F.floor(F.col("t") / chunk).alias("_c"), "value").agg(F.count("*").alias("_n"))
+    ends = counted.groupBy("_c").agg(*[F.expr(f"percentile(value, {x / 100!r}, _n)").alias(n) for x, n in ((low, "_lo"), (high, "_hi"))])
+    return voxels.withColumn("_c", F.floor(F.col("t") / chunk)).join(ends, "_c").withColumn("normalised", (F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + eps)).drop("_c", "_lo", "_hi")

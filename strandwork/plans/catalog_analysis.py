@@ -28,10 +28,6 @@ def q(name, make, needs, sql, doubles=""):
 
 
 ON = "pieces motion"
-M = [*[f"change_{c}" for c in "zyx"], *U.MEASURES]
-q("frame_summary", lambda v: U.frame_summary(full(v), F.array_compact(F.array(F.lit("all"), F.col("cell_type")))), ON,
-  f"""WITH t AS (SELECT *, unnest(['all', cell_type]) AS cohort FROM {FULL}), c AS (SELECT * REPLACE (CASE WHEN radius > 0 THEN radius END AS radius), {", ".join(f"abs({a} - lag({a}) OVER (PARTITION BY frame, cohort ORDER BY spot_id)) AS change_{a}" for a in "zyx")} FROM t WHERE cohort IS NOT NULL)
-  SELECT frame, cohort, count(*) AS n, {", ".join(f"avg({m}) AS {m}_mean, stddev_pop({m}) AS {m}_std" for m in M)} FROM c GROUP BY 1, 2""", " ".join(f"{m}_mean {m}_std" for m in M))
 q("frame_counts", lambda v: U.frame_counts(v.spots), "spots", "SELECT frame, count(*) AS spots FROM spots GROUP BY 1")
 q("division_counts", lambda v: U.division_counts(v.spots.withColumns({"dividing": F.col("track_id") % 3 == 0, "z": F.lit(0), "y": F.floor(F.col("y") / 10), "x": F.floor(F.col("x") / 20)})), "spots",
   "SELECT frame, CAST(count(*) AS DOUBLE) / 2 AS divisions FROM (SELECT frame, count(*) OVER (PARTITION BY frame, floor(y / 10), floor(x / 20)) AS n FROM spots WHERE track_id % 3 = 0) WHERE n > 1 GROUP BY 1", "divisions")
@@ -63,8 +59,6 @@ q("clip_roi", lambda v: U.clip_roi(v.spots.select((F.col("y") - 60).alias("y_sta
 q("select_features", lambda v: U.select_features(full(v).withColumn("radius", F.when(F.col("radius") > 0, F.col("radius"))), FEATURES, ["acceleration"]), ON, f"SELECT spot_id, radius, speed, motion_angle_x FROM {FULL} WHERE radius > 0", "radius speed motion_angle_x")
 register("class_balanced_sample", lambda v: U.class_balanced_sample(L.tracklet_spans(v.pieces, v.spots).withColumns({"dividing": F.col("generation") > 2, "head": F.concat_ws("-", "track_id", "tracklet_no")}), "dividing", 1.0))
 
-q("feature_table", lambda v: full(v), ON, f"SELECT * EXCLUDE (i, n, motion_angle_z, motion_angle_y), m.motion_angle_z, m.motion_angle_y, m.radial_angle_z, m.radial_angle_y, m.radial_angle_x FROM {FULL} f JOIN (SELECT spot_id AS sid, motion_angle_z, motion_angle_y, radial_angle_z, radial_angle_y, radial_angle_x FROM motion) m ON m.sid = f.spot_id".replace("SELECT * EXCLUDE (i, n, motion_angle_z, motion_angle_y)", "SELECT f.* EXCLUDE (i, n, motion_angle_z, motion_angle_y)"),
-  "z y x radius intensity speed acceleration motion_angle_z motion_angle_y motion_angle_x radial_angle_z radial_angle_y radial_angle_x")
 q("tracklet_series", lambda v: T.tracklet_series(full(v), ["speed"]).select("head", F.posexplode("series").alias("i", "s")).select("head", F.col("i").cast("long").alias("i"), "s.spot_id", "s.speed"), ON, f"SELECT head, i, spot_id, speed FROM {FULL}", "speed")
 q("dividing_tracklets", lambda v: T.dividing_tracklets(full(v).withColumn("dividing", F.col("spot_id") % 11 == 0)).select("spot_id"), "pieces", "SELECT spot_id FROM pieces WHERE head IN (SELECT head FROM pieces WHERE spot_id % 11 = 0)")
 q("blocks", lambda v: T.blocks(full(v), 3).select("spot_id", "block"), ON, f"SELECT spot_id, i // 3 AS block FROM {FULL} WHERE (i // 3 + 1) * 3 <= n")
@@ -76,7 +70,7 @@ COV = f"SELECT head, i, j, covar_samp(a, b) AS covariance FROM (SELECT head, unn
 q("covariance_long", lambda v: T.covariance_long(full(v), FEATURES), ON, COV, "covariance")
 q("covariance_vector", lambda v: T.covariance_vector(full(v), FEATURES).select("head", F.posexplode("covariance").alias("place", "covariance")), ON, f"SELECT head, i * 4 + j AS place, covariance FROM ({COV})", "covariance")
 q("mean_covariance", lambda v: T.mean_covariance(T.covariance_long(full(v), FEATURES)), ON, f"SELECT i, j, avg(covariance) AS covariance FROM ({COV}) GROUP BY 1, 2", "covariance")
-register("covariance_eigen", lambda v: T.covariance_eigen(T.covariance_vector(full(v), FEATURES)).select("head", F.posexplode("eigenvalues").alias("n", "value")))
+register("covariance_eigen", lambda v: T.covariance_eigen(T.covariance_vector(full(v), FEATURES)).select("head", F.posexplode(F.arrays_zip("eigenvalues", "eigenvectors")).alias("n", "e")).select("head", "n", F.col("e.eigenvalues").alias("value"), F.col("e.eigenvectors").alias("axis")))
 q("raw_vector", lambda v: T.raw_vector(full(v), ["x", "y"], 4).select("head", F.posexplode("vector").alias("place", "value")), ON, f"SELECT head, CAST(k * 2 + c AS INTEGER) AS place, CASE c WHEN 0 THEN x ELSE y END AS value FROM {FULL}, range(0, 4) r(k), range(0, 2) s(c) WHERE i = least(k, n - 1)", "value")
 
 q("regions", lambda v: X.regions(v.voxels), "voxels", REGIONS, "z y x mean_value")
@@ -92,15 +86,13 @@ q("frame_mask", lambda v: X.frame_mask(v.voxels).select("t", "z", "y", "x"), "vo
 q("cell_size", lambda v: X.cell_size(v.voxels), "voxels",
   """WITH c AS (SELECT * FROM voxels WHERE label > 0 AND (t = 0 OR t = (SELECT (max(t) + 1) // 2 FROM voxels))), s AS (SELECT t, label, row_number() OVER (PARTITION BY t ORDER BY count(*) DESC, label) AS r FROM c GROUP BY 1, 2), k AS (SELECT c.* FROM c JOIN s USING (t, label) WHERE r <= 10)
   SELECT coalesce(max(sqrt((a.z - b.z) ** 2 + (a.y - b.y) ** 2 + (a.x - b.x) ** 2)), 50) AS cell_size FROM k a JOIN k b USING (t, label)""", "cell_size")
-register("shape_moments", lambda v: X.shape_moments(v.voxels))
-register("region_shapes", lambda v: X.region_shapes(v.voxels))
 register("largest_component", lambda v: X.largest_component(v.voxels))
 register("sample_boundary", lambda v: X.sample_boundary(v.voxels, 20))
 q("centre_cloud", lambda v: X.centre_cloud(v.voxels.where("label > 0").select("t", "label", *[F.col(c).cast("double").alias(c) for c in "zyx"]), ["t", "label"]), "voxels", "SELECT t, label, z - avg(z) OVER w AS z, y - avg(y) OVER w AS y, x - avg(x) OVER w AS x FROM voxels WHERE label > 0 WINDOW w AS (PARTITION BY t, label)", "z y x")
 q("box_at_point", lambda v: X.box_at_point(v.spots.select("spot_id", F.col("frame").alias("t"), (F.col("z") / 5).alias("z"), (F.col("y") / 4).alias("y"), (F.col("x") / 8).alias("x")), v.voxels, "spot_id"), "spots voxels",
   f"SELECT spot_id, r.label, y_max - y_min + 1 AS height, x_max - x_min + 1 AS width, z_max - z_min + 1 AS depth FROM spots s JOIN voxels b ON b.t = s.frame AND b.z = round_even(s.z / 5, 0) AND b.y = round_even(s.y / 4, 0) AND b.x = round_even(s.x / 8, 0) AND b.label > 0 JOIN ({REGIONS}) r ON r.t = b.t AND r.label = b.label")
 q("crop_patches", lambda v: X.crop_patches(v.spots.select("spot_id", F.col("frame").alias("t"), (F.col("z") / 10 + 1).alias("z"), (F.col("y") / 4).alias("y"), (F.col("x") / 8).alias("x")), v.voxels, "spot_id", (1, 2, 1)).select("spot_id", "dz", "dy", "dx", "value"), "spots voxels",
-  """WITH c AS (SELECT spot_id, b.z - round_even(s.z / 10 + 1, 0)::BIGINT AS dz, b.y - round_even(s.y / 4, 0)::BIGINT AS dy, b.x - round_even(s.x / 8, 0)::BIGINT AS dx, value FROM spots s JOIN voxels b ON b.t = s.frame AND b.z = round_even(s.z / 10 + 1, 0) AND b.x = round_even(s.x / 8, 0) AND b.y - round_even(s.y / 4, 0) BETWEEN -1 AND 0 WHERE s.frame < 7)
+  """WITH c AS (SELECT spot_id, b.z - round_even(s.z / 10 + 1, 0)::BIGINT AS dz, b.y - round_even(s.y / 4, 0)::BIGINT AS dy, b.x - round_even(s.x / 8, 0)::BIGINT AS dx, value FROM spots s JOIN voxels b ON b.t = s.frame AND b.z = round_even(s.z / 10 + 1, 0) AND b.x = round_even(s.x / 8, 0) AND b.y - round_even(s.y / 4, 0) BETWEEN -1 AND 0)
   SELECT spot_id, dz, dy, dx, value FROM (SELECT *, count(*) OVER (PARTITION BY spot_id) AS n FROM c) WHERE n = 2""")
 q("percentile_normalise", lambda v: X.percentile_normalise(v.voxels).select("t", "z", "y", "x", "normalised"), "voxels",
   "SELECT t, z, y, x, (value - lo) / (hi - lo + 1e-20) AS normalised FROM voxels, (SELECT quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.998) AS hi FROM voxels)", "normalised")
@@ -110,10 +102,10 @@ TIME = f"SELECT cell_type, start, avg(speed) AS speed FROM (SELECT cell_type, st
 q("ensemble_average", lambda v: A.ensemble_average(full(v), ["speed"]), ON, ENSEMBLE, "speed")
 q("time_average", lambda v: A.time_average(full(v), ["speed"], 5), ON, TIME, "speed")
 q("ergodicity_gap", lambda v: A.ergodicity_gap(full(v), ["speed"], 5), ON, f"SELECT e.cell_type, e.frame AS end_frame, abs(e.speed - t.speed) AS speed_gap FROM ({ENSEMBLE}) e JOIN ({TIME}) t ON t.cell_type = e.cell_type AND t.start + 5 = e.frame", "speed_gap")
-PAIRS = "(SELECT a.spot_id AS qs, a.track_id AS track_id, b.spot_id AS ps, b.track_id AS other_id, sqrt((a.z - b.z) ** 2 + (a.y - b.y) ** 2 + (a.x - b.x) ** 2) AS d FROM spots a JOIN pred_spots b ON a.frame = b.frame AND sqrt((a.z - b.z) ** 2 + (a.y - b.y) ** 2 + (a.x - b.x) ** 2) <= 3)"
+PAIRS = "(SELECT a.spot_id AS qs, a.track_id AS track_id, b.spot_id AS ps, b.track_id AS other_id, sqrt((a.z - b.z) * (a.z - b.z) + (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)) AS d FROM spots a JOIN pred_spots b ON a.frame = b.frame AND sqrt((a.z - b.z) * (a.z - b.z) + (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)) <= 3)"
 COST = f"""SELECT track_id, other_id, greatest((a.s + (na - a.h) * 3) / na, (b.s + (nb - b.h) * 3) / nb) AS cost FROM
- (SELECT track_id, other_id, sum(d) AS s, count(*) AS h FROM (SELECT track_id, other_id, qs, min(d) AS d FROM {PAIRS} GROUP BY ALL) GROUP BY 1, 2) a JOIN
- (SELECT track_id, other_id, sum(d) AS s, count(*) AS h FROM (SELECT track_id, other_id, ps, min(d) AS d FROM {PAIRS} GROUP BY ALL) GROUP BY 1, 2) b USING (track_id, other_id)
+ (SELECT track_id, other_id, CAST(sum(d) AS DOUBLE) / 1e9 AS s, count(*) AS h FROM (SELECT track_id, other_id, qs, CAST(round(min(d) * 1e9) AS BIGINT) AS d FROM {PAIRS} GROUP BY ALL) GROUP BY 1, 2) a JOIN
+ (SELECT track_id, other_id, CAST(sum(d) AS DOUBLE) / 1e9 AS s, count(*) AS h FROM (SELECT track_id, other_id, ps, CAST(round(min(d) * 1e9) AS BIGINT) AS d FROM {PAIRS} GROUP BY ALL) GROUP BY 1, 2) b USING (track_id, other_id)
  JOIN (SELECT track_id, count(*) AS na FROM spots GROUP BY 1) USING (track_id) JOIN (SELECT track_id AS other_id, count(*) AS nb FROM pred_spots GROUP BY 1) USING (other_id)"""
 MUTUAL = f"SELECT track_id, other_id, cost FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY round(cost, 9), other_id) AS ra, row_number() OVER (PARTITION BY other_id ORDER BY round(cost, 9), track_id) AS rb FROM ({COST})) WHERE ra = 1 AND rb = 1"
 PRED = "spots pred_spots"
@@ -146,7 +138,10 @@ q("fill_transitions", lambda v: A.fill_transitions(v.spots, v.edges), "spots edg
 q("radius_predict", lambda v: A.radius_predict(v.annotations.select(F.col("ann_id").alias("id"), F.col("t").alias("frame"), "z", "y", "x"), A.transitions(v.spots, v.edges), 12.0), "annotations spots edges",
   f"""WITH m AS ({MOVES}), p AS (SELECT ann_id, to_z, to_y, to_x, sqrt((z - from_z) * (z - from_z) + (y - from_y) * (y - from_y) + (x - from_x) * (x - from_x)) AS d FROM annotations a JOIN m ON m.t = a.t), w AS (SELECT *, CASE WHEN d = 0 THEN 1e10 ELSE 1 / d END AS w FROM p WHERE d <= 12)
   SELECT a.ann_id AS id, z, y, x FROM (SELECT ann_id FROM annotations) a LEFT JOIN (SELECT ann_id, sum(w * to_z) / sum(w) AS z, sum(w * to_y) / sum(w) AS y, sum(w * to_x) / sum(w) AS x FROM w GROUP BY 1) b USING (ann_id)""", "z y x")
-register("follow", lambda v: A.follow(v.annotations.select(F.col("ann_id").alias("id"), F.col("t").alias("frame"), "z", "y", "x"), A.transitions(v.spots, v.edges), 20.0, 3))
+STEP = """s{n} AS (SELECT id, frame + 1 AS frame, sum(w * to_z) / sum(w) AS z, sum(w * to_y) / sum(w) AS y, sum(w * to_x) / sum(w) AS x FROM
+  (SELECT id, frame, to_z, to_y, to_x, CASE WHEN d = 0 THEN 1e10 ELSE 1 / d END AS w FROM (SELECT s.id, s.frame, m.*, sqrt((s.z - from_z) * (s.z - from_z) + (s.y - from_y) * (s.y - from_y) + (s.x - from_x) * (s.x - from_x)) AS d FROM s{p} s JOIN m ON m.t = s.frame) WHERE d <= 20) GROUP BY 1, frame)"""
+q("follow", lambda v: A.follow(v.annotations.select(F.col("ann_id").alias("id"), F.col("t").alias("frame"), "z", "y", "x"), A.transitions(v.spots, v.edges), 20.0, 3), "annotations spots edges",
+  f"WITH m AS ({MOVES}), s0 AS (SELECT ann_id AS id, t AS frame, z, y, x FROM annotations), {', '.join(STEP.format(n=n, p=n - 1) for n in (1, 2, 3))} FROM s0 UNION ALL FROM s1 UNION ALL FROM s2 UNION ALL FROM s3", "z y x")
 DRIFT = f"""SELECT frame, sum(my) OVER (ORDER BY frame) AS drift_y, sum(mx) OVER (ORDER BY frame) AS drift_x FROM (SELECT to_frame AS frame, median(dy) AS my, median(dx) AS mx FROM ({STEPS}) GROUP BY 1 UNION ALL SELECT min(from_frame), 0, 0 FROM ({STEPS}))"""
 steps = lambda v: K.edge_steps(v.spots, v.edges)
 q("xy_drift", lambda v: A.xy_drift(steps(v)), "spots edges", DRIFT, "drift_y drift_x")
@@ -157,7 +152,7 @@ q("rotation_drift", lambda v: A.rotation_drift(steps(v), v.spots, (50.0, 50.0)),
 q("apply_rotation", lambda v: A.apply_rotation(v.spots, A.rotation_drift(steps(v), v.spots, (50.0, 50.0)), (50.0, 50.0)).select("spot_id", "y", "x"), "spots edges",
   f"SELECT spot_id, sin(-coalesce(rotation, 0)) * (x - 50) + cos(-coalesce(rotation, 0)) * (y - 50) + 50 AS y, cos(-coalesce(rotation, 0)) * (x - 50) - sin(-coalesce(rotation, 0)) * (y - 50) + 50 AS x FROM spots LEFT JOIN ({TURN}) USING (frame)", "y x")
 q("crop_common", lambda v: A.crop_common(v.spots, A.xy_drift(steps(v)), (100.0, 200.0)).select("spot_id"), "spots edges",
-  f"WITH d AS ({DRIFT}), e AS (SELECT round(min(drift_y), 9) AS ly, max(drift_y) AS hy, min(drift_x) AS lx, max(drift_x) AS hx FROM d) SELECT spot_id FROM spots, e WHERE y >= greatest(0, -ly) AND y <= 100 - greatest(0, hy) AND x >= greatest(0, -lx) AND x <= 200 - greatest(0, hx)")
+  f"WITH d AS ({DRIFT}), e AS (SELECT min(drift_y) AS ly, max(drift_y) AS hy, min(drift_x) AS lx, max(drift_x) AS hx FROM d) SELECT spot_id FROM spots, e WHERE y >= round(greatest(0, -ly), 9) AND y <= round(100 - greatest(0, hy), 9) AND x >= round(greatest(0, -lx), 9) AND x <= round(200 - greatest(0, hx), 9)")
 ACF = f"""SELECT a.head, lag, sum((a.speed - a.m) * (b.speed - b.m)) / nullif(any_value(a.s), 0) AS acf FROM (SELECT *, avg(speed) OVER (PARTITION BY head) AS m, var_pop(speed) OVER (PARTITION BY head) * n AS s FROM {FULL}) a JOIN range(0, 6) r(lag) ON lag < a.n JOIN (SELECT *, avg(speed) OVER (PARTITION BY head) AS m FROM {FULL}) b ON b.head = a.head AND b.i = a.i + lag GROUP BY 1, 2"""
 acf = lambda v: A.autocorrelation(T.numbered(full(v)).select("head", "i", F.col("speed").alias("value")), 5)
 q("autocorrelation", lambda v: acf(v).withColumn("lag", F.col("lag").cast("long")), ON, ACF, "acf")

@@ -41,7 +41,7 @@ register("tracklet_life", lambda v: L.tracklet_life(L.tracklet_spans(v.pieces, v
 register("propagate_fate", lambda v: L.propagate_fate(v.spots, v.annotations.select(F.col("ann_id").alias("spot_id"), (F.col("ann_id") % 4).alias("fate"))), "spots annotations",
          "WITH f AS (SELECT track_id, max(ann_id % 4) AS fate FROM annotations JOIN spots ON spot_id = ann_id GROUP BY 1) SELECT spot_id, coalesce(fate, -1) AS fate FROM spots LEFT JOIN f USING (track_id)")
 register("ancestors_of", lambda v: L.ancestors_of(v.edges, L.leaves(v.edges)), "edges",
-         """SELECT * FROM (WITH RECURSIVE a AS (SELECT target_id AS spot_id, source_id AS ancestor FROM edges WHERE track_id % 3 = 0 AND target_id NOT IN (SELECT source_id FROM edges)
+         """SELECT * FROM (WITH RECURSIVE a AS (SELECT target_id AS spot_id, source_id AS ancestor FROM edges WHERE target_id NOT IN (SELECT source_id FROM edges)
          UNION ALL SELECT a.spot_id, e.source_id FROM a JOIN edges e ON e.target_id = a.ancestor) SELECT DISTINCT * FROM a)""")
 register("keep_filtered", lambda v: L.keep_filtered(v.spots, v.annotations.join(v.spots, F.col("ann_id") == F.col("spot_id")).select("track_id")).select("spot_id", "track_id"), "spots annotations",
          "SELECT spot_id, track_id FROM spots WHERE track_id IN (SELECT track_id FROM spots JOIN annotations ON ann_id = spot_id)")
@@ -63,12 +63,16 @@ f AS (SELECT DISTINCT ON (track_id) track_id, z, y, x FROM spots ORDER BY track_
 l AS (SELECT DISTINCT ON (track_id) track_id, z, y, x FROM spots ORDER BY track_id, frame DESC, spot_id DESC),
 m AS (SELECT track_id, max(sqrt((s.z - f.z) * (s.z - f.z) + (s.y - f.y) * (s.y - f.y) + (s.x - f.x) * (s.x - f.x))) AS max_distance FROM spots s JOIN f USING (track_id) GROUP BY 1),
 d AS (SELECT track_id, sqrt((l.z - f.z) * (l.z - f.z) + (l.y - f.y) * (l.y - f.y) + (l.x - f.x) * (l.x - f.x)) AS displacement FROM f JOIN l USING (track_id)),
+mg AS (SELECT track_id, count(*) AS number_merges FROM (SELECT track_id, target_id FROM edges GROUP BY ALL HAVING count(*) > 1) GROUP BY 1), gp AS (SELECT track_id, count(*) AS number_gaps FROM st WHERE to_frame - from_frame > 1 GROUP BY 1),
 s2 AS (SELECT track_id, count(*) AS number_splits FROM (SELECT track_id, source_id FROM edges GROUP BY ALL HAVING count(*) > 1) GROUP BY 1)
-SELECT b.*, a.* EXCLUDE (track_id), max_distance, coalesce(number_splits, 0) AS number_splits, CAST(0 AS BIGINT) AS number_merges, CAST(0 AS BIGINT) AS number_gaps,
+SELECT b.*, a.* EXCLUDE (track_id), max_distance, coalesce(number_splits, 0) AS number_splits, coalesce(number_merges, 0) AS number_merges, coalesce(number_gaps, 0) AS number_gaps,
  CAST(stop - start AS DOUBLE) AS duration, displacement, displacement / nullif(CAST(stop - start AS DOUBLE), 0) AS straight_speed, displacement / nullif(CAST(stop - start AS DOUBLE), 0) / nullif(mean_speed, 0) AS linearity
-FROM b LEFT JOIN a USING (track_id) JOIN m USING (track_id) JOIN d USING (track_id) LEFT JOIN s2 USING (track_id)"""
+FROM b LEFT JOIN a USING (track_id) JOIN m USING (track_id) JOIN d USING (track_id) LEFT JOIN s2 USING (track_id) LEFT JOIN mg USING (track_id) LEFT JOIN gp USING (track_id)"""
 MEASURES = "mean_z mean_y mean_x total_distance mean_speed max_speed min_speed median_speed std_speed max_distance duration displacement straight_speed linearity"
 register("track_summary", lambda v: K.track_summary(v.spots, v.edges), "spots edges", SUMMARY, MEASURES)
+TANGLED = """spots AS (SELECT spot_id, track_id, 2 * frame - frame % 7 AS frame, z, y, x FROM straight), edges AS (FROM links UNION ALL SELECT a.track_id, a.source_id, b.target_id FROM links a JOIN links b ON b.source_id = a.target_id WHERE b.target_id % 20 = 0)"""
+register("track_summary_tangled", lambda v: K.track_summary(v.spots.withColumn("frame", 2 * F.col("frame") - F.col("frame") % 7), v.edges.unionByName(v.edges.select("track_id", "source_id", F.col("target_id").alias("_m")).join(v.edges.select(F.col("source_id").alias("_m"), "target_id"), "_m").where("target_id % 20 = 0").drop("_m"))), "spots edges",
+         f"SELECT * FROM (WITH straight AS (SELECT spot_id, track_id, frame, z, y, x FROM spots), links AS (SELECT track_id, source_id, target_id FROM edges) SELECT * FROM (WITH {TANGLED}{SUMMARY.strip().replace('WITH st AS', ', st AS', 1)}))", MEASURES)
 register("broadcast_track_stats", lambda v: K.broadcast_track_stats(v.spots, K.track_summary(v.spots, v.edges), ["displacement", "max_distance"]), "spots edges",
          f"SELECT spot_id, displacement, max_distance FROM spots JOIN ({SUMMARY}) USING (track_id)", "displacement max_distance")
 register("mean_square_lag", lambda v: K.mean_square_lag(v.spots.select(F.col("track_id").alias("key"), F.col("seq").alias("i"), "z", "y", "x"), 5), "spots",
@@ -81,9 +85,10 @@ def tracklet_values(v, column):
     return v.pieces.select("spot_id", "head").join(v.spots.select("spot_id", "frame", column), "spot_id").select(F.col("head").alias("key"), place.alias("i"), F.col(column).alias("value"))
 
 
-register("intensity_spectrum", lambda v: K.intensity_spectrum(tracklet_values(v, "intensity")), "spots",
-         """WITH n AS (SELECT track_id, count(*) AS n FROM spots WHERE track_id % 3 <> 0 GROUP BY 1), w AS (SELECT track_id, n, CAST(unnest(range(0, greatest(1, n // 2))) AS INTEGER) AS k FROM n)
-         SELECT track_id AS key, k, k / CAST(n AS DOUBLE) AS frequency, sqrt(sum(intensity * cos(-2 * pi() * k * seq / n)) ** 2 + sum(intensity * sin(-2 * pi() * k * seq / n)) ** 2) AS magnitude FROM spots JOIN w USING (track_id) GROUP BY 1, 2, n""", "frequency magnitude")
+register("intensity_spectrum", lambda v: K.intensity_spectrum(tracklet_values(v, "intensity")), "pieces",
+         """WITH s AS (SELECT head, intensity, (row_number() OVER (PARTITION BY head ORDER BY frame, spot_id) - 1) AS i FROM pieces JOIN (SELECT spot_id, frame, intensity FROM spots) USING (spot_id)),
+         n AS (SELECT head, count(*) AS n FROM s GROUP BY 1), w AS (SELECT head, n, CAST(unnest(range(0, greatest(1, n // 2))) AS INTEGER) AS k FROM n)
+         SELECT head AS key, k, k / CAST(n AS DOUBLE) AS frequency, sqrt(sum(intensity * cos(-2 * pi() * k * i / n)) ** 2 + sum(intensity * sin(-2 * pi() * k * i / n)) ** 2) AS magnitude FROM s JOIN w USING (head) GROUP BY 1, 2, n""", "frequency magnitude")
 
 register("axis_angle", lambda v: v.spots.select("spot_id", *[S.axis_angle(F.col("z") - 10, F.col("y") - 50, F.col("x"), c).alias(f"angle_{c}") for c in "zyx"]), "spots",
          "SELECT spot_id, " + ", ".join(f"degrees(acos(greatest(-1, least(1, ({e}) / nullif(sqrt((z - 10) * (z - 10) + (y - 50) * (y - 50) + x * x), 0))))) AS angle_{c}" for c, e in (("z", "z - 10"), ("y", "y - 50"), ("x", "x"))) + " FROM spots", "angle_z angle_y angle_x")
@@ -105,5 +110,5 @@ register("time_step_lookup", lambda v: S.time_steps(v.spots.select("spot_id", "f
 register("tracklet_key", lambda v: v.pieces.select("spot_id", S.tracklet_key(F.col("track_id"), F.col("generation"), F.col("tracklet_no")).alias("key")), "pieces", "SELECT spot_id, CAST(concat(track_id, generation, tracklet_no) AS BIGINT) AS key FROM pieces")
 register("add_noise", lambda v: S.add_noise(v.spots.select("spot_id", "x"), ["x"], 0.5))
 register("drop_invalid_rows", lambda v: S.drop_invalid_rows(v.spots.withColumn("x", F.when(F.col("spot_id") % 7 == 0, float("nan")).when(F.col("spot_id") % 11 != 0, F.col("x"))), ["x", "y"]).select("spot_id"), "spots", "SELECT spot_id FROM spots WHERE spot_id % 7 <> 0 AND spot_id % 11 <> 0")
-register("attach_tracklet_dim", lambda v: v.spots.select("spot_id", "track_id").join(v.pieces.select("spot_id", "tracklet_no"), "spot_id").join(L.tracklet_spans(v.pieces, v.spots).withColumn("life", F.col("end_frame") - F.col("start_frame")), ["track_id", "tracklet_no"]).select("spot_id", "track_id", "generation", "tracklet_no", "life"), "pieces",
+register("attach_tracklet_dim", lambda v: L.attach_tracklet_dim(v.spots, v.pieces), "pieces",
          f"SELECT spot_id, p.track_id, s.generation, tracklet_no, end_frame - start_frame AS life FROM pieces p JOIN ({SPANS}) s USING (track_id, tracklet_no)")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import cluster as C
@@ -37,6 +35,17 @@ register("silhouette", lambda v: C.silhouette(vectors(v), label="label"), "",
          f"""WITH m AS (SELECT a.id, a.label AS la, b.label AS lb, avg({DIST}) AS d FROM {VEC} a JOIN {VEC} b ON a.id <> b.id GROUP BY 1, 2, 3), s AS (SELECT id, max(CASE WHEN la = lb THEN d END) AS x, min(CASE WHEN la <> lb THEN d END) AS y FROM m GROUP BY 1)
          SELECT avg(coalesce((y - x) / nullif(greatest(x, y), 0), 0)) AS silhouette FROM s""", "silhouette")
 register("k_clusters", lambda v: C.k_clusters(vectors(v), 5).select("id", "cluster"))
+
+
+def chosen(v):
+    """The rows of the best number of clusters."""
+    k, rows = C.choose_k(vectors(v), range(2, 6))
+    return (vectors(v).withColumn("cluster", F.lit(None).cast("int")) if rows is None else rows).select("id", "cluster", F.lit(k).cast("int").alias("k"))
+
+
+register("choose_k", chosen)
+PLACES = "(SELECT cell_type, avg(z) AS mz, avg(y) AS my, avg(x) AS mx FROM spots WHERE cell_type IS NOT NULL GROUP BY 1)"
+register("position_spread", lambda v: C.position_spread(v.spots, "cell_type"), "spots", f"SELECT cell_type, avg(sqrt((z - mz) * (z - mz) + (y - my) * (y - my) + (x - mx) * (x - mx))) AS spread FROM spots JOIN {PLACES} USING (cell_type) GROUP BY 1", "spread")
 register("frame_points", lambda v: N.frame_points(v.spots, True), "spots",
          "SELECT spot_id, frame, " + ", ".join(f"({c} - avg({c}) OVER (PARTITION BY frame)) / CASE WHEN stddev_pop({c}) OVER (PARTITION BY frame) = 0 THEN 1 ELSE stddev_pop({c}) OVER (PARTITION BY frame) END AS {c}" for c in "zyx") + " FROM spots", "z y x")
 RIPS = "SELECT a.frame, a.spot_id AS a, b.spot_id AS b, sqrt((a.z - b.z) * (a.z - b.z) + (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)) AS distance FROM spots a JOIN spots b ON a.frame = b.frame AND a.spot_id < b.spot_id AND sqrt((a.z - b.z) * (a.z - b.z) + (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)) <= 12"
@@ -54,23 +63,8 @@ register("enriched_spots", lambda v: O.enriched_spots(v.spots.select("spot_id",
 register("channel_spots", lambda v: O.channel_spots(v.spots.select("spot_id", "track_id", "frame", "z", "y", "x", "intensity"), v.annotations.select(F.col("ann_id").alias("spot_id"), F.col("z").alias("c2_z"), F.col("y").alias("c2_y"), F.col("x").alias("c2_x"), F.lit(7).alias("c2_intensity"))), "spots annotations",
          "SELECT spot_id, track_id, frame, coalesce(a.z, s.z) AS z, coalesce(a.y, s.y) AS y, coalesce(a.x, s.x) AS x, CASE WHEN ann_id IS NULL THEN intensity ELSE 7 END AS intensity FROM spots s LEFT JOIN annotations a ON ann_id = spot_id", "z y x intensity")
 register("feature_slices", lambda v: O.feature_slices(v.spots, "cell_type", ["x", "intensity"]), "spots", "SELECT spot_id, cell_type AS cohort, unnest(['x', 'intensity']) AS feature, unnest([x, intensity]) AS value FROM spots", "value")
-register("read_voxels", lambda v: v.voxels.select("t", "z", "y", "x", "value", "label"), "voxels", "SELECT t, z, y, x, value, label FROM voxels")
-
-
-def round_trip(v):
-    """Spots written as tracker XML by Spark and read again."""
-    from ..operators.lineage import shared_folder
-
-    folder = shared_folder(v.spark)
-    path = f"{folder}/strandwork/xml-{uuid.uuid4().hex}"
-    O.write_enriched_spots(v.spots.select(F.col("spot_id").alias("ID"), F.col("frame").alias("FRAME"), F.col("z").alias("POSITION_Z"), F.col("y").alias("POSITION_Y"), F.col("x").alias("POSITION_X"), F.col("radius").alias("RADIUS")), path, "xml")
-    return R.read_spots_xml(v.spark, path).select("spot_id", "frame", "z", "y", "x", "radius")
-
-
-register("read_spots_xml", round_trip, "spots", "SELECT spot_id, frame, z, y, x, radius FROM spots", "z y x radius")
-
 register("classify_knn", lambda v: C.classify_knn(vectors(v), vectors(v).where("id % 3 = 0"), 3), "",
-         f"""SELECT id, label FROM (SELECT id, label, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, label) AS r FROM (SELECT a.id, b.label, row_number() OVER (PARTITION BY a.id ORDER BY {DIST}, b.id) AS k FROM {VEC} a JOIN {VEC} b ON a.id % 4 = b.id % 4 AND a.id <> b.id AND b.id % 3 = 0) WHERE k <= 3 GROUP BY 1, 2) WHERE r = 1""")
+         f"""SELECT id, label FROM (SELECT id, label, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, label) AS r FROM (SELECT a.id, b.label, row_number() OVER (PARTITION BY a.id ORDER BY {DIST}, b.id) AS k FROM {VEC} a JOIN {VEC} b ON a.id <> b.id AND b.id % 3 = 0) WHERE k <= 3 GROUP BY 1, 2) WHERE r = 1""")
 register("classify_forest", lambda v: C.classify_forest(vectors(v), vectors(v).where("id % 3 = 0"), trees=10).select("id", "prediction"))
 register("three_view_clusters", lambda v: C.three_view_clusters({"first": vectors(v).withColumn("vector", F.slice("vector", 1, 32)), "last": vectors(v).withColumn("vector", F.slice("vector", 33, 32)), "both": vectors(v)}, 4))
 register("labels_to_rows", lambda v: C.labels_to_rows(vectors(v).select("id", F.col("label").alias("head")), C.centroids(vectors(v), "label").select(F.col("label").alias("head"), "vector", (F.col("label") % 3).alias("cluster"))).select("id", "cluster", "spread"), "",

@@ -12,7 +12,7 @@ D = "sqrt((a.z - b.z) * (a.z - b.z) + (a.y - b.y) * (a.y - b.y) + (a.x - b.x) *
 MATCHED = f"""SELECT DISTINCT ON (det_id) det_id, spot_id, {D} AS distance FROM detections a JOIN spots b ON b.frame = a.t AND {D} <= 5 WHERE score > 0.5 ORDER BY det_id, {D}, spot_id"""
 AT = f"""SELECT DISTINCT ON (ann_id) ann_id, a.cell_type, spot_id, track_id FROM annotations a JOIN spots b ON b.frame = a.t AND {D} <= 15 ORDER BY ann_id, {D}, spot_id"""
 register("match_detections", lambda v: P.match_detections(v.detections, v.spots), "detections", MATCHED, "distance")
-register("filter_score", lambda v: v.detections.where("score > 0.5").select("det_id", "score"), "detections", "SELECT det_id, score FROM detections WHERE score > 0.5", "score")
+register("filter_score", lambda v: P.filter_score(v.detections).select("det_id", "score"), "detections", "SELECT det_id, score FROM detections WHERE score > 0.5", "score")
 register("nearest_within", lambda v: P.nearest_within(v.annotations.withColumnRenamed("t", "frame"), v.spots, 6.0, 2, "ann_id", plan="grid").select(F.col("q_ann_id").alias("ann_id"), F.col("p_spot_id").alias("spot_id"), "gap", "distance"), "annotations",
          f"SELECT DISTINCT ON (ann_id) ann_id, spot_id, abs(a.t - b.frame) AS gap, {D} AS distance FROM annotations a JOIN spots b ON abs(a.t - b.frame) <= 2 AND {D} <= 6 ORDER BY ann_id, abs(a.t - b.frame) + {D}, spot_id", "distance")
 register("tracks_at_annotations", lambda v: P.tracks_at_annotations(v.annotations, v.spots), "annotations", f"SELECT ann_id, spot_id, track_id FROM ({AT})")
@@ -23,22 +23,6 @@ register("neighbours_within_grid", lambda v: P.neighbours_within(v.spots, 5.0, p
 register("knn", lambda v: P.knn(v.annotations.withColumnRenamed("t", "frame"), v.spots, 3, "ann_id").select(F.col("q_ann_id").alias("ann_id"), F.col("p_spot_id").alias("spot_id"), F.col("rank").cast("long").alias("rank"), "distance"), "annotations",
          f"SELECT ann_id, spot_id, rank, distance FROM (SELECT ann_id, spot_id, {D} AS distance, row_number() OVER (PARTITION BY ann_id ORDER BY {D}, spot_id) AS rank FROM annotations a JOIN spots b ON b.frame = a.t) WHERE rank <= 3", "distance")
 REGIONS = "SELECT t, label, avg(z) AS z, avg(y) AS y, avg(x) AS x, count(*) AS size, min(z) AS z_min, max(z) AS z_max, min(y) AS y_min, max(y) AS y_max, min(x) AS x_min, max(x) AS x_max, avg(value) AS mean_value, CAST(sum(value) AS BIGINT) AS total FROM voxels WHERE label > 0 GROUP BY 1, 2"
-BOUNDARY = "SELECT DISTINCT a.t AS frame, CAST(a.z AS DOUBLE) AS z, CAST(a.y AS DOUBLE) AS y, CAST(a.x AS DOUBLE) AS x FROM voxels a JOIN voxels b ON a.t = b.t AND abs(a.z - b.z) + abs(a.y - b.y) + abs(a.x - b.x) = 1 WHERE a.label > 0 AND b.label = 0"
-
-
-def edge_of_mask(v):
-    """Foreground voxels beside a background voxel, by frame."""
-    from ..operators import voxels
-
-    return voxels.boundary_pairs(v.voxels).select(F.col("t").alias("frame"), *[F.col(c).cast("double").alias(c) for c in "zyx"]).distinct()
-
-
-register("distance_to_boundary", lambda v: P.distance_to_boundary(v.spots, edge_of_mask(v), 4.0), "spots voxels",
-         f"""WITH b AS ({BOUNDARY}), m AS (SELECT frame, avg(z) AS mz, avg(y) AS my, avg(x) AS mx FROM b GROUP BY 1)
-         SELECT spot_id, min({D}) AS distance_cell_mask, any_value(mz) AS mask_centroid_z, any_value(my) AS mask_centroid_y, any_value(mx) AS mask_centroid_x FROM spots a JOIN b ON a.frame = b.frame JOIN m ON m.frame = a.frame WHERE a.frame < 7 GROUP BY 1""",
-         "distance_cell_mask mask_centroid_z mask_centroid_y mask_centroid_x")
-register("label_density", lambda v: P.label_density(v.spots, v.voxels, 2.0), "spots voxels",
-         "SELECT spot_id, count(DISTINCT label) AS local_density FROM spots s LEFT JOIN voxels b ON b.t = s.frame AND abs(b.z - s.z) <= 4 AND abs(b.y - s.y) <= 4 AND abs(b.x - s.x) <= 4 WHERE s.frame < 7 GROUP BY 1")
 
 
 def regions(v):
@@ -49,11 +33,9 @@ def regions(v):
 
 register("match_second_channel", lambda v: P.match_second_channel(v.spots, regions(v).selectExpr("t", "label", "z", "y", "x", "total", "z_max - z_min + 1 as z_size", "y_max - y_min + 1 as y_size", "x_max - x_min + 1 as x_size"), 12.0), "spots voxels",
          f"""WITH r AS (SELECT *, cbrt(3 * CAST((z_max - z_min + 1) * (y_max - y_min + 1) * (x_max - x_min + 1) AS DOUBLE) / (4 * pi())) AS s FROM ({REGIONS}))
-         SELECT * FROM (SELECT DISTINCT ON (spot_id) spot_id, b.label, b.z AS c2_z, b.y AS c2_y, b.x AS c2_x, total AS c2_intensity, s AS c2_radius, {D} AS d FROM spots a JOIN r b ON a.frame = b.t AND {D} <= 12 WHERE a.frame < 7 ORDER BY spot_id, {D}, b.label) WHERE d <= 2 * c2_radius""".replace("SELECT * FROM (SELECT DISTINCT", "SELECT * EXCLUDE (d) FROM (SELECT DISTINCT"), "c2_z c2_y c2_x c2_radius")
-register("attach_regions", lambda v: P.attach_regions(v.spots, regions(v).selectExpr("t", "label", "z", "y", "x", "double(z_max - z_min + 1) as eigen_first", "double(y_max - y_min + 1) as eigen_second", "double(x_max - x_min + 1) as eigen_third"), 12.0), "spots voxels",
-         f"""WITH r AS (SELECT *, cbrt(CAST((z_max - z_min + 1) * (y_max - y_min + 1) * (x_max - x_min + 1) AS DOUBLE)) AS s FROM ({REGIONS}))
-         SELECT spot_id, label, s AS region_radius FROM (SELECT DISTINCT ON (spot_id) spot_id, b.label, s, {D} AS d FROM spots a JOIN r b ON a.frame = b.t AND {D} <= 12 WHERE a.frame < 7 ORDER BY spot_id, {D}, b.label) WHERE d < s""", "region_radius")
-register("attach_latent", lambda v: P.attach_latent(v.spots, v.annotations.select(F.col("ann_id").alias("latent_id"), F.col("t").alias("frame"), "z", "y", "x", F.array("z", "x").alias("latent")), 8.0).selectExpr("spot_id", "latent[0] as first", "latent[1] as second"))
+         SELECT * FROM (SELECT DISTINCT ON (spot_id) spot_id, b.label, b.z AS c2_z, b.y AS c2_y, b.x AS c2_x, total AS c2_intensity, s AS c2_radius, {D} AS d FROM spots a JOIN r b ON a.frame = b.t AND {D} <= 12 ORDER BY spot_id, {D}, b.label) WHERE d <= 2 * c2_radius""".replace("SELECT * FROM (SELECT DISTINCT", "SELECT * EXCLUDE (d) FROM (SELECT DISTINCT"), "c2_z c2_y c2_x c2_radius")
+register("attach_latent", lambda v: P.attach_latent(v.spots, v.annotations.select(F.col("ann_id").alias("latent_id"), F.col("t").alias("frame"), "z", "y", "x", F.array("z", "x").alias("latent")), 8.0).selectExpr("spot_id", "latent[0] as first", "latent[1] as second"), "spots annotations",
+         f"SELECT spot_id, lz AS first, lx AS second FROM (SELECT DISTINCT ON (a.spot_id) a.spot_id, a.radius, b.z AS lz, b.x AS lx, {D} AS d FROM spots a JOIN annotations b ON a.frame = b.t AND {D} <= 8 WHERE a.radius > 0 ORDER BY a.spot_id, {D}, b.ann_id) WHERE d < radius", "first second")
 register("transfer_positions", lambda v: P.transfer_positions(v.annotations, regions(v)), "annotations voxels",
          f"SELECT ann_id, t, z, y, x FROM (SELECT DISTINCT ON (ann_id) ann_id, b.t, b.z, b.y, b.x FROM annotations a JOIN ({REGIONS}) b ON a.t = b.t AND {D} <= 10 ORDER BY ann_id, {D}, b.label)", "z y x")
 register("exact_position_join", lambda v: P.exact_position_join(v.annotations.select("ann_id", F.col("t").alias("frame"), F.col("z") - 1, F.col("y") + 1, "x").toDF("ann_id", "frame", "z", "y", "x"), v.spots).select("ann_id", "spot_id", "track_id"), "annotations",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 VIEWS = {
     "spots": """
@@ -74,6 +75,34 @@ class Views:
 
         return lineage.saved(kinematics.kinematics(self.spots, self.edges), "motion")
 
+    @cached_property
+    def shapes(self) -> DataFrame:
+        """What each spot takes from the nearest region of its frame."""
+        from ..operators import space, tables, voxels
+
+        found = voxels.region_shapes(self.voxels).withColumnRenamed("area", "surface_area")
+        return space.attach_regions(self.spots, found, 12.0, tables.REGION)
+
+    @cached_property
+    def edge_of_mask(self) -> DataFrame:
+        """Foreground voxels beside a background voxel, by frame."""
+        from ..operators import voxels
+
+        return voxels.boundary_pairs(self.voxels).select(F.col("t").alias("frame"), *[F.col(c).cast("double").alias(c) for c in "zyx"]).distinct()
+
+    @cached_property
+    def known(self) -> DataFrame:
+        """Every spot with all that is known of it."""
+        from ..operators import lineage, space, tables
+
+        mask, density = space.distance_to_boundary(self.spots, self.edge_of_mask, 4.0), space.label_density(self.spots, self.voxels, 2.0)
+        return lineage.saved(tables.properties(self.spots, self.edges, self.pieces, self.motion, self.shapes, mask, density), "known")
+
+
+def forget() -> None:
+    """Drop the views made so far, so that the next query makes its own."""
+    _MADE.clear()
+
 
 _MADE: dict = {}
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Attribute names of a spot and what they become.
 SPOT = {"ID": ("spot_id", "long"), "FRAME": ("frame", "long"), "POSITION_Z": ("z", "double"), "POSITION_Y": ("y", "double"), "POSITION_X": ("x", "double"), "RADIUS": ("radius", "double"), "QUALITY": ("quality", "double"), "TOTAL_INTENSITY_CH1": ("total_intensity_ch1", "double"), "MEAN_INTENSITY_CH1": ("mean_intensity_ch1", "double"), "TOTAL_INTENSITY_CH2": ("total_intensity_ch2", "double"), "MEAN_INTENSITY_CH2": ("mean_intensity_ch2", "double")}
-ENRICHED = {"TRACK_ID": ("track_id", "long"), "unique_id": ("unique_id", "long"), "tracklet_id": ("tracklet_id", "long"), "generation_id": ("generation", "long"), "SPEED": ("speed", "double"), "acceleration": ("acceleration", "double"), "distance_cell_mask": ("distance_cell_mask", "double"), "local_density": ("local_density", "double"), "number_dividing": ("number_dividing", "double"), "cloud_surfacearea": ("surface_area", "double"), "cloud_eccentricity_comp_first": ("eccentricity_first", "double"), "cloud_eccentricity_comp_second": ("eccentricity_second", "double"), "cloud_eccentricity_comp_third": ("eccentricity_third", "double")}
+ENRICHED = {"TRACK_ID": ("track_id", "long"), "unique_id": ("unique_id", "long"), "tracklet_id": ("tracklet_id", "long"), "generation_id": ("generation", "long"), "SPEED": ("speed", "double"), "acceleration": ("acceleration", "double"), "distance_cell_mask": ("distance_cell_mask", "double"), "local_density": ("local_density", "double"), "number_dividing": ("number_dividing", "double"), "motion_angle_z": ("motion_angle_z", "double"), "motion_angle_y": ("motion_angle_y", "double"), "motion_angle_x": ("motion_angle_x", "double"), "radial_angle_z_key": ("radial_angle_z", "double"), "radial_angle_y_key": ("radial_angle_y", "double"), "radial_angle_x_key": ("radial_angle_x", "double"), "cell_axis_z_key": ("cell_axis_z", "double"), "cell_axis_y_key": ("cell_axis_y", "double"), "cell_axis_x_key": ("cell_axis_x", "double"), "msd": ("msd", "double"), "recoil": ("recoil", "double"), "TRACK_DISPLACEMENT": ("track_displacement", "double"), "TOTAL_DISTANCE_TRAVELED": ("total_track_distance", "double"), "MAX_DISTANCE_TRAVELED": ("max_track_distance", "double"), "TRACK_DURATION": ("track_duration", "double"), "cloud_surfacearea": ("surface_area", "double"), "cloud_eccentricity_comp_first": ("eccentricity_first", "double"), "cloud_eccentricity_comp_second": ("eccentricity_second", "double"), "cloud_eccentricity_comp_third": ("eccentricity_third", "double")}
 TRACK = {"TRACK_ID": ("track_id", "long"), "TRACK_DISPLACEMENT": ("displacement", "double"), "TOTAL_DISTANCE_TRAVELED": ("total_distance", "double"), "MAX_DISTANCE_TRAVELED": ("max_distance", "double"), "TRACK_DURATION": ("duration", "double")}
 
 

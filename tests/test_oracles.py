@@ -7,7 +7,7 @@ import pytest
 
 from strandwork.plans import registry
 
-NAMES = ["track_speeds", "roots", "splits", "tracklets", "tracklet_graph", "kinematics", "track_summary", "nearest_within", "knn", "frame_summary", "covariance_long", "exposed_area", "ergodicity_gap", "cloud_distance", "radius_predict", "autocorrelation"]
+NAMES = sorted(registry.SQL)
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +19,7 @@ def duck(sf):
 
 
 def plain(v):
-    return None if v is None else round(v, 5) + 0.0 if isinstance(v, float) else v
+    return None if v is None or v != v else round(v, 5) + 0.0 if isinstance(v, float) else v
 
 
 @pytest.mark.parametrize("name", NAMES)
