@@ -2,35 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.lineage import saved
+
 #: A word is a run of anything but these six ASCII white-space characters.
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='strandwork-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: its lineage ends in files that outlive any executor."""
-    path = f"{shared_folder(df.sparkSession)}/strandwork/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df to the folder that driver and executors share and read it back: its lineage ends in files that outlive any executor."""
+    return saved(df, name)
 
 
 def words(text: Column) -> Column:
@@ -43,11 +27,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def as_columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that extra columns of any name can't clash with ours."""
-    return df.select(*names)
-
-
 def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of undirected edges (u, v): one row (node, component) per node that has an edge.
 

@@ -19,15 +19,21 @@ HASHES = BANDS * ROWS
 SIGMAS = 4.5
 #: Buckets of more members than SMALL are joined in blocks of BLOCK documents.
 SMALL, BLOCK = 24, 512
+#: Sets that more than one in HOT rows have are broadcast to those rows: HOT of them at most.
+HOT = 10_000
 SEED = 20_240_531
 
 
+def place(doc_id: str, text: str) -> Column:
+    return F.xxhash64(doc_id, text)
+
+
 def shingled(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
-    """(doc_id, sh, nid): the sorted distinct 64-bit hashes of the word n-grams of the lower-cased (A-Z) text, and a 128-bit key of that set.
+    """(doc_id, at, sh, nid): the sorted distinct 64-bit hashes of the word n-grams of the lower-cased (A-Z) text, and a 128-bit key of that set.
 
-    A text of fewer than n words gives its whole sequence as one shingle; one without words an empty set and no key.
+    `at` is a hash of id and text, by which a row is found again. A text of fewer than n words gives its whole sequence as one shingle; one without words an empty set and no key.
     """
-    df = docs.select(F.col(doc_id).alias("doc_id"), words(ascii_lower(F.col(text))).alias("w"))
+    df = docs.select(F.col(doc_id).alias("doc_id"), place(doc_id, text).alias("at"), words(ascii_lower(F.col(text))).alias("w"))
     hashes = F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(n)])))
     df = df.withColumn("sh", F.coalesce(hashes, F.when(F.size("w") > 0, F.array(F.xxhash64("w"))), F.array().cast("array<long>"))).drop("w")
     df = df.withColumn("sh", F.sort_array(F.array_distinct("sh")))
@@ -60,8 +66,8 @@ def minhash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low[:, :HASHES] = (mixed >> np.uint64(40)) & np.uint64(2**BITS - 1)
         sig = (low.reshape(len(batch), n_longs, per_long) << (np.arange(per_long, dtype=np.uint64) * np.uint64(BITS))[None, None]).sum(axis=2, dtype=np.uint64)
         as_list = lambda m: pa.ListArray.from_arrays(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32), pa.array(m.reshape(-1).view(np.int64)))
-        rest = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "nid", "n_shingles")]
-        yield pa.RecordBatch.from_arrays([*rest, as_list(sig), as_list(bands)], names=["doc_id", "nid", "n_shingles", "sig", "bands"])
+        rest = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "at", "nid", "n_shingles")]
+        yield pa.RecordBatch.from_arrays([*rest, as_list(sig), as_list(bands)], names=["doc_id", "at", "nid", "n_shingles", "sig", "bands"])
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -80,8 +86,11 @@ def estimate(a: Column, b: Column) -> Column:
     return (share - chance) / (1 - chance)
 
 
-def block_links(frames: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Edges that span the links (exact, on whole sets) among the documents of one pair of blocks: a tree per group of linked documents."""
+def block_links(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Edges that span the links (exact, on whole sets) among the documents of two blocks: a tree per group of linked documents."""
+    frames = pd.concat([left[["nid", "sh"]], right[["o_nid", "o_sh"]].set_axis(["nid", "sh"], axis=1)]).drop_duplicates("nid")
+    if frames.empty:
+        return pd.DataFrame({"u": [], "v": []})
     nids, sets, n = frames.nid.tolist(), frames.sh.tolist(), len(frames)
     sizes = np.array([len(x) for x in sets], np.int64)
     owner, values = np.repeat(np.arange(n), sizes), np.concatenate(sets)
@@ -114,24 +123,15 @@ def block_links(frames: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"u": u, "v": v})
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept (doc_id = component_id).
-
-    Two documents are linked if 100 * |intersection| >= percent * |union| of their shingle sets. Documents with
-    equal sets are one node from the start, so copies cost one row each. Nodes that share a band are candidates:
-    those of a small bucket as pairs, which the b-bit estimate thins out before whole sets are compared; those of
-    a large bucket under its smallest member, where all of them are compared on whole sets, block by block. Every
-    link that is used has been confirmed. Null and wordless texts have no shingles and link with nothing; repeated
-    rows share a node; a null doc_id is never the smallest unless its group has no other (then component_id is null
-    and kept false). Extra columns are not read.
+def linked(docs: DataFrame, percent: int, n: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, at, n_shingles, nid) and nodes (nid, copies, component, component_id): rows with equal sets are one node.
 
-    Shuffled: one row of 40 bytes per node and band, signatures and sets of candidates only. A bucket of any size
-    is split into blocks, each pair of blocks a group of at most 2 * BLOCK documents.
+    component is a node of the group and the same for all of it; component_id the smallest doc_id of the group's rows.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    sets = shingled(docs, "doc_id", "text", n).select("doc_id", "nid", F.size("sh").cast("long").alias("n_shingles"), "sh")
-    signed = cut(sets.mapInArrow(minhash, "doc_id long, nid binary, n_shingles long, sig array<long>, bands array<long>"), "minhash")
-    nodes = signed.where("nid is not null").groupBy("nid").agg(F.min("doc_id").alias("first_id"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands"))
+    sets = shingled(docs, "doc_id", "text", n).select("doc_id", "at", "nid", F.size("sh").cast("long").alias("n_shingles"), "sh")
+    signed = cut(sets.mapInArrow(minhash, "doc_id long, at long, nid binary, n_shingles long, sig array<long>, bands array<long>"), "minhash")
+    nodes = signed.where("nid is not null").groupBy("nid").agg(F.min("doc_id").alias("first_id"), F.min("at").alias("at"), F.count("*").alias("copies"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands"))
     nodes = cut(nodes, "nodes")
 
     # Buckets of two or more; each member with its bucket's smallest member and size.
@@ -151,39 +151,79 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 3, doc_id: str
 
     # Whole sets of the nodes that are in question, made again from one of each node's texts.
     asked = near.select(F.col("u").alias("nid")).union(near.select("v")).union(groups.select("nid")).distinct()
-    asked = asked.join(nodes.select("nid", "first_id"), "nid").select("nid", "first_id")
-    again = docs.join(asked.select(F.col("first_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    asked = asked.join(nodes.select("nid", "at"), "nid").select("at").distinct()
+    again = docs.join(asked.withColumnRenamed("at", "_at"), place("doc_id", "text") == F.col("_at"), "left_semi")
     # No filter or join on the made columns before the write: Spark would push it below them and make them again for each word.
     whole = cut(shingled(again, "doc_id", "text", n).dropDuplicates(["nid"]).select("nid", "sh"), "sets")
 
     set_u, set_v = whole.select(F.col("nid").alias("u"), F.col("sh").alias("sh_u")), whole.select(F.col("nid").alias("v"), F.col("sh").alias("sh_v"))
-    both = near.join(set_u, "u").join(set_v, "v").withColumn("common", F.size(F.array_intersect("sh_u", "sh_v")))
-    links = both.where(100 * F.col("common") >= percent * (F.size("sh_u") + F.size("sh_v") - F.col("common"))).select("u", "v")
-
-    # Large buckets: blocks by hash; each pair of blocks of a group is one task's work.
-    sizes = groups.groupBy("pivot").agg(F.ceil(F.count("nid") / BLOCK).cast("int").alias("blocks"))
-    dealt = groups.join(sizes, "pivot").withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.select("pivot", "nid", "block", other.alias("with")).select("pivot", "nid", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
-    blocks = dealt.join(whole, "nid").groupBy("pivot", "low", "high").applyInPandas(lambda frames: block_links(frames, percent), "u binary, v binary")
-
-    labels = components(links.union(blocks), "near")
-    labelled = nodes.select("nid", "first_id").join(labels, nodes.nid == labels.node, "left").withColumn("component", F.coalesce("component", "nid"))
-    smallest = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_node = labelled.where("node is not null").select("nid", "component").join(smallest, "component").select("nid", "component_id")
-    alone = nodes.select("nid", "first_id")
-    known = alone.join(by_node, "nid", "left").select("nid", F.coalesce("component_id", "first_id").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "nid").join(known, "nid", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("nid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    confirmed = lambda df: df.withColumn("common", F.size(F.array_intersect("sh_u", "sh_v"))).where(100 * F.col("common") >= percent * (F.size("sh_u") + F.size("sh_v") - F.col("common"))).select("u", "v")
+    links = confirmed(near.join(set_u, "u").join(set_v, "v"))
+
+    # Large buckets: each member against the pivot first; those that it does not link to, against all, block by block.
+    star = cut(confirmed(groups.where("pivot <> nid").select(F.col("nid").alias("u"), F.col("pivot").alias("v")).join(set_u, "u").join(set_v, "v")), "stars")
+    rest = cut(groups.where("pivot <> nid").join(star.select(F.col("v").alias("pivot"), F.col("u").alias("nid")), ["pivot", "nid"], "left_anti"), "rest")
+    parts = lambda df, name: df.groupBy("pivot").agg(F.ceil(F.count("nid") / BLOCK).cast("int").alias(name))
+    dealt = parts(groups, "all_blocks").join(parts(rest, "rest_blocks"), "pivot")
+    block = lambda c: F.pmod(F.xxhash64(F.lit(c), "nid"), F.col(c)).cast("int")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    one = rest.join(dealt, "pivot").select("pivot", "nid", block("rest_blocks").alias("low"), each("all_blocks").alias("high")).join(whole, "nid")
+    other = groups.join(dealt, "pivot").select(F.col("pivot").alias("o_pivot"), "nid", each("rest_blocks").alias("o_low"), block("all_blocks").alias("o_high")).join(whole, "nid").withColumnsRenamed({"nid": "o_nid", "sh": "o_sh"})
+    blocks = one.groupBy("pivot", "low", "high").cogroup(other.groupBy("o_pivot", "o_low", "o_high")).applyInPandas(lambda x, y: block_links(x, y, percent), "u binary, v binary")
+
+    labels = components(links.union(star).union(blocks), "near")
+    nodes = cut(nodes.select("nid", "first_id", "copies").join(labels, nodes.nid == labels.node, "left").withColumn("component", F.coalesce("component", "nid")).drop("node"), "labelled")
+    grouped = nodes.where("nid <> component").select("component").distinct()
+    smallest = nodes.join(grouped, "component", "left_semi").groupBy("component").agg(F.min("first_id").alias("least_id"))
+    return signed.select("doc_id", "at", "n_shingles", "nid"), nodes.join(smallest, "component", "left").select("nid", "copies", "component", F.coalesce("least_id", "first_id").alias("component_id"))
+
+
+def placed(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """rows with their node's component and component_id; null without a node.
+
+    Nodes of more than a HOT part of all rows are HOT at most: they are broadcast, so that no copy's key is one task's work.
+    """
+    nodes = cut(nodes, "placed")
+    total = nodes.agg(F.sum("copies")).first()[0] or 0
+    is_hot, columns = F.col("copies") * HOT > total, ["nid", "component", "component_id"]
+    hot, usual = F.broadcast(nodes.where(is_hot).select(*columns)), nodes.where(~is_hot).select(*columns)
+    return rows.join(hot, "nid").unionByName(rows.join(hot, "nid", "left_anti").join(usual, "nid", "left"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept (doc_id = component_id).
+
+    Two documents are linked if 100 * |intersection| >= percent * |union| of their shingle sets. Documents with
+    equal sets are one node from the start, so copies cost one row each. Nodes that share a band are candidates:
+    those of a small bucket as pairs, which the b-bit estimate thins out before whole sets are compared; those of
+    a large bucket under its smallest member, with which each is compared first, and those that it does not link to
+    with all of them, block by block. Every link that is used has been confirmed on whole sets. Null and wordless
+    texts have no shingles and link with nothing; repeated rows share a node; a null doc_id is never the smallest
+    unless its group has no other (then component_id is null) and is never kept. Extra columns are not read.
+
+    Shuffled: one row of 40 bytes per node and band, signatures and sets of candidates only. A bucket of any size
+    is split into blocks, each pair of blocks a group of at most 2 * BLOCK documents.
+    """
+    out = placed(*linked(docs, percent, n, doc_id, text))
+    component = F.when(F.col("nid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def keep_first(docs: DataFrame, percent: int = 80, n: int = 5) -> DataFrame:
-    """The documents of docs that near_duplicates() keeps, with all their columns.
+    """One document of each group of near-duplicates of docs, with all its columns: the rows with the group's smallest doc_id.
 
-    Of rows that share the kept doc_id all stay; rows whose doc_id is null stay where they have no other row in their group.
+    Of rows that share that doc_id all stay. A group whose rows have no doc_id keeps one of them. Texts without words are
+    in no group: they stay.
     """
-    kept = near_duplicates(docs, percent, n).where("kept or doc_id is null").select("doc_id").distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+    rows, nodes = linked(docs, percent, n, "doc_id", "text")
+    known = cut(placed(rows, nodes), "components")
+    kept = known.where("doc_id = component_id or doc_id is not null and nid is null").select(F.col("doc_id").alias("kept_id")).distinct()
+    named = docs.join(kept, docs.doc_id == kept.kept_id, "left_semi")
+    nameless = known.where("doc_id is null and component_id is null and nid is not null").groupBy("component").agg(F.min("at").alias("kept_at")).select("kept_at")
+    others = docs.where("doc_id is null").withColumn("_at", place("doc_id", "text")).join(nameless, F.col("_at") == F.col("kept_at"))
+    one = others.groupBy("_at").agg(F.min_by(F.struct(*[docs[c] for c in docs.columns]), F.xxhash64(*[docs[c] for c in docs.columns])).alias("_row")).select("_row.*")
+    wordless = docs.where(F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    return named.unionByName(one).unionByName(wordless)
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

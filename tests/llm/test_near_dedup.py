@@ -87,3 +87,15 @@ def test_keep_first(spark, odd_docs):
 
 def test_empty(spark, empty_dir):
     assert near_dedup.op4_near_dedup(spark, empty_dir).count() == 0
+
+
+def test_null_ids(spark):
+    """Rows without an id link like others, and of a group that has no id one row stays."""
+    base = [f"w{i}" for i in range(60)]
+    other, far = " ".join([*base[:59], "x"]), " ".join(f"z{i}" for i in range(40))
+    docs = [(None, " ".join(base)), (5, other), (None, far), (None, far), (None, far + " more"), (None, ""), (None, None), (7, ""), (8, "one two"), (8, "one two"), (9, "one two")]
+    frame = spark.createDataFrame([(*d, k) for k, d in enumerate(docs)], "doc_id long, text string, k int")
+    same(rows(near_dedup.near_duplicates(frame)), brute(docs), COLUMNS)
+    kept = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in rows(near_dedup.keep_first(frame)))
+    assert kept[:4] == [(False, 5, other), (False, 7, ""), (False, 8, "one two"), (False, 8, "one two")]
+    assert kept[4:6] == [(True, 0, ""), (True, 0, "")] and len(kept) == 7 and kept[6][2] in (far, far + " more")
