@@ -34,16 +34,15 @@ def repeated(lines: DataFrame, min_words: int) -> DataFrame:
     """(row, no): numbers of the lines to delete, of written lines (row, doc_id, lines).
 
     1. Lines that occur once in all texts end every repeated run, so only segments of consecutive repeated lines
-       with min_words words or more are kept. Of equal segments the first stays in; the later ones go whole.
+       with min_words words or more are kept. Of equal segments, which repeat whole, the first stays in; the later ones go.
     2. Prefix doubling over the lines of the segments that are left: rank 0 orders the lines; rank k + 1 orders
-       (rank k, rank k 2^k lines further on), which is the order of the suffixes by 2^(k+1) lines. It ends with
-       the longest shortest run needed, which has min_words lines at most.
-    3. A run of m lines is an interval of the suffix array of longest common prefix m or more: it is named by the
-       ranks of its first and its last 2^k lines (2^k <= m < 2^(k+1)). For each line the shortest run of min_words
-       words that starts there, and the one that ends there, are looked up; members of an interval other than its
-       first are copies. Any longer repeated run is the union of such runs, so these cover all of it.
+       (rank k, rank k 2^k lines further on), which is the order of the suffixes by 2^(k+1) lines. It ends where it
+       orders them by the longest run that is asked for; a line has a word, so that is min_words lines at most.
+    3. In that order the longest common prefix of each suffix with the one before it, and its intervals: a run of m lines
+       is one where no such prefix is under m. For each line the shortest run of min_words words that starts there,
+       and the one that ends there, are looked up; members of an interval other than its first are copies. Any longer
+       repeated run is the union of such runs, so these cover the maximal ones.
     """
-    place = F.struct("doc_id", "row")
     flat = lines.select("row", "doc_id", F.posexplode("lines").alias("i", "x")).select("row", "doc_id", "i", F.xxhash64("x.h").alias("key"), "x")
     many = cut(flat.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "many")
     hits = flat.select("row", "i", "key").join(many, "key", "left_semi").groupBy("row").agg(F.sort_array(F.collect_list("i")).alias("at"))
@@ -73,33 +72,54 @@ def repeated(lines: DataFrame, min_words: int) -> DataFrame:
     ahead = F.size(F.filter("next", lambda t: t < F.col("from") + min_words)) + 1
     behind = F.size(F.filter("prior", lambda t: t > F.col("to") - min_words)) + 1
     sums = sums.withColumns({"ahead": F.when(F.array_max("next") >= F.col("from") + min_words, ahead), "behind": F.when(F.col("to") >= min_words, behind)})
-    ranked = cut(sums.drop("next", "prior", "from", "to"), "reach")
+    sums = sums.withColumn("prefix", F.collect_list("r0").over(w.rowsBetween(0, min_words - 1)))
+    ranked = cut(sums.drop("next", "prior", "from", "to", "n"), "reach")
     longest = ranked.agg(F.greatest(F.max("ahead"), F.max("behind")).alias("m")).first().m or 0
+    if not longest:  # no segment is left
+        return copies.distinct()
     k = 0
-    while 2 ** (k + 1) <= longest:
-        pairs = ranked.withColumn("far", F.lead(f"r{k}", 2**k).over(w))
-        pairs = cut(pairs, f"pairs{k}")
-        names = dense_ranks(pairs.where("far is not null"), [f"r{k}", "far"], f"r{k + 1}")
-        ranked = cut(pairs.join(names, [f"r{k}", "far"], "left").drop("far"), f"r{k + 1}")
+    while 2**k < longest:
+        pairs = cut(ranked.withColumn("far", F.coalesce(F.lead(f"r{k}", 2**k).over(w), F.lit(-1))), f"pairs{k}")
+        names = dense_ranks(pairs, [f"r{k}", "far"], f"r{k + 1}")
+        ranked = cut(pairs.join(names, [f"r{k}", "far"]).drop("far", f"r{k}"), f"r{k + 1}")
         k += 1
-    # Runs by their first line and length; each is named by its length and the ranks of its two ends.
-    spans = ranked.select("*", F.explode(F.array(F.struct(F.col("i").alias("at"), F.col("ahead").alias("m")), F.struct((F.col("i") - F.col("behind") + 1).alias("at"), F.col("behind").alias("m")))).alias("run"))
+    suffixes = intervals(ranked.withColumnRenamed(f"r{k}", "rank"), longest)
+    # Runs by their first line and length; each is named by its length and the interval that its suffix is in.
+    spans = ranked.select("s", F.explode(F.array(F.struct(F.col("i").alias("at"), F.col("ahead").alias("m")), F.struct((F.col("i") - F.col("behind") + 1).alias("at"), F.col("behind").alias("m")))).alias("run"))
     spans = spans.where("run.m is not null").select("s", "run.at", "run.m").distinct()
-    levels = F.floor(F.log2("m")).cast("int")
-    spans = spans.withColumn("level", levels).withColumn("tail", F.col("at") + F.col("m") - F.pow(F.lit(2), "level").cast("int"))
-    ranks = F.array(*[F.col(f"r{j}") for j in range(k + 1)])
-    ends = ranked.select("s", "i", "doc_id", "row", "no", ranks.alias("ranks"))
-    head = ends.select("s", F.col("i").alias("at"), "doc_id", "row", "no", F.col("ranks").alias("head_ranks"))
-    tail = ends.select("s", F.col("i").alias("tail"), F.col("ranks").alias("tail_ranks"))
-    named = spans.join(head, ["s", "at"]).join(tail, ["s", "tail"])
-    named = named.select("s", "at", "m", F.struct("doc_id", "row", "no").alias("place"), F.get("head_ranks", "level").alias("x"), F.get("tail_ranks", "level").alias("y"))
+    named = spans.join(suffixes.withColumnRenamed("i", "at"), ["s", "at"]).select("s", "at", "m", F.struct("doc_id", "row", "no").alias("place"), F.get("intervals", F.col("m") - 1).alias("interval"))
     named = cut(named, "intervals")
-    firsts = cut(named.groupBy("m", "x", "y").agg(F.min("place").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"), "interval-firsts")
-    later = named.join(firsts, ["m", "x", "y"]).where("place <> first").select("s", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("m") - 1)).alias("i")).distinct()
-    runs_gone = later.join(ends.select("s", "i", "row", "no"), ["s", "i"]).select("row", "no")
+    firsts = cut(named.groupBy("m", "interval").agg(F.min("place").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"), "interval-firsts")
+    later = named.join(firsts, ["m", "interval"]).where("place <> first").select("s", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("m") - 1)).alias("i")).distinct()
+    runs_gone = later.join(suffixes.select("s", "i", "row", "no"), ["s", "i"]).select("row", "no")
     return copies.union(runs_gone).distinct()
 
 
+def intervals(suffixes: DataFrame, longest: int) -> DataFrame:
+    """suffixes (s, i, doc_id, row, no, rank, prefix: ranks of the next lines) plus `intervals`: at m - 1 the number of the interval of common prefix m or more that the suffix is in.
+
+    The suffixes are sorted by range partitions (equal ranks are spread over them); each is compared with the one before
+    it, the first of a partition with the last of the partition before. An interval's number is the count of the common
+    prefixes under m so far: within the partition, and in those before it, of which there is one row each.
+    """
+    dealt = cut(suffixes.select("s", "i", "doc_id", "row", "no", "rank", "prefix").repartitionByRange("rank", "s", "i").withColumn("_part", F.spark_partition_id()), "suffix-array")
+    order = Window.partitionBy("_part").orderBy("rank", "s", "i")
+    ends = dealt.groupBy("_part").agg(F.max_by("prefix", F.struct("rank", "s", "i")).alias("_end"))
+    ends = ends.select("_part", F.lag("_end").over(Window.orderBy("_part")).alias("_end"))
+    prior = F.when(F.row_number().over(order) == 1, F.col("_end")).otherwise(F.lag("prefix").over(order))
+    equal = F.zip_with("prefix", "_prior", lambda a, b: a.eqNullSafe(b))
+    common = F.coalesce(F.nullif(F.array_position(equal, False), F.lit(0)) - 1, F.when(F.col("_prior").isNotNull(), F.size("prefix")), F.lit(0))
+    compared = cut(dealt.join(F.broadcast(ends), "_part").withColumn("_prior", prior).withColumn("lcp", common.cast("int")).drop("_end", "_prior", "prefix"), "common-prefixes")
+    under = [F.when(F.col("lcp") < m, 1).otherwise(0) for m in range(1, longest + 1)]
+    sums = compared.groupBy("_part").agg(*[F.sum(x).alias(f"_b{m}") for m, x in enumerate(under)])
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_part", *[F.coalesce(F.sum(f"_b{m}").over(before), F.lit(0)).alias(f"_b{m}") for m in range(longest)])
+    counts = [F.sum(x).over(order.rowsBetween(Window.unboundedPreceding, 0)) for x in under]
+    counted = compared.join(F.broadcast(sums), "_part").withColumns({f"_c{m}": c for m, c in enumerate(counts)})
+    numbers = [F.col(f"_b{m}") + F.col(f"_c{m}") for m in range(longest)]
+    return cut(counted.select("s", "i", "doc_id", "row", "no", F.array(*numbers).alias("intervals")), "suffix-intervals")
+
+
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs (doc_id, text and any other columns) with the text that is left, as (_row, text, n_lines, n_removed).
 

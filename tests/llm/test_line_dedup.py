@@ -66,3 +66,24 @@ def test_odd(spark, odd_docs, odd_dir):
 
 def test_empty(spark, empty_dir):
     assert D.op7_line_dedup(spark, empty_dir).count() == 0
+
+
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_intervals(spark, partitions):
+    """Suffixes are in one interval of depth m if and only if they share their first m lines."""
+    rng = random.Random(4)
+    texts = [[rng.randrange(3) for _ in range(rng.randrange(1, 12))] for _ in range(25)]
+    suffixes = [(s, i, s, bytes([s]), i, t[i : i + 4]) for s, t in enumerate(texts) for i in range(len(t))]
+    order = {x: k for k, x in enumerate(sorted({tuple(texts[s][i:]) for s, i, *_ in suffixes}))}
+    data = [(s, i, d, r, n, order[tuple(texts[s][i:])], p) for s, i, d, r, n, p in suffixes]
+    df = spark.createDataFrame(data, "s long, i int, doc_id long, row binary, no int, rank long, prefix array<long>").repartition(partitions)
+    found = rows(D.intervals(df, 4))
+    assert len(found) == len(data)
+    for m in range(1, 5):
+        by_prefix, by_number = {}, {}
+        for r in found:
+            run = tuple(texts[r["s"]][r["i"] : r["i"] + m])
+            if len(run) == m:
+                by_prefix.setdefault(run, set()).add(r["intervals"][m - 1])
+                by_number.setdefault(r["intervals"][m - 1], set()).add(run)
+        assert all(len(x) == 1 for x in by_prefix.values()) and all(len(x) == 1 for x in by_number.values())
