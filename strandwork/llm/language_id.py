@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Dimensions; slots that letters are dealt to (0: anything else); seed of the letter vectors.
-DIMENSIONS, SLOTS, SEED = 512, 128, 77
-#: About how many labelled rows the prototypes are learned from; languages that a model may have.
-MAX_TRAINING, MAX_LANGUAGES = 40_000, 2_000
+DIMENSIONS, SLOTS, SEED = 512, 1024, 77
+#: About how many labelled rows the prototypes are learned from: there are no more languages than that.
+MAX_TRAINING = 40_000
 
 
 def letter_vectors() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,17 +67,15 @@ def learn(labelled: DataFrame, max_training: int = MAX_TRAINING) -> dict[str, np
     """Prototype (length 1) of each language of labelled (text, lang; no null lang), from about max_training of its rows.
 
     The rows are those whose text hashes into the share max_training / rows; all of them if there are fewer. Each
-    task sends one bundle per language; those are summed by language and dimension, and only the prototypes, of
-    MAX_LANGUAGES languages at most, reach the driver.
+    task sends one bundle per language; those are summed by language and dimension, and only the prototypes reach the
+    driver: 4 KB for each language of the chosen rows.
     """
     rows = max(labelled.count(), 1)
     share = min(1.0, max_training / rows)
     chosen = labelled if share == 1.0 else labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
     sums = chosen.select("text", "lang").mapInArrow(bundles, "lang string, bundle array<long>")
     parts = sums.select("lang", F.posexplode("bundle").alias("i", "v")).groupBy("lang", "i").agg(F.sum("v").alias("v"))
-    found = parts.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("bundle")).limit(MAX_LANGUAGES + 1).collect()
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} languages")
+    found = parts.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("bundle")).collect()
     out = {}
     for r in sorted(found, key=lambda r: r.lang):
         v = np.array([x.v for x in r.bundle], np.float64)

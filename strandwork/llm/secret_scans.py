@@ -17,8 +17,8 @@ KINDS = (
 HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Candidates of the method: runs of these characters with digits and letters; added as spans of this kind.
 CANDIDATE, ADDED = r"[A-Za-z0-9_-]{20,}", "owned"
-#: A candidate is live-looking from so many digits and distinct characters on, and owner-specific up to so many owners.
-MIN_DIGITS, MIN_DISTINCT, MAX_OWNERS = 3, 10, 1
+#: A candidate is live-looking from so many digits and distinct characters on; a value is owner-specific up to so many owners and repositories.
+MIN_DIGITS, MIN_DISTINCT, MAX_OWNERS, MAX_REPOS = 3, 10, 1, 3
 
 
 def spans(text: Column, pattern: str, group: int, least: int) -> Column:
@@ -68,29 +68,33 @@ def spell(found: Column) -> Column:
     return F.array_join(F.transform(F.sort_array(found), lambda x: F.concat_ws(":", F.get(names, x["kind_no"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def find_secrets(docs: DataFrame, owner: Column, repository: Column, doc_id: str = "doc_id", text: str = "text", max_owners: int = MAX_OWNERS) -> DataFrame:
-    """One row per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_copied.
+def find_secrets(docs: DataFrame, owner: Column, repository: Column, doc_id: str = "doc_id", text: str = "text", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+    """One row per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_copied, n_base_live, n_base_copied, max_repos.
 
-    Base spans come from the patterns alone. Candidates (long mixed runs) are hashed; over the whole corpus each
-    hash's distinct owners and repositories are counted. A candidate with at most max_owners owners is taken for
-    a live credential of that owner: its span is added unless a base span has the same bounds. One that more
-    owners hold is a copied example: counted in n_copied, no span. Null texts are empty; a null owner counts as
-    one owner; repeated rows each get their own row (their id is made in the written scan).
+    Base spans come from the patterns alone. The values of base spans and candidates (long mixed runs) are hashed; over
+    the whole corpus each hash's distinct owners and repositories are counted. A value with at most max_owners owners
+    and max_repos repositories is taken for a live credential of that owner, one that more hold for a copied example.
+    A live candidate's span is added unless a base span has the same bounds (n_owned); a copied one has no span
+    (n_copied). Base spans always stay; n_base_live and n_base_copied tell their values apart. max_repos is the most
+    repositories of any of the row's values. Null texts are empty; a null owner or repository counts as one of its own,
+    apart from an empty one; repeated rows each get their own row (their id is made in the written scan).
 
     Texts are read once; the scan's spans (small) are written to the shared folder. Counting starts within each
     task, so that a hash in a third of all documents shuffles a few rows; the join back has one row per hash on
     its right side, and a hot left side can be split.
     """
+    told = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), owner.alias("owner"), repository.alias("repo"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    kept = cut(scan(rows).drop("_text").withColumns({"row": F.monotonically_increasing_id(), "owner": F.coalesce("owner", F.lit("")), "repo": F.coalesce("repo", F.lit(""))}), "secrets")
+    kept = cut(scan(rows).drop("_text").withColumns({"row": F.monotonically_increasing_id(), "owner": told("owner"), "repo": told("repo")}), "secrets")
     last = len(KINDS)
     base = F.filter("found", lambda x: x["kind_no"] < last)
-    hits = kept.select("row", "owner", "repo", F.explode(F.filter("found", lambda x: x["kind_no"] == last)).alias("x")).select("row", "owner", "repo", "x", F.sha2("x.value", 256).alias("hash"))
+    hits = kept.select("row", "owner", "repo", F.explode("found").alias("x")).select("row", "owner", "repo", "x", F.sha2("x.value", 256).alias("hash"))
     freq = hits.select("hash", "owner", "repo").distinct().groupBy("hash").agg(F.countDistinct("owner").alias("n_owners"), F.count("repo").alias("n_repos"))
     known = hits.select("row", "x", "hash").join(freq, "hash")
-    owned = F.col("n_owners") <= max_owners
+    live, added_kind = (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos), F.col("x.kind_no") == last
     by_row = known.groupBy("row").agg(
-        F.collect_list(F.when(owned, F.col("x"))).alias("owned"), F.count_if(owned).alias("n_owned"), F.count_if(~owned).alias("n_copied"), F.max("n_repos").alias("max_repos")
+        F.collect_list(F.when(live & added_kind, F.col("x"))).alias("owned"), F.count_if(live & added_kind).alias("n_owned"), F.count_if(~live & added_kind).alias("n_copied"),
+        F.count_if(live & ~added_kind).alias("n_base_live"), F.count_if(~live & ~added_kind).alias("n_base_copied"), F.max("n_repos").alias("max_repos"),
     )
     out = kept.select("row", "doc_id", base.alias("base")).join(by_row, "row", "left")
     bounds = F.transform("base", lambda b: F.struct(b["start"], b["end"]))
@@ -98,7 +102,7 @@ def find_secrets(docs: DataFrame, owner: Column, repository: Column, doc_id: str
     count = lambda i: F.size(F.filter("base", lambda x: x["kind_no"] == i)).cast("long")
     return out.select(
         "doc_id", *[count(i).alias(f"n_{k}") for i, (k, *_) in enumerate(KINDS)], F.sha2(spell(F.col("base")), 256).alias("base_sha256"), spell(F.concat("base", added)).alias("spans"),
-        F.coalesce("n_owned", F.lit(0)).alias("n_owned"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"), F.coalesce("max_repos", F.lit(0)).alias("max_repos"),
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_owned", "n_copied", "n_base_live", "n_base_copied", "max_repos")],
     )
 
 
