@@ -19,7 +19,7 @@ HASHES = BANDS * ROWS
 SIGMAS = 4.5
 #: Buckets of more members than SMALL are joined in blocks of BLOCK documents.
 SMALL, BLOCK = 24, 512
-#: Sets that more than one in HOT rows have are broadcast to those rows: HOT of them at most.
+#: Keys that more than one in HOT rows have are broadcast to those rows: HOT of them at most.
 HOT = 10_000
 SEED = 20_240_531
 
@@ -173,21 +173,26 @@ def linked(docs: DataFrame, percent: int, n: int, doc_id: str, text: str) -> tup
 
     labels = components(links.union(star).union(blocks), "near")
     nodes = cut(nodes.select("nid", "first_id", "copies").join(labels, nodes.nid == labels.node, "left").withColumn("component", F.coalesce("component", "nid")).drop("node"), "labelled")
-    grouped = nodes.where("nid <> component").select("component").distinct()
-    smallest = nodes.join(grouped, "component", "left_semi").groupBy("component").agg(F.min("first_id").alias("least_id"))
-    return signed.select("doc_id", "at", "n_shingles", "nid"), nodes.join(smallest, "component", "left").select("nid", "copies", "component", F.coalesce("least_id", "first_id").alias("component_id"))
+    smallest = nodes.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("weight")).where("weight > 1")
+    known = looked_up(nodes.select("nid", "first_id", "copies", "component"), smallest, "component", "weight")
+    return signed.select("doc_id", "at", "n_shingles", "nid"), known.select("nid", "copies", "component", F.coalesce("component_id", "first_id").alias("component_id"))
 
 
-def placed(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """rows with their node's component and component_id; null without a node.
+def looked_up(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """rows with the columns of table, which has one row per key and tells in `weight` how many of the rows have it; null where it has none.
 
-    Nodes of more than a HOT part of all rows are HOT at most: they are broadcast, so that no copy's key is one task's work.
+    Keys of more than one in HOT of the rows are HOT at most: they are broadcast, so that no key is one task's work.
     """
-    nodes = cut(nodes, "placed")
-    total = nodes.agg(F.sum("copies")).first()[0] or 0
-    is_hot, columns = F.col("copies") * HOT > total, ["nid", "component", "component_id"]
-    hot, usual = F.broadcast(nodes.where(is_hot).select(*columns)), nodes.where(~is_hot).select(*columns)
-    return rows.join(hot, "nid").unionByName(rows.join(hot, "nid", "left_anti").join(usual, "nid", "left"))
+    table = cut(table, "looked-up")
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    is_hot, others = F.col(weight) * HOT > total, [c for c in table.columns if c != weight]
+    hot, usual = F.broadcast(table.where(is_hot).select(*others)), table.where(~is_hot).select(*others)
+    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(usual, key, "left"))
+
+
+def placed(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """rows with their node's component and component_id; null without a node."""
+    return looked_up(rows, nodes.select("nid", "copies", "component", "component_id"), "nid", "copies")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
