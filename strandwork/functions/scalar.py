@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 #: Features of a spot by kind, as the feature table names them.
 SHAPE = ("radius", "eccentricity_first", "eccentricity_second", "eccentricity_third", "local_density", "surface_area")
 DYNAMIC = ("speed", "motion_angle_z", "motion_angle_y", "motion_angle_x", "acceleration", "distance_cell_mask", "radial_angle_z", "radial_angle_y", "radial_angle_x", "cell_axis_z", "cell_axis_y", "cell_axis_x", "msd")
+STATUS = ("dividing", "number_dividing")
+
+
+def view_columns(view: str, ignore: Sequence[str] = ()) -> list[str]:
+    """Features of a view: shape, dynamic, shape_dynamic or full (status and msd too), less the ignored ones."""
+    dynamic = [c for c in DYNAMIC if c != "msd"]
+    views = {"shape": [*SHAPE], "dynamic": dynamic, "shape_dynamic": [*SHAPE, *dynamic], "full": [*STATUS, *SHAPE, *DYNAMIC]}
+    return [c for c in views[view] if c not in ignore]
 
 
 def axis_angle(z: Column, y: Column, x: Column, axis: str) -> Column:

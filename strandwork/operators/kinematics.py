@@ -69,7 +69,7 @@ def edge_steps(spots: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def track_summary(spots: DataFrame, edges: DataFrame, interval: float = 1.0) -> DataFrame:
-    """The track measures, one row per track. Displacement is from the first to the last spot by (frame, spot_id)."""
+    """The track measures, one row per track. Displacement is from the first to the last spot by (frame, spot_id); mean_quality comes along where spots have a quality."""
     from .lineage import gaps, merges, splits
 
     moved = edge_steps(spots, edges).withColumn("speed", F.col("displacement") / (F.greatest(F.lit(1), F.col("to_frame") - F.col("from_frame")) * interval))
@@ -79,7 +79,7 @@ def track_summary(spots: DataFrame, edges: DataFrame, interval: float = 1.0) ->
     )
     place = F.struct(*POSITION)
     base = spots.groupBy("track_id").agg(
-        F.count("*").alias("number_spots"), F.min("frame").alias("start"), F.max("frame").alias("stop"), *[F.avg(c).alias(f"mean_{c}") for c in POSITION],
+        *([F.avg("quality").alias("mean_quality")] if "quality" in spots.columns else []), F.count("*").alias("number_spots"), F.min("frame").alias("start"), F.max("frame").alias("stop"), *[F.avg(c).alias(f"mean_{c}") for c in POSITION],
         F.min_by(place, F.struct("frame", "spot_id")).alias("_a"), F.max_by(place, F.struct("frame", "spot_id")).alias("_b"),
     )
     first = spots.join(base.select("track_id", "_a"), "track_id").groupBy("track_id").agg(F.max(length([F.col(c) - F.col(f"_a.{c}") for c in POSITION])).alias("max_distance"))

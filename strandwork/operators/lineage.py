@@ -32,6 +32,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete all that saved() has written to the session's shared folder: only when no result that reads it is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/strandwork")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def children(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("source_id").alias("spot_id")).agg(F.sort_array(F.collect_list("target_id")).alias("children"))
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import histogram_bin, usable_radius
+from ..functions.scalar import histogram_bin, usable_radius, view_columns
 from .blocks import before_in_order
 
 MEASURES = ("radius", "speed", "acceleration", "motion_angle_z", "motion_angle_y", "motion_angle_x", "distance_cell_mask", "local_density")
@@ -150,10 +150,15 @@ def clip_roi(box: DataFrame, extents: DataFrame, axes: Sequence[str]) -> DataFra
     return joined.select(*[e for a in axes for e in (F.greatest(F.lit(0), f"{a}_start").alias(f"{a}_start"), F.least(f"{a}_end", f"{a}_size").alias(f"{a}_end"))])
 
 
-def select_features(rows: DataFrame, features: Sequence[str], ignore: Sequence[str] = (), keys: Sequence[str] = ("spot_id",)) -> DataFrame:
-    """Keys and features less the ignored ones; rows with a null feature are dropped."""
+def select_features(rows: DataFrame, features: Sequence[str] | str, ignore: Sequence[str] = (), keys: Sequence[str] = ("spot_id",), label: str | None = None) -> DataFrame:
+    """Keys and features less the ignored ones, and the label if one is named; rows with a null feature are dropped.
+
+    features are columns, or the name of a view (shape, dynamic, shape_dynamic, full), which takes latent columns along.
+    """
+    if isinstance(features, str):
+        features = [*view_columns(features), *[c for c in rows.columns if c.startswith("latent_")]]
     kept = [c for c in features if c not in ignore]
-    return rows.select(*keys, *kept).na.drop(subset=kept)
+    return rows.select(*keys, *kept, *([label] if label is not None else [])).na.drop(subset=kept)
 
 
 def cluster_scatter(rows: DataFrame, views: Sequence[str]) -> DataFrame:

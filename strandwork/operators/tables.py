@@ -7,13 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import DYNAMIC, SHAPE, drop_invalid_rows, tracklet_key, usable_radius
+from ..functions.scalar import DYNAMIC, SHAPE, STATUS, drop_invalid_rows, tracklet_key, usable_radius, view_columns
 from .kinematics import POSITION, root_displacement
 from .lineage import division_label
 from .summary import class_balanced_sample, region_of_interest
+from .tracklets import centre_row, raw_vector
 
-#: Columns that name a row of the feature table, that say what becomes of its track, and that come after its features.
-IDENTITY, STATUS, MAPPED = ("tracklet", "t", "z", "y", "x"), ("dividing", "number_dividing"), ("track_id", "generation", "tracklet_no", "track_duration")
+#: Columns that name a row of the feature table, and that come after its features.
+IDENTITY, MAPPED = ("tracklet", "t", "z", "y", "x"), ("track_id", "generation", "tracklet_no", "track_duration")
 #: Measures of a whole track as track_summary() names them, and as the track table does.
 TRACK = {"displacement": "track_displacement", "total_distance": "total_track_distance", "max_distance": "max_track_distance", "duration": "track_duration"}
 #: What regions bring to their nearest spot.
@@ -72,13 +73,6 @@ def feature_table(known: DataFrame, spots: DataFrame, edges: DataFrame, summary:
     return df.select("spot_id", *IDENTITY, *STATUS, *SHAPE, *DYNAMIC, *MAPPED, *(["latent"] if latent is not None else []))
 
 
-def view_columns(view: str, ignore: Sequence[str] = ()) -> list[str]:
-    """Features of a view: shape, dynamic, shape_dynamic or full (identity and status too), less the ignored ones."""
-    dynamic = [c for c in DYNAMIC if c != "msd"]
-    views = {"shape": [*SHAPE], "dynamic": dynamic, "shape_dynamic": [*SHAPE, *dynamic], "full": [*STATUS, *SHAPE, *DYNAMIC]}
-    return [c for c in views[view] if c not in ignore]
-
-
 def analysis_tracklets(features: DataFrame, view: str = "shape_dynamic", window: tuple[float, float] | None = None, class_ratio: float = -1, ignore: Sequence[str] = (), label: str | None = None, seed: int = 0) -> DataFrame:
     """Rows of the feature table for clustering: spot_id, identity, the features of a view and, if asked, the label.
 
@@ -94,3 +88,12 @@ def analysis_tracklets(features: DataFrame, view: str = "shape_dynamic", window:
     columns = view_columns(view, ignore)
     numbers = [c for c in columns if c != "dividing"]
     return drop_invalid_rows(rows, numbers).select("spot_id", *IDENTITY, *columns, *([label] if label is not None else []))
+
+
+def tracklet_vectors(rows: DataFrame, length: int, views: Sequence[str] = ("shape", "dynamic", "shape_dynamic"), ignore: Sequence[str] = ()) -> DataFrame:
+    """(tracklet, a flat vector per view, t, z, y, x) of feature rows: their first `length` rows or the last one repeated, and the place of the middle one."""
+    at = rows.withColumn("frame", F.col("t"))
+    out = centre_row(at, length, "tracklet").select(*IDENTITY)
+    for view in views:
+        out = out.join(raw_vector(at, view_columns(view, ignore), length, "tracklet").withColumnRenamed("vector", view), "tracklet")
+    return out

@@ -103,37 +103,40 @@ def cell_size(voxels: DataFrame, default: float = 50.0, top: int = 10) -> DataFr
     return far.agg(F.coalesce(F.max("m"), F.lit(default)).alias("cell_size"))
 
 
-def eigenvalues3(a: dict[str, Column]) -> list[Column]:
-    """Eigenvalues, largest first, of the symmetric 3 x 3 matrix with parts zz, yy, xx, zy, zx, yx: the closed form by cosines."""
-    p1 = a["zy"] ** 2 + a["zx"] ** 2 + a["yx"] ** 2
-    q = (a["zz"] + a["yy"] + a["xx"]) / 3
-    p = F.sqrt(((a["zz"] - q) ** 2 + (a["yy"] - q) ** 2 + (a["xx"] - q) ** 2 + 2 * p1) / 6)
-    s = F.nullif(p, F.lit(0.0))
-    b = {k: (v - q) / s if k in ("zz", "yy", "xx") else v / s for k, v in a.items()}
-    det = b["zz"] * (b["yy"] * b["xx"] - b["yx"] ** 2) - b["zy"] * (b["zy"] * b["xx"] - b["yx"] * b["zx"]) + b["zx"] * (b["zy"] * b["yx"] - b["yy"] * b["zx"])
-    phi = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), det / 2))) / 3
-    first, last = q + 2 * p * F.cos(phi), q + 2 * p * F.cos(phi + 2 * F.pi() / 3)
-    first, last = F.coalesce(first, q), F.coalesce(last, q)
-    return [first, 3 * q - first - last, last]
-
-
-def long_axis(a: dict[str, Column], first: Column, second: Column) -> list[Column]:
-    """Degrees (0 to 90) between the line of a symmetric matrix's largest eigenvalue and the z, y and x axis; null where it is not single.
+def with_eigenvalues(df: DataFrame) -> DataFrame:
+    """df plus eigen_first, _second, _third, of the symmetric 3 x 3 matrix in its columns zz, yy, xx, zy, zx, yx: the closed form by cosines.
 
-    The eigenvector is the longest of the cross products of the rows of the matrix less the eigenvalue: each is along it or 0.
+    Each step is a column of its own, used by the next: as one expression it would be more code than a method may have.
     """
-    rows = [(a["zz"] - first, a["zy"], a["zx"]), (a["zy"], a["yy"] - first, a["yx"]), (a["zx"], a["yx"], a["xx"] - first)]
-    cross = lambda u, v: (u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0])
-    found = [cross(rows[i], rows[k]) for i, k in ((0, 1), (0, 2), (1, 2))]
-    sizes = [v[0] * v[0] + v[1] * v[1] + v[2] * v[2] for v in found]
-    most = F.greatest(*sizes)
-    single = (first - second) > F.lit(1e-6) * first
+    c = F.col
+    df = df.withColumn("_q", (c("zz") + c("yy") + c("xx")) / 3)
+    df = df.withColumns({f"_{k}": c(k) - c("_q") for k in ("zz", "yy", "xx")})
+    df = df.withColumn("_p", F.sqrt((c("_zz") * c("_zz") + c("_yy") * c("_yy") + c("_xx") * c("_xx") + 2 * (c("zy") * c("zy") + c("zx") * c("zx") + c("yx") * c("yx"))) / 6))
+    det = c("_zz") * (c("_yy") * c("_xx") - c("yx") * c("yx")) - c("zy") * (c("zy") * c("_xx") - c("yx") * c("zx")) + c("zx") * (c("zy") * c("yx") - c("_yy") * c("zx"))
+    df = df.withColumn("_half", det / F.nullif(c("_p") * c("_p") * c("_p"), F.lit(0.0)) / 2)
+    df = df.withColumn("_phi", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c("_half")))) / 3)
+    df = df.withColumns({"eigen_first": F.coalesce(c("_q") + 2 * c("_p") * F.cos("_phi"), c("_q")), "eigen_third": F.coalesce(c("_q") + 2 * c("_p") * F.cos(c("_phi") + 2 * F.pi() / 3), c("_q"))})
+    df = df.withColumn("eigen_second", 3 * c("_q") - c("eigen_first") - c("eigen_third"))
+    return df.withColumns({f"eigen_{n}": F.greatest(c(f"eigen_{n}"), F.lit(0.0)) for n in ("first", "second", "third")}).drop("_q", "_zz", "_yy", "_xx", "_p", "_half", "_phi")
+
 
-    def angle(c: int) -> Column:
-        part = F.coalesce(*[F.when(n == most, F.abs(v[c])) for v, n in zip(found, sizes)])
-        return F.when(single, F.degrees(F.acos(F.least(F.lit(1.0), part / F.nullif(F.sqrt(most), F.lit(0.0))))))
+def with_long_axis(df: DataFrame) -> DataFrame:
+    """df plus cell_axis_z, _y, _x: degrees (0 to 90) between the line of the matrix's largest eigenvalue and each axis; null where it is not single.
 
-    return [angle(c) for c in range(3)]
+    The eigenvector is the longest of the cross products of the rows of the matrix less the eigenvalue: each is along it or 0.
+    """
+    c = F.col
+    df = df.withColumns({f"_{k}": c(k) - c("eigen_first") for k in ("zz", "yy", "xx")})
+    rows = (("_zz", "zy", "zx"), ("zy", "_yy", "yx"), ("zx", "yx", "_xx"))
+    cross = lambda u, v: [c(u[1]) * c(v[2]) - c(u[2]) * c(v[1]), c(u[2]) * c(v[0]) - c(u[0]) * c(v[2]), c(u[0]) * c(v[1]) - c(u[1]) * c(v[0])]
+    for n, (i, k) in enumerate(((0, 1), (0, 2), (1, 2))):
+        df = df.withColumns({f"_{n}{x}": v for x, v in zip(AXES, cross(rows[i], rows[k]))})
+    df = df.withColumns({f"_n{n}": F.sqrt(c(f"_{n}z") * c(f"_{n}z") + c(f"_{n}y") * c(f"_{n}y") + c(f"_{n}x") * c(f"_{n}x")) for n in range(3)})
+    df = df.withColumn("_longest", F.greatest("_n0", "_n1", "_n2"))
+    single = (c("eigen_first") - c("eigen_second")) > 1e-6 * c("eigen_first")
+    part = lambda x: F.coalesce(*[F.when(c(f"_n{n}") == c("_longest"), F.abs(f"_{n}{x}")) for n in range(3)])
+    angles = {f"cell_axis_{x}": F.when(single, F.degrees(F.acos(F.least(F.lit(1.0), part(x) / F.nullif("_longest", F.lit(0.0)))))) for x in AXES}
+    return df.withColumns(angles).drop("_zz", "_yy", "_xx", *[f"_{n}{x}" for n in range(3) for x in AXES], "_n0", "_n1", "_n2", "_longest")
 
 
 def shape_moments(voxels: DataFrame) -> DataFrame:
@@ -144,10 +147,9 @@ def shape_moments(voxels: DataFrame) -> DataFrame:
     """
     pairs = [("z", "z"), ("y", "y"), ("x", "x"), ("z", "y"), ("z", "x"), ("y", "x")]
     cov = voxels.where("label > 0").groupBy("t", "label").agg(F.count("*").alias("n"), *[F.covar_samp(F.col(a).cast("double"), F.col(b).cast("double")).alias(a + b) for a, b in pairs]).where("n > 3")
-    parts, order = {a + b: F.col(a + b) for a, b in pairs}, ("first", "second", "third")
-    cov = cov.withColumns({f"eigen_{n}": F.greatest(e, F.lit(0.0)) for e, n in zip(eigenvalues3(parts), order)})
-    angles = long_axis(parts, F.col("eigen_first"), F.col("eigen_second"))
-    return cov.select("t", "label", *[F.sqrt(f"eigen_{n}").alias(f"eccentricity_{n}") for n in order], *[f"eigen_{n}" for n in order], *[e.alias(f"cell_axis_{c}") for e, c in zip(angles, AXES)])
+    order = ("first", "second", "third")
+    cov = with_long_axis(with_eigenvalues(cov))
+    return cov.select("t", "label", *[F.sqrt(f"eigen_{n}").alias(f"eccentricity_{n}") for n in order], *[f"eigen_{n}" for n in order], *[f"cell_axis_{c}" for c in AXES])
 
 
 def region_shapes(voxels: DataFrame) -> DataFrame:

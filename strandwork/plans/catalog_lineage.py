@@ -69,6 +69,7 @@ SELECT b.*, a.* EXCLUDE (track_id), max_distance, coalesce(number_splits, 0) AS
  CAST(stop - start AS DOUBLE) AS duration, displacement, displacement / nullif(CAST(stop - start AS DOUBLE), 0) AS straight_speed, displacement / nullif(CAST(stop - start AS DOUBLE), 0) / nullif(mean_speed, 0) AS linearity
 FROM b LEFT JOIN a USING (track_id) JOIN m USING (track_id) JOIN d USING (track_id) LEFT JOIN s2 USING (track_id) LEFT JOIN mg USING (track_id) LEFT JOIN gp USING (track_id)"""
 MEASURES = "mean_z mean_y mean_x total_distance mean_speed max_speed min_speed median_speed std_speed max_distance duration displacement straight_speed linearity"
+register("track_quality", lambda v: K.track_summary(v.spots.withColumn("quality", F.col("intensity")), v.edges).select("track_id", "mean_quality"), "spots", "SELECT track_id, avg(intensity) AS mean_quality FROM spots GROUP BY 1", "mean_quality")
 register("track_summary", lambda v: K.track_summary(v.spots, v.edges), "spots edges", SUMMARY, MEASURES)
 TANGLED = """spots AS (SELECT spot_id, track_id, 2 * frame - frame % 7 AS frame, z, y, x FROM straight), edges AS (FROM links UNION ALL SELECT a.track_id, a.source_id, b.target_id FROM links a JOIN links b ON b.source_id = a.target_id WHERE b.target_id % 20 = 0)"""
 register("track_summary_tangled", lambda v: K.track_summary(v.spots.withColumn("frame", 2 * F.col("frame") - F.col("frame") % 7), v.edges.unionByName(v.edges.select("track_id", "source_id", F.col("target_id").alias("_m")).join(v.edges.select(F.col("source_id").alias("_m"), "target_id"), "_m").where("target_id % 20 = 0").drop("_m"))), "spots edges",

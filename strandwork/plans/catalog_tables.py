@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalar import DYNAMIC, SHAPE
+from ..functions.scalar import DYNAMIC, SHAPE, view_columns
 from ..operators import analysis as A
 from ..operators import kinematics as K
 from ..operators import lineage as L
@@ -34,7 +34,7 @@ tracks = lambda v: B.track_table(v.known, summary(v), (2.0, 0.5, 0.25))  # noqa:
 register("track_table", tracks, "known", TRACK, f"z y x {MEASURED}")
 register("feature_view", lambda v: B.feature_view(tracks(v)), "known", f"SELECT t AS time, gen_id AS generation, * EXCLUDE (t, gen_id, unique_id, z, y, x) FROM ({TRACK})", MEASURED)
 
-usual = [c for c in B.view_columns("shape_dynamic", B.REGION)]
+usual = [c for c in view_columns("shape_dynamic", B.REGION)]
 COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in usual)
 register("analysis_tracklets", lambda v: B.analysis_tracklets(features(v), "shape_dynamic", (2, 30), ignore=B.REGION), "known",
          f"SELECT spot_id, tracklet, t, z, y, x, {', '.join(usual)} FROM ({FEATURES}) WHERE t BETWEEN 2 AND 30 AND {COMPLETE}", " ".join(["z y x", *[c for c in usual if c != "local_density"]]))
@@ -46,6 +46,15 @@ register("analysis_tracklets_by_type", lambda v: B.analysis_tracklets(features(v
 #: The sample is by a hash that SQL has not; it is held against plain Python in the tests.
 register("analysis_tracklets_balanced", lambda v: B.analysis_tracklets(features(v), "dynamic", class_ratio=0.5, ignore=B.REGION).select("spot_id", "tracklet", "t"))
 
+register("select_features_of_view", lambda v: U.select_features(features(v).withColumn("latent_0", F.col("msd") * 2), "dynamic", B.REGION, ("spot_id", "t"), "dividing"), "known",
+         f"SELECT spot_id, t, {', '.join(c for c in usual if c in DYNAMIC)}, msd * 2 AS latent_0, dividing FROM ({FEATURES}) WHERE {' AND '.join(f'{c} IS NOT NULL' for c in usual if c in DYNAMIC)} AND msd IS NOT NULL",
+         " ".join(["latent_0", *[c for c in usual if c in DYNAMIC]]))
+SHORT = [c for c in usual if c not in ("radius",)]
+NUMBERED = f"(SELECT *, row_number() OVER (PARTITION BY tracklet ORDER BY t, spot_id) - 1 AS i, count(*) OVER (PARTITION BY tracklet) AS n FROM ({FEATURES}))"
+register("tracklet_vectors", lambda v: B.tracklet_vectors(features(v), 4, ("shape_dynamic",), ("radius", *B.REGION)).select("tracklet", "t", "z", "y", "x", F.posexplode("shape_dynamic").alias("place", "value")), "known",
+         f"""WITH r AS (SELECT a.tracklet, k, c.t, c.z, c.y, c.x, unnest(range(0, {len(SHORT)})) AS j, unnest([{', '.join(f'CAST(a.{c} AS DOUBLE)' for c in SHORT)}]) AS value FROM {NUMBERED} a JOIN range(0, 4) g(k) ON a.i = least(k, a.n - 1) JOIN {NUMBERED} c ON c.tracklet = a.tracklet AND c.i = least(2, c.n - 1))
+         SELECT tracklet, t, z, y, x, CAST(k * {len(SHORT)} + j AS INTEGER) AS place, value FROM r""", "z y x value")
+
 M = [*[f"change_{c}" for c in "zyx"], *U.MEASURES]
 register("frame_summary", lambda v: U.frame_summary(v.known.join(v.spots.select("spot_id", "cell_type"), "spot_id").join(L.division_label(v.spots, v.edges).select("track_id", "dividing"), "track_id"), U.cohorts(F.col("dividing"), F.col("cell_type"))), "known",
          f"""WITH t AS (SELECT k.*, unnest(['all', CASE WHEN dividing THEN 'dividing' ELSE 'non_dividing' END, cell_type]) AS cohort FROM known k JOIN {DIVIDING} d USING (track_id) JOIN (SELECT spot_id, cell_type FROM spots) s ON s.spot_id = k.spot_id),
