@@ -9,27 +9,33 @@ from strandwork.llm.common import cut
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go: null and wordless texts among them. Repeated rows are judged alike; a null lang is held against all documents."""
     return quality_rules.keep_good(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated runs of lines go; a document of which no word is left goes."""
+    """Later copies of repeated runs of lines go; a document of which no word is left goes.
+
+    The first copy is that of the smallest doc_id (null first), of equal ones by a hash of the row; repeated rows are copies.
+    """
     return line_dedup.keep_rest(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: five-word shingles, similarity of 0.8 or more."""
+    """One document of each group of near-duplicates stays, the one of the smallest doc_id: five-word shingles, similarity of 0.8 or more.
+
+    Rows that share that doc_id all stay; a group without any doc_id keeps one row.
+    """
     return near_dedup.keep_first(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them; a null source is a source, the last; rows that share a doc_id go together."""
     return mixing.keep_taken(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of each document."""
+    """The pieces of each document and what they decode to; a null text has none."""
     return pieces.encode_and_back(docs)
 
 
