@@ -16,14 +16,13 @@ BLOCK = set("address article aside blockquote body dd details dialog div dl dt f
 HIDDEN = set("script style noscript template head title svg math iframe object canvas audio video select button input textarea".split())
 #: Elements and class or id words of what is around an article: menus, headers, footers, sidebars, notices, adverts, forms, comments.
 ASIDE = set("nav header footer aside dialog menu".split())
-BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|commentlist|cookies?|consent|disqus|footer|header|masthead|menu|nav\w*|newsletter|notices?|pagination|popup|promo\w*|related|repl(?:y|ies)|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
-    re.I,
-)
+PLAIN_WORDS = r"ad|ads|advert\w*|breadcrumbs?|comments?|commentlist|cookies?|consent|disqus|footer|menu|nav\w*|newsletter|notices?|pagination|popup|repl(?:y|ies)|sidebar|signup|sponsor\w*|subscribe"
+VAGUE_WORDS = r"banner|header|masthead|promo\w*|related|share|sharing|skip|social|toolbar|widget"
+PLAINLY, BOILERPLATE = (re.compile(rf"(?:^|[\s_-])(?:{words})(?:$|[\s_-])", re.I) for words in (PLAIN_WORDS, f"{PLAIN_WORDS}|{VAGUE_WORDS}"))
 #: Class words of this kind name what a page has or lacks; those of the second are of texts that can be longer than the article.
 HAS, REMARKS = re.compile(r"(?:^|[_-])(?:no|has|with|without)[_-]", re.I), re.compile(r"comment|disqus|repl(?:y|ies)|related|cookie|consent|notice", re.I)
-#: Class words that also name what an article is about: they drop only what is short or made of links (its share of the text, its length).
-VAGUE, LINKED, SHORT = re.compile(r"(?:ad|banner|header|masthead|promo\w*|related|share|sharing|skip|social|toolbar|widget)", re.I), 0.3, 200
+#: Vague words also name what an article is about: they drop only what is made of links (their share of its text) or short (its length).
+LINKED, SHORT = 0.3, 200
 #: Elements that class words never drop; shares of a page's points that save an element from its class words (REMARKS: the second); share that the container holds.
 WHOLE, MOST, ALL, NEARLY = set("html body main article".split()), 0.5, 0.98, 0.9
 #: Blocks that belong to the text beside them.
@@ -147,7 +146,7 @@ def boilerplate(n: Node, total: float, own: float) -> bool:
     words = n.named.split()
     if words == ["header"] and n.tag == "header":
         return not n.titled or n.links > n.text * LINKED
-    if all(VAGUE.search(w) for w in words):
+    if n.tag != "form" and not any(PLAINLY.search(w) for w in words):
         return n.links > n.text * LINKED or n.text < SHORT
     return True
 

@@ -113,3 +113,17 @@ def test_time_is_linear_in_nesting():
         start = time.process_time()
         H.extract(hostile)
         assert time.process_time() - start < 10
+
+
+def test_plain_and_vague_words():
+    """Long adverts, notices and forms go; a long block of a vague word stays, a short one or one of links goes."""
+    a = PROSE.strip()
+    inner = f"<p>{a}</p>" * 4
+    for word in ("ad", "advert-box", "site-notice", "comments-header", "cookie-consent widget"):
+        assert H.extract(f"<div class=x>{inner}<div class='{word}'><p>{a}</p></div></div>") == "\n\n".join([a] * 4), word
+    assert H.extract(f"<div class=x>{inner}<form><p>{a}</p></form></div>") == "\n\n".join([a] * 4)
+    for word in ("share price", "social history", "widget-maker", "article-header"):
+        assert H.extract(f"<div class=x>{inner}<div class='{word}'><p>{a}</p></div></div>") == "\n\n".join([a] * 5), word
+        assert H.extract(f"<div class=x>{inner}<div class='{word}'><p>Short.</p></div></div>") == "\n\n".join([a] * 4), word
+        assert H.extract(f"<div class=x>{inner}<div class='{word}'><p><a href=1>{a}</a></p></div></div>") == "\n\n".join([a] * 4), word
+    assert H.extract(f"<div class='loading breadth'>{inner}</div>") == "\n\n".join([a] * 4)
