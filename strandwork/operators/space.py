@@ -101,10 +101,12 @@ def neighbours_within(spots: DataFrame, radius: float, **options) -> DataFrame:
 def knn(queries: DataFrame, points: DataFrame, k: int, key: str = "id", point_key: str = "spot_id", axes: Sequence[str] = AXES, radius: float | None = None) -> DataFrame:
     """(q_key, p_point_key, rank, distance): the k nearest points of the query's frame, by distance then point_key.
 
-    Rings: those without k points within the radius are asked again with four times the radius, until all have them or
-    the radius covers everything; so a query is exact at any density and never meets a whole frame at once.
+    Rings: those without k points (or all of their frame's, if it has fewer) within the radius are asked again with four
+    times the radius, until all have them or the radius covers everything; so a query is exact at any density and never
+    meets a whole frame at once. Frames without points are not asked.
     """
-    asked, out, r = queries, None, radius
+    sizes = saved(points.groupBy("frame").agg(F.least(F.count("*"), F.lit(k)).alias("_need")), "frame-sizes")
+    asked, out, r = queries.join(sizes, "frame"), None, radius
     span = points.agg(*[(F.max(c) - F.min(c)).alias(c) for c in axes]).first()
     far = sum((span[c] or 0) ** 2 for c in axes) ** 0.5 or 1.0
     reach = queries.agg(*[F.max(F.abs(F.col(c))).alias(c) for c in axes]).first()
@@ -113,8 +115,9 @@ def knn(queries: DataFrame, points: DataFrame, k: int, key: str = "id", point_ke
     while True:  # the radius grows until it covers everything
         pairs = within(asked, points, r, 0, axes)
         ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(f"q_{key}").orderBy("distance", f"p_{point_key}"))).where(F.col("rank") <= k)
-        found = saved(ranked.select(f"q_{key}", f"p_{point_key}", "rank", "distance"), "knn")
-        full = found.groupBy(f"q_{key}").agg(F.max("rank").alias("_n")).where(F.col("_n") >= k)
+        held = saved(ranked.select(f"q_{key}", f"p_{point_key}", "rank", "distance", "q__need"), "knn")
+        full = held.groupBy(f"q_{key}").agg(F.max("rank").alias("_n"), F.max("q__need").alias("_need")).where("_n >= _need")
+        found = held.drop("q__need")
         if r >= far:
             return found if out is None else out.unionByName(found)
         done = found.join(full, f"q_{key}", "left_semi")

@@ -143,3 +143,25 @@ def test_assignment_and_hits(spark):
     assert sorted((r.track_id, r.other_id, r.cost, r.matched) for r in found.collect()) == sorted((*c, c[2] <= 0.5) for c in expected)
     total = analysis.hits(found).first()
     assert (total.matched, total.assigned) == (sum(c[2] <= 0.5 for c in expected), len(expected)) and abs(total.total_cost - sum(c[2] for c in expected)) < 1e-9
+
+
+def test_generation_report(spark):
+    """First tracklets that last and later ones, pooled: autocorrelation, slope and covariance by numpy; of one cell type only its own."""
+    rng = np.random.default_rng(8)
+    rows = [(h, t, 100 * h + t, int(h > 3), float(rng.standard_normal()), float(rng.standard_normal()), "ab"[h % 2]) for h in range(8) for t in range(1 if h == 0 else 10)]
+    df = spark.createDataFrame(rows, "head long, frame long, spot_id long, generation long, u double, v double, cell_type string")
+    spans = df.groupBy("head").agg((F.max("frame") - F.min("frame")).alias("life"))
+    for kind in (None, "a"):
+        found = {(r.later, r.kind, r.feature): r for r in series.generation_report(df, spans, ["u", "v"], 3, kind).collect()}
+        for later in (False, True):
+            heads = [h for h in range(1, 8) if (h > 3) == later and (kind is None or "ab"[h % 2] == kind)]
+            u = {h: np.array([r[4] for r in rows if r[0] == h]) for h in heads}
+            v = {h: np.array([r[5] for r in rows if r[0] == h]) for h in heads}
+            acf = [((x[:-k] - x.mean()) * (x[k:] - x.mean())).sum() / ((x - x.mean()) ** 2).sum() for x in u.values() for k in (1, 2, 3)]
+            r = found[later, "autocorrelation", "u"]
+            assert r.tracklets == len(heads) and abs(r["mean"] - np.mean(acf)) < 1e-9 and abs(r["std"] - np.std(acf)) < 1e-9 and r.statistic is not None
+            slopes = [np.polyfit(range(10), x, 1)[0] for x in u.values()]
+            assert abs(found[later, "slope", "u"]["mean"] - np.mean(slopes)) < 1e-9
+            cov = [np.cov(u[h], v[h])[0, 1] for h in heads]
+            assert abs(found[later, "covariance", "u,v"]["mean"] - np.mean(cov)) < 1e-9
+            assert found[later, "cross-correlation", "v"].tracklets == len(heads)
