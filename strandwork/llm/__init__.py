@@ -1 +1 @@
-"""Training-data operators: ten dealt operators, their queries and SQL, as one removable subpackage."""
+"""Training-data operators: thirteen dealt operators, their queries and SQL, as one removable subpackage."""

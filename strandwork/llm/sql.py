@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .common import LOWER, UPPER
 from .embedding_dedup import COSINE
 from .line_dedup import MIN_WORDS as MIN_RUN
 from .mixing import BLOCK, REPEATS, SHARE, WEIGHTS
 from .quality_rules import BANDS, CLASSES, COMMON, FAR_CHARS, FAR_WORDS, LEAST_CHARS, LEAST_WORDS, MAX_CHARS, MAX_WORDS, MIN_BAND, MIN_REFERENCE, MIN_WORDS, QUARTILE
+from .source_divergence import BETWEEN, MIN_DOCS, SCALE, TOP
 
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -124,4 +126,21 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, vec_id = c
 FROM (SELECT vec_id, min(c) AS c FROM r GROUP BY 1) LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1) USING (vec_id))
 """
 
-ORACLES = {"op2_quality_rules": QUALITY, "op4_near_dedup": NEAR, "op6_mixing": MIXING, "op7_line_dedup": LINES, "op10_embedding_dedup": VECTORS}
+#: All groups with all kept terms of their language, and all pairs of them.
+DIVERGENCE = rf"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{BETWEEN}'), lambda x: x <> '') AS w FROM documents),
+u AS (SELECT lang, source, r, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM u GROUP BY 1, 2 HAVING count(DISTINCT r) >= {MIN_DOCS}),
+c AS (SELECT lang, source, term, count(*) AS n FROM u JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+a AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT *, (1 + ({SCALE}::HUGEINT * (n + 2)) // (sum(n) OVER s + 2 * count(*) OVER s))::BIGINT AS p FROM a WINDOW s AS (PARTITION BY lang, source)),
+w AS (SELECT lang, term, (1 + ({SCALE}::HUGEINT * (n + 2)) // (sum(n) OVER s + 2 * count(*) OVER s))::BIGINT AS q FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY 1, 2) WINDOW s AS (PARTITION BY lang)),
+f AS (SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY 1, 2, 3),
+h AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0)::BIGINT AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN f ON f.lang = x.lang AND f.source = x.source AND f.item = y.source),
+t AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value FROM p JOIN w ON w.lang = p.lang AND w.term = p.term WHERE n > 0 AND p > q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS rank FROM h
+UNION ALL SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS rank FROM t) WHERE rank <= {TOP}
+"""
+
+ORACLES = {"op2_quality_rules": QUALITY, "op4_near_dedup": NEAR, "op6_mixing": MIXING, "op7_line_dedup": LINES, "op10_embedding_dedup": VECTORS, "op11_source_divergence": DIVERGENCE}
