@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,13 +14,19 @@ from pyspark.sql import functions as F
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set("address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 HIDDEN = set("script style noscript template head title svg math iframe object canvas audio video select button input textarea".split())
+#: Hidden elements that end where a block begins; elements whose content is no markup, and those of them that run to the page's end without an end tag.
+BROKEN_OUT, RAW, TO_END = "svg math head select".split(), set("script style title textarea iframe xmp noembed noframes".split()), set("script style".split())
 #: Elements and class or id words of what is around an article: menus, headers, footers, sidebars, notices, adverts, forms, comments.
 ASIDE = set("nav header footer aside dialog menu".split())
-PLAIN_WORDS = r"ad|ads|advert\w*|breadcrumbs?|comments?|commentlist|cookies?|consent|disqus|footer|menu|nav\w*|newsletter|notices?|pagination|popup|repl(?:y|ies)|sidebar|signup|sponsor\w*|subscribe"
-VAGUE_WORDS = r"banner|header|masthead|promo\w*|related|share|sharing|skip|social|toolbar|widget"
+PLAIN_WORDS = r"ad|ads|advert\w*|breadcrumbs?|comments?|commentlist|cookie|consent|disqus|footer|menu|nav|navbar|navigation|navlist|navmenu|newsletter|notices?|pagination|popup|repl(?:y|ies)|sidebar|signup|sponsor\w*|subscribe"
+VAGUE_WORDS = r"banner|cookies|header|masthead|promo\w*|related|share|sharing|skip|social|toolbar|widget"
 PLAINLY, BOILERPLATE = (re.compile(rf"(?:^|[\s_-])(?:{words})(?:$|[\s_-])", re.I) for words in (PLAIN_WORDS, f"{PLAIN_WORDS}|{VAGUE_WORDS}"))
 #: Class words of this kind name what a page has or lacks; those of the second are of texts that can be longer than the article.
 HAS, REMARKS = re.compile(r"(?:^|[_-])(?:no|has|with|without)[_-]", re.I), re.compile(r"comment|disqus|repl(?:y|ies)|related|cookie|consent|notice", re.I)
+#: Class words of what holds an article's own title, if it has a heading.
+TITLE = re.compile(r"^(?:post|entry|article|story|content)[_-]+(?:header|title|heading)$", re.I)
+#: A link over several blocks with more text than this is no link: it wasn't closed, or holds an article.
+WIDE = 300
 #: Vague words also name what an article is about: they drop only what is made of links (their share of its text) or short (its length).
 LINKED, SHORT = 0.3, 200
 #: Elements that class words never drop; shares of a page's points that save an element from its class words (REMARKS: the second); share that the container holds.
@@ -33,40 +39,153 @@ CLOSES = {"li": ("li p", "ul ol"), "dt": ("dt dd p", "dl"), "dd": ("dt dd p", "d
 CLOSES = {tag: (closed.split(), upto.split()) for tag, (closed, upto) in CLOSES.items()}
 
 
+GAP, NAME, ATTRIBUTE, EQUALS, VALUE = (re.compile(x) for x in (r"[\s/]*", r"[a-zA-Z][^\s/>]*", r"[^\s/>][^\s/>=]*", r"\s*=\s*", r"[^\s>]*"))
+COMMENT_END = re.compile(r"--!?>")
+
+
+class Source:
+    """A page's text as tags and data: events() reads it once from start to end, roughly as browsers do, whatever it holds.
+
+    What is looked for and not found (an end of a comment, a quote, an end tag) is remembered as missing, so that time is linear.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.missing = html, set()
+
+    def find(self, what: str | re.Pattern, at: int) -> int:
+        """Place of the next `what` from at on; -1 if there is none, nor was one asked for further on."""
+        if what in self.missing:
+            return -1
+        if isinstance(what, str):
+            place = self.html.find(what, at)
+        else:
+            m = what.search(self.html, at)
+            place = m.start() if m else -1
+        if place < 0:
+            self.missing.add(what)
+        return place
+
+    def start(self, at: int) -> tuple[str, dict[str, str], int]:
+        """Name and attributes (the first of a name counts) of the tag at a place, and where it ends; -1 for a tag that is not ended."""
+        html, m, attributes = self.html, NAME.match(self.html, at), {}
+        tag, i = m[0].lower(), m.end()
+        while True:
+            i = GAP.match(html, i).end()
+            if i >= len(html):
+                return tag, attributes, -1
+            if html[i] == ">":
+                return tag, attributes, i + 1
+            m = ATTRIBUTE.match(html, i)
+            name, i, value = m[0].lower(), m.end(), ""
+            m = EQUALS.match(html, i)
+            if m:
+                i = m.end()
+                quote = html[i : i + 1]
+                if quote in ('"', "'") and quote and (end := self.find(quote, i + 1)) >= 0:
+                    value, i = html[i + 1 : end], end + 1
+                else:
+                    m = VALUE.match(html, i)
+                    value, i = m[0], m.end()
+            attributes.setdefault(name, unescape(value))
+
+    def events(self) -> Iterator[tuple[str, str, dict[str, str]]]:
+        """("start", tag, attributes), ("end", tag, {}) and ("text", data, {})."""
+        html, i = self.html, 0
+        while i < len(html):
+            at = html.find("<", i)
+            if at < 0:
+                at = len(html)
+            if at > i:
+                yield "text", unescape(html[i:at]), {}
+            after = html[at + 1 : at + 2]
+            if after.isascii() and after.isalpha():
+                tag, attributes, i = self.start(at + 1)
+                if i < 0:
+                    return
+                yield "start", tag, attributes
+                if tag in RAW:
+                    end = self.find(END_OF[tag], i)
+                    if end >= 0:
+                        i = end
+                    elif tag in TO_END:
+                        return
+                    else:
+                        yield "end", tag, {}
+            elif after == "/" and html[at + 2 : at + 3].isascii() and html[at + 2 : at + 3].isalpha():
+                tag, _, i = self.start(at + 2)
+                if i < 0:
+                    return
+                yield "end", tag, {}
+            elif after and after in "!?/":
+                end = -1
+                if html.startswith("<!--", at):
+                    if html.startswith((">", "->"), at + 4):
+                        end = html.index(">", at)
+                    elif (end := self.find(COMMENT_END, at + 4)) >= 0:
+                        end = html.index(">", end)
+                if end < 0 and (end := self.find(">", at + 2 if after == "/" else at + 1)) < 0:
+                    return
+                i = end + 1
+            else:
+                if at < len(html):
+                    yield "text", "<", {}
+                i = at + 1
+
+
+END_OF = {tag: re.compile(rf"</{tag}(?=[\s/>]|$)", re.I) for tag in RAW}
+
+
 class Node:
-    """An element; `holder` is the block that it is in (or is), `owner` the article or main above it, `header` the header element."""
+    """An element; `holder` is the block that it is in (or is), `owner` the article or main above it, `header` the header element, `link` the link."""
 
-    __slots__ = ("tag", "parent", "holder", "owner", "header", "linked", "dropped", "named", "titled", "text", "links", "points", "gone", "mark")
+    __slots__ = ("tag", "parent", "holder", "owner", "header", "link", "spread", "dropped", "named", "titled", "text", "links", "points", "gone", "mark")
 
     def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.named, self.titled, self.dropped, self.linked = tag, parent, "", False, False, tag == "a"
+        self.tag, self.parent, self.named, self.titled, self.dropped, self.link, self.spread = tag, parent, "", False, False, None, None
         self.owner = self if tag in ("article", "main") else None
         self.header = self if tag == "header" else None
         self.holder = self
         if parent is not None:
-            self.dropped, self.linked = parent.dropped, self.linked or parent.linked
+            self.dropped, self.link = parent.dropped, parent.link
             self.owner, self.header = self.owner or parent.owner, self.header or parent.header
             self.holder = self if tag in BLOCK else parent.holder
         self.text, self.links, self.points, self.gone, self.mark = 0, 0, 0.0, False, False
 
 
-class Page(HTMLParser):
+class Page:
     """Elements of a page, parents before children, and its blocks in order: (node of the block, its text, length of its text within links).
 
     Where each kind of element is open is kept in `places`, so that no tag walks over the open elements: time is linear in the page.
     """
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
+    def __init__(self, html: str):
         self.root = Node("html", None)
         self.stack, self.places = [self.root], {"html": [0]}
-        self.parts, self.linked, self.blocks, self.nodes = [], 0, [], [self.root]
+        self.parts, self.linked, self.found, self.nodes = [], {}, [], [self.root]
+        for kind, what, attributes in Source(html).events():
+            if kind == "text":
+                self.data(what)
+            elif kind == "start":
+                self.open(what, attributes)
+            else:
+                self.close(what)
+        self.flush()
+        for n in reversed(self.nodes[1:]):
+            n.parent.titled = n.parent.titled or n.titled or n.tag in HEADINGS
+        # A link that holds much text in several blocks is none.
+        self.blocks = []
+        for node, text, linked in self.found:
+            n = sum(k for link, k in linked.items() if link.spread[0] < 2 or link.spread[1] <= WIDE)
+            self.blocks.append((node, text, min(n, len(text))))
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.blocks.append((self.stack[-1].holder, text, min(self.linked, len(text))))
-        self.parts, self.linked = [], 0
+            self.found.append((self.stack[-1].holder, text, self.linked))
+            for link, n in self.linked.items():
+                blocks, total = link.spread or (0, 0)
+                link.spread = (blocks + 1, total + n)
+        self.parts, self.linked = [], {}
 
     def last(self, tags: list[str]) -> int:
         """Place of the innermost open element of these tags; 0 if there is none."""
@@ -77,9 +196,11 @@ class Page(HTMLParser):
             self.places[n.tag].pop()
         del self.stack[place:]
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
+    def open(self, tag: str, attributes: dict[str, str]) -> None:
         if tag in BLOCK:
             self.flush()
+            while place := self.last(BROKEN_OUT):
+                self.leave(place)
             if tag in CLOSES:
                 closed, upto = CLOSES[tag]
                 while (place := self.last(closed)) > self.last(upto):
@@ -88,27 +209,26 @@ class Page(HTMLParser):
                 self.leave(self.last(["p"]))
         elif tag == "br":
             self.parts.append(" ")
+        elif tag == "a" and (place := self.last(["a"])) and self.stack[place].holder is self.stack[-1].holder:
+            self.leave(place)  # no link lies in a link
         if tag in VOID:
             return
         node = Node(tag, self.stack[-1])
+        if tag == "a":
+            node.link = node if "href" in attributes else node.link
         # An article's own header is judged later, like what class words say: by what it holds.
         own = tag == "header" and node.owner is not None
-        node.dropped = node.dropped or tag in HIDDEN or tag in ASIDE and not own or any(k == "hidden" for k, _ in attrs)
+        node.dropped = node.dropped or tag in HIDDEN or tag in ASIDE and not own or "hidden" in attributes
         if tag in BLOCK - WHOLE:
-            words = " ".join(str(v) for k, v in attrs if k in ("class", "id", "role") and v)
+            words = " ".join(attributes[k] for k in ("class", "id", "role") if attributes.get(k))
             node.named = " ".join(w for w in words.split() if BOILERPLATE.search(w) and not HAS.search(w))
             if tag in ("form", "header"):
                 node.named = f"{node.named} {tag}".lstrip()
-        if tag in HEADINGS and node.header is not None:
-            node.header.titled = True
         self.places.setdefault(tag, []).append(len(self.stack))
         self.stack.append(node)
         self.nodes.append(node)
 
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag: str) -> None:
+    def close(self, tag: str) -> None:
         if tag in BLOCK:
             self.flush()
         place = self.last([tag])
@@ -116,11 +236,12 @@ class Page(HTMLParser):
         if place and (tag in BLOCK or self.stack[place].holder is self.stack[-1].holder):
             self.leave(place)
 
-    def handle_data(self, data: str) -> None:
+    def data(self, data: str) -> None:
         if not self.stack[-1].dropped:
             self.parts.append(data)
-            if self.stack[-1].linked:
-                self.linked += len(" ".join(data.split()))
+            link = self.stack[-1].link
+            if link is not None:
+                self.linked[link] = self.linked.get(link, 0) + len(" ".join(data.split()))
 
 
 def weigh(page: Page) -> None:
@@ -144,7 +265,7 @@ def boilerplate(n: Node, total: float, own: float) -> bool:
     if own > total * (ALL if REMARKS.search(n.named) else MOST):
         return False
     words = n.named.split()
-    if words == ["header"] and n.tag == "header":
+    if words == ["header"] and n.tag == "header" or n.titled and all(TITLE.search(w) for w in words):
         return not n.titled or n.links > n.text * LINKED
     if n.tag != "form" and not any(PLAINLY.search(w) for w in words):
         return n.links > n.text * LINKED or n.text < SHORT
@@ -155,10 +276,7 @@ def extract(html: str | None) -> str:
     """Main text of one page; empty if there is none."""
     if not html:
         return ""
-    page = Page()
-    page.feed(html)
-    page.close()
-    page.flush()
+    page = Page(html)
     weigh(page)
     if any(n.named for n in page.nodes):
         own = {}
@@ -213,8 +331,10 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     html, or one without text outside of boilerplate, gives an empty text. Class words never drop html, body, main or
     article, nor what holds most of the page's points, and vague ones only what is short or made of links; an article's
     own header stays if it has a heading; within an article or main every other block stays. Broken markup is read as
-    browsers read it, roughly: unclosed paragraphs end where a block begins. Repeated rows give equal rows; extra columns
-    are not read. Row by row in Arrow batches, no shuffle; time is linear in a page's length, however deep it nests.
+    browsers read it, roughly, and never raises: unclosed paragraphs, drawings and heads end where a block begins, marked
+    sections are comments, a tag that the page's end cuts off is no text; a link over several blocks with much text counts as none. Repeated rows
+    give equal rows; extra columns are not read. Row by row in Arrow batches, no shuffle; time is linear in a page's length,
+    however deep it nests and whatever is left unfinished.
     """
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -17,40 +17,46 @@ KINDS = (
 HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Candidates of the method: runs of these characters with digits and letters; added as spans of this kind.
 CANDIDATE, ADDED = r"[A-Za-z0-9_-]{20,}", "owned"
+#: Matches of a run.
+RUN = 32
 #: A candidate is live-looking from so many digits and distinct characters on; a value is owner-specific up to so many owners and repositories.
 MIN_DIGITS, MIN_DISTINCT, MAX_OWNERS, MAX_REPOS = 3, 10, 1, 3
 
 
-def spans(text: Column, pattern: str, group: int, least: int) -> Column:
-    """Array of (start, end, value) of the matches, leftmost and non-overlapping; those whose group is shorter than least are dropped.
+def with_spans(df: DataFrame, name: str, test: Column, pattern: str, group: int, least: int) -> DataFrame:
+    """df plus name: array of (start, end, value) of the matches in _text, leftmost and non-overlapping; those whose group is shorter than least are dropped.
 
     Java's split() and find-all walk the same matches: the pieces between them and the matches themselves, laid
-    end to end, are the text, so the running sum of their lengths gives the positions, in code points.
+    end to end, are the text, so the running sum of their lengths gives the positions, in code points. It is made within
+    runs of RUN matches and over the runs, since a fold copies its state at each step; so time is about in proportion to the
+    matches. Each step is a column of its own that the next one reads more than once or as a whole: so none is made again.
     """
-    found, values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("hit"), values.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        begin = s["at"] + F.length(x["gap"])
-        end = begin + F.coalesce(F.length(x["hit"]), F.lit(0))
-        hit = F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= least, F.array_append(s["out"], hit)).otherwise(s["out"]).alias("out"))
-
-    return F.aggregate(parts, start, step, lambda s: s["out"])
+    text = F.col("_text")
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"))
+    runs = F.sequence(F.lit(0), F.expr(f"int((size(_length) - 1) div {RUN})"))
+    total = lambda x: F.aggregate(x, F.lit(0), lambda s, v: s + v)
+    df = df.withColumn("_parts", F.when(test, parts))
+    df = df.withColumn("_length", F.transform("_parts", lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))))
+    df = df.withColumn("_sums", F.transform(runs, lambda r: total(F.slice("_length", r * RUN + 1, RUN))))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    df = df.withColumn("_from", F.aggregate("_sums", start, lambda s, v: F.struct((s["at"] + v).alias("at"), F.array_append(s["out"], s["at"]).alias("out")), lambda s: s["out"]))
+    within = lambda at, r: F.transform(F.sequence(F.lit(1), F.least(F.lit(RUN), F.size("_length") - r * RUN)), lambda i: at + total(F.slice("_length", r * RUN + 1, i)))
+    df = df.withColumn("_ends", F.flatten(F.transform("_from", within)))
+    found = F.zip_with("_parts", "_ends", lambda x, end: F.struct((end - F.length(x["hit"])).alias("start"), end.alias("end"), x["value"].alias("value")))
+    found = F.filter(found, lambda x: F.length(x["value"]) >= least)
+    return df.withColumn(name, F.coalesce(found, F.array().cast("array<struct<start:int,end:int,value:string>>"))).drop("_parts", "_length", "_sums", "_from", "_ends")
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """docs plus `found`: array of (start, kind_no, end, value) of the base spans and, as the last kind, of candidates. Row by row, whole texts."""
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
     low = F.lower("_text")
     tests = [low.contains(HINTS[0])]
     for hint in HINTS[1:]:
         tests[0] = tests[0] | low.contains(hint)
-    tests += [F.col("_text").contains("AKIA"), F.col("_text").rlike(KINDS[2][1]), F.col("_text").rlike(r"[A-Za-z0-9_-]*\d[A-Za-z0-9_-]*") & F.col("_text").rlike(CANDIDATE)]
+    tests += [F.col("_text").contains("AKIA"), F.col("_text").rlike(KINDS[2][1]), F.col("_text").rlike(r"\d") & F.col("_text").rlike(CANDIDATE)]
     df = docs
     for i, (kind, pattern, group, least) in enumerate((*KINDS, (ADDED, CANDIDATE, 0, 20))):
-        df = df.withColumn(f"_{kind}", F.when(tests[i], spans(F.col("_text"), pattern, group, least)).otherwise(none))
+        df = with_spans(df, f"_{kind}", tests[i], pattern, group, least)
     live = lambda v: (F.length(F.regexp_replace(v, r"\D+", "")) >= MIN_DIGITS) & v.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(v, ""))) >= MIN_DISTINCT)
     df = df.withColumn(f"_{ADDED}", F.filter(f"_{ADDED}", lambda x: live(x["value"])))
     kinds = [*(k for k, *_ in KINDS), ADDED]
@@ -97,8 +103,11 @@ def find_secrets(docs: DataFrame, owner: Column, repository: Column, doc_id: str
         F.count_if(live & ~added_kind).alias("n_base_live"), F.count_if(~live & ~added_kind).alias("n_base_copied"), F.max("n_repos").alias("max_repos"),
     )
     out = kept.select("row", "doc_id", base.alias("base")).join(by_row, "row", "left")
-    bounds = F.transform("base", lambda b: F.struct(b["start"], b["end"]))
-    added = F.filter(F.coalesce("owned", F.array().cast("array<struct<start:int,kind_no:int,end:int,value:string>>")), lambda x: ~F.array_contains(bounds, F.struct(x["start"], x["end"])))
+    # Bounds as whole numbers: those are told apart by hash, structs one by one.
+    bounds = lambda spans: F.transform(spans, lambda x: F.shiftleft(x["start"].cast("long"), 31) + x["end"])
+    none = F.array().cast("array<struct<start:int,kind_no:int,end:int,value:string>>")
+    alone = F.array_except(bounds(F.coalesce("owned", none)), bounds("base"))
+    added = F.transform(alone, lambda b: F.struct(F.shiftright(b, 31).cast("int").alias("start"), F.lit(last).alias("kind_no"), (b % (1 << 31)).cast("int").alias("end"), F.lit("").alias("value")))
     count = lambda i: F.size(F.filter("base", lambda x: x["kind_no"] == i)).cast("long")
     return out.select(
         "doc_id", *[count(i).alias(f"n_{k}") for i, (k, *_) in enumerate(KINDS)], F.sha2(spell(F.col("base")), 256).alias("base_sha256"), spell(F.concat("base", added)).alias("spans"),

@@ -2,8 +2,11 @@
 
 import html
 import re
+import time
 
 from conftest import rows
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from strandwork.llm import html_extraction as H
 
@@ -127,3 +130,50 @@ def test_plain_and_vague_words():
         assert H.extract(f"<div class=x>{inner}<div class='{word}'><p>Short.</p></div></div>") == "\n\n".join([a] * 4), word
         assert H.extract(f"<div class=x>{inner}<div class='{word}'><p><a href=1>{a}</a></p></div></div>") == "\n\n".join([a] * 4), word
     assert H.extract(f"<div class='loading breadth'>{inner}</div>") == "\n\n".join([a] * 4)
+
+
+MARKUP = ["<", ">", "</", "<!", "<!--", "-->", "<![", "<![CDATA[", "]]>", "<?", "/>", "=", "'", '"', " ", "\n", "a", "p", "div", "<p>", "<a href=x>", "<a>", "</a>", "<svg>", "<script>", "</script>", "<title>", "&", "&#", ";", "&amp;", "\x00", "é", "text, "]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.one_of(st.text(), st.lists(st.sampled_from(MARKUP), max_size=40).map("".join)))
+def test_any_string_gives_a_text(text):
+    assert isinstance(H.extract(text), str)
+
+
+def test_marked_sections(spark):
+    assert H.extract("<p>abc</p><![foo[bar]]><p>def</p>") == "abc\n\ndef"
+    assert H.extract("<p>x<![<p>y").split() in (["x", "y"], ["xy"])
+    assert H.extract("<p>a</p><![ foo") == "a"
+    df = spark.createDataFrame([(1, "u", "<p>abc</p><![foo[bar]]><p>def</p>"), (2, "u", "<p>x<![<p>y")], "page_id long, url string, html string")
+    assert H.extract_pages(df).count() == 2
+
+
+def test_links_that_are_none():
+    """An anchor without href, an unclosed link, an article within a link; and menus of linked blocks still go."""
+    a = PROSE.strip()
+    body = f"<h1>T</h1><p>{a}</p><p>{a}</p>"
+    want = ["T", a, a]
+    for shape in ("<body><a name='top'>{}", "<body><a name=top><article>{}</article>", "<body><div><a href=/x>{}</a></div>", "<body><a href=/x><article>{}</article></a>", "<article><a href=/x>{}</article>", "<div><svg>{}</div>", "<head><title>x</title>{}", "<div><p><svg><path></p>{}</div>"):
+        assert H.extract(shape.format(body)).split("\n\n") == want, shape
+    menu = "".join(f"<a href=/{i}><div>Topic {i}</div></a>" for i in range(30))
+    assert H.extract(f"<div class=top>{menu}</div><div>{body}</div>").split("\n\n") == want
+
+
+def test_words_within_words():
+    """navajo is no nav, a recipe's cookies are no notice, a post's header with its title is none of the site."""
+    a = PROSE.strip()
+    body = f"<p>{a}</p>" * 3
+    for part in (f"<section class=navajo-history><h2>Then</h2><p>{a}</p></section>", f"<section id=cookies><h2>Cookies</h2><p>{a}</p></section>"):
+        got = H.extract(f"<article>{body}{part}</article>").split("\n\n")
+        assert len(got) == 5 and got[-1] == a, part
+    got = H.extract(f"<div class=post><div class='post-header'><h1>Title</h1></div><div class=body>{body}</div></div>")
+    assert got.split("\n\n") == ["Title", a, a, a]
+    assert H.extract(f"<article>{body}<div class=cookie-notice><p>{a}</p></div></article>") == "\n\n".join([a] * 3)
+
+
+def test_time_is_linear_in_what_is_unfinished():
+    for hostile in ("<a ", "<!--", "<![", "<a x='", "<a x=\"", "</a ", "<p><!--", "<title>", "<textarea><p>", "<script ", "& ", "&#", "<", "<a href=x><p>t", "<svg><p>", "<p>x<a href=1>y"):
+        start = time.process_time()
+        H.extract("<p>first</p>" + hostile * (1_000_000 // len(hostile)))
+        assert time.process_time() - start < 20, hostile

@@ -191,3 +191,24 @@ def test_base_values_by_ownership(spark):
     found = {r["doc_id"]: r for r in rows(secret_scans.find_secrets(df, df.owner, df.repo))}
     assert [found[i]["n_base_copied"] for i in (1, 2, 3, 4, 5, 10)] == [1, 1, 0, 1, 1, 1] and found[3]["n_base_live"] == 1
     assert all(found[i]["spans"] for i in found) and all(found[i]["n_assign"] == 1 for i in (1, 2, 3, 10))
+
+
+def test_secrets_in_long_texts(spark):
+    """A megabyte without a digit, and 10^5 hits in one text: time in proportion, spans as in plain Python."""
+    hits = " ".join(f"token={i:012d}x" for i in range(100_000))
+    mixed = " ".join(f"a{i:07d}_{'xyzUVWqrs'}{i * 7919 % 10**7:07d}" for i in range(20_000))
+    docs = spark.createDataFrame([(1, "a" * 1_000_000, "s", "r"), (2, hits, "s", "r"), (3, "_-" * 500_000, "s", "r"), (4, mixed, "s", "r")], "doc_id long, text string, source string, repo string")
+    import time
+
+    from pyspark.sql import functions as F
+
+    start = time.time()
+    found = {r["doc_id"]: r for r in rows(secret_scans.find_secrets(docs, F.col("source"), F.col("repo")))}
+    assert time.time() - start < 60
+    assert (found[1]["n_assign"], found[1]["n_hex"], found[1]["spans"]) == (0, 1, "hex:0:1000000") and found[3]["spans"] == ""
+    at, expected = 0, []
+    for i in range(100_000):
+        expected.append(f"assign:{at}:{at + 19}")
+        at += 20
+    assert found[2]["n_assign"] == 100_000 and found[2]["base_sha256"] == hashlib.sha256(",".join(expected).encode()).hexdigest()
+    assert found[4]["n_owned"] == 20_000 and len(found[4]["spans"].split(",")) == 20_000
