@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import saved
+from .nearest import nearest
 
 AXES = ("z", "y", "x")
 #: Points of a frame from which the grid pays (its neighbour cells are 27 rows a query): measured on frames of up to 4,935 spots, where the frame plan took 2.4 s and the grid 9.0 s.
@@ -94,44 +95,24 @@ def label_from_ground_truth(truth: DataFrame, spots: DataFrame, pieces: DataFram
 
 def neighbours_within(spots: DataFrame, radius: float, **options) -> DataFrame:
     """(spot_id, frame, track_id): tracks with a spot within radius in the frame, the spot's own included."""
-    pairs = within(spots.select("spot_id", "frame", *AXES), spots.select("track_id", "frame", *AXES), radius, **options)
+    rows = saved(spots.select("spot_id", "track_id", "frame", *AXES), "spots")  # both sides are read from it
+    pairs = within(rows.select("spot_id", "frame", *AXES), rows.select("track_id", "frame", *AXES), radius, **options)
     return pairs.select(F.col("q_spot_id").alias("spot_id"), F.col("q_frame").alias("frame"), F.col("p_track_id").alias("track_id")).distinct()
 
 
-def knn(queries: DataFrame, points: DataFrame, k: int, key: str = "id", point_key: str = "spot_id", axes: Sequence[str] = AXES, radius: float | None = None) -> DataFrame:
+def knn(queries: DataFrame, points: DataFrame, k: int, key: str = "id", point_key: str = "spot_id", axes: Sequence[str] = AXES) -> DataFrame:
     """(q_key, p_point_key, rank, distance): the k nearest points of the query's frame, by distance then point_key.
 
-    Rings: those without k points (or all of their frame's, if it has fewer) within the radius are asked again with four
-    times the radius, until all have them or the radius covers everything; so a query is exact at any density and never
-    meets a whole frame at once. Frames without points are not asked.
+    Found by descent through a pyramid of cells (nearest.py): a query meets a few cells a level, however far its
+    neighbours are. Frames without points are not asked.
     """
-    sizes = saved(points.groupBy("frame").agg(F.least(F.count("*"), F.lit(k)).alias("_need")), "frame-sizes")
-    asked, out, r = queries.join(sizes, "frame"), None, radius
-    span = points.agg(*[(F.max(c) - F.min(c)).alias(c) for c in axes]).first()
-    far = sum((span[c] or 0) ** 2 for c in axes) ** 0.5 or 1.0
-    reach = queries.agg(*[F.max(F.abs(F.col(c))).alias(c) for c in axes]).first()
-    far += 2 * max((abs(reach[c] or 0) for c in axes), default=0) + 1
-    r = r or max(far / 16, 1e-9)
-    while True:  # the radius grows until it covers everything
-        pairs = within(asked, points, r, 0, axes)
-        ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(f"q_{key}").orderBy("distance", f"p_{point_key}"))).where(F.col("rank") <= k)
-        held = saved(ranked.select(f"q_{key}", f"p_{point_key}", "rank", "distance", "q__need"), "knn")
-        full = held.groupBy(f"q_{key}").agg(F.max("rank").alias("_n"), F.max("q__need").alias("_need")).where("_n >= _need")
-        found = held.drop("q__need")
-        if r >= far:
-            return found if out is None else out.unionByName(found)
-        done = found.join(full, f"q_{key}", "left_semi")
-        out = done if out is None else out.unionByName(done)
-        asked = saved(asked.join(full.select(F.col(f"q_{key}").alias(key)), key, "left_anti"), "asked")
-        if asked.isEmpty():
-            return out
-        r *= 4
-
-
-def distance_to_boundary(spots: DataFrame, boundary: DataFrame, radius: float | None = None) -> DataFrame:
+    return nearest(queries, points, k, key, point_key, axes)
+
+
+def distance_to_boundary(spots: DataFrame, boundary: DataFrame) -> DataFrame:
     """(spot_id, distance_cell_mask, mask_centroid_*): nearest boundary point of the frame and the boundary's mean; 0 and 1, 1, 1 without a mask."""
     points = boundary.withColumn("spot_id", F.xxhash64("frame", *AXES))
-    near = knn(spots.select("spot_id", "frame", *AXES), points, 1, "spot_id", "spot_id", radius=radius).select(F.col("q_spot_id").alias("spot_id"), "distance")
+    near = knn(spots.select("spot_id", "frame", *AXES), points, 1, "spot_id", "spot_id").select(F.col("q_spot_id").alias("spot_id"), "distance")
     middle = boundary.groupBy("frame").agg(*[F.avg(c).alias(f"mask_centroid_{c}") for c in AXES])
     df = spots.select("spot_id", "frame").join(near, "spot_id", "left").join(middle, "frame", "left")
     return df.select("spot_id", F.coalesce("distance", F.lit(0.0)).alias("distance_cell_mask"), *[F.coalesce(f"mask_centroid_{c}", F.lit(1.0)).alias(f"mask_centroid_{c}") for c in AXES])

@@ -70,5 +70,5 @@ register("shape_moments", lambda v: X.shape_moments(v.voxels), "shapes", MOMENTS
 register("region_shapes", lambda v: X.region_shapes(v.voxels), "shapes", "SELECT * FROM shapes", f"z y x {MOMENTS} area")
 AROUND = "region_radius eccentricity_first eccentricity_second eccentricity_third surface_area cell_axis_z cell_axis_y cell_axis_x"
 register("attach_regions", lambda v: v.shapes, "around", "SELECT * FROM around", AROUND)
-register("distance_to_boundary", lambda v: P.distance_to_boundary(v.spots, v.edge_of_mask, 4.0), "mask", "SELECT * FROM mask", "distance_cell_mask mask_centroid_z mask_centroid_y mask_centroid_x")
+register("distance_to_boundary", lambda v: P.distance_to_boundary(v.spots, v.edge_of_mask), "mask", "SELECT * FROM mask", "distance_cell_mask mask_centroid_z mask_centroid_y mask_centroid_x")
 register("label_density", lambda v: P.label_density(v.spots, v.voxels, 2.0), "density", "SELECT * FROM density")

@@ -95,7 +95,7 @@ class Views:
         """Every spot with all that is known of it."""
         from ..operators import lineage, space, tables
 
-        mask, density = space.distance_to_boundary(self.spots, self.edge_of_mask, 4.0), space.label_density(self.spots, self.voxels, 2.0)
+        mask, density = space.distance_to_boundary(self.spots, self.edge_of_mask), space.label_density(self.spots, self.voxels, 2.0)
         return lineage.saved(tables.properties(self.spots, self.edges, self.pieces, self.motion, self.shapes, mask, density), "known")
 
 
