@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import uuid
 
 from pyspark.ml.feature import CountVectorizer
@@ -33,46 +32,64 @@ def apart(p: Column, q: Column) -> Column:
     return F.expr(f"(({p} - {q}) * ({p} - {q})) div ({p} + {q})")
 
 
-def bags(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
-    """(lang, source, words): the terms of each document, its language before each; nulls are empty."""
-    some = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    terms = F.filter(F.split(ascii_lower(some(text)), BETWEEN), lambda w: w != "")
-    rows = docs.select(some(lang).alias("lang"), some(source).alias("source"), terms.alias("words"))
-    return rows.withColumn("words", F.transform("words", lambda w: F.concat("lang", F.lit(MARK), w)))
+def terms(text: Column) -> Column:
+    """Runs of letters and of what is beyond ASCII, only A-Z lower-cased: by lower() where it does no more than that, in texts and words that are ASCII throughout."""
+    plain = lambda x: F.octet_length(x) == F.length(x)
+    words = lambda x: F.array_remove(F.split(x, BETWEEN), "")
+    return F.when(plain(text), words(F.lower(text))).otherwise(F.transform(words(text), lambda w: F.when(plain(w), F.lower(w)).otherwise(ascii_lower(w))))
+
+
+def keyed_groups(rows: DataFrame) -> tuple[DataFrame, int]:
+    """(lang, source, g) of each group of rows, and the seed of g: a hash of the two that no other group has."""
+    groups, seed = cut(rows.groupBy("lang", "source").agg(F.lit(1).alias("one")), "groups").drop("one"), 0
+    while True:
+        keyed = groups.withColumn("g", group_key(seed))
+        if keyed.count() == keyed.select("g").distinct().count():
+            return keyed, seed
+        seed += 1
 
 
-def kept_terms(rows: DataFrame, min_docs: int) -> int:
-    """Number of terms in at least min_docs documents of their language."""
-    return rows.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").count().where(F.col("count") >= min_docs).count()
+def group_key(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "lang", "source")
 
 
-def group_sums(rows: DataFrame, min_docs: int = MIN_DOCS, max_terms: int = MAX_TERMS) -> DataFrame | None:
-    """(lang, source, term, n): occurrences of each kept term in each group that has it; None if no term is kept.
+def group_sums(rows: DataFrame, min_docs: int = MIN_DOCS, max_terms: int = MAX_TERMS) -> tuple[DataFrame, DataFrame] | None:
+    """rows (g, words) as (g, t, n): occurrences of each kept term in each group that has it, and (t, word); None if no term is kept.
 
-    CountVectorizer learns the terms with minDF, and no limit but the largest whole number on their count; languages lie
-    side by side in it, as each word carries its own, so minDF counts documents of that language. Its vectors are the exact
-    counts of a document; they are written, and their entries added up by group, sparse as they are: no group
-    is ever a dense vector. With more than max_terms kept terms, words are dealt by their hash to so many vocabularies
-    that each is about that large, one pass over the words for each.
+    CountVectorizer learns the terms with minDF; languages lie side by side in it, as each word carries its own, so minDF
+    counts documents of that language. Its vectors are the exact counts of a document; they are written, and their
+    entries added up by group, sparse as they are: no group is ever a dense vector. A vocabulary that reaches max_terms
+    is not taken: words are dealt by their hash to twice as many vocabularies until each holds all its terms.
     """
-    kept = kept_terms(rows, min_docs)
-    parts, out = math.ceil(kept / max_terms), None
-    for k in range(parts):
-        mine = rows if parts == 1 else rows.withColumn("words", F.filter("words", lambda w: F.pmod(F.xxhash64(w), F.lit(parts)) == k))  # noqa: B023
-        learn = CountVectorizer(inputCol="kinds", outputCol="counts", minDF=float(min_docs), vocabSize=2**31 - 1)
-        model = learn.fit(mine.select(F.array_distinct("words").alias("kinds")))
-        path = f"{shared_folder(rows.sparkSession)}/strandwork/vocabulary-{uuid.uuid4().hex}"
-        rows.sparkSession.createDataFrame([(model.vocabulary,)], "words array<string>").select(F.posexplode("words").alias("i", "word")).write.parquet(path)
-        words = rows.sparkSession.read.parquet(path)
-        vectors = cut(model.setInputCol("words").transform(mine).select("source", "counts"), "vectors")
+    spark, parts = rows.sparkSession, 1
+    while True:
+        models = []
+        for k in range(parts):
+            mine = rows if parts == 1 else rows.withColumn("words", F.filter("words", lambda w: F.pmod(F.xxhash64(w), F.lit(parts)) == k))  # noqa: B023
+            learn = CountVectorizer(inputCol="words", outputCol="counts", minDF=float(min_docs), vocabSize=min(max_terms, 2**31 - 1))
+            # Words that no text has keep the vocabulary from being empty.
+            more = spark.range(min_docs).select(F.array(F.lit("")).alias("words"))
+            model = learn.fit(mine.select("words").unionByName(more))
+            if len(model.vocabulary) >= max_terms:
+                break
+            models.append((k, model, mine))
+        if len(models) == parts:
+            break
+        parts *= 2
+    sums = words = None
+    for k, model, mine in models:
+        if model.vocabulary == [""]:
+            continue
+        path = f"{shared_folder(spark)}/strandwork/vocabulary-{uuid.uuid4().hex}"
+        number = lambda i: (F.lit(k << 32) + F.col(i)).alias("t")  # noqa: B023, E731
+        spark.createDataFrame([(model.vocabulary,)], "words array<string>").select(F.posexplode("words").alias("i", "word")).select(number("i"), "word").where("word <> ''").write.parquet(path)
+        vectors = cut(model.transform(mine).select("g", "counts"), "vectors")
         # The files hold a sparse vector as the struct that it is.
-        vectors = rows.sparkSession.read.schema("source string, counts struct<type:tinyint, size:int, indices:array<int>, values:array<double>>").parquet(*vectors.inputFiles())
-        entries = vectors.select("source", F.explode(F.arrays_zip("counts.indices", "counts.values")).alias("e"))
-        sums = entries.groupBy("source", F.col("e.indices").alias("i")).agg(F.sum("e.values").cast("long").alias("n"))
-        term = F.substring_index("word", MARK, -1)
-        one = sums.join(words, "i").select(F.expr("substr(word, 1, length(word) - length(substring_index(word, '\\0', -1)) - 1)").alias("lang"), "source", term.alias("term"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+        vectors = spark.read.schema("g long, counts struct<type:tinyint, size:int, indices:array<int>, values:array<double>>").parquet(*vectors.inputFiles())
+        entries = vectors.select("g", F.explode(F.arrays_zip("counts.indices", "counts.values")).alias("e"))
+        one = entries.groupBy("g", number("e.indices")).agg(F.sum("e.values").cast("long").alias("n"))
+        sums, words = (one, spark.read.parquet(path)) if sums is None else (sums.unionByName(one), words.unionByName(spark.read.parquet(path)))
+    return None if sums is None else (cut(sums, "sums"), words)
 
 
 def divergence(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = MIN_DOCS, top: int = TOP, max_terms: int = MAX_TERMS) -> DataFrame:
@@ -87,41 +104,44 @@ def divergence(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     neither has is one product. Groups without terms count; null text, language and source are empty; repeated rows
     count each time; an empty table gives no rows; extra columns are not read.
     """
-    rows = cut(bags(docs, text, lang, source), "bags")
-    groups = cut(rows.select("lang", "source").groupBy("lang", "source").agg(F.lit(1).alias("one")), "groups").drop("one")
-    sums = group_sums(rows, min_docs, max_terms)
-    if sums is None:
-        counts = groups.sparkSession.createDataFrame([], "lang string, source string, term string, n long")
-    else:
-        counts = cut(sums, "sums")
-    whole = counts.groupBy("lang", "term").agg(F.sum("n").alias("whole"))
-    langs = whole.groupBy("lang").agg(F.sum("whole").alias("lang_n"), F.count("*").alias("v"))
-    held = counts.groupBy("lang", "source").agg(F.sum("n").alias("own_n"), F.count("*").alias("k"))
+    some = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    rows = docs.select(some(lang).alias("lang"), some(source).alias("source"), some(text).alias("text"))
+    groups, seed = keyed_groups(rows)
+    found = group_sums(cut(rows.select(group_key(seed).alias("g"), F.transform(terms(F.col("text")), lambda w: F.concat("lang", F.lit(MARK), w)).alias("words")), "bags"), min_docs, max_terms)
+    if found is None:
+        found = (docs.sparkSession.createDataFrame([], x) for x in ("g long, t long, n long", "t long, word string"))
+    counts, words = found
+    words = words.select("t", F.substring_index("word", MARK, -1).alias("term"))
+    held = counts.groupBy("g").agg(F.sum("n").alias("own_n"), F.count("*").alias("k"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    sizes = groups.join(held, ["lang", "source"], "left").join(langs, "lang", "left").select("lang", "source", *[zero(c) for c in ("own_n", "k", "lang_n", "v")])
+    sizes = cut(groups.join(held, "g", "left").select("lang", "source", "g", zero("own_n"), zero("k")), "groups")
+    # A term is its language's alone: one of its groups tells which.
+    whole = cut(counts.join(sizes.select("g", "lang"), "g").groupBy("t").agg(F.sum("n").alias("whole"), F.first("lang").alias("lang")), "whole")
+    langs = whole.groupBy("lang").agg(F.sum("whole").alias("lang_n"), F.count("*").alias("v"))
+    sizes = sizes.join(langs, "lang", "left").select("lang", "source", "g", "own_n", "k", zero("lang_n"), zero("v"))
     sizes = cut(sizes.withColumn("z", F.when(F.col("v") > 0, share("0", "own_n", "v"))), "sizes")
-    shares = cut(counts.join(sizes.select("lang", "source", "own_n", "v", "z"), ["lang", "source"]).withColumn("p", share("n", "own_n", "v")).select("lang", "source", "term", "p", "z"), "shares")
+    shares = cut(counts.join(sizes.select("g", "own_n", "v", "z"), "g").select("g", "t", share("n", "own_n", "v").alias("p"), "z"), "shares")
 
-    a = shares.select("lang", "term", F.col("source").alias("a"), F.col("p").alias("pa"), F.col("z").alias("za"))
-    b = shares.select("lang", "term", F.col("source").alias("b"), F.col("p").alias("pb"), F.col("z").alias("zb"))
-    f = lambda x, y: apart(x, y)
-    both = a.join(b, ["lang", "term"]).where("a < b").groupBy("lang", "a", "b").agg(F.count("*").alias("m"), F.sum(f("pa", "pb") - f("pa", "zb") - f("za", "pb")).alias("met"))
+    a = shares.select("t", F.col("g").alias("a"), F.col("p").alias("pa"), F.col("z").alias("za"))
+    b = shares.select("t", F.col("g").alias("b"), F.col("p").alias("pb"), F.col("z").alias("zb"))
+    f = apart
+    both = a.join(b, "t").where("a < b").groupBy("a", "b").agg(F.count("*").alias("m"), F.sum(f("pa", "pb") - f("pa", "zb") - f("za", "pb")).alias("met"))
     # Each of a pair's groups against the other's share of what it lacks, by different shares of the first.
-    kinds = shares.groupBy("lang", F.col("source").alias("s"), "p").agg(F.count("*").alias("times"))
-    other = sizes.select("lang", F.col("source").alias("o"), F.col("z").alias("zo"))
-    alone = kinds.join(other, "lang").where("s <> o").groupBy("lang", F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b")).agg(F.sum(f("p", "zo") * F.col("times")).alias("alone"))
-    x = sizes.select("lang", F.col("source").alias("a"), F.col("k").alias("ka"), F.col("z").alias("za"), "v")
-    y = sizes.select("lang", F.col("source").alias("b"), F.col("k").alias("kb"), F.col("z").alias("zb"))
-    pairs = x.join(y, "lang").where("a < b").join(both, ["lang", "a", "b"], "left").join(alone, ["lang", "a", "b"], "left")
-    neither = (F.col("v") - F.col("ka") - F.col("kb") + F.coalesce("m", F.lit(0))) * F.coalesce(f("za", "zb"), F.lit(0))
+    kinds = shares.groupBy("g", "p").agg(F.count("*").alias("times")).join(sizes.select("g", "lang"), "g")
+    other = sizes.select("lang", F.col("g").alias("o"), F.col("z").alias("zo"))
+    alone = kinds.join(other, "lang").where("g <> o").groupBy(F.least("g", "o").alias("a"), F.greatest("g", "o").alias("b")).agg(F.sum(f("p", "zo") * F.col("times")).alias("alone"))
+    side = lambda x: sizes.select("lang", F.col("g").alias(x), F.col("source").alias(f"source_{x}"), F.col("k").alias(f"k{x}"), F.col("z").alias(f"z{x}"), F.col("v").alias(f"v{x}"))
+    pairs = side("a").join(side("b"), "lang").where("a < b").join(both, ["a", "b"], "left").join(alone, ["a", "b"], "left")
+    neither = (F.col("va") - F.col("ka") - F.col("kb") + F.coalesce("m", F.lit(0))) * F.coalesce(f("za", "zb"), F.lit(0))
     pairs = pairs.withColumn("value", F.coalesce("met", F.lit(0)) + F.coalesce("alone", F.lit(0)) + neither)
-    ends = F.explode(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("item")), F.struct(F.col("b").alias("source"), F.col("a").alias("item"))))
+    ends = F.explode(F.array(F.struct(F.col("source_a").alias("source"), F.col("source_b").alias("item")), F.struct(F.col("source_b").alias("source"), F.col("source_a").alias("item"))))
     pairs = pairs.select("lang", ends.alias("e"), "value").select("lang", "e.source", F.lit("pair").alias("part"), "e.item", "value")
 
-    common = whole.join(langs, "lang").select("lang", "term", share("whole", "lang_n", "v").alias("q"))
-    terms = shares.join(common, ["lang", "term"]).where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), f("p", "q").alias("value"))
+    common = whole.join(langs, "lang").select("t", share("whole", "lang_n", "v").alias("q"))
+    above = shares.join(common, "t").where("p > q").select("g", "t", f("p", "q").alias("value"))
+    own = above.join(words, "t").join(sizes.select("g", "lang", "source"), "g").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value")
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
-    return pairs.withColumn("rank", rank).unionByName(terms.withColumn("rank", rank).where(F.col("rank") <= top))
+    return pairs.withColumn("rank", rank).unionByName(own.withColumn("rank", rank).where(F.col("rank") <= top))
 
 
 def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
