@@ -15,25 +15,35 @@ from .lineage import saved
 BLOCK = 1024
 
 
-def in_blocks(rows: DataFrame, others: DataFrame, by: Sequence[str], make: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, key: str = "id", size: int = BLOCK) -> DataFrame:
+def in_blocks(rows: DataFrame, others: DataFrame, by: Sequence[str], make: Callable[..., pd.DataFrame], schema: str, key: str = "id", size: int | None = None, half: bool = False) -> DataFrame:
     """make(block of rows, block of others) for every pair of blocks of each group, as one table.
 
-    Both sides are dealt to blocks by a hash of their key; the number of blocks follows from the largest group, so a task
-    has about `size` rows of either side whatever a group's size. No pair of rows is a row: make() gives what it finds.
+    Both sides are dealt to blocks by a hash of their key; each group has as many blocks as its own rows need, so a task
+    has about `size` rows of either side, and a small group is copied no more often than it has to be. No pair of rows is a row:
+    make() gives what it finds. Groups that only one side has give nothing; null is a group. With half, both sides have to be the same rows: of two blocks only one
+    order is made, and make() gets a third argument, whether the two are one block.
     """
-    def parts(df: DataFrame) -> int:
-        n = df.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-        return max(1, math.ceil(n / size))
-
-    p, q = parts(rows), parts(others)
-    block = lambda n: F.pmod(F.xxhash64(F.lit(n), key), F.lit(n))
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    a = rows.withColumns({"_p": block(p), "_q": each(q)})
-    b = others.withColumn("_q", block(q)).withColumn("_p", each(p)).select(*[F.col(c).alias(f"o_{c}") for c in (*others.columns, "_p", "_q")])  # names of their own: both sides may be one table
+    size = size or BLOCK
+
+    def parts(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*[F.col(c).alias(f"_by_{i}") for i, c in enumerate(by)]).agg(F.ceil(F.count("*") / size).cast("long").alias(name))
+
+    keyed = [f"_by_{i}" for i in range(len(by))]
+    same = lambda x, y: [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(x, y)]
+    p, q = parts(rows, "_m"), parts(others, "_n")
+    sizes = saved(p.join(q.withColumnsRenamed({k: f"{k}_" for k in keyed}), same(keyed, [f"{k}_" for k in keyed])).select(*keyed, "_m", "_n"), "blocks")
+    block = lambda n: F.pmod(F.xxhash64(F.col(n), F.col(key)), F.col(n))
+    zero = F.lit(0).cast("long")
+    a = rows.join(sizes, same(by, keyed)).withColumn("_p", block("_m")).withColumn("_q", F.explode(F.sequence(F.col("_p") if half else zero, F.col("_n") - 1))).drop("_m", "_n", *keyed)
+    b = others.join(sizes, same(by, keyed)).withColumn("_q", block("_n")).withColumn("_p", F.explode(F.sequence(zero, F.col("_q") if half else F.col("_m") - 1))).drop("_m", "_n", *keyed)
+    b = b.select(*[F.col(c).alias(f"o_{c}") for c in (*others.columns, "_p", "_q")])  # names of their own: both sides may be one table
     keys, names, back = [*by, "_p", "_q"], [c.split()[0] for c in schema.split(", ")], {f"o_{c}": c for c in others.columns}
 
     def both(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        return make(x.drop(columns=["_p", "_q"]), y.drop(columns=["o__p", "o__q"]).rename(columns=back)) if len(x) and len(y) else pd.DataFrame({c: [] for c in names})
+        if not len(x) or not len(y):
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in names})
+        more = (bool(x["_p"].iloc[0] == x["_q"].iloc[0]),) if half else ()
+        return make(x.drop(columns=["_p", "_q"]), y.drop(columns=["o__p", "o__q"]).rename(columns=back), *more)
 
     return a.groupBy(*keys).cogroup(b.groupBy(*[f"o_{c}" for c in keys])).applyInPandas(both, schema)
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,10 +12,15 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocks
 from .blocks import in_blocks
 from .lineage import saved
 
 
+#: A user's metric: matrices (n, d) and (m, d) to the distances (n, m).
+Metric = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
@@ -36,6 +42,29 @@ def pairwise_distance(vectors: DataFrame, by: Sequence[str], metric: str = "eucl
     return a.join(b, list(by)).where("a < b").select(*by, "a", "b", vector_distance(F.col("_u"), F.col("_v"), metric).alias("distance"))
 
 
+def pairwise_metric(vectors: DataFrame, by: Sequence[str], metric: str | Metric, symmetric: bool = True, key: str = "id") -> DataFrame:
+    """(by, a, b, distance) of the pairs within a group by a user's metric: all a < b if it is symmetric, else all a <> b.
+
+    The metric gets two matrices, a row per vector, and gives the matrix of distances of each of the first from each of the second; it is
+    called for pairs of blocks. One that says it is symmetric is called for one order of two blocks only. Vectors have one length; none is null.
+    """
+    rows = vectors.select(*by, F.col(key).alias("id"), "vector")
+
+    def pairs(x: pd.DataFrame, y: pd.DataFrame, one: bool = False) -> pd.DataFrame:
+        d, left, right = matrix(x["vector"], y["vector"], metric), x["id"].to_numpy(), y["id"].to_numpy()
+        keep = left[:, None] < right[None, :] if symmetric and one else left[:, None] != right[None, :]
+        u, v = np.nonzero(keep)
+        a, b = left[u], right[v]
+        if symmetric:
+            a, b = np.where(a < b, a, b), np.where(a < b, b, a)
+        out = pd.DataFrame({c: [x[c].iloc[0]] * len(u) for c in by})
+        return out.assign(a=a, b=b, distance=d[u, v])
+
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in by], f"a {kinds['id']}", f"b {kinds['id']}", "distance double"])
+    return in_blocks(rows, rows, by, pairs, schema, half=symmetric)
+
+
 def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, cluster): smallest id reachable over edges (a, b); smallest neighbour's label and pointer jumping in turn, each round written."""
     both = saved(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")), "edges")
@@ -49,42 +78,104 @@ def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             return state
 
 
-def matrix(a: pd.Series, b: pd.Series, metric: str = "euclidean") -> np.ndarray:
-    """Distances of every vector of a from every vector of b, as vector_distance() has them."""
+def matrix(a: pd.Series, b: pd.Series, metric: str | Metric = "euclidean") -> np.ndarray:
+    """Distances of every vector of a from every vector of b, as vector_distance() has them, or as a user's metric gives them."""
     u, v = np.array(a.tolist(), float), np.array(b.tolist(), float)
+    if callable(metric):
+        d = np.asarray(metric(u, v), float)
+        if d.shape != (len(u), len(v)):
+            raise TypeError(f"the metric gave a shape of {d.shape} for {len(u)} and {len(v)} vectors")
+        return d
     if metric == "cosine":
         norms = np.sqrt((u * u).sum(axis=1))[:, None] * np.sqrt((v * v).sum(axis=1))[None, :]
         return np.where(norms > 0, 1 - (u @ v.T) / np.where(norms > 0, norms, 1), 0.0)
     return np.sqrt(np.maximum(np.array([((v - row) ** 2).sum(axis=1) for row in u]), 0.0))
 
 
-def threshold_clusters(vectors: DataFrame, by: Sequence[str], limit: float, metric: str = "euclidean") -> DataFrame:
+def skipping(metric: str, skip: int) -> Metric:
+    """The metric of what is left of the vectors without their `skip` leading parts."""
+    return lambda u, v: matrix(pd.Series(list(u[:, skip:])), pd.Series(list(v[:, skip:])), metric)
+
+
+def _spanning(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> pd.DataFrame:
+    """Few links (a, b) that join the same rows as all links of a block's matrix: labels spread over it until they rest, then each row names its label's."""
+    every = np.concatenate((left, right))
+    n, own = len(left), np.arange(len(left) + len(right))
+    label = own.copy()
+    while True:
+        low = np.where(near, label[n:][None, :], len(every)).min(axis=1, initial=len(every))
+        mine = np.minimum(label[:n], low)
+        high = np.minimum(label[n:], np.where(near, mine[:, None], len(every)).min(axis=0, initial=len(every)))
+        new = np.concatenate((mine, high))
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    at = np.flatnonzero(label != own)
+    out = pd.DataFrame({"a": every[label[at]], "b": every[at]})
+    return out[out["a"] != out["b"]]
+
+
+def in_balls(rows: DataFrame, by: Sequence[str], limit: float, size: int | None = None) -> DataFrame:
+    """rows (by, id, vector, at) as (by, ball, home, id, vector, at): each row in its own ball, and in those that may hold a row within limit of it.
+
+    `at` is the vector by which rows are near, in euclidean distance. A group's pivots are about the square root of its rows, drawn
+    by a hash (one, where a block holds the group); a row's home is its nearest pivot's ball. By the triangle inequality only a ball whose pivot is no further
+    than its radius plus limit can hold a row within limit; of two balls, rows of the one with the smaller pivot visit the other. So near
+    rows meet in one ball, and rows of far balls never do.
+    """
+    size, kinds = size or blocks.BLOCK, dict(rows.dtypes)
+    n = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.min(F.struct(F.xxhash64("id"), "id", "at")).alias("_one"))
+    wanted = F.when(F.col("_n") <= size, F.lit(0)).otherwise(F.ceil(F.sqrt("_n")))
+    drawn = rows.join(n.select(*by, "_n"), list(by)).where(F.pmod(F.xxhash64(F.lit(7), "id"), F.col("_n")) < wanted).select(*by, "id", "at")
+    pivots = saved(drawn.unionByName(n.select(*by, "_one.id", "_one.at")).dropDuplicates([*by, "id"]).withColumnRenamed("id", "ball"), "pivots").withColumn("id", F.col("ball"))
+    group = ", ".join(f"{c} {kinds[c]}" for c in by)
+
+    def home(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        d = matrix(x["at"], y["at"])
+        k = d.argmin(axis=1)
+        return x.assign(ball=y["ball"].to_numpy()[k], d=d[np.arange(len(x)), k])
+
+    mine = in_blocks(rows, pivots, by, home, f"{group}, id {kinds['id']}, vector array<double>, at array<double>, ball {kinds['id']}, d double".lstrip(", "))
+    mine = saved(mine.groupBy(*by, "id").agg(F.min_by(F.struct("vector", "at", "ball", "d"), F.struct("d", "ball")).alias("h")).select(*by, "id", "h.*"), "homes")
+    wide = pivots.join(mine.groupBy(*by, "ball").agg(F.max("d").alias("radius")), [*by, "ball"])
+
+    def visits(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        d, reach = matrix(x["at"], y["at"]), (y["radius"].to_numpy() + limit) * (1 + 1e-9) + 1e-12
+        u, v = np.nonzero((d <= reach[None, :]) & (x["ball"].to_numpy()[:, None] < y["ball"].to_numpy()[None, :]))
+        out = x.iloc[u].reset_index(drop=True)
+        return out.assign(ball=y["ball"].to_numpy()[v], home=False)
+
+    other = in_blocks(mine.drop("d"), wide, by, visits, f"{group}, ball {kinds['id']}, home boolean, id {kinds['id']}, vector array<double>, at array<double>".lstrip(", "))
+    return saved(other.unionByName(mine.select(*by, "ball", F.lit(True).alias("home"), "id", "vector", "at")), "balls")
+
+
+def threshold_clusters(vectors: DataFrame, by: Sequence[str], limit: float, metric: str | Metric = "euclidean") -> DataFrame:
     """(id, cluster): components of pairs closer than limit: the single-linkage tree cut at that distance.
 
-    Blocks of a group are compared as matrices and give one link to each row that is near some other: a row's links within
-    one pair of blocks come down to a spanning forest of them, so pairs are not rows.
+    For euclidean and cosine distances only rows of balls that may hold near rows meet (in_balls(); cosine by unit vectors, where
+    a distance d is the root of 2 d apart, and vectors without length, 0 from all, link their whole group). A user's metric,
+    which need not keep the triangle inequality, meets all pairs of blocks. Blocks are compared as matrices, and give one link to each row that is near some other.
     """
-    def links(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        near = matrix(a["vector"], b["vector"], metric) < limit
-        left, right = a["id"].to_numpy(), b["id"].to_numpy()
-        u, v = np.nonzero(near & (left[:, None] != right[None, :]))
-        order, n = np.full(len(left) + len(right), -1), len(left)
-        for s in range(n):  # breadth first over both sides: each row that is reached gives one link
-            if order[s] < 0 and near[s].any():
-                order[s], queue = s, [s]
-                while queue:
-                    at = queue.pop()
-                    new = [n + k for k in np.flatnonzero(near[at]) if order[n + k] < 0] if at < n else [k for k in np.flatnonzero(near[:, at - n]) if order[k] < 0]
-                    for k in new:
-                        order[k] = at
-                    queue += new
-        every = np.concatenate((left, right))
-        at = np.flatnonzero((order >= 0) & (order != np.arange(len(order))))
-        out = pd.DataFrame({"a": every[order[at]], "b": every[at]})
-        return out[out["a"] != out["b"]] if len(u) else out.iloc[:0]
-
-    rows = vectors.select(*by, "id", "vector")
-    return connected(in_blocks(rows, rows, by, links, "a long, b long"), vectors)
+    def links(x: pd.DataFrame, y: pd.DataFrame, one: bool = False) -> pd.DataFrame:
+        return _spanning(matrix(x["vector"], y["vector"], metric) < limit, x["id"].to_numpy(), y["id"].to_numpy())
+
+    rows, by = vectors.select(*by, F.lit(0).alias("_all"), "id", "vector"), [*by, "_all"]
+    kind = dict(rows.dtypes)["id"]
+    if callable(metric):
+        return connected(in_blocks(rows, rows, by, links, f"a {kind}, b {kind}", half=True), vectors)
+    at, empty = F.col("vector"), None
+    if metric == "cosine":
+        length = F.sqrt(_dot(F.col("vector"), F.col("vector")))
+        rows = rows.withColumn("_length", length)
+        if limit > 0:
+            hubs = rows.where("_length = 0").groupBy(*by).agg(F.min("id").alias("a"))
+            empty = hubs.join(rows, list(by)).select("a", F.col("id").alias("b"))
+        rows = rows.where("_length > 0")
+        at = F.transform("vector", lambda x: x / F.col("_length"))
+    placed = in_balls(rows.select(*by, "id", "vector", at.alias("at")), by, math.sqrt(2 * max(limit, 0.0)) if metric == "cosine" else limit)
+    found = in_blocks(placed.drop("at", "home"), placed.where("home").drop("at", "home"), [*by, "ball"], links, f"a {kind}, b {kind}")
+    return connected(found if empty is None else found.unionByName(empty), vectors)
 
 
 def k_clusters(vectors: DataFrame, k: int, metric: str = "euclidean", seed: int = 1, bisecting: bool = False) -> DataFrame:
@@ -119,24 +210,78 @@ def position_spread(rows: DataFrame, label: str = "cluster", axes: Sequence[str]
     return spread(rows.where(F.col(label).isNotNull()).select(label, F.array(*[F.col(c).cast("double") for c in axes]).alias("vector")), label)
 
 
+def label_sums(rows: DataFrame, label: str = "label") -> DataFrame:
+    """(label, n, total, square, held): rows, sum of vectors, sum of squared lengths and rows with a length, of each label; sums are added by part, so a large label is no one task's."""
+    long = rows.select(label, F.posexplode("vector").alias("i", "v")).groupBy(label, "i").agg(F.sum("v").alias("v"))
+    total = long.groupBy(label).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("total"))
+    square = _dot(F.col("vector"), F.col("vector"))
+    counts = rows.groupBy(label).agg(F.count("*").alias("n"), F.sum(square).alias("square"), F.count_if(square > 0).alias("held"))
+    return counts.join(total, label)
+
+
 def silhouette(rows: DataFrame, metric: str = "euclidean", label: str = "cluster", key: str = "id") -> DataFrame:
     """(silhouette): mean over rows of (nearest other label's mean distance - own) / the larger; 0 for labels of one row.
 
-    Pairs of blocks are compared as matrices and give sums of distances per row and label, which are added up: no pair is a row.
+    metric is euclidean, squared (squared euclidean) or cosine. The mean squared or cosine distance from a label follows from its count and sums, so
+    those two take rows times labels. A mean euclidean distance doesn't; it lies between the distance from the label's
+    mean and the root of the mean squared distance. So for each row only the labels whose lower bound is under the
+    smallest upper bound are met, and its own: pairs of blocks as matrices, whose sums are added up. No pair is a row.
     """
-    flat = rows.select(F.lit(0).alias("_all"), F.col(key).alias("id"), F.when(F.col(label).isNotNull(), F.xxhash64(label)).alias("label"), "vector").where("label is not null")
-
-    def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        d = matrix(a["vector"], b["vector"], metric)
-        d[a["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :]] = np.nan  # a row is no neighbour of its own
-        parts = []
-        for other, at in b.groupby("label").indices.items():
-            parts.append(pd.DataFrame({"id": a["id"], "own": a["label"], "other": other, "total": np.nansum(d[:, at], axis=1), "n": (~np.isnan(d[:, at])).sum(axis=1)}))
-        return pd.concat(parts, ignore_index=True)
-
-    found = in_blocks(flat, flat, ["_all"], sums, f"id {dict(flat.dtypes)['id']}, own long, other long, total double, n long")
-    means = found.groupBy("id", "own", "other").agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0))).alias("d"))
-    both = means.groupBy("id").agg(F.max(F.when(F.col("other") == F.col("own"), F.col("d"))).alias("a"), F.min(F.when(F.col("other") != F.col("own"), F.col("d"))).alias("b"))
+    flat = rows.select(F.col(key).alias("id"), F.when(F.col(label).isNotNull(), F.xxhash64(label)).alias("label"), "vector").where("label is not null")
+    if metric == "cosine":
+        length = F.sqrt(_dot(F.col("vector"), F.col("vector")))
+        flat = flat.withColumn("_length", length).withColumn("vector", F.when(F.col("_length") > 0, F.transform("vector", lambda x: x / F.col("_length"))).otherwise(F.col("vector"))).drop("_length")
+    else:  # about their mean, so that squares far from 0 don't swallow the distances
+        middle = flat.select(F.posexplode("vector").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("v")).orderBy("i").collect()  # one number for each part of a vector
+        flat = flat.withColumn("vector", F.zip_with("vector", F.array(*[F.lit(r.v) for r in middle]), lambda x, m: x - m))
+    flat = saved(flat.withColumn("_all", F.lit(0)), "labelled")
+    sums = saved(label_sums(flat), "labels").withColumns({"_all": F.lit(0), "id": F.col("label")})
+    kind = dict(flat.dtypes)["id"]
+
+    def squares(x: pd.DataFrame, y: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sums of (squared or cosine) distances of rows from all rows of labels, the labels' counts without the row itself, and whether a label is its own."""
+        u, s = np.array(x["vector"].tolist(), float), np.array(y["total"].tolist(), float)
+        own = x["label"].to_numpy()[:, None] == y["label"].to_numpy()[None, :]
+        n = y["n"].to_numpy()[None, :] - own
+        if metric == "cosine":
+            held = (u * u).sum(axis=1) > 0
+            return np.where(held[:, None], y["held"].to_numpy()[None, :] - u @ s.T, 0.0), n, own
+        total = y["n"].to_numpy()[None, :] * (u * u).sum(axis=1)[:, None] - 2 * u @ s.T + y["square"].to_numpy()[None, :]
+        return np.maximum(total, 0.0), n, own
+
+    def means(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        total, n, own = squares(x, y)
+        with np.errstate(all="ignore"):
+            d = np.where(n > 0, total / n, np.nan)
+        a = np.where(own, d, np.nan)
+        b = np.where(own, np.inf, np.where(np.isnan(d), np.inf, d)).min(axis=1)
+        return pd.DataFrame({"id": x["id"], "a": np.where(np.isnan(a).all(axis=1), np.nan, np.nansum(a, axis=1)), "b": np.where(np.isinf(b), np.nan, b)})
+
+    def needed(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        total, n, own = squares(x, y)
+        count, s = y["n"].to_numpy()[None, :], np.array(y["total"].tolist(), float)
+        low = matrix(x["vector"], pd.Series(list(s / y["n"].to_numpy()[:, None])))
+        high = np.sqrt(total / count)
+        cut = np.where(own, np.inf, high).min(axis=1)
+        u, v = np.nonzero(own | (low <= cut[:, None] * (1 + 1e-9) + 1e-9))
+        out = x.iloc[u].reset_index(drop=True)
+        return pd.DataFrame({"id": out["id"], "own": out["label"], "vector": out["vector"], "label": y["label"].to_numpy()[v], "low": low[u, v], "high": np.where(own[u, v], np.inf, high[u, v])})
+
+    def met(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        d = matrix(x["vector"], y["vector"])
+        d[x["id"].to_numpy()[:, None] == y["id"].to_numpy()[None, :]] = np.nan  # a row is no neighbour of its own
+        return pd.DataFrame({"id": x["id"], "own": x["own"], "label": x["label"], "total": np.nansum(d, axis=1), "n": (~np.isnan(d)).sum(axis=1)})
+
+    if metric == "euclidean":
+        wanted = in_blocks(flat, sums, ["_all"], needed, f"id {kind}, own long, vector array<double>, label long, low double, high double")
+        least = F.min("high").over(Window.partitionBy("id"))  # labels come in blocks too
+        wanted = saved(wanted.withColumn("_least", least).where((F.col("own") == F.col("label")) | (F.col("low") <= F.col("_least") * (1 + 1e-9) + 1e-9)).select("id", "own", "vector", "label"), "wanted")
+        found = in_blocks(wanted, flat.select("id", "label", "vector"), ["label"], met, f"id {kind}, own long, label long, total double, n long")
+        each = found.groupBy("id", "own", "label").agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0))).alias("d"))
+        both = each.groupBy("id").agg(F.max(F.when(F.col("label") == F.col("own"), F.col("d"))).alias("a"), F.min(F.when(F.col("label") != F.col("own"), F.col("d"))).alias("b"))
+    else:
+        found = in_blocks(flat, sums, ["_all"], means, f"id {kind}, a double, b double")
+        both = found.groupBy("id").agg(F.max(F.nanvl("a", F.lit(None).cast("double"))).alias("a"), F.min(F.nanvl("b", F.lit(None).cast("double"))).alias("b"))
     return both.agg(F.avg(F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0))).alias("silhouette"))
 
 
@@ -167,7 +312,7 @@ def three_view_clusters(views: dict[str, DataFrame], k: int, metric: str = "eucl
     return out
 
 
-def classify_knn(rows: DataFrame, labelled: DataFrame, k: int, by: Sequence[str] = (), label: str = "label") -> DataFrame:
+def classify_knn(rows: DataFrame, labelled: DataFrame, k: int, by: Sequence[str] = (), label: str = "label", metric: str | Metric = "euclidean") -> DataFrame:
     """(id, label): the commonest label among the k nearest labelled vectors of the same group (without by: of all); ties by the smaller label.
 
     Pairs of blocks are compared as matrices; each row keeps its k best of each block (ties by the smaller id), then its k best of those.
@@ -177,7 +322,7 @@ def classify_knn(rows: DataFrame, labelled: DataFrame, k: int, by: Sequence[str]
 
     def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         y = y.sort_values("id")
-        d = matrix(x["vector"], y["vector"])
+        d = matrix(x["vector"], y["vector"], metric)
         d[x["id"].to_numpy()[:, None] == y["id"].to_numpy()[None, :]] = np.inf
         at = np.argsort(d, axis=1, kind="stable")[:, :k]
         row = np.repeat(np.arange(len(x)), at.shape[1])

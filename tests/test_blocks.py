@@ -50,7 +50,6 @@ def test_before_in_order(spark):
 def test_blocks_of_any_size(spark, monkeypatch, size):
     """Clusters, votes and silhouettes don't depend on how rows are dealt."""
     monkeypatch.setattr(blocks, "BLOCK", size)
-    monkeypatch.setattr(blocks.in_blocks, "__defaults__", ("id", size))
     rng = np.random.default_rng(5)
     data = [(i, int(i % 3), (rng.standard_normal(4) + 4 * (i % 3)).tolist()) for i in range(40)]
     df = spark.createDataFrame(data, "id long, label int, vector array<double>")
