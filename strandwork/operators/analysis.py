@@ -116,19 +116,21 @@ def weighted_vote(predictions: DataFrame, key: str, label: str, weight: str, non
     return sums.withColumn("_r", F.row_number().over(best)).where("_r = 1").select(key, F.coalesce(label, F.lit(none)).alias(label))
 
 
-def transitions(spots: DataFrame, edges: DataFrame) -> DataFrame:
-    """(t, from_*, to_*): positions of linked spots in consecutive frames."""
+def transitions(spots: DataFrame, edges: DataFrame, reverse: bool = False) -> DataFrame:
+    """(source_id, t, from_*, to_*): positions of linked spots in consecutive frames, from the earlier to the later one; in reverse from the later, at t, to the earlier."""
+    first, second = ("target_id", "source_id") if reverse else ("source_id", "target_id")
     at = spots.select("spot_id", "frame", *space.AXES)
-    a = at.select(F.col("spot_id").alias("source_id"), F.col("frame").alias("t"), *[F.col(c).alias(f"from_{c}") for c in space.AXES])
-    b = at.select(F.col("spot_id").alias("target_id"), F.col("frame").alias("u"), *[F.col(c).alias(f"to_{c}") for c in space.AXES])
-    return edges.join(a, "source_id").join(b, "target_id").where("u = t + 1").drop("u", "track_id", "target_id")
+    a = at.select(F.col("spot_id").alias(first), F.col("frame").alias("t"), *[F.col(c).alias(f"from_{c}") for c in space.AXES])
+    b = at.select(F.col("spot_id").alias(second), F.col("frame").alias("u"), *[F.col(c).alias(f"to_{c}") for c in space.AXES])
+    moved = edges.join(a, first).join(b, second).where(F.col("u") == F.col("t") + (-1 if reverse else 1))
+    return moved.select(F.col(first).alias("source_id"), "t", *[f"{d}_{c}" for d in ("from", "to") for c in space.AXES])
 
 
-def fill_transitions(spots: DataFrame, edges: DataFrame) -> DataFrame:
-    """transitions() and, for spots that end before the last frame, the nearest spot of the next frame."""
-    linked = transitions(spots, edges)
+def fill_transitions(spots: DataFrame, edges: DataFrame, reverse: bool = False) -> DataFrame:
+    """transitions() and, for spots that end before the last frame (in reverse: begin after the first), the nearest spot of the next (the one before)."""
+    linked = transitions(spots, edges, reverse)
     ended = spots.select("spot_id", "frame", *space.AXES).join(linked.select(F.col("source_id").alias("spot_id")), "spot_id", "left_anti")
-    ahead = space.knn(ended.withColumn("frame", F.col("frame") + 1), spots.select("spot_id", "frame", *space.AXES), 1, "spot_id")
+    ahead = space.knn(ended.withColumn("frame", F.col("frame") + (-1 if reverse else 1)), spots.select("spot_id", "frame", *space.AXES), 1, "spot_id")
     to = spots.select(F.col("spot_id").alias("p_spot_id"), *[F.col(c).alias(f"to_{c}") for c in space.AXES])
     more = ahead.select(F.col("q_spot_id").alias("source_id"), "p_spot_id").join(to, "p_spot_id").join(ended.select(F.col("spot_id").alias("source_id"), F.col("frame").alias("t"), *[F.col(c).alias(f"from_{c}") for c in space.AXES]), "source_id")
     return linked.unionByName(more.select(*linked.columns))
@@ -146,13 +148,13 @@ def radius_predict(queries: DataFrame, moves: DataFrame, radius: float, weight:
     return queries.select(key).join(means, key, "left")
 
 
-def follow(sources: DataFrame, moves: DataFrame, radius: float, steps: int, key: str = "id") -> DataFrame:
-    """(key, frame, z, y, x): paths of sources by repeated prediction, frame by frame; a path ends where it has no neighbours."""
+def follow(sources: DataFrame, moves: DataFrame, radius: float, steps: int, key: str = "id", reverse: bool = False) -> DataFrame:
+    """(key, frame, z, y, x): paths of sources by repeated prediction, frame by frame (in reverse, by reversed moves, back in time); a path ends where it has no neighbours."""
     at = lineage.saved(sources.select(key, "frame", *space.AXES), "path")
     out = at
     for _ in range(steps):
         ahead = radius_predict(at, moves, radius, None, key).where("z is not null")
-        at = lineage.saved(ahead.join(at.select(key, (F.col("frame") + 1).alias("frame")), key).select(key, "frame", *space.AXES), "path")
+        at = lineage.saved(ahead.join(at.select(key, (F.col("frame") + (-1 if reverse else 1)).alias("frame")), key).select(key, "frame", *space.AXES), "path")
         if at.isEmpty():
             break
         out = out.unionByName(at)

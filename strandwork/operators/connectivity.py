@@ -27,36 +27,67 @@ def rips_edges(points: DataFrame, scale: float, **options) -> DataFrame:
     return pairs.select(F.col("q_frame").alias("frame"), F.col("q_spot_id").alias("a"), F.col("p_spot_id").alias("b"), "distance")
 
 
+def forest_round(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One round over edges (a, b, e) between parts, e (distance, a, b, frame) the lightest between the two: (chosen edges, edges between what they join).
+
+    Each part takes the lightest of its edges, ties by ids, so the chosen ones make trees, in which the pair that chose the same
+    edge is the root's; pointers are followed and doubled up to it. Then the ends of the edges are renamed to roots, those
+    within a part go, and of those between two parts the lightest stays: at most half as many parts are left.
+    """
+    ends = F.explode(F.array(F.struct(F.col("a").alias("part"), F.col("b").alias("other")), F.struct(F.col("b").alias("part"), F.col("a").alias("other"))))
+    best = saved(parts.select(ends.alias("x"), "e").groupBy("x.part").agg(F.min_by("x.other", "e").alias("up"), F.min("e").alias("e")), "bars")
+    chosen = best.select("e").distinct()
+    up = best.select(F.col("part").alias("_p"), F.col("up").alias("_u"))
+    # The smaller of a pair that points at each other is a root.
+    point = best.select("part", "up").join(up, F.col("up") == F.col("_p")).select("part", F.when((F.col("_u") == F.col("part")) & (F.col("part") < F.col("up")), F.col("part")).otherwise(F.col("up")).alias("up"))
+    while True:
+        point = saved(point, "roots")
+        ahead = point.join(point.select(F.col("part").alias("_p"), F.col("up").alias("_u")), F.col("up") == F.col("_p"))
+        if ahead.where("_u <> up").isEmpty():
+            break
+        point = ahead.select("part", F.col("_u").alias("up"))
+    root = lambda side: point.select(F.col("part").alias(side), F.col("up").alias(f"root_{side}"))
+    left = parts.join(root("a"), "a").join(root("b"), "b").where("root_a <> root_b")
+    return chosen, saved(left.groupBy(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).agg(F.min("e").alias("e")), "bars")
+
+
 def component_barcode(points: DataFrame, edges: DataFrame) -> DataFrame:
     """(frame, birth, death) of dimension 0: a bar per edge of the minimum spanning forest of edges, all frames at once.
 
-    Rounds of "shortest edge out of each component", ties by ids; components merge by smallest label and pointer
-    jumping. Rounds are written to the shared folder.
+    Rounds of forest_round(): edges shrink with the parts, at least by half the parts a round, and each round is written to the
+    shared folder. Repeated edges count once; edges of a point with itself, and those with points that aren't there, are no bars.
     """
-    from .cluster import connected
-
-    state = saved(points.select(F.col("spot_id").alias("id"), "frame", F.col("spot_id").alias("part")), "bars")
+    known = points.select(F.col("spot_id").alias("_k"))
+    edges = edges.where("a <> b").join(known, F.col("a") == F.col("_k"), "left_semi").join(known, F.col("b") == F.col("_k"), "left_semi")
+    parts = saved(edges.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min(F.struct("distance", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "frame")).alias("e")), "bars")
     out = None
-    while True:
-        part = lambda side: state.select(F.col("id").alias(side), F.col("part").alias(f"part_{side}"))
-        across = edges.join(part("a"), "a").join(part("b"), "b").where("part_a <> part_b")
-        both = across.select("frame", "a", "b", "distance", F.explode(F.array("part_a", "part_b")).alias("part"))
-        best = saved(both.groupBy("part").agg(F.min(F.struct("distance", "a", "b", "frame")).alias("e")).select("e.*").distinct(), "bars")
-        if best.isEmpty():
-            break
-        out = best if out is None else out.unionByName(best)
-        merged = connected(best.join(part("a"), "a").join(part("b"), "b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b")), state.select(F.col("part").alias("id")).distinct())
-        state = saved(state.join(merged.select(F.col("id").alias("part"), "cluster"), "part").select("id", "frame", F.col("cluster").alias("part")), "bars")
-    out = edges.select("distance", "a", "b", "frame").limit(0) if out is None else out
-    return out.select("frame", F.lit(0.0).alias("birth"), F.col("distance").alias("death"))
+    while not parts.isEmpty():
+        chosen, parts = forest_round(parts)
+        out = chosen if out is None else out.unionByName(chosen)
+    out = parts.select("e") if out is None else out
+    return out.select("e.frame", F.lit(0.0).alias("birth"), F.col("e.distance").alias("death"))
+
+
+def wedges(edges: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, u, v, w): pairs of edges (by, a, b) that go out of one point, each edge directed from the end with fewer edges to the one with more (ties by id).
+
+    A point sends out no more than about the root of twice the edges, so wedges are bounded by edges to the power of
+    1.5, and a crowded point, whose edges come in, is no hot key.
+    """
+    ends = edges.select(*by, F.explode(F.array("a", "b")).alias("p")).groupBy(*by, "p").agg(F.count("*").alias("d"))
+    side = lambda x: ends.select(*by, F.col("p").alias(x), F.struct("d", "p").alias(f"_{x}"))
+    both = edges.select(*by, "a", "b").join(side("a"), [*by, "a"]).join(side("b"), [*by, "b"])
+    low = F.col("_a") < F.col("_b")
+    out = saved(both.select(*by, F.when(low, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("v")), "directed")
+    return out.join(out.withColumnRenamed("v", "w"), [*by, "u"]).where("v < w")
 
 
 def simplex_counts(points: DataFrame, edges: DataFrame, scales: Sequence[float]) -> DataFrame:
-    """(frame, scale, vertices, edges, triangles, euler) of the complex at each scale."""
+    """(frame, scale, vertices, edges, triangles, euler) of the complex at each scale: edges a < b, each once; triangles are wedges that an edge closes."""
     at = F.explode(F.array(*[F.lit(float(s)) for s in scales])).alias("scale")
-    e = edges.select("*", at).where("distance <= scale")
-    ab, bc, ac = (e.select("frame", "scale", F.col("a").alias(x), F.col("b").alias(y)) for x, y in ("ab", "bc", "ac"))
-    triangles = ab.join(bc, ["frame", "scale", "b"]).join(ac, ["frame", "scale", "a", "c"]).groupBy("frame", "scale").agg(F.count("*").alias("triangles"))
+    e = saved(edges.select("frame", "a", "b", "distance", at).where("distance <= scale"), "at-scales")
+    closing = e.select("frame", "scale", F.col("a").alias("v"), F.col("b").alias("w"))
+    triangles = wedges(e, ["frame", "scale"]).join(closing, ["frame", "scale", "v", "w"]).groupBy("frame", "scale").agg(F.count("*").alias("triangles"))
     counts = points.groupBy("frame").agg(F.count("*").alias("vertices")).select("*", at)
     out = counts.join(e.groupBy("frame", "scale").agg(F.count("*").alias("edges")), ["frame", "scale"], "left").join(triangles, ["frame", "scale"], "left").na.fill(0, ["edges", "triangles"])
     return out.withColumn("euler", F.col("vertices") - F.col("edges") + F.col("triangles"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from ..functions.scalar import axis_angle
 from .lineage import one_parent
 
 POSITION = ("z", "y", "x")
+#: Rows of a series that are transformed as one array.
+MAX_SERIES = 1 << 16
 
 
 def with_ancestors(spots: DataFrame, edges: DataFrame) -> DataFrame:
@@ -107,10 +111,28 @@ def mean_square_lag(points: DataFrame, max_lag: int) -> DataFrame:
     return a.join(points, ["key", "i"]).groupBy("lag").agg(F.count("*").alias("pairs"), F.avg(square).alias("mean_square"))
 
 
-def intensity_spectrum(series: DataFrame, interval: float = 1.0) -> DataFrame:
-    """(key, k, frequency, magnitude) of series (key, i, value): the first half of each key's discrete Fourier transform, by its own length."""
+def intensity_spectrum(series: DataFrame, interval: float = 1.0, most: int = MAX_SERIES) -> DataFrame:
+    """(key, k, frequency, magnitude) of series (key, i, value): the first half of each key's discrete Fourier transform, by its own length.
+
+    i counts a key's rows from 0; a null value is 0. Each key is one array, transformed in n log n steps. One of more than `most` rows is dealt to
+    its rows at every r-th place, r the smallest divisor of its length that makes them short enough; their transforms
+    are then put together, r terms for each frequency. (A length without such a divisor up to `most` goes whole.)
+    """
+    @F.pandas_udf("struct<re: array<double>, im: array<double>>")
+    def transformed(values: pd.Series) -> pd.DataFrame:
+        waves = [np.fft.fft(np.nan_to_num(np.asarray(v, float))) for v in values]
+        return pd.DataFrame({"re": [w.real for w in waves], "im": [w.imag for w in waves]})
+
     n = series.groupBy("key").agg(F.count("*").alias("n"))
-    waves = n.withColumn("k", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), (F.floor(F.col("n") / 2) - 1).cast("int")))))
-    turn = F.col("k") * F.col("i") * (-2 * math.pi) / F.col("n")
-    sums = series.join(waves, "key").groupBy("key", "n", "k").agg(F.sum(F.col("value") * F.cos(turn)).alias("_re"), F.sum(F.col("value") * F.sin(turn)).alias("_im"))
-    return sums.select("key", "k", (F.col("k") / (F.col("n") * interval)).alias("frequency"), F.sqrt(F.col("_re") ** 2 + F.col("_im") ** 2).alias("magnitude"))
+    few = F.expr(f"try_element_at(filter(sequence(2, {most}), d -> n % d = 0 AND n div d <= {most}), 1)")
+    n = n.withColumn("r", F.when(F.col("n") <= most, F.lit(1)).otherwise(F.coalesce(few, F.lit(1))))
+    dealt = series.join(n, "key").groupBy("key", "n", "r", (F.col("i") % F.col("r")).alias("j"))
+    arrays = dealt.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "value"))), lambda x: x["value"]).alias("v"))
+    waves = arrays.select("key", "n", "r", "j", transformed("v").alias("w"))
+    whole = F.greatest(F.lit(1), F.floor(F.col("n") / 2).cast("int"))
+    at = waves.select("key", "n", "r", "j", F.posexplode(F.arrays_zip("w.re", "w.im")).alias("k", "x"))
+    short = at.where(F.col("r") == 1).where(F.col("k") < whole).select("key", "n", "k", F.col("x.re").alias("_re"), F.col("x.im").alias("_im"))
+    turn = F.col("j") * F.col("k") * (-2 * math.pi) / F.col("n")
+    long = at.where(F.col("r") > 1).withColumn("k", F.explode(F.sequence(F.col("k"), (F.col("n") - 1).cast("int"), (F.col("n") / F.col("r")).cast("int")))).where(F.col("k") < whole)
+    long = long.groupBy("key", "n", "k").agg(F.sum(F.col("x.re") * F.cos(turn) - F.col("x.im") * F.sin(turn)).alias("_re"), F.sum(F.col("x.re") * F.sin(turn) + F.col("x.im") * F.cos(turn)).alias("_im"))
+    return short.unionByName(long).select("key", "k", (F.col("k") / (F.col("n") * interval)).alias("frequency"), F.sqrt(F.col("_re") ** 2 + F.col("_im") ** 2).alias("magnitude"))

@@ -190,6 +190,53 @@ def descendants_of(edges: DataFrame, asked: DataFrame) -> DataFrame:
     return reached(edges.select(F.col("source_id").alias("spot_id"), F.col("target_id").alias("other")).distinct(), asked).withColumnRenamed("other", "descendant")
 
 
+def intervals(spots: DataFrame, edges: DataFrame) -> DataFrame:
+    """(spot_id, root, enter, leave): places of each spot in a walk around its tree, children by id; a spot descends from another if its interval lies in the other's.
+
+    The walk enters a spot, goes through its children and leaves it. What follows each step is known from parent and
+    siblings alone; how many steps are left to the end is found by doubling, log2 of the longest walk rounds, each
+    written. Of several parents (a merge) the smallest counts. A tree of n spots has places 0 .. 2 n - 1, so (leave - enter - 1) / 2 spots descend from one.
+    """
+    up = spots.select("spot_id").distinct().join(one_parent(edges), "spot_id", "left")
+    next_ = F.lead("spot_id").over(Window.partitionBy("parent").orderBy("spot_id"))
+    linked = up.where("parent is not null").withColumn("next", next_).unionByName(up.where("parent is null").withColumn("next", F.lit(None).cast(dict(up.dtypes)["spot_id"])))
+    first = up.where("parent is not null").groupBy(F.col("parent").alias("spot_id")).agg(F.min("spot_id").alias("child"))
+    each = linked.join(first, "spot_id", "left")
+    step = lambda spot, out: F.struct(F.col(spot).alias("s"), F.lit(out).alias("out"))
+    entered = each.select(step("spot_id", 0).alias("at"), F.when(F.col("child").isNotNull(), step("child", 0)).otherwise(step("spot_id", 1)).alias("to"))
+    left = each.select(step("spot_id", 1).alias("at"), F.when(F.col("next").isNotNull(), step("next", 0)).when(F.col("parent").isNotNull(), step("parent", 1)).alias("to"))
+    both = entered.unionByName(left)
+    # A root's last step has none after it: it ends the walk, and names the tree.
+    state = saved(both.select("at", "to", F.when(F.col("to").isNotNull(), 1).otherwise(0).cast("long").alias("left"), F.when(F.col("to").isNull(), F.col("at.s")).alias("root")), "walk")
+    done, going = [state.where("to is null")], state.where("to is not null")
+    while not going.isEmpty():
+        known = going
+        for d in done:
+            known = known.unionByName(d)
+        ahead = known.select(F.col("at").alias("_a"), F.col("to").alias("_t"), F.col("left").alias("_l"), F.col("root").alias("_r"))
+        state = saved(going.join(ahead, F.col("to") == F.col("_a")).select("at", F.col("_t").alias("to"), (F.col("left") + F.col("_l")).alias("left"), F.coalesce("root", "_r").alias("root")), "walk")
+        done.append(state.where("to is null"))
+        going = state.where("to is not null")
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    flat = out.groupBy(F.col("at.s").alias("spot_id"), "root").agg(F.max(F.when(F.col("at.out") == 0, F.col("left"))).alias("_in"), F.max(F.when(F.col("at.out") == 1, F.col("left"))).alias("_out"))
+    longest = flat.where("spot_id = root").select(F.col("root").alias("_root"), F.col("_in").alias("_all"))
+    return flat.join(longest, F.col("root") == F.col("_root")).select("spot_id", "root", (F.col("_all") - F.col("_in")).alias("enter"), (F.col("_all") - F.col("_out")).alias("leave"))
+
+
+def descendant_counts(places: DataFrame) -> DataFrame:
+    """(spot_id, descendants) from intervals(): no pair of spots is made."""
+    return places.select("spot_id", F.expr("(leave - enter - 1) div 2").alias("descendants"))
+
+
+def related(pairs: DataFrame, places: DataFrame) -> DataFrame:
+    """Pairs (a, b) plus `descends`: whether b descends from a (a spot from itself: no), by two look-ups of intervals."""
+    side = lambda x: places.select(F.col("spot_id").alias(x), *[F.col(c).alias(f"_{x}_{c}") for c in ("root", "enter", "leave")])
+    inside = (F.col("_a_root") == F.col("_b_root")) & (F.col("_a_enter") < F.col("_b_enter")) & (F.col("_b_leave") < F.col("_a_leave"))
+    return pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").withColumn("descends", F.coalesce(inside, F.lit(False))).select(*pairs.columns, "descends")
+
+
 def attach_tracklet_dim(spots: DataFrame, pieces: DataFrame) -> DataFrame:
     """(spot_id, track_id, generation, tracklet_no, life): spots with their tracklet and how many frames it lasts."""
     life = tracklet_spans(pieces, spots).select("track_id", "tracklet_no", "generation", (F.col("end_frame") - F.col("start_frame")).alias("life"))

@@ -26,16 +26,19 @@ def neighbours(voxels: DataFrame) -> DataFrame:
     return voxels.withColumn("_d", F.explode(steps)).select("*", *[(F.col(c) + F.col(f"_d.d{c}")).alias(f"n{c}") for c in AXES]).drop("_d")
 
 
-def boundary_pairs(voxels: DataFrame, missing_is_outside: bool = False) -> DataFrame:
-    """Foreground voxels with each neighbour that is background (or, if asked, missing: outside of the image)."""
+def boundary_pairs(voxels: DataFrame, missing_is_outside: bool = False, outer: bool = False) -> DataFrame:
+    """Foreground voxels with each neighbour that is background (or, if asked, missing: outside of the image); with outer, background voxels with each neighbour that is foreground."""
+    if outer:
+        other = voxels.where("label > 0").select("t", *[F.col(c).alias(f"n{c}") for c in AXES], F.col("label").alias("n_label"))
+        return neighbours(voxels.where("label = 0")).join(other, ["t", "nz", "ny", "nx"])
     other = voxels.select("t", *[F.col(c).alias(f"n{c}") for c in AXES], F.col("label").alias("n_label"))
     pairs = neighbours(voxels.where("label > 0")).join(other, ["t", "nz", "ny", "nx"], "left" if missing_is_outside else "inner")
     return pairs.where(F.coalesce("n_label", F.lit(0)) == 0)
 
 
-def boundary_voxels(voxels: DataFrame, scale: tuple[float, float, float] = (1.0, 1.0, 1.0), missing_is_outside: bool = False) -> DataFrame:
-    """(t, z, y, x): boundary voxels in units."""
-    return boundary_pairs(voxels, missing_is_outside).select("t", *[(F.col(c) * s).alias(c) for c, s in zip(AXES, scale)]).distinct()
+def boundary_voxels(voxels: DataFrame, scale: tuple[float, float, float] = (1.0, 1.0, 1.0), missing_is_outside: bool = False, outer: bool = False) -> DataFrame:
+    """(t, z, y, x): boundary voxels in units: foreground beside background, or with outer the background ones beside foreground."""
+    return boundary_pairs(voxels, missing_is_outside, outer).select("t", *[(F.col(c) * s).alias(c) for c, s in zip(AXES, scale)]).distinct()
 
 
 def centroid_of_boundary(boundary: DataFrame) -> DataFrame:
@@ -202,6 +205,23 @@ def crop_patches(rows: DataFrame, voxels: DataFrame, key: str, size: tuple[int,
     return inside.join(full.select(key), key, "left_semi")
 
 
+def patch_labels(rows: DataFrame, voxels: DataFrame, key: str, size: tuple[int, int, int], classes: int, label: str = "class_no") -> DataFrame:
+    """(key, label_vector) of rows (t, z, y, x, label: 0 .. classes - 1) on a region: 1 at the class, then place, extent and confidence of the region in its patch.
+
+    After the classes: where the region's centre lies in a patch of size (z, y, x) cut around it, as parts of the patch by x, y, z; the region's
+    height (y), width (x) and depth (z) as parts of the patch, a half where it fills the patch or more; 1 for the confidence. Rows on
+    background, and those whose class is null or none of the classes, give no vector.
+    """
+    at = rows.select(key, "t", label, *[F.bround(c, 0).cast("long").alias(c) for c in AXES]).join(voxels.where("label > 0").select("t", *AXES, "label"), ["t", *AXES])
+    own = regions(voxels).select("t", "label", *[F.col(c).alias(f"mid_{c}") for c in AXES], *[(F.col(f"{c}_max") - F.col(f"{c}_min") + 1).alias(f"long_{c}") for c in AXES])
+    df = at.select(key, "t", "label", F.col(label).alias("_class")).join(own, ["t", "label"]).where(F.col("_class").between(0, classes - 1))
+    n = dict(zip(AXES, size))
+    place = [(F.col(f"mid_{c}") - (F.col(f"mid_{c}") - n[c] // 2)) / n[c] for c in ("x", "y", "z")]
+    extent = [F.when(F.col(f"long_{c}") >= n[c], F.lit(0.5)).otherwise(F.col(f"long_{c}") / n[c]) for c in ("y", "x", "z")]
+    hot = F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda i: F.when(i == F.col("_class"), 1.0).otherwise(0.0))
+    return df.select(key, F.concat(hot, F.array(*[x.cast("double") for x in (*place, *extent)], F.lit(1.0))).alias("label_vector"))
+
+
 def percentile_normalise(voxels: DataFrame, low: float = 1.0, high: float = 99.8, chunk: int = 50, eps: float = 1e-20) -> DataFrame:
     """voxels plus `normalised`: value between its chunk of frames' low and high percentiles.
 

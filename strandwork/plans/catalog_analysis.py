@@ -161,3 +161,17 @@ q("cluster_scatter", lambda v: U.cluster_scatter(v.spots.select("spot_id", "fram
   "SELECT frame, y, x, 'shape' AS view, cell_type AS label FROM spots WHERE cell_type IS NOT NULL UNION ALL SELECT frame, y, x, 'dynamic', cell_type FROM spots WHERE cell_type IS NOT NULL AND frame > 5", "y x")
 q("labelled_tracklets", lambda v: U.labelled_tracklets(full(v), v.spots.where("spot_id % 5 = 0").select("spot_id", (F.col("spot_id") % 3).alias("label")), ["speed"]), ON,
   f"WITH l AS (SELECT DISTINCT ON (head) head, spot_id % 3 AS label FROM {FULL} WHERE spot_id % 5 = 0 ORDER BY head, frame, spot_id) SELECT spot_id, f.head, speed, label FROM {FULL} f JOIN l ON l.head = f.head", "speed")
+OUTER_EDGE = EDGE.replace("a.label > 0 AND b.label = 0", "a.label = 0 AND b.label > 0")
+q("boundary_voxels_outer", lambda v: X.boundary_voxels(v.voxels, (2.0, 1.0, 0.5), outer=True), "voxels", OUTER_EDGE, "z y x")
+BACK = "SELECT target_id AS source_id, b.frame AS t, b.z AS from_z, b.y AS from_y, b.x AS from_x, a.z AS to_z, a.y AS to_y, a.x AS to_x FROM edges JOIN spots a ON a.spot_id = source_id JOIN spots b ON b.spot_id = target_id WHERE b.frame = a.frame + 1"
+q("transitions_reversed", lambda v: A.transitions(v.spots, v.edges, True), "spots edges", BACK, PLACES)
+q("fill_transitions_reversed", lambda v: A.fill_transitions(v.spots, v.edges, True), "spots edges",
+  f"""SELECT * FROM ({BACK}) UNION ALL SELECT spot_id, frame, z, y, x, tz, ty, tx FROM (SELECT a.spot_id, a.frame, a.z, a.y, a.x, b.z AS tz, b.y AS ty, b.x AS tx, row_number() OVER (PARTITION BY a.spot_id ORDER BY sqrt((a.z - b.z) * (a.z - b.z) + (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)), b.spot_id) AS r
+  FROM spots a JOIN spots b ON b.frame = a.frame - 1 WHERE a.spot_id NOT IN (SELECT source_id FROM ({BACK}))) WHERE r = 1""", PLACES)
+BACKWARD = STEP.replace("frame + 1 AS frame", "frame - 1 AS frame")
+q("follow_reversed", lambda v: A.follow(v.annotations.select(F.col("ann_id").alias("id"), F.col("t").alias("frame"), "z", "y", "x"), A.transitions(v.spots, v.edges, True), 20.0, 2, reverse=True), "annotations spots edges",
+  f"WITH m AS ({BACK}), s0 AS (SELECT ann_id AS id, t AS frame, z, y, x FROM annotations), {', '.join(BACKWARD.format(n=n, p=n - 1) for n in (1, 2))} FROM s0 UNION ALL FROM s1 UNION ALL FROM s2", "z y x")
+HOT = ", ".join(f"CASE WHEN s.track_id % 4 = {k} THEN 1.0 ELSE 0.0 END" for k in range(3))
+q("patch_labels", lambda v: X.patch_labels(v.spots.select("spot_id", F.col("frame").alias("t"), (F.col("z") / 5).alias("z"), (F.col("y") / 4).alias("y"), (F.col("x") / 8).alias("x"), F.expr("int(track_id % 4)").alias("class_no")), v.voxels, "spot_id", (5, 7, 9), 3).select("spot_id", F.posexplode("label_vector").alias("k", "value")).withColumn("k", F.col("k").cast("long")), "spots voxels",
+  f"""SELECT spot_id, unnest(range(0, 10)) AS k, unnest([{HOT}, 4 / 9.0, 3 / 7.0, 2 / 5.0, CASE WHEN y_max - y_min + 1 >= 7 THEN 0.5 ELSE (y_max - y_min + 1) / 7.0 END, CASE WHEN x_max - x_min + 1 >= 9 THEN 0.5 ELSE (x_max - x_min + 1) / 9.0 END, CASE WHEN z_max - z_min + 1 >= 5 THEN 0.5 ELSE (z_max - z_min + 1) / 5.0 END, 1.0]::DOUBLE[]) AS value
+  FROM spots s JOIN voxels b ON b.t = s.frame AND b.z = round_even(s.z / 5, 0) AND b.y = round_even(s.y / 4, 0) AND b.x = round_even(s.x / 8, 0) AND b.label > 0 JOIN ({REGIONS}) r ON r.t = b.t AND r.label = b.label WHERE s.track_id % 4 < 3""", "value")

@@ -113,3 +113,15 @@ register("add_noise", lambda v: S.add_noise(v.spots.select("spot_id", "x"), ["x"
 register("drop_invalid_rows", lambda v: S.drop_invalid_rows(v.spots.withColumn("x", F.when(F.col("spot_id") % 7 == 0, float("nan")).when(F.col("spot_id") % 11 != 0, F.col("x"))), ["x", "y"]).select("spot_id"), "spots", "SELECT spot_id FROM spots WHERE spot_id % 7 <> 0 AND spot_id % 11 <> 0")
 register("attach_tracklet_dim", lambda v: L.attach_tracklet_dim(v.spots, v.pieces), "pieces",
          f"SELECT spot_id, p.track_id, s.generation, tracklet_no, end_frame - start_frame AS life FROM pieces p JOIN ({SPANS}) s USING (track_id, tracklet_no)")
+WALK = """
+WITH RECURSIVE w AS (
+ SELECT s.spot_id, s.spot_id AS root, [s.spot_id] AS path FROM spots s WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.target_id = s.spot_id)
+ UNION ALL SELECT e.target_id, w.root, list_append(w.path, e.target_id) FROM w JOIN edges e ON e.source_id = w.spot_id),
+ d AS (SELECT spot_id, count(*) - 1 AS descendants FROM (SELECT unnest(path) AS spot_id FROM w) GROUP BY 1),
+ p AS (SELECT spot_id, root, 2 * (row_number() OVER (PARTITION BY root ORDER BY path) - 1) - (len(path) - 1) AS enter FROM w)
+SELECT p.spot_id, root, enter, enter + 2 * descendants + 1 AS leave, descendants FROM p JOIN d USING (spot_id)"""
+register("lineage_intervals", lambda v: L.intervals(v.spots, v.edges), "spots edges", f"SELECT spot_id, root, enter, leave FROM ({WALK})")
+register("descendant_counts", lambda v: L.descendant_counts(L.intervals(v.spots, v.edges)), "spots edges", f"SELECT spot_id, descendants FROM ({WALK})")
+register("related_spots", lambda v: L.related(v.spots.select(F.col("spot_id").alias("a"), (F.col("spot_id") + 7 - F.col("seq")).alias("b")).unionByName(v.edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))), L.intervals(v.spots, v.edges)), "spots edges",
+         f"""WITH w AS ({WALK}), q AS (SELECT spot_id AS a, spot_id + 7 - seq AS b FROM spots UNION ALL SELECT source_id, target_id FROM edges)
+         SELECT q.a, q.b, coalesce(x.root = y.root AND x.enter < y.enter AND y.leave < x.leave, false) AS descends FROM q LEFT JOIN w x ON x.spot_id = q.a LEFT JOIN w y ON y.spot_id = q.b""")

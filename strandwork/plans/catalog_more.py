@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cluster as C
 from ..operators import connectivity as N
+from ..operators import encode as E
 from ..operators import space as P
 from ..sources import sinks as O
 from ..sources import tracker as R
@@ -70,3 +71,20 @@ register("three_view_clusters", lambda v: C.three_view_clusters({"first": vector
 register("labels_to_rows", lambda v: C.labels_to_rows(vectors(v).select("id", F.col("label").alias("head")), C.centroids(vectors(v), "label").select(F.col("label").alias("head"), "vector", (F.col("label") % 3).alias("cluster"))).select("id", "cluster", "spread"), "",
          f"""WITH c AS ({CENTRES}), m AS (SELECT label % 3 AS cluster, i, avg(value) AS mean FROM c GROUP BY 1, 2), d AS (SELECT label, label % 3 AS cluster, sqrt(sum((value - mean) * (value - mean))) AS d FROM c JOIN m ON m.cluster = label % 3 AND m.i = c.i GROUP BY 1)
          SELECT v.id, v.label % 3 AS cluster, s AS spread FROM {VEC} v JOIN (SELECT cluster, avg(d) AS s FROM d GROUP BY 1) s ON s.cluster = v.label % 3""", "spread")
+#: Weights of the linear encoder: small tenths by place.
+register("encode_latents", lambda v: E.encode(vectors(v), E.linear, [[(7 * i + 3 * k) % 11 / 10 - 0.5 for k in range(4)] for i in range(64)], 4).select("id", F.posexplode("latent").alias("k", "value")).withColumn("k", F.col("k").cast("long")), "",
+         f"SELECT id, k, sum(x * (((7 * i + 3 * k) % 11) / 10 - 0.5)) AS value FROM (SELECT id, unnest(range(0, len(vector))) AS i, unnest(vector) AS x FROM {VEC}), range(0, 4) t(k) GROUP BY 1, 2", "value")
+LATER = lambda sql: sql.replace("a.vector", "a.vector[9:]").replace("b.vector", "b.vector[9:]")
+register("pairwise_user_metric", lambda v: C.pairwise_metric(vectors(v), ["label"], C.skipping("cosine", 8)), "", f"SELECT a.label, a.id AS a, b.id AS b, coalesce({LATER(COS)}, 0) AS distance FROM {VEC} a JOIN {VEC} b ON a.label = b.label AND a.id < b.id", "distance")
+NAMES = {0: "Basal", 1: "Radial", 2: "Goblet", 3: "Ionocyte"}
+register("class_names", lambda v: E.map_classes(vectors(v).select("id", F.expr("label % 6").alias("label")), NAMES, default="UnClassified"), "",
+         f"SELECT id, label % 6 AS label, CASE label % 6 {' '.join(f'WHEN {k} THEN {n!r}' for k, n in NAMES.items())} ELSE 'UnClassified' END AS class_name FROM {VEC}")
+register("class_numbers", lambda v: E.map_classes(v.spots.select("spot_id", "cell_type"), v.spark.createDataFrame(list(E.reversed_map(NAMES).items()), "from string, to int"), "cell_type", "class_no", -1), "spots",
+         f"SELECT spot_id, cell_type, CAST(CASE cell_type {' '.join(f'WHEN {n!r} THEN {k}' for k, n in NAMES.items())} ELSE -1 END AS INTEGER) AS class_no FROM spots")
+for metric, distance in (("squared", f"({DIST}) ** 2"), ("cosine", f"coalesce({COS}, 0)")):
+    register(f"silhouette_{metric}", lambda v, m=metric: C.silhouette(vectors(v), m, "label"), "",
+             f"""WITH m AS (SELECT a.id, a.label AS la, b.label AS lb, avg({distance}) AS d FROM {VEC} a JOIN {VEC} b ON a.id <> b.id GROUP BY 1, 2, 3), s AS (SELECT id, max(CASE WHEN la = lb THEN d END) AS x, min(CASE WHEN la <> lb THEN d END) AS y FROM m GROUP BY 1)
+             SELECT avg(coalesce((y - x) / nullif(greatest(x, y), 0), 0)) AS silhouette FROM s""", "silhouette")
+register("threshold_clusters_euclidean", lambda v: C.threshold_clusters(vectors(v), ["label"], 0.6), "",
+         f"""SELECT id, cluster FROM (WITH RECURSIVE e AS (SELECT a.id AS a, b.id AS b FROM {VEC} a JOIN {VEC} b ON a.label = b.label AND a.id <> b.id AND {DIST} < 0.6), r AS (SELECT id, id AS c FROM {VEC} UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id)
+         SELECT id, min(c) AS cluster FROM r GROUP BY 1)""")
