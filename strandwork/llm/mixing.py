@@ -50,7 +50,7 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def schedule(spark: SparkSession, goals: DataFrame) -> DataFrame:
-    """(source, block, times): how often each of a source's equal-token blocks is in the mix.
+    """(source, block, times, first): how often each of a source's equal-token blocks is in the mix, and the first slot that it has there.
 
     Slot k's van der Corput point (k's bits reversed, as a fraction) falls into one source's part of the
     cumulative targets. A source's slots are ranked in order, rank r takes its block r modulo its blocks, and
@@ -78,7 +78,7 @@ def schedule(spark: SparkSession, goals: DataFrame) -> DataFrame:
     ranked = slots.withColumn("in_chunk", F.row_number().over(Window.partitionBy("part", "chunk").orderBy("slot")) - 1)
     ranked = ranked.join(chunks, ["part", "chunk"]).withColumn("rank", F.col("before") + F.col("in_chunk"))
     taken = ranked.where(F.col("rank") < F.col("blocks") * REPEATS)
-    return taken.groupBy("source", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.count("slot").alias("times"))
+    return taken.groupBy("source", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.count("slot").alias("times"), F.min("slot").alias("first"))
 
 
 def remainders(goals: DataFrame, plan: DataFrame) -> DataFrame:
@@ -106,7 +106,10 @@ def streamed(sizes: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """One row per row of docs: doc_id, size, source, source_size, target (the source's) and taken: the document's words in the mix, repeats counted.
+    """One row per row of docs: doc_id, size, source, source_size, target (the source's), taken: the document's words in the mix, repeats counted; first_slot and n_slots.
+
+    The mix is its slots in order: first_slot is the first one that has words of the document (null: none has; what a top-up
+    alone takes comes after all slots), n_slots how many have. By first_slot, documents of all sources lie as the schedule spreads them.
 
     A null source is a source of its own, the last. Null, empty and wordless texts have size 0 and take nothing.
     A block's words are consecutive words of its source's shuffled documents, so a document can be taken in part.
@@ -121,14 +124,14 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     pieces = rows.where("size > 0").select("row", "source", "start", "size", F.explode(reach).alias("block"))
     pieces = pieces.withColumn("words", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK) - F.greatest("start", F.col("block") * BLOCK))
     whole_plan = plan
-    plan = plan.select(F.col("source").alias("plan_source"), F.col("block").alias("plan_block"), "times")
-    used = pieces.join(plan, pieces.source.eqNullSafe(plan.plan_source) & (pieces.block == plan.plan_block)).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    plan = plan.select(F.col("source").alias("plan_source"), F.col("block").alias("plan_block"), "times", "first")
+    used = pieces.join(plan, pieces.source.eqNullSafe(plan.plan_source) & (pieces.block == plan.plan_block)).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"), F.min("first").alias("first_slot"), F.sum("times").alias("n_slots"))
     goals = cut(remainders(goals, whole_plan), "remainders").withColumnRenamed("source", "goal_source").withColumnRenamed("source_size", "total")
     goals = F.broadcast(goals) if goals.count() <= MAX_BROADCAST else goals
     out = rows.join(used, "row", "left").join(goals, rows.source.eqNullSafe(goals.goal_source))
     passes = [F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), F.col("high") - F.col("total") * k) - F.greatest("start", F.col("low") - F.col("total") * k)) for k in range(REPEATS)]
     taken = F.coalesce("taken", F.lit(0)) + F.col("sign") * sum(passes, F.lit(0))
-    return out.select("doc_id", "size", "source", F.col("total").alias("source_size"), "target", taken.cast("long").alias("taken"))
+    return out.select("doc_id", "size", "source", F.col("total").alias("source_size"), "target", taken.cast("long").alias("taken"), "first_slot", F.coalesce("n_slots", F.lit(0)).alias("n_slots"))
 
 
 def keep_taken(docs: DataFrame) -> DataFrame:

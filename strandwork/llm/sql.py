@@ -73,16 +73,16 @@ n AS (SELECT mix, {BLOCK} AS block, (mix + {BLOCK - 1}) // {BLOCK} AS slots, gre
 p AS (SELECT source, ceil(source_size / block::DOUBLE)::BIGINT AS blocks, (sum(target) OVER (ORDER BY source NULLS LAST) - target) / mix AS low FROM t, n WHERE target > 0),
 q AS (SELECT source, blocks, low, coalesce(lead(low) OVER (ORDER BY low), 2) AS high FROM p),
 k AS (SELECT k, list_sum(list_transform(range(0, bits), lambda i: ((k >> i) & 1) << (bits - 1 - i)))::DOUBLE / (1 << bits) AS point FROM n, (SELECT unnest(range(0, slots)) AS k FROM n)),
-r AS (SELECT q.source, blocks, row_number() OVER (PARTITION BY q.source ORDER BY k) - 1 AS rank FROM k JOIN q ON point >= low AND point < high),
-u AS (SELECT source, rank % blocks AS block_no, count(*) AS times FROM r WHERE rank < blocks * {REPEATS} GROUP BY 1, 2),
+r AS (SELECT q.source, blocks, k, row_number() OVER (PARTITION BY q.source ORDER BY k) - 1 AS rank FROM k JOIN q ON point >= low AND point < high),
+u AS (SELECT source, rank % blocks AS block_no, count(*) AS times, min(k) AS first FROM r WHERE rank < blocks * {REPEATS} GROUP BY 1, 2),
 e AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d),
 x AS (SELECT e.*, block, unnest(range(start // block, (start + size - 1) // block + 1)) AS block_no FROM e, n WHERE size > 0),
-y AS (SELECT doc_id, x.source, start, sum((least(start + size, (x.block_no + 1) * block) - greatest(start, x.block_no * block)) * times) AS taken FROM x JOIN u ON x.source IS NOT DISTINCT FROM u.source AND x.block_no = u.block_no GROUP BY 1, 2, 3),
+y AS (SELECT doc_id, x.source, start, sum((least(start + size, (x.block_no + 1) * block) - greatest(start, x.block_no * block)) * times) AS taken, min(first) AS first_slot, sum(times)::BIGINT AS n_slots FROM x JOIN u ON x.source IS NOT DISTINCT FROM u.source AND x.block_no = u.block_no GROUP BY 1, 2, 3),
 -- what the schedule's blocks lack or have over the target, word for word: places of the stream, counted over the passes, that are taken still or given back
 g AS (SELECT e.source, sum(coalesce(taken, 0))::BIGINT AS done FROM e LEFT JOIN y ON e.doc_id = y.doc_id AND e.start = y.start AND e.source IS NOT DISTINCT FROM y.source AND e.size > 0 GROUP BY 1),
 z AS (SELECT t.*, done, least(round(target)::BIGINT, source_size * {REPEATS}) AS goal FROM t JOIN g ON t.source IS NOT DISTINCT FROM g.source)
 SELECT e.doc_id, e.size, z.source_size, z.target,
- (coalesce(taken, 0) + sign(goal - done) * list_sum(list_transform(range(0, {REPEATS}), lambda i: greatest(0, least(e.start + size, greatest(done, goal) - i * source_size) - greatest(e.start, least(done, goal) - i * source_size)))))::BIGINT AS taken
+ (coalesce(taken, 0) + sign(goal - done) * list_sum(list_transform(range(0, {REPEATS}), lambda i: greatest(0, least(e.start + size, greatest(done, goal) - i * source_size) - greatest(e.start, least(done, goal) - i * source_size)))))::BIGINT AS taken, first_slot, coalesce(n_slots, 0) AS n_slots
 FROM e JOIN z ON e.source IS NOT DISTINCT FROM z.source LEFT JOIN y ON e.doc_id = y.doc_id AND e.start = y.start AND e.source IS NOT DISTINCT FROM y.source AND e.size > 0
 """
 

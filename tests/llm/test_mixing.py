@@ -52,3 +52,22 @@ def test_reruns_agree(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     key = lambda df: sorted((r["doc_id"], r["taken"]) for r in rows(df))
     assert key(mixing.mix(docs)) == key(mixing.mix(docs.repartition(7)))
+
+
+def test_the_result_comes_by_the_schedule(spark, monkeypatch):
+    """In the result, any window of slots holds each source within a few blocks of its share; another schedule gives other rows."""
+    docs = spark.range(1500).selectExpr("id as doc_id", "repeat('w ', 1024) as text", "element_at(array('a', 'b', 'c'), cast(id % 3 as int) + 1) as source")
+    found = rows(mixing.mix(docs))
+    _, target = totals(found)
+    whole = sum(target.values())
+    at = sorted((r["first_slot"], r["source"]) for r in found if r["first_slot"] is not None and r["n_slots"] == 1)
+    once = {r["source"] for r in found} - {r["source"] for r in found if r["n_slots"] > 1}
+    slots = max(s for s, _ in at) + 1
+    for low in range(0, slots - 200, 97):
+        here = Counter(s for k, s in at if low <= k < low + 200)
+        for s in once:
+            assert abs(here[s] - 200 * target[s] / whole) <= 8, (low, s, here)
+    assert once and all((r["n_slots"] > 0) == (r["first_slot"] is not None) for r in found)
+    real = mixing.schedule
+    monkeypatch.setattr(mixing, "schedule", lambda spark, goals: real(spark, goals).limit(0))
+    assert {(r["doc_id"], r["first_slot"]) for r in rows(mixing.mix(docs))} != {(r["doc_id"], r["first_slot"]) for r in found}
