@@ -86,7 +86,14 @@ q("frame_mask", lambda v: X.frame_mask(v.voxels).select("t", "z", "y", "x"), "vo
 q("cell_size", lambda v: X.cell_size(v.voxels), "voxels",
   """WITH c AS (SELECT * FROM voxels WHERE label > 0 AND (t = 0 OR t = (SELECT (max(t) + 1) // 2 FROM voxels))), s AS (SELECT t, label, row_number() OVER (PARTITION BY t ORDER BY count(*) DESC, label) AS r FROM c GROUP BY 1, 2), k AS (SELECT c.* FROM c JOIN s USING (t, label) WHERE r <= 10)
   SELECT coalesce(max(sqrt((a.z - b.z) ** 2 + (a.y - b.y) ** 2 + (a.x - b.x) ** 2)), 50) AS cell_size FROM k a JOIN k b USING (t, label)""", "cell_size")
-register("largest_component", lambda v: X.largest_component(v.voxels))
+#: All places that each foreground voxel reaches, by their first; places as one number that keeps the order of (z, y, x).
+PARTS = """SELECT * FROM (
+ WITH RECURSIVE on_ AS (SELECT t, z, y, x, (z * 1000 + y) * 1000 + x AS p FROM voxels WHERE label > 0),
+ e AS (SELECT a.t, a.p AS u, b.p AS v FROM on_ a JOIN on_ b ON a.t = b.t AND abs(a.z - b.z) + abs(a.y - b.y) + abs(a.x - b.x) = 1),
+ r AS (SELECT t, p, p AS q FROM on_ UNION SELECT r.t, e.v, r.q FROM r JOIN e ON e.t = r.t AND e.u = r.p),
+ m AS (SELECT t, p, min(q) AS part FROM r GROUP BY 1, 2), b AS (SELECT DISTINCT ON (t) t, part FROM (SELECT t, part, count(*) AS n FROM m GROUP BY 1, 2) ORDER BY t, n DESC, part)
+ SELECT on_.t, z, y, x FROM m JOIN b USING (t, part) JOIN on_ ON on_.t = m.t AND on_.p = m.p)"""
+q("largest_component", lambda v: X.largest_component(v.voxels), "voxels", PARTS)
 register("sample_boundary", lambda v: X.sample_boundary(v.voxels, 20))
 q("centre_cloud", lambda v: X.centre_cloud(v.voxels.where("label > 0").select("t", "label", *[F.col(c).cast("double").alias(c) for c in "zyx"]), ["t", "label"]), "voxels", "SELECT t, label, z - avg(z) OVER w AS z, y - avg(y) OVER w AS y, x - avg(x) OVER w AS x FROM voxels WHERE label > 0 WINDOW w AS (PARTITION BY t, label)", "z y x")
 q("box_at_point", lambda v: X.box_at_point(v.spots.select("spot_id", F.col("frame").alias("t"), (F.col("z") / 5).alias("z"), (F.col("y") / 4).alias("y"), (F.col("x") / 8).alias("x")), v.voxels, "spot_id"), "spots voxels",
@@ -112,8 +119,17 @@ PRED = "spots pred_spots"
 costs = lambda v: A.cloud_distance(v.spots, v.pred_spots, 3.0)
 q("cloud_distance", costs, PRED, COST, "cost")
 q("mutual_nearest", lambda v: A.mutual_nearest(costs(v).withColumn("cost", F.round("cost", 9))), PRED, MUTUAL, "cost")
-register("assign_tracks", lambda v: A.assign_tracks(costs(v), 1.5))
-register("hits", lambda v: A.hits(A.assign_tracks(costs(v), 1.5)))
+#: Rounds of mutual nearest pairs give what taking the cheapest free pair one at a time does.
+ONE_TO_ONE = f"""SELECT * FROM (
+ WITH RECURSIVE c AS MATERIALIZED (SELECT track_id, other_id, round(cost, 9) AS cost FROM ({COST})),
+ g AS (
+  SELECT CAST([] AS BIGINT[]) AS ua, CAST([] AS BIGINT[]) AS ub, CAST(NULL AS STRUCT(c DOUBLE, a BIGINT, b BIGINT)) AS e
+  UNION ALL
+  SELECT list_append(ua, m.a), list_append(ub, m.b), m FROM (SELECT g.ua, g.ub, (SELECT min({{'c': cost, 'a': track_id, 'b': other_id}}) FROM c WHERE NOT list_contains(g.ua, track_id) AND NOT list_contains(g.ub, other_id)) AS m FROM g) WHERE m IS NOT NULL)
+ SELECT e.a AS track_id, e.b AS other_id, e.c AS cost, e.c <= 1.5 AS matched FROM g WHERE e IS NOT NULL)"""
+rounded_costs = lambda v: costs(v).withColumn("cost", F.round("cost", 9))
+q("assign_tracks", lambda v: A.assign_tracks(rounded_costs(v), 1.5), PRED, ONE_TO_ONE, "cost")
+q("hits", lambda v: A.hits(A.assign_tracks(rounded_costs(v), 1.5)), PRED, f"SELECT count(*) FILTER (matched) AS matched, count(*) AS assigned, sum(cost) AS total_cost FROM ({ONE_TO_ONE})", "total_cost")
 ends = lambda s: s.groupBy("track_id").agg(F.min("frame").alias("start"), F.max("frame").alias("stop"))
 q("complete_tracks", lambda v: A.complete_tracks(A.mutual_nearest(costs(v)), ends(v.spots), ends(v.pred_spots)), PRED,
   f"WITH a AS (SELECT track_id, min(frame) AS s, max(frame) AS e FROM spots GROUP BY 1), b AS (SELECT track_id AS other_id, min(frame) AS s, max(frame) AS e FROM pred_spots GROUP BY 1) SELECT CAST(2 * (SELECT count(*) FROM ({MUTUAL}) JOIN a USING (track_id) JOIN b USING (other_id) WHERE a.s = b.s AND a.e = b.e) AS DOUBLE) / ((SELECT count(*) FROM a) + (SELECT count(*) FROM b)) AS complete", "complete")

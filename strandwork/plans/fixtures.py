@@ -55,8 +55,14 @@ class Views:
             text = text.replace(f"FROM {n} ", f"FROM {{{n}}} ").replace(f"JOIN {n} ", f"JOIN {{{n}}} ").replace(f"FROM {n})", f"FROM {{{n}}})")
         return self.spark.sql(text, **frames)
 
-    spots = cached_property(lambda self: self._view("spots"))
-    edges = cached_property(lambda self: self._view("edges"))
+    def _written(self, name: str) -> DataFrame:
+        """A view that others read several times, as a table."""
+        from ..operators import lineage
+
+        return lineage.saved(self._view(name), name)
+
+    spots = cached_property(lambda self: self._written("spots"))
+    edges = cached_property(lambda self: self._written("edges"))
     pred_spots = cached_property(lambda self: self._view("pred_spots"))
     pred_edges = cached_property(lambda self: self._view("pred_edges"))
     detections = cached_property(lambda self: self._view("detections"))
