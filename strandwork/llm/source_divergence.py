@@ -12,7 +12,7 @@ from ..operators.lineage import shared_folder
 from .common import ascii_lower, cut
 
 #: What lies between terms: ASCII other than letters. A term's language stands before it, with this character between, which no term has.
-BETWEEN, MARK = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+", "\0"
+BETWEEN, MARK, APART = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+", "\0", "\1"
 #: Documents of its language that a kept term is in; terms that rank in the report of a group.
 MIN_DOCS, TOP = 10, 10
 #: Kept terms that one vocabulary holds on the driver and in each executor (some 100 bytes each); more go to further vocabularies.
@@ -32,10 +32,15 @@ def apart(p: Column, q: Column) -> Column:
     return F.expr(f"(({p} - {q}) * ({p} - {q})) div ({p} + {q})")
 
 
-def terms(text: Column) -> Column:
-    """Runs of letters and of what is beyond ASCII, only A-Z lower-cased: by lower() where it does no more than that, in texts and words that are ASCII throughout."""
+def terms(text: Column, lang: Column) -> Column:
+    """Runs of letters and of what is beyond ASCII, only A-Z lower-cased, each after its language in hex digits and the MARK.
+
+    One replacement puts language and MARK in the place of what lies between terms, one split takes the text apart. lower() is
+    used where it does no more than ASCII needs, in texts and words that are ASCII throughout.
+    """
     plain = lambda x: F.octet_length(x) == F.length(x)
-    words = lambda x: F.array_remove(F.split(x, BETWEEN), "")
+    before = F.concat(F.lower(F.hex(lang)), F.lit(MARK))
+    words = lambda x: F.array_remove(F.array_remove(F.split(F.regexp_replace(F.concat(F.lit(" "), x), F.lit(BETWEEN), F.concat(F.lit(APART), before)), APART), before), "")
     return F.when(plain(text), words(F.lower(text))).otherwise(F.transform(words(text), lambda w: F.when(plain(w), F.lower(w)).otherwise(ascii_lower(w))))
 
 
@@ -107,7 +112,7 @@ def divergence(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     some = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = docs.select(some(lang).alias("lang"), some(source).alias("source"), some(text).alias("text"))
     groups, seed = keyed_groups(rows)
-    found = group_sums(cut(rows.select(group_key(seed).alias("g"), F.transform(terms(F.col("text")), lambda w: F.concat("lang", F.lit(MARK), w)).alias("words")), "bags"), min_docs, max_terms)
+    found = group_sums(rows.select(group_key(seed).alias("g"), terms(F.col("text"), F.col("lang")).alias("words")), min_docs, max_terms)
     if found is None:
         found = (docs.sparkSession.createDataFrame([], x) for x in ("g long, t long, n long", "t long, word string"))
     counts, words = found
