@@ -220,6 +220,9 @@ def encoded(batches: Iterator[pa.RecordBatch], v: Vocabulary) -> Iterator[tuple[
         pieces = pa.ListArray.from_arrays(pa.array(to[ends]), by_word.flatten())
         spelled = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), pa.array(memory.decoded(words), pa.string()).take(coded.indices)), "")
         yield batch.column(0), pieces, pc.utf8_slice_codeunits(spelled, 1)
+    # The worker waits for its next task with what it holds now: it gives back what Arrow keeps for later.
+    del memory
+    pa.default_memory_pool().release_unused()
 
 
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str = MODEL) -> DataFrame:
