@@ -116,29 +116,38 @@ def _spanning(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> pd.DataF
     return out[out["a"] != out["b"]]
 
 
-def in_balls(rows: DataFrame, by: Sequence[str], limit: float, size: int | None = None) -> DataFrame:
-    """rows (by, id, vector, at) as (by, ball, home, id, vector, at): each row in its own ball, and in those that may hold a row within limit of it.
+def homes(rows: DataFrame, by: Sequence[str], carry: Sequence[str] = (), size: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """rows (by, id, at, carry) as (by, ball, id, at, carry, d), each in the ball of its nearest pivot, and the balls (by, ball, id, at: the pivot, radius, n).
 
-    `at` is the vector by which rows are near, in euclidean distance. A group's pivots are about the square root of its rows, drawn
-    by a hash (one, where a block holds the group); a row's home is its nearest pivot's ball. By the triangle inequality only a ball whose pivot is no further
-    than its radius plus limit can hold a row within limit; of two balls, rows of the one with the smaller pivot visit the other. So near
-    rows meet in one ball, and rows of far balls never do.
+    A group's pivots are about the square root of its rows, drawn by a hash (one, where a block holds the group).
     """
     size, kinds = size or blocks.BLOCK, dict(rows.dtypes)
     n = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.min(F.struct(F.xxhash64("id"), "id", "at")).alias("_one"))
     wanted = F.when(F.col("_n") <= size, F.lit(0)).otherwise(F.ceil(F.sqrt("_n")))
     drawn = rows.join(n.select(*by, "_n"), list(by)).where(F.pmod(F.xxhash64(F.lit(7), "id"), F.col("_n")) < wanted).select(*by, "id", "at")
     pivots = saved(drawn.unionByName(n.select(*by, "_one.id", "_one.at")).dropDuplicates([*by, "id"]).withColumnRenamed("id", "ball"), "pivots").withColumn("id", F.col("ball"))
-    group = ", ".join(f"{c} {kinds[c]}" for c in by)
 
     def home(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         d = matrix(x["at"], y["at"])
         k = d.argmin(axis=1)
         return x.assign(ball=y["ball"].to_numpy()[k], d=d[np.arange(len(x)), k])
 
-    mine = in_blocks(rows, pivots, by, home, f"{group}, id {kinds['id']}, vector array<double>, at array<double>, ball {kinds['id']}, d double".lstrip(", "))
-    mine = saved(mine.groupBy(*by, "id").agg(F.min_by(F.struct("vector", "at", "ball", "d"), F.struct("d", "ball")).alias("h")).select(*by, "id", "h.*"), "homes")
-    wide = pivots.join(mine.groupBy(*by, "ball").agg(F.max("d").alias("radius")), [*by, "ball"])
+    fields = [*by, "id", "at", *carry]
+    schema = ", ".join(f"{c} {kinds[c]}" for c in fields)
+    mine = in_blocks(rows.select(*fields), pivots, by, home, f"{schema}, ball {kinds['id']}, d double")
+    mine = saved(mine.groupBy(*by, "id").agg(F.min_by(F.struct("at", *carry, "ball", "d"), F.struct("d", "ball")).alias("h")).select(*by, "id", "h.*"), "homes")
+    return mine, pivots.join(mine.groupBy(*by, "ball").agg(F.max("d").alias("radius"), F.count("*").alias("n")), [*by, "ball"])
+
+
+def in_balls(rows: DataFrame, by: Sequence[str], limit: float, size: int | None = None) -> DataFrame:
+    """rows (by, id, vector, at) as (by, ball, home, id, vector, at): each row in its own ball, and in those that may hold a row within limit of it.
+
+    `at` is the vector by which rows are near, in euclidean distance. By the triangle inequality only a ball whose pivot is no further
+    than its radius plus limit can hold a row within limit; of two balls, rows of the one with the smaller pivot visit the other. So near
+    rows meet in one ball, and rows of far balls never do.
+    """
+    kinds = dict(rows.dtypes)
+    mine, wide = homes(rows, by, ["vector"], size)
 
     def visits(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         d, reach = matrix(x["at"], y["at"]), (y["radius"].to_numpy() + limit) * (1 + 1e-9) + 1e-12
@@ -146,10 +155,38 @@ def in_balls(rows: DataFrame, by: Sequence[str], limit: float, size: int | None
         out = x.iloc[u].reset_index(drop=True)
         return out.assign(ball=y["ball"].to_numpy()[v], home=False)
 
-    other = in_blocks(mine.drop("d"), wide, by, visits, f"{group}, ball {kinds['id']}, home boolean, id {kinds['id']}, vector array<double>, at array<double>".lstrip(", "))
+    group = "".join(f"{c} {kinds[c]}, " for c in by)
+    other = in_blocks(mine.drop("d"), wide, by, visits, f"{group}ball {kinds['id']}, home boolean, id {kinds['id']}, vector array<double>, at array<double>")
     return saved(other.unionByName(mine.select(*by, "ball", F.lit(True).alias("home"), "id", "vector", "at")), "balls")
 
 
+def near_pairs(vectors: DataFrame, by: Sequence[str], limit: float, metric: str = "euclidean") -> DataFrame:
+    """(by, a, b, distance) of the pairs a < b within a group that are closer than limit, by balls: the pairs of far balls are never compared.
+
+    metric is euclidean or cosine. A vector without length is at cosine distance 0 from all of its group, so it pairs with each. Null vectors pair with nothing.
+    """
+    rows = vectors.where("vector is not null").select(*by, F.lit(0).alias("_all"), "id", "vector")
+    kinds, at, empty, inner = dict(rows.dtypes), F.col("vector"), None, [*by, "_all"]
+    if metric == "cosine":
+        rows = rows.withColumn("_length", F.sqrt(_dot(F.col("vector"), F.col("vector"))))
+        hubs = rows.where("_length = 0").select(*inner, F.col("id").alias("_hub"))
+        with_hub = hubs.join(rows.select(*inner, "id", "_length"), inner).where("(_length > 0 and id <> _hub) or _hub < id")
+        empty = with_hub.select(*by, F.least("id", "_hub").alias("a"), F.greatest("id", "_hub").alias("b"), F.lit(0.0).alias("distance")) if limit > 0 else None
+        rows, at = rows.where("_length > 0"), F.transform("vector", lambda x: x / F.col("_length"))
+    placed = in_balls(rows.select(*inner, "id", "vector", at.alias("at")), inner, math.sqrt(2 * max(limit, 0.0)) if metric == "cosine" else limit)
+
+    def pairs(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        d, left, right = matrix(x["vector"], y["vector"], metric), x["id"].to_numpy(), y["id"].to_numpy()
+        u, v = np.nonzero((d < limit) & np.where(x["home"].to_numpy()[:, None], left[:, None] < right[None, :], left[:, None] != right[None, :]))
+        a, b = left[u], right[v]
+        out = pd.DataFrame({c: [x[c].iloc[0]] * len(u) for c in by})
+        return out.assign(a=np.where(a < b, a, b), b=np.where(a < b, b, a), distance=d[u, v])
+
+    group = "".join(f"{c} {kinds[c]}, " for c in by)
+    found = in_blocks(placed.drop("at"), placed.where("home").drop("at", "home"), [*inner, "ball"], pairs, f"{group}a {kinds['id']}, b {kinds['id']}, distance double")
+    return found if empty is None else found.unionByName(empty)
+
+
 def threshold_clusters(vectors: DataFrame, by: Sequence[str], limit: float, metric: str | Metric = "euclidean") -> DataFrame:
     """(id, cluster): components of pairs closer than limit: the single-linkage tree cut at that distance.
 
@@ -312,27 +349,53 @@ def three_view_clusters(views: dict[str, DataFrame], k: int, metric: str = "eucl
     return out
 
 
-def classify_knn(rows: DataFrame, labelled: DataFrame, k: int, by: Sequence[str] = (), label: str = "label", metric: str | Metric = "euclidean") -> DataFrame:
-    """(id, label): the commonest label among the k nearest labelled vectors of the same group (without by: of all); ties by the smaller label.
+def nearest_vectors(rows: DataFrame, labelled: DataFrame, k: int, by: Sequence[str] = (), label: str = "label", metric: str | Metric = "euclidean") -> DataFrame:
+    """(id, other, label, d): the k nearest labelled vectors of the same group (without by: of all) of each row, itself left out; ties by the smaller id.
 
-    Pairs of blocks are compared as matrices; each row keeps its k best of each block (ties by the smaller id), then its k best of those.
+    Labelled vectors lie in balls. All of a ball is within its pivot's distance plus its radius, none of it nearer than that distance less the radius; so the balls that
+    come first by the former until k + 1 are in them tell how far a row has to look, and it meets only balls that begin within. Balls are compared as matrices; each row
+    keeps its k best of each ball, then its k best of those. A user's metric, which need not keep the triangle inequality, meets all blocks.
     """
+    group = [*by, "_all"]
     a = rows.select(*by, F.lit(0).alias("_all"), "id", "vector")
-    b = labelled.select(*by, F.lit(0).alias("_all"), "id", "vector", F.col(label).alias("label"))
+    b = labelled.select(*by, F.lit(0).alias("_all"), "id", F.col("vector").alias("at"), F.col(label).alias("label"))
+    kind, other = dict(a.dtypes), dict(b.dtypes)
+    keys = "".join(f"{c} {kind[c]}, " for c in group)
 
     def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         y = y.sort_values("id")
-        d = matrix(x["vector"], y["vector"], metric)
+        d = matrix(x["vector"], y["at"], metric)
         d[x["id"].to_numpy()[:, None] == y["id"].to_numpy()[None, :]] = np.inf
         at = np.argsort(d, axis=1, kind="stable")[:, :k]
         row = np.repeat(np.arange(len(x)), at.shape[1])
         out = pd.DataFrame({"id": x["id"].to_numpy()[row], "other": y["id"].to_numpy()[at.ravel()], "label": y["label"].to_numpy()[at.ravel()], "d": d[row, at.ravel()]})
         return out[np.isfinite(out["d"])]
 
-    kinds = dict(b.dtypes)
-    near = in_blocks(a, b, [*by, "_all"], best, f"id {dict(a.dtypes)['id']}, other {kinds['id']}, label {kinds['label']}, d double")
-    near = near.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("d", "other"))).where(F.col("_r") <= k)
-    votes = near.groupBy("id", "label").agg(F.count("*").alias("n"))
+    def visits(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        d, r = matrix(x["vector"], y["at"]), y["radius"].to_numpy()[None, :]
+        far, near = (d + r) * (1 + 1e-9) + 1e-12, np.maximum((d - r) * (1 - 1e-9) - 1e-12, 0.0)
+        order = np.argsort(far, axis=1)
+        held = np.cumsum(y["n"].to_numpy()[order], axis=1)
+        enough = np.where(held >= k + 1, np.take_along_axis(far, order, axis=1), np.inf).min(axis=1)
+        u, v = np.nonzero(near <= enough[:, None])
+        out = x.iloc[u].reset_index(drop=True)
+        return out.assign(ball=y["ball"].to_numpy()[v], near=near[u, v], enough=enough[u])
+
+    result = f"id {kind['id']}, other {other['id']}, label {other['label']}, d double"
+    if callable(metric):
+        met = in_blocks(a, b, group, best, result)
+    else:
+        mine, wide = homes(b, group, ["label"])
+        asked = in_blocks(a, wide, group, visits, f"{keys}id {kind['id']}, vector array<double>, ball {other['id']}, near double, enough double")
+        least = F.min("enough").over(Window.partitionBy(*group, "id"))  # pivots come in blocks too
+        asked = saved(asked.withColumn("_least", least).where("near <= _least").select(*group, "id", "vector", "ball"), "asked")
+        met = in_blocks(asked, mine.select(*group, "ball", "id", "at", "label"), [*group, "ball"], best, result)
+    return met.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("d", "other"))).where(F.col("_r") <= k).drop("_r")
+
+
+def classify_knn(rows: DataFrame, labelled: DataFrame, k: int, by: Sequence[str] = (), label: str = "label", metric: str | Metric = "euclidean") -> DataFrame:
+    """(id, label): the commonest label among the k nearest labelled vectors (nearest_vectors()); ties by the smaller label."""
+    votes = nearest_vectors(rows, labelled, k, by, label, metric).groupBy("id", "label").agg(F.count("*").alias("n"))
     return votes.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "label"))).where("_r = 1").select("id", F.col("label").alias(label))
 
 

@@ -88,3 +88,8 @@ for metric, distance in (("squared", f"({DIST}) ** 2"), ("cosine", f"coalesce({C
 register("threshold_clusters_euclidean", lambda v: C.threshold_clusters(vectors(v), ["label"], 0.6), "",
          f"""SELECT id, cluster FROM (WITH RECURSIVE e AS (SELECT a.id AS a, b.id AS b FROM {VEC} a JOIN {VEC} b ON a.label = b.label AND a.id <> b.id AND {DIST} < 0.6), r AS (SELECT id, id AS c FROM {VEC} UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id)
          SELECT id, min(c) AS cluster FROM r GROUP BY 1)""")
+for metric, distance, limit in (("euclidean", DIST, 0.9), ("cosine", f"coalesce({COS}, 0)", 0.4)):
+    register(f"near_pairs_{metric}", lambda v, m=metric, d=limit: C.near_pairs(vectors(v), ["label"], d, m), "",
+             f"SELECT * FROM (SELECT a.label, a.id AS a, b.id AS b, {distance} AS distance FROM {VEC} a JOIN {VEC} b ON a.label = b.label AND a.id < b.id) WHERE distance < {limit}", "distance")
+register("nearest_vectors", lambda v: C.nearest_vectors(vectors(v), vectors(v).where("id % 3 = 0"), 3).select("id", "other", "label", "d"), "",
+         f"SELECT id, other, label, d FROM (SELECT a.id, b.id AS other, b.label, {DIST} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {DIST}, b.id) AS k FROM {VEC} a JOIN {VEC} b ON a.id <> b.id AND b.id % 3 = 0) WHERE k <= 3", "d")

@@ -149,3 +149,32 @@ def test_silhouettes(spark, monkeypatch, metric, size, far):
     d = d ** 2 if metric == "squared" else d
     got = cluster.silhouette(table(spark, x, labels), metric, "label").first()[0]
     assert abs(got - plain_silhouette(d, labels)) < 1e-6
+
+
+@pytest.mark.parametrize("metric,limit", [("euclidean", 1.2), ("cosine", 0.05)])
+def test_near_pairs(spark, monkeypatch, metric, limit):
+    """Over many balls: the pairs closer than limit, each once, with vectors without length and copies."""
+    monkeypatch.setattr(blocks, "BLOCK", 16)
+    rng = np.random.default_rng(9)
+    x = np.concatenate((rng.standard_normal((70, 3)) * 2, np.ones((8, 3)), np.zeros((2, 3))))
+    groups = [i % 2 for i in range(80)]
+    s = pd.Series(list(x))
+    d = cluster.matrix(s, s, metric)
+    got = cluster.near_pairs(table(spark, x, groups), ["label"], limit, metric).collect()
+    want = {(groups[i], i, j): d[i, j] for i in range(80) for j in range(i + 1, 80) if groups[i] == groups[j] and d[i, j] < limit}
+    assert len(got) == len(want) and {(r.label, r.a, r.b) for r in got} == set(want)
+    assert np.allclose([r.distance for r in got], [want[r.label, r.a, r.b] for r in got])
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "user"])
+@pytest.mark.parametrize("k", [1, 5, 200])
+def test_nearest_vectors(spark, monkeypatch, k, metric):
+    monkeypatch.setattr(blocks, "BLOCK", 16)
+    rng = np.random.default_rng(10)
+    x = np.concatenate((rng.standard_normal((60, 3)), rng.standard_normal((60, 3)) + 15, np.ones((6, 3))))
+    df = table(spark, x, [i % 3 for i in range(126)])
+    got = cluster.nearest_vectors(df, df.where("id % 2 = 0"), k, metric=metric if metric == "euclidean" else (lambda u, v: cluster.matrix(pd.Series(list(u)), pd.Series(list(v))))).collect()
+    s = pd.Series(list(x))
+    d = cluster.matrix(s, s)
+    want = {(i, j): d[i, j] for i in range(126) for _, j in sorted((round(d[i, j], 12), j) for j in range(0, 126, 2) if j != i)[:k]}
+    assert len(got) == len(want) and {(r.id, r.other) for r in got} == set(want)
