@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.lineage import shared_folder
 from .common import ascii_lower, cut
 
-#: What lies between terms: ASCII other than letters. A term's language stands before it, with this character between, which no term has.
-BETWEEN, MARK, APART = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+", "\0", "\1"
+#: What lies between terms: ASCII other than letters. Where languages share a vocabulary, a term's stands before it, with this character between, which no term has.
+BETWEEN, MARK = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+", "\0"
+#: Languages that have a vocabulary of their own, those with the most documents; each reads the texts twice.
+OWN = 24
 #: Documents of its language that a kept term is in; terms that rank in the report of a group.
 MIN_DOCS, TOP = 10, 10
 #: Kept terms that one vocabulary holds on the driver and in each executor (some 100 bytes each); more go to further vocabularies.
@@ -32,16 +34,10 @@ def apart(p: Column, q: Column) -> Column:
     return F.expr(f"(({p} - {q}) * ({p} - {q})) div ({p} + {q})")
 
 
-def terms(text: Column, lang: Column) -> Column:
-    """Runs of letters and of what is beyond ASCII, only A-Z lower-cased, each after its language in hex digits and the MARK.
-
-    One replacement puts language and MARK in the place of what lies between terms, one split takes the text apart. lower() is
-    used where it does no more than ASCII needs, in texts and words that are ASCII throughout.
-    """
-    plain = lambda x: F.octet_length(x) == F.length(x)
-    before = F.concat(F.lower(F.hex(lang)), F.lit(MARK))
-    words = lambda x: F.array_remove(F.array_remove(F.split(F.regexp_replace(F.concat(F.lit(" "), x), F.lit(BETWEEN), F.concat(F.lit(APART), before)), APART), before), "")
-    return F.when(plain(text), words(F.lower(text))).otherwise(F.transform(words(text), lambda w: F.when(plain(w), F.lower(w)).otherwise(ascii_lower(w))))
+def terms(text: Column) -> Column:
+    """Runs of letters and of what is beyond ASCII, only A-Z lower-cased: by lower() in texts where it does no more, which hold no other letter that it knows."""
+    plain = (F.octet_length(text) == F.length(text)) | ~text.rlike(r"[\p{IsUppercase}\p{Lt}\p{Cn}&&[^A-Z]]")  # Cn: lower() may know more letters than the pattern does
+    return F.array_remove(F.split(F.when(plain, F.lower(text)).otherwise(ascii_lower(text)), BETWEEN), "")
 
 
 def keyed_groups(rows: DataFrame) -> tuple[DataFrame, int]:
@@ -58,46 +54,62 @@ def group_key(seed: int) -> Column:
     return F.xxhash64(F.lit(seed), "lang", "source")
 
 
-def group_sums(rows: DataFrame, min_docs: int = MIN_DOCS, max_terms: int = MAX_TERMS) -> tuple[DataFrame, DataFrame] | None:
-    """rows (g, words) as (g, t, n): occurrences of each kept term in each group that has it, and (t, word); None if no term is kept.
+def learned(rows: DataFrame, min_docs: int, max_terms: int) -> list[tuple[CountVectorizerModel, list[str], DataFrame]]:
+    """Models of all words in at least min_docs rows (g, words), each with its vocabulary and the rows with its share of the words.
 
-    CountVectorizer learns the terms with minDF; languages lie side by side in it, as each word carries its own, so minDF
-    counts documents of that language. Its vectors are the exact counts of a document; they are written, and their
-    entries added up by group, sparse as they are: no group is ever a dense vector. A vocabulary that reaches max_terms
-    is not taken: words are dealt by their hash to twice as many vocabularies until each holds all its terms.
+    A vocabulary that reaches max_terms is not taken: words are dealt by their hash to twice as many vocabularies until each
+    holds all its terms.
     """
-    spark, parts = rows.sparkSession, 1
+    parts = 1
     while True:
         models = []
         for k in range(parts):
             mine = rows if parts == 1 else rows.withColumn("words", F.filter("words", lambda w: F.pmod(F.xxhash64(w), F.lit(parts)) == k))  # noqa: B023
             learn = CountVectorizer(inputCol="words", outputCol="counts", minDF=float(min_docs), vocabSize=min(max_terms, 2**31 - 1))
             # Words that no text has keep the vocabulary from being empty.
-            more = spark.range(min_docs).select(F.array(F.lit("")).alias("words"))
-            model = learn.fit(mine.select("words").unionByName(more))
-            if len(model.vocabulary) >= max_terms:
+            model = learn.fit(mine.select("words").unionByName(rows.sparkSession.range(min_docs).select(F.array(F.lit("")).alias("words"))))
+            words = model.vocabulary
+            if len(words) >= max_terms:
                 break
-            models.append((k, model, mine))
+            models.append((model, words, mine))
         if len(models) == parts:
-            break
+            return models
         parts *= 2
-    sums = words = None
-    for k, model, mine in models:
-        if model.vocabulary == [""]:
+
+
+def group_sums(rows: DataFrame, min_docs: int = MIN_DOCS, max_terms: int = MAX_TERMS, own: int = OWN) -> tuple[DataFrame, DataFrame] | None:
+    """rows (g, lang, text) as (g, t, n): occurrences of each kept term in each group that has it, and (t, term); None if no term is kept.
+
+    A CountVectorizer per language learns its terms with minDF. That goes for the `own` languages with the most documents; the
+    others lie side by side in one more, where each word carries its language, so that minDF still counts documents of that
+    language only. The vectors are the exact counts of a document; they are written, and their entries added up by
+    group, sparse as they are: no group is ever a dense vector. A language with fewer than min_docs documents keeps no term.
+    """
+    spark = rows.sparkSession
+    many = rows.groupBy("lang").count().where(F.col("count") >= min_docs)
+    langs = [r.lang for r in many.orderBy(F.desc("count"), "lang").limit(own).collect()]
+    parts = [rows.where(F.col("lang") == x).select("g", terms(F.col("text")).alias("words")) for x in langs]
+    if len(langs) == own:
+        others = rows.where(~F.col("lang").isin(langs)) if langs else rows
+        parts.append(others.select("g", F.transform(terms(F.col("text")), lambda w: F.concat(F.hex("lang"), F.lit(MARK), w)).alias("words")))
+    sums = named = None
+    for k, (model, words, mine) in enumerate(m for part in parts for m in learned(part, min_docs, max_terms)):
+        if words == [""]:
             continue
         path = f"{shared_folder(spark)}/strandwork/vocabulary-{uuid.uuid4().hex}"
         number = lambda i: (F.lit(k << 32) + F.col(i)).alias("t")  # noqa: B023, E731
-        spark.createDataFrame([(model.vocabulary,)], "words array<string>").select(F.posexplode("words").alias("i", "word")).select(number("i"), "word").where("word <> ''").write.parquet(path)
+        listed = spark.createDataFrame([(words,)], "words array<string>").select(F.posexplode("words").alias("i", "word"))
+        listed.where("word <> ''").select(number("i"), F.substring_index("word", MARK, -1).alias("term")).write.parquet(path)
         vectors = cut(model.transform(mine).select("g", "counts"), "vectors")
         # The files hold a sparse vector as the struct that it is.
         vectors = spark.read.schema("g long, counts struct<type:tinyint, size:int, indices:array<int>, values:array<double>>").parquet(*vectors.inputFiles())
         entries = vectors.select("g", F.explode(F.arrays_zip("counts.indices", "counts.values")).alias("e"))
         one = entries.groupBy("g", number("e.indices")).agg(F.sum("e.values").cast("long").alias("n"))
-        sums, words = (one, spark.read.parquet(path)) if sums is None else (sums.unionByName(one), words.unionByName(spark.read.parquet(path)))
-    return None if sums is None else (cut(sums, "sums"), words)
+        sums, named = (one, spark.read.parquet(path)) if sums is None else (sums.unionByName(one), named.unionByName(spark.read.parquet(path)))
+    return None if sums is None else (cut(sums, "sums"), named)
 
 
-def divergence(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = MIN_DOCS, top: int = TOP, max_terms: int = MAX_TERMS) -> DataFrame:
+def divergence(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = MIN_DOCS, top: int = TOP, max_terms: int = MAX_TERMS, own: int = OWN) -> DataFrame:
     """(lang, source, part, item, value, rank): the divergence of each group (language and source) from each other group of its language, and its own words.
 
     A group's share of a term is 1 + floor(10^9 (count + 2) / (all its counts + 2 terms)). Part `pair`: item is the other
@@ -112,11 +124,10 @@ def divergence(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     some = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = docs.select(some(lang).alias("lang"), some(source).alias("source"), some(text).alias("text"))
     groups, seed = keyed_groups(rows)
-    found = group_sums(rows.select(group_key(seed).alias("g"), terms(F.col("text"), F.col("lang")).alias("words")), min_docs, max_terms)
+    found = group_sums(rows.select(group_key(seed).alias("g"), "lang", "text"), min_docs, max_terms, own)
     if found is None:
-        found = (docs.sparkSession.createDataFrame([], x) for x in ("g long, t long, n long", "t long, word string"))
+        found = (docs.sparkSession.createDataFrame([], x) for x in ("g long, t long, n long", "t long, term string"))
     counts, words = found
-    words = words.select("t", F.substring_index("word", MARK, -1).alias("term"))
     held = counts.groupBy("g").agg(F.sum("n").alias("own_n"), F.count("*").alias("k"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     sizes = cut(groups.join(held, "g", "left").select("lang", "source", "g", zero("own_n"), zero("k")), "groups")

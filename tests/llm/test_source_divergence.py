@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from strandwork.llm import source_divergence as S
 
@@ -51,7 +52,22 @@ def test_whole_query(spark, where, request):
 def test_vocabularies_in_parts(spark, sf):
     """More kept terms than one vocabulary may hold give the same rows."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("text", "lang", "source")
-    assert found(S.divergence(docs, max_terms=100)) == found(S.divergence(docs))
+    assert found(S.divergence(docs, max_terms=400)) == found(S.divergence(docs))
+
+
+@pytest.mark.parametrize("own", [0, 1])
+def test_languages_side_by_side(spark, sf, own):
+    """Languages that share a vocabulary give the same rows as those with one of their own."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("text", "lang", "source")
+    assert found(S.divergence(docs, own=own)) == found(S.divergence(docs))
+
+
+def test_only_ascii_is_lowered(spark):
+    """Every code point beyond ASCII stays as it is, in texts with A-Z and without, by either way of lowering."""
+    points = [chr(c) for c in range(128, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(points[i : i + 512]) for i in range(0, len(points), 512)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1 - i, p) for i, p in enumerate(points) if p.lower() != p or p.upper() != p], "i long, text string")
+    assert df.where((F.array_join(S.terms(F.concat(F.lit("Aß"), "text", F.lit("Z"))), "|") != F.concat(F.lit("aß"), "text", F.lit("z")))).count() == 0
 
 
 def test_odd_texts(spark, odd_docs):
