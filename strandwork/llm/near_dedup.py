@@ -147,7 +147,9 @@ def linked(docs: DataFrame, percent: int, n: int, doc_id: str, text: str) -> tup
     p = least + (1 - least) * 2.0**-BITS
     margin = SIGMAS * (p * (1 - p) / HASHES) ** 0.5 / (1 - 2.0**-BITS)
     near = cut(pairs.join(sig_u, "u").join(sig_v, "v").where(estimate(F.col("sig_u"), F.col("sig_v")) >= least - margin).select("u", "v"), "pairs")
-    groups = cut(members.where(F.col("members") > SMALL).select("pivot", "nid").distinct(), "groups")
+    # The members of a pivot are dealt to slices of about BLOCK; a pivot has as many as the largest of its buckets needs.
+    slices = F.ceil(F.max("members") / BLOCK).cast("int")
+    groups = cut(members.where(F.col("members") > SMALL).groupBy("pivot", "nid").agg(slices.alias("slices")), "groups")
 
     # Whole sets of the nodes that are in question, made again from one of each node's texts.
     asked = near.select(F.col("u").alias("nid")).union(near.select("v")).union(groups.select("nid")).distinct()
@@ -161,7 +163,10 @@ def linked(docs: DataFrame, percent: int, n: int, doc_id: str, text: str) -> tup
     links = confirmed(near.join(set_u, "u").join(set_v, "v"))
 
     # Large buckets: each member against the pivot first; those that it does not link to, against all, block by block.
-    star = cut(confirmed(groups.where("pivot <> nid").select(F.col("nid").alias("u"), F.col("pivot").alias("v")).join(set_u, "u").join(set_v, "v")), "stars")
+    dealt_out = F.pmod(F.xxhash64(F.lit("slice"), "nid"), F.col("slices")).cast("int").alias("slice")
+    spokes = groups.where("pivot <> nid").select(F.col("nid").alias("u"), F.col("pivot").alias("v"), dealt_out).join(set_u, "u")
+    hubs = groups.groupBy(F.col("pivot").alias("v")).agg(F.max("slices").alias("slices")).join(set_v, "v").select("v", "sh_v", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    star = cut(confirmed(spokes.join(hubs, ["v", "slice"])), "stars")
     rest = cut(groups.where("pivot <> nid").join(star.select(F.col("v").alias("pivot"), F.col("u").alias("nid")), ["pivot", "nid"], "left_anti"), "rest")
     parts = lambda df, name: df.groupBy("pivot").agg(F.ceil(F.count("nid") / BLOCK).cast("int").alias(name))
     dealt = parts(groups, "all_blocks").join(parts(rest, "rest_blocks"), "pivot")
