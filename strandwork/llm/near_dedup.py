@@ -149,7 +149,8 @@ def linked(docs: DataFrame, percent: int, n: int, doc_id: str, text: str) -> tup
     near = cut(pairs.join(sig_u, "u").join(sig_v, "v").where(estimate(F.col("sig_u"), F.col("sig_v")) >= least - margin).select("u", "v"), "pairs")
     # The members of a pivot are dealt to slices of about BLOCK; a pivot has as many as the largest of its buckets needs.
     slices = F.ceil(F.max("members") / BLOCK).cast("int")
-    groups = cut(members.where(F.col("members") > SMALL).groupBy("pivot", "nid").agg(slices.alias("slices")), "groups")
+    groups = members.where(F.col("members") > SMALL).groupBy("pivot", "nid").agg(slices.alias("slices"))
+    groups = cut(groups.withColumn("slice", F.pmod(F.xxhash64(F.lit("slice"), "nid"), F.col("slices")).cast("int")), "groups")
 
     # Whole sets of the nodes that are in question, made again from one of each node's texts.
     asked = near.select(F.col("u").alias("nid")).union(near.select("v")).union(groups.select("nid")).distinct()
@@ -163,17 +164,17 @@ def linked(docs: DataFrame, percent: int, n: int, doc_id: str, text: str) -> tup
     links = confirmed(near.join(set_u, "u").join(set_v, "v"))
 
     # Large buckets: each member against the pivot first; those that it does not link to, against all, block by block.
-    dealt_out = F.pmod(F.xxhash64(F.lit("slice"), "nid"), F.col("slices")).cast("int").alias("slice")
-    spokes = groups.where("pivot <> nid").select(F.col("nid").alias("u"), F.col("pivot").alias("v"), dealt_out).join(set_u, "u")
-    hubs = groups.groupBy(F.col("pivot").alias("v")).agg(F.max("slices").alias("slices")).join(set_v, "v").select("v", "sh_v", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    most = cut(groups.groupBy("pivot").agg(F.max("slices").alias("slices"), F.ceil(F.count("nid") / BLOCK).cast("int").alias("all_blocks")), "pivots")
+    spokes = groups.where("pivot <> nid").select(F.col("nid").alias("u"), F.col("pivot").alias("v"), "slice").join(set_u, "u")
+    hubs = most.select(F.col("pivot").alias("v"), "slices").join(set_v, "v").select("v", "sh_v", each("slices").alias("slice"))
     star = cut(confirmed(spokes.join(hubs, ["v", "slice"])), "stars")
     rest = cut(groups.where("pivot <> nid").join(star.select(F.col("v").alias("pivot"), F.col("u").alias("nid")), ["pivot", "nid"], "left_anti"), "rest")
-    parts = lambda df, name: df.groupBy("pivot").agg(F.ceil(F.count("nid") / BLOCK).cast("int").alias(name))
-    dealt = parts(groups, "all_blocks").join(parts(rest, "rest_blocks"), "pivot")
+    left = rest.groupBy("pivot").agg(F.ceil(F.count("nid") / BLOCK).cast("int").alias("rest_blocks"))
+    dealt = most.join(left, "pivot").select("pivot", "all_blocks", "rest_blocks", each("slices").alias("slice"))
     block = lambda c: F.pmod(F.xxhash64(F.lit(c), "nid"), F.col(c)).cast("int")
-    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    one = rest.join(dealt, "pivot").select("pivot", "nid", block("rest_blocks").alias("low"), each("all_blocks").alias("high")).join(whole, "nid")
-    other = groups.join(dealt, "pivot").select(F.col("pivot").alias("o_pivot"), "nid", each("rest_blocks").alias("o_low"), block("all_blocks").alias("o_high")).join(whole, "nid").withColumnsRenamed({"nid": "o_nid", "sh": "o_sh"})
+    one = rest.join(dealt, ["pivot", "slice"]).select("pivot", "nid", block("rest_blocks").alias("low"), each("all_blocks").alias("high")).join(whole, "nid")
+    other = groups.join(dealt, ["pivot", "slice"]).select(F.col("pivot").alias("o_pivot"), "nid", each("rest_blocks").alias("o_low"), block("all_blocks").alias("o_high")).join(whole, "nid").withColumnsRenamed({"nid": "o_nid", "sh": "o_sh"})
     blocks = one.groupBy("pivot", "low", "high").cogroup(other.groupBy("o_pivot", "o_low", "o_high")).applyInPandas(lambda x, y: block_links(x, y, percent), "u binary, v binary")
 
     labels = components(links.union(star).union(blocks), "near")
