@@ -40,6 +40,14 @@ def test_urls(spark, urls):
     assert all(r["verdict"] == (ruled[r["page_id"]] or ("block" if r["score"] >= 0.5 else "allow")) for r in found)
 
 
+def test_url_rules_of_contract(spark, tmp_path):
+    """Verdicts by the contract's words, not by the module's list."""
+    contract = {"http://a.com/en/1": ("com/en/", "block"), "http://example.com/en/7": ("example.com/en/7", "allow"), "http://shop.net/de/1": ("net/de/", "allow"), "http://example.net/de/8": ("example.net/de/8", "block"), "http://x.org/es/2": ("org/es/", "block")}
+    spark.createDataFrame(list(enumerate(contract)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = url_filters.op1_url_filters(spark, str(tmp_path)).collect()
+    assert {u: (r.rule, r.verdict) for r in found for i, u in enumerate(contract) if i == r.page_id} == contract
+
+
 def test_url_model(spark):
     """Hosts that the small table does not list, by words that it does; and clashing column names."""
     unseen = [("http://mega-casino-bonus.example.com/fr/1", 1), ("https://buy-cheap-pills-now.example.net/es/2", 1), ("http://poker-spam.example.org/de/9", 1), ("https://ads-server9.example.com/fr/3", 1), ("https://citylibrary.example.org/en/5", 0), ("https://thth.example.com/fr/825", 0), ("http://blog.museum-friends.example.net/en/1", 0)]
