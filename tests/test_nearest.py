@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandwork.operators import nearest as N
+from strandwork.operators import space
 
 AXES = ("z", "y", "x")
 
@@ -72,3 +73,22 @@ def test_work_does_not_grow_with_the_points(spark, height):
             nodes += [children.apply(i) for i in range(children.size())]
         each.append(joins[0] / 200)
     assert each[1] <= max(3 * each[0], 60), each
+
+
+def test_nearest_of_copies(spark):
+    """Copies of queries and points at one place, over frames: what all pairs give, and no more pairs compared than places have."""
+    r = random.Random(5)
+    place = lambda: [float(r.randrange(4)) for _ in AXES]
+    points = [(i, r.randrange(4), *place(), f"n{i}") for i in range(300)]
+    queries = [(i, r.randrange(5), *place()) for i in range(80)]
+    a, b = spark.createDataFrame(queries, "id long, frame long, z double, y double, x double"), spark.createDataFrame(points, "spot_id long, frame long, z double, y double, x double, name string")
+    for frames in (0, 2):
+        expected = {}
+        for q, f, *at in queries:
+            near = [(abs(f - g) + d, p, name) for p, g, *to, name in points for d in [sum((u - v) ** 2 for u, v in zip(at, to)) ** 0.5] if d <= 1.5 and abs(f - g) <= frames]
+            if near:
+                expected[q] = min(near)[1:]
+        found = space.nearest_within(a, b, 1.5, frames).collect()
+        assert {x.q_id: (x.p_spot_id, x.p_name) for x in found} == expected and len(found) == len(expected)
+    many = spark.range(100_000).selectExpr("id as spot_id", "0L as frame", "0D as z", "0D as y", "cast(id % 2 as double) as x")
+    assert {(x.q_id, x.p_spot_id) for x in space.nearest_within(many.withColumnRenamed("spot_id", "id"), many, 0.5).collect()} == {(i, i % 2) for i in range(100_000)}
