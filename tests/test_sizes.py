@@ -1,10 +1,12 @@
-"""What operators hand to the driver, and how many rows their rounds write, on tables where that once grew out of bounds."""
+"""Larger and odder tables than the given ones: what operators hand to the driver, and how many rows their rounds write, on tables where that once grew out of bounds."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from strandwork.operators import lineage as L
 from strandwork.operators import space, voxels
+from strandwork.plans import registry
 
 
 @pytest.mark.parametrize("name", ["within", "label_density", "crop_patches"])
@@ -52,3 +54,15 @@ def test_reached_over_merges(spark):
     asked = spark.createDataFrame([(1,), (4,), (1,), (9,)], "spot_id long")
     assert sorted(map(tuple, L.reached(hops, asked).collect())) == [*[(1, n) for n in range(2, 7)], (4, 5), (4, 6)]
     assert L.reached(hops.where(F.lit(False)), asked).count() == 0
+
+
+@pytest.mark.parametrize("name", ["threshold_clusters", "threshold_clusters_euclidean"])
+def test_clusters_of_odd_vectors(spark, sf, tmp_path, name):
+    """Rows without label, vector, length or finite parts are rows of the result, as in SQL."""
+    odd = F.when(F.col("vec_id") % 7 == 1, F.lit(None)).when(F.col("vec_id") % 7 == 2, F.transform("embedding", lambda x: x * 0)).when(F.col("vec_id") % 11 == 3, F.transform("embedding", lambda x: F.lit(float("nan")).cast("float"))).otherwise(F.col("embedding"))
+    table = spark.read.parquet(f"{sf}/embeddings.parquet").withColumn("embedding", odd).withColumn("label", F.when(F.col("vec_id") % 5 != 0, F.col("label")))
+    table.write.parquet(f"{tmp_path}/embeddings.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    expected = c.sql(registry.SQL[name])
+    assert sorted(tuple(r[x] for x in expected.columns) for r in registry.QUERIES[name](spark, str(tmp_path)).collect()) == sorted(expected.fetchall())
