@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandwork.operators import lineage as L
-from strandwork.operators import space, voxels
+from strandwork.operators import cluster, space, voxels
 from strandwork.plans import registry
 
 
@@ -66,3 +66,15 @@ def test_clusters_of_odd_vectors(spark, sf, tmp_path, name):
     c.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
     expected = c.sql(registry.SQL[name])
     assert sorted(tuple(r[x] for x in expected.columns) for r in registry.QUERIES[name](spark, str(tmp_path)).collect()) == sorted(expected.fetchall())
+
+
+def test_copies_of_vectors_ask_once(spark, monkeypatch):
+    """40 copies of 5 vectors: the matrices that are made hold a few rows a vector, not all copies against all, and the nearest are right."""
+    ids = [(i, float(i % 5)) for i in range(200)]
+    df = spark.createDataFrame([(i, [v, 0.0], i % 2) for i, v in ids], "id long, vector array<double>, label int")
+    met, kept = [], cluster.in_blocks
+    monkeypatch.setattr(cluster, "in_blocks", lambda a, b, *rest, **more: (met.append(a.count() * b.count()), kept(a, b, *rest, **more))[1])
+    found = cluster.nearest_vectors(df, df, 3).collect()
+    expected = {(i, o) for i, v in ids for _, o in sorted((abs(v - w), j) for j, w in ids if j != i)[:3]}
+    assert {(r.id, r.other) for r in found} == expected and len(found) == 600
+    assert max(met) <= 5 * 20
