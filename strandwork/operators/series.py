@@ -7,11 +7,12 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import analysis, tracklets
 from .blocks import ranked
+from .lineage import saved
 from .space import knn
 
 
@@ -41,14 +42,16 @@ def linear_trend(series: DataFrame, key: str = "head") -> DataFrame:
 def cross_correlation(rows: DataFrame, features: Sequence[str], lags: int, key: str = "head") -> DataFrame:
     """(key, feature, lag, ccf): each feature against all others at lags 0 .. lags, normalised, averaged over partners; undefined ones dropped.
 
-    rows are (key, i, features). All pairs of features at a lag come from one join of a row with the row lag later.
+    rows are (key, i, features). What stands lag places on comes from windows over a key's rows, so that all pairs and lags take one shuffle by key.
     """
-    sizes = rows.groupBy(key).agg(F.count("*").alias("n"), *[F.avg(f).alias(f"m_{f}") for f in features], *[F.stddev_pop(f).alias(f"s_{f}") for f in features])
-    centred = rows.join(sizes, key).select(key, "i", "n", *[((F.col(f) - F.col(f"m_{f}")) / F.nullif(f"s_{f}", F.lit(0.0))).alias(f) for f in features])
-    a = centred.select(key, "n", "i", *[F.col(f).alias(f"a_{f}") for f in features], F.explode(F.sequence(F.lit(0), F.least(F.lit(lags), (F.col("n") - 1).cast("int")))).alias("lag")).withColumn("i", F.col("i") + F.col("lag"))
-    joined = a.join(centred.drop("n"), [key, "i"])
+    own = Window.partitionBy(key)
+    on = lambda k: own.orderBy("i").rangeBetween(k, k)
+    scaled = [((F.col(f) - F.avg(f).over(own)) / F.nullif(F.stddev_pop(f).over(own), F.lit(0.0))).alias(f) for f in features]
+    centred = rows.where(F.col(key).isNotNull()).select(key, "i", F.count("*").over(own).alias("n"), *scaled)
+    later = [F.struct(F.lit(k).alias("lag"), *[F.sum(f).over(on(k)).alias(f) for f in features]) for k in range(lags + 1)]
+    joined = centred.withColumn("_later", F.array(*later)).select("*", F.explode("_later").alias("p")).where(F.col("i").isNotNull() & (F.col("p.lag") < F.col("n")))
     pairs = [(f, g) for f in features for g in features if f != g]
-    wide = joined.groupBy(key, "lag").agg(F.first("n").alias("n"), *[F.sum(F.col(f"a_{f}") * F.col(g)).alias(f"c_{f}_{g}") for f, g in pairs])
+    wide = joined.groupBy(key, F.col("p.lag").alias("lag")).agg(F.first("n").alias("n"), *[F.sum(F.col(f) * F.col(f"p.{g}")).alias(f"c_{f}_{g}") for f, g in pairs])
     long = wide.select(key, "lag", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), (F.col(f"c_{f}_{g}") / (F.col("n") - F.col("lag"))).alias("c")) for f, g in pairs])).alias("p"))
     return long.select(key, "lag", "p.*").where("c is not null").groupBy(key, "feature", "lag").agg(F.avg("c").alias("ccf"))
 
@@ -59,7 +62,7 @@ def anderson_darling(values: DataFrame, by: Sequence[str], value: str) -> DataFr
     def log_cdf(z: pd.Series) -> pd.Series:
         return z.map(lambda x: math.log(max(0.5 * math.erfc(-x / math.sqrt(2)), 1e-300)))
 
-    rows = values.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("v"))
+    rows = saved(values.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("v")), "pool")  # read for the fit, for the range's bounds and for the ranks
     stats = rows.groupBy(*by).agg(F.avg("v").alias("m"), F.stddev_samp("v").alias("s"), F.count("*").alias("n")).where("s > 0")
     z = rows.join(stats, list(by)).withColumn("z", (F.col("v") - F.col("m")) / F.col("s"))
     logs = ranked(z, by, ["z"], "r").withColumns({"below": log_cdf("z"), "above": log_cdf(-F.col("z"))})
@@ -76,8 +79,9 @@ def generation_report(rows: DataFrame, spans: DataFrame, features: Sequence[str]
     cell_type only its tracklets count. Undefined values are left out.
     """
     kept = rows if cell_type is None else rows.where(F.col("cell_type") == cell_type)
-    group = kept.groupBy("head").agg((F.max("generation") > 0).alias("later")).join(spans.select("head", "life"), "head").where("later or life > 0").select("head", "later")
-    numbered = tracklets.numbered(kept.join(group.select("head"), "head", "left_semi"))
+    kept = saved(tracklets.numbered(kept).select(*dict.fromkeys(["head", "i", "generation", *features])), "numbered")  # each part below reads it
+    group = saved(kept.groupBy("head").agg((F.max("generation") > 0).alias("later")).join(spans.select("head", "life"), "head").where("later or life > 0").select("head", "later"), "tracklets")
+    numbered = kept.join(group.select("head"), "head", "left_semi")
     series = [numbered.select("head", "i", F.col(f).alias("value")) for f in features]
     parts = [analysis.autocorrelation(s, lags).where("lag > 0").select("head", F.lit("autocorrelation").alias("kind"), F.lit(f).alias("feature"), F.col("acf").alias("value")) for f, s in zip(features, series)]
     parts += [linear_trend(s).select("head", F.lit("slope").alias("kind"), F.lit(f).alias("feature"), F.col("slope").alias("value")) for f, s in zip(features, series)]
@@ -89,7 +93,7 @@ def generation_report(rows: DataFrame, spans: DataFrame, features: Sequence[str]
     values = parts[0]
     for p in parts[1:]:
         values = values.unionByName(p)
-    pool, by = values.where("value is not null").join(group, "head"), ["later", "kind", "feature"]
+    pool, by = saved(values.where("value is not null").join(group, "head"), "values"), ["later", "kind", "feature"]
     fit = pool.groupBy(*by).agg(F.countDistinct("head").alias("tracklets"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
     normal = anderson_darling(pool.where("kind like '%correlation'"), by, "value").drop("n")
     return fit.join(normal, by, "left")

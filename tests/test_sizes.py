@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandwork.operators import lineage as L
-from strandwork.operators import cluster, space, voxels
+from strandwork.operators import analysis, cluster, series, space, voxels
 from strandwork.plans import registry
 
 
@@ -78,3 +78,41 @@ def test_copies_of_vectors_ask_once(spark, monkeypatch):
     expected = {(i, o) for i, v in ids for _, o in sorted((abs(v - w), j) for j, w in ids if j != i)[:3]}
     assert {(r.id, r.other) for r in found} == expected and len(found) == 600
     assert max(met) <= 5 * 20
+
+
+def test_correlations_shuffle_once(spark):
+    """All lags come from windows over a key's rows: one shuffle by key, on odd series (gaps, repeated and null places, null values, one row) what a join of rows with rows gives."""
+    rows = [(h, i, v) for h, s in enumerate(([1.0, 4.0, 2.0, 7.0, 3.0], [2.0, None, 5.0, 1.0], [3.0, 3.0, 3.0], [9.0])) for i, v in enumerate(s)]
+    rows += [(7, i, float(i * i % 5)) for i in (0, 1, 3, 3, 4, 8)] + [(8, None, 1.0), (8, 0, 2.0), (8, 1, 5.0), (None, 0, 1.0)]
+    df = spark.createDataFrame(rows, "head long, i long, value double")
+    found = analysis.autocorrelation(df, 3)
+    expected = {}
+    for h in {r[0] for r in rows} - {None}:
+        own = [(i, v) for k, i, v in rows if k == h]
+        mean = sum(v for _, v in own if v is not None) / sum(v is not None for _, v in own)
+        square = sum((v - mean) ** 2 for _, v in own if v is not None)
+        for lag in range(min(3, len(own) - 1) + 1):
+            met = [(v, w) for i, v in own for j, w in own if i is not None and j is not None and j == i + lag]
+            if met:
+                both = [(v - mean) * (w - mean) for v, w in met if v is not None and w is not None]
+                expected[h, lag] = round(sum(both) / square, 9) if both and square else None
+    assert {(r["head"], r.lag): None if r.acf is None else round(r.acf, 9) + 0.0 for r in found.collect()} == expected
+    wide = df.withColumn("other", F.col("value") * F.col("i"))
+    for plan in (found, series.cross_correlation(wide, ["value", "other"], 3)):
+        assert plan._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("name", ["anderson_darling", "generation_report"])
+def test_series_read_their_rows_once(spark, name):
+    """What many parts of a report need is written once, not made again for each."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(r):
+        seen.add(1)
+        return r
+
+    made = spark.sparkContext.parallelize([(t % 5, t, t, t % 2, float(t * t % 17), float(t * 7 % 13)) for t in range(60)], 2).map(passed)
+    df = spark.createDataFrame(made, "head long, frame long, spot_id long, generation long, u double, v double")
+    spans = spark.range(5).selectExpr("id as head", "55L as life")
+    found = series.anderson_darling(df, ["generation"], "u") if name == "anderson_darling" else series.generation_report(df, spans, ["u", "v"])
+    assert found.count() > 0 and seen.value == 60
