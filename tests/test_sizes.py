@@ -116,3 +116,19 @@ def test_series_read_their_rows_once(spark, name):
     spans = spark.range(5).selectExpr("id as head", "55L as life")
     found = series.anderson_darling(df, ["generation"], "u") if name == "anderson_darling" else series.generation_report(df, spans, ["u", "v"])
     assert found.count() > 0 and seen.value == 60
+
+
+def test_copies_of_places_are_met_as_one(spark, monkeypatch):
+    """30 copies of 4 sources and 30 of 2 queries: 8 pairs, not 7,200; predictions are those of all of them."""
+    spots = [(i % 4, float(i % 4), float(i)) for i in range(120)]
+    moves = spark.createDataFrame([(5, x, 0.0, 0.0, to, 1.0, None if int(to) % 3 else 2.0) for _, x, to in spots], "t long, from_z double, from_y double, from_x double, to_z double, to_y double, to_x double")
+    asked = spark.createDataFrame([(i, 5, 0.5 if i % 2 else 3.0, 0.0, 0.0) for i in range(60)] + [(99, 6, 0.0, 0.0, 0.0), (98, 5, None, 0.0, 0.0)], "id long, frame long, z double, y double, x double")
+    met, kept = [], space.within
+    monkeypatch.setattr(space, "within", lambda *a, **k: (met.append(kept(*a, **k).count()), kept(*a, **k))[1])
+    found = {r.id: (r.z, r.y, r.x) for r in analysis.radius_predict(asked, moves, 9.0).collect()}
+    assert met == [8] and len(found) == 62 and found[99] == found[98] == (None, None, None)
+    for i in range(60):
+        at = 0.5 if i % 2 else 3.0
+        w = [1e10 if x == at else 1 / abs(x - at) for _, x, _ in spots]
+        want = [sum(a * b for a, b in zip(w, part)) / sum(w) for part in ([to for _, _, to in spots], [1.0] * 120, [0.0 if int(to) % 3 else 2.0 for _, _, to in spots])]
+        assert found[i] == pytest.approx(want, rel=1e-9)
