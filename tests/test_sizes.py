@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandwork.operators import lineage as L
-from strandwork.operators import analysis, cluster, series, space, voxels
+from strandwork.operators import analysis, blocks, cluster, series, space, voxels
 from strandwork.plans import registry
 
 
@@ -132,3 +132,22 @@ def test_copies_of_places_are_met_as_one(spark, monkeypatch):
         w = [1e10 if x == at else 1 / abs(x - at) for _, x, _ in spots]
         want = [sum(a * b for a, b in zip(w, part)) / sum(w) for part in ([to for _, _, to in spots], [1.0] * 120, [0.0 if int(to) % 3 else 2.0 for _, _, to in spots])]
         assert found[i] == pytest.approx(want, rel=1e-9)
+
+
+@pytest.mark.parametrize("name", ["near_pairs", "nearest_vectors"])
+def test_visits_of_balls_carry_no_vectors(spark, monkeypatch, name):
+    """1,000 rows that visit most of some 30 balls: a Python task gives back no more rows with vectors than it was given."""
+    monkeypatch.setattr(blocks, "BLOCK", 64)
+    df = spark.range(1000).selectExpr("id", "0 as label", "array(cast(id * 37 % 101 as double), cast(id * 53 % 97 as double)) as vector")
+    made, kept = [], cluster.in_blocks
+
+    def counted(a, b, by, make, schema, **more):
+        if "array<" in schema:
+            made.append(kept(a, b, by, make, schema, **more).count())
+        else:
+            made.append(0)
+        return kept(a, b, by, make, schema, **more)
+
+    monkeypatch.setattr(cluster, "in_blocks", counted)
+    found = cluster.near_pairs(df, ["label"], 40.0) if name == "near_pairs" else cluster.nearest_vectors(df, df, 300)
+    assert found.count() > 100_000 and len(made) == 3 and max(made) == 1000
