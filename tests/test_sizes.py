@@ -151,3 +151,23 @@ def test_visits_of_balls_carry_no_vectors(spark, monkeypatch, name):
     monkeypatch.setattr(cluster, "in_blocks", counted)
     found = cluster.near_pairs(df, ["label"], 40.0) if name == "near_pairs" else cluster.nearest_vectors(df, df, 300)
     assert found.count() > 100_000 and len(made) == 3 and max(made) == 1000
+
+
+def test_silhouette_copies_rows_by_wide_blocks(spark, monkeypatch):
+    """640 rows of one label and 10 of another, in blocks of 16: each goes with 3 wide blocks at most, not with all 40, and the score is right."""
+    monkeypatch.setattr(blocks, "BLOCK", 16)
+    x = [(i, int(i >= 640), [float(i * 37 % 101), float(i * 53 % 97)]) for i in range(650)]
+    df, copies, kept = spark.createDataFrame(x, "id long, label int, vector array<double>"), [], cluster.in_blocks
+
+    def counted(a, b, by, make, schema, **more):
+        if "total double" in schema:
+            copies.append(-(-640 // (more.get("size") or blocks.BLOCK)))
+        return kept(a, b, by, make, schema, **more)
+
+    monkeypatch.setattr(cluster, "in_blocks", counted)
+    got = cluster.silhouette(df, label="label").first()[0]
+    score = 0.0
+    for i, y, v in x:
+        mean = {z: sum(((v[0] - w[0]) ** 2 + (v[1] - w[1]) ** 2) ** 0.5 for k, z2, w in x if z2 == z and k != i) / ((640, 10)[z] - (z == y)) for z in (0, 1)}
+        score += (mean[1 - y] - mean[y]) / max(mean.values())
+    assert copies == [3] and abs(got - score / 650) < 1e-9
