@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandwork.operators import lineage as L
-from strandwork.operators import analysis, blocks, cluster, series, space, voxels
-from strandwork.plans import registry
+from strandwork.operators import analysis, blocks, cluster, connectivity, series, space, summary, tables, voxels
+from strandwork.plans import fixtures, registry
+from strandwork.plans.catalog_analysis import full
 
 
 @pytest.mark.parametrize("name", ["within", "label_density", "crop_patches"])
@@ -30,6 +31,18 @@ def test_exploded_queries_are_not_broadcast(spark, tmp_path, name):
         assert next(x for x in above if "Join" in x or "BroadcastExchange" in x).lstrip(" :+-").startswith("SortMergeJoin")
 
 
+def test_rows_of_spots_are_not_broadcast(spark, sf):
+    """Views with a row for each spot are joined by shuffle, also where their files are small; tables with a row for each frame or histogram still go to all."""
+    v = fixtures.Views(spark, sf)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    joined = [full(v), tables.properties(v.spots, v.edges, v.pieces, v.motion), space.within(v.spots, v.pred_spots, 3.0), L.tracklet_spans(v.pieces, v.spots), v.pred_edges]
+    for df in joined:
+        assert "SortMergeJoin" in plan(df) and "BroadcastHashJoin" not in plan(df)
+    few = [summary.feature_histogram(v.spots.select("frame", F.lit("x").alias("feature"), F.col("x").alias("value"))), analysis.apply_translation(v.spots, v.spots.groupBy("frame").agg(F.avg("y").alias("drift_y"), F.avg("x").alias("drift_x"))), connectivity.frame_points(v.spots, True)]
+    for df in few:
+        assert "SortMergeJoin" not in plan(df)
+
+
 def test_hops_stay_as_few_as_spots(spark, monkeypatch):
     """One line of 300 spots has 44,850 pairs of ancestors; of its last spot there are 299, and no round writes more than a few rows a spot."""
     edges, rows = spark.range(299).selectExpr("id as source_id", "id + 1 as target_id"), []
