@@ -17,7 +17,7 @@ PAIRS = [("speed", 0, 1), ("speed", 0, 2), ("x", 1, 0), ("x", 1, 2), ("y", 2, 0)
 CCF = " UNION ALL ".join(f"SELECT a.head, '{f}' AS feature, lag, sum(a.f{p} * b.f{q}) / (any_value(a.n) - lag) AS c FROM {NORM} a JOIN range(0, 4) r(lag) ON lag < a.n JOIN {NORM} b ON b.head = a.head AND b.i = a.i + lag GROUP BY 1, 2, 3" for f, p, q in PAIRS)
 register("cross_correlation", lambda v: S.cross_correlation(T.numbered(full(v)).select("head", "i", "speed", "x", "y"), ["speed", "x", "y"], 3).withColumn("lag", F.col("lag").cast("long")), ON, f"SELECT head, feature, lag, avg(c) AS ccf FROM ({CCF}) WHERE c IS NOT NULL GROUP BY 1, 2, 3", "ccf")
 register("anderson_darling", lambda v: S.anderson_darling(full(v).withColumn("later", F.col("generation") > 0), ["later"], "speed"))
-lives = lambda v: full(v).groupBy("head").agg((F.max("frame") - F.min("frame")).alias("life"))
+lives = lambda v: v.pieces.select("spot_id", "head").join(v.spots.select("spot_id", "frame"), "spot_id").groupBy("head").agg((F.max("frame") - F.min("frame")).alias("life"))
 register("generation_report", lambda v: S.generation_report(full(v), lives(v), ["speed", "x"]))
 register("generation_report_of_type", lambda v: S.generation_report(full(v), lives(v), ["speed", "acceleration"], cell_type="Basal"))
 register("by_duration", lambda v: S.by_duration(v.pieces.select("spot_id", "head"), lives(v)), ON, f"SELECT spot_id, head, place FROM {FULL} JOIN (SELECT head, row_number() OVER (ORDER BY max(frame) - min(frame) DESC, head) AS place FROM {FULL} GROUP BY 1) USING (head)")

@@ -8,6 +8,7 @@ from strandwork.operators import lineage as L
 from strandwork.operators import analysis, blocks, cluster, connectivity, series, space, summary, tables, voxels
 from strandwork.plans import fixtures, registry
 from strandwork.plans.catalog_analysis import full
+from strandwork.plans.catalog_series import lives
 
 
 @pytest.mark.parametrize("name", ["within", "label_density", "crop_patches"])
@@ -43,6 +44,13 @@ def test_rows_of_spots_are_not_broadcast(spark, sf):
         assert "SortMergeJoin" not in plan(df)
 
 
+def test_lives_need_no_motion(spark, sf):
+    """Lives of tracklets come from pieces and frames alone: no speeds or angles are made for them."""
+    v = fixtures.Views(spark, sf)
+    assert lives(v).count() == v.pieces.select("head").distinct().count()
+    assert "motion" not in vars(v)
+
+
 def test_hops_stay_as_few_as_spots(spark, monkeypatch):
     """One line of 300 spots has 44,850 pairs of ancestors; of its last spot there are 299, and no round writes more than a few rows a spot."""
     edges, rows = spark.range(299).selectExpr("id as source_id", "id + 1 as target_id"), []
