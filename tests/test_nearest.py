@@ -92,3 +92,10 @@ def test_nearest_of_copies(spark):
         assert {x.q_id: (x.p_spot_id, x.p_name) for x in found} == expected and len(found) == len(expected)
     many = spark.range(100_000).selectExpr("id as spot_id", "0L as frame", "0D as z", "0D as y", "cast(id % 2 as double) as x")
     assert {(x.q_id, x.p_spot_id) for x in space.nearest_within(many.withColumnRenamed("spot_id", "id"), many, 0.5).collect()} == {(i, i % 2) for i in range(100_000)}
+
+
+def test_narrow_cells_and_points_go_by_shuffle(spark):
+    """Tables that grow with the points are not handed to all, however small their files: of three levels and the points only the two widest steps may be."""
+    points = frame(spark, [(i, i % 2, float(i % 17), float(i % 101), float(i % 997)) for i in range(3_000)])
+    plan = N.nearest(points, points, 1, "id", "id", AXES)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") >= 2
