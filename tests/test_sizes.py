@@ -44,6 +44,20 @@ def test_rows_of_spots_are_not_broadcast(spark, sf):
         assert "SortMergeJoin" not in plan(df)
 
 
+def test_known_is_planned_in_parts(spark, sf, monkeypatch):
+    """What the driver plans anew after each stage stays short: regions, mask and density are tables of their own before the spots take them."""
+    joins, write = {}, L.saved
+
+    def counted(df, name):
+        joins[name] = df._jdf.queryExecution().executedPlan().toString().count("Join ")
+        return write(df, name)
+
+    monkeypatch.setattr(L, "saved", counted)
+    v = fixtures.Views(spark, sf)
+    assert v.known.count() == v.spots.count()
+    assert {"shapes", "mask", "density"} <= set(joins) and joins["known"] <= 10
+
+
 def test_lives_need_no_motion(spark, sf):
     """Lives of tracklets come from pieces and frames alone: no speeds or angles are made for them."""
     v = fixtures.Views(spark, sf)
