@@ -178,3 +178,20 @@ def test_nearest_vectors(spark, monkeypatch, k, metric):
     d = cluster.matrix(s, s)
     want = {(i, j): d[i, j] for i in range(126) for _, j in sorted((round(d[i, j], 12), j) for j in range(0, 126, 2) if j != i)[:k]}
     assert len(got) == len(want) and {(r.id, r.other) for r in got} == set(want)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_pairs_in_blocks_and_odd_ones(spark, monkeypatch, metric):
+    """All pairs, in blocks of four, as the join of rows has them; vectors that are null, short, without length or with odd parts, ids and labels that are null or come twice."""
+    rng = np.random.default_rng(3)
+    rows = [(i, int(i % 3), [float(x) for x in rng.standard_normal(5)]) for i in range(60)]
+    rows += [(60, 0, None), (61, 0, [1.0, 2.0]), (62, 0, [0.0] * 5), (63, 1, [1.0, None, 0.0, 0.0, 0.0]), (64, 1, [float("nan")] * 5), (65, 1, [float("inf")] + [0.0] * 4), (66, None, [1.0] * 5), (None, 2, [1.0] * 5), (1, 1, [2.0] * 5), (2, 2, [1e200] * 5)]
+    df = spark.createDataFrame(rows, "id long, label int, vector array<double>")
+    a, b = df.select("label", F.col("id").alias("a"), F.col("vector").alias("u")), df.select("label", F.col("id").alias("b"), F.col("vector").alias("v"))
+    want = a.join(b, "label").where("a < b").select("label", "a", "b", cluster.vector_distance(F.col("u"), F.col("v"), metric).alias("distance"))
+    key = lambda df: sorted(((r.label, r.a, r.b, None if r.distance is None else repr(round(r.distance, 9) + 0.0)) for r in df.collect()), key=repr)
+    monkeypatch.setattr(blocks, "BLOCK", 4)
+    found = cluster.pairwise_distance(df, ["label"], metric)
+    assert key(found) == key(want)
+    plain = cluster.pairwise_distance(df.where("id between 3 and 59"), ["label"], metric)
+    assert "FlatMapCoGroupsInPandas" in plain._jdf.queryExecution().toString() and "zip_with" not in plain._jdf.queryExecution().toString()
