@@ -65,3 +65,16 @@ def test_copies_make_no_more_rows(spark, crowd, monkeypatch):
     connectivity.barcodes(points, 1.5)
     connectivity.barcodes(points.withColumn("spot_id", F.explode(F.sequence(F.col("spot_id") * 10, F.col("spot_id") * 10 + 9))), 1.5)
     assert sizes[0] == sizes[1]
+
+
+def test_follow_makes_its_moves_once(spark, monkeypatch):
+    """Places of moves are written once for all steps; paths are those of step by step predictions."""
+    from strandwork.operators import analysis
+
+    moves = spark.createDataFrame([(t, 0.0, 0.0, float(t + s), 0.0, 0.0, t + s + 1.0) for t in range(4) for s in (0, 3)], "t long, from_z double, from_y double, from_x double, to_z double, to_y double, to_x double")
+    start = spark.createDataFrame([(1, 0, 0.0, 0.0, 0.2), (2, 1, 0.0, 0.0, 4.0), (3, 0, 0.0, 9.0, 0.0)], "id long, frame long, z double, y double, x double")
+    made, whole = [], analysis.places_of
+    monkeypatch.setattr(analysis, "places_of", lambda m: made.append(1) or whole(m))
+    found = {(r.id, r.frame): r.x for r in analysis.follow(start, moves, 1.0, 3).collect()}
+    assert len(made) == 1 and set(found) == {(1, 0), (1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (2, 3), (2, 4), (3, 0)}
+    assert found[1, 3] == pytest.approx(3.0) and found[2, 4] == pytest.approx(7.0)
